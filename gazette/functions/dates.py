@@ -38,6 +38,29 @@ def parse_date(c, as_of, slash_order: str = "mdy_then_dmy") -> Column:
     anywhere -> 'ha [cerca de] N unidade(s)' back from ``as_of`` -> 'ontem'
     -> null. Null/empty input is null."""
     v = col_(c)
+    nv = normalize_search_text(v)
+    return _parse(v, nv, F.regexp_extract(nv, RELATIVE_FULL, 1),
+                  F.regexp_extract(nv, RELATIVE_FULL, 2), as_of, slash_order)
+
+
+def with_parsed_date(df, src: str, as_of, out: str = "published_at",
+                     slash_order: str = "mdy_then_dmy"):
+    """``parse_date`` with the input bound once through a lambda variable.
+
+    Filters on the parsed date are pushed below the projection that made
+    it, and Catalyst then substitutes the source expression at every
+    reference; when the source is itself an expression (a derived column)
+    the generated code outgrows the JVM method limit. Binding the value in
+    ``transform(array(v), x -> ...)`` keeps one copy.
+    """
+    bound = F.transform(F.array(F.col(src)), lambda x: F.transform(
+        F.array(normalize_search_text(x)), lambda nv: _parse(
+            x, nv, F.regexp_extract(nv, RELATIVE_FULL, 1), F.regexp_extract(nv, RELATIVE_FULL, 2),
+            as_of, slash_order))[0])[0]
+    return df.withColumn(out, bound)
+
+
+def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_order) -> Column:
     now = as_ts(as_of)
     iso = F.when(v.rlike(ISO_DATE), F.regexp_replace(v, r"Z$", "").try_cast("timestamp"))
     bare = js_trim(v)
@@ -50,15 +73,12 @@ def parse_date(c, as_of, slash_order: str = "mdy_then_dmy") -> Column:
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).when(F.length(y) == 4, y)
     dmy = F.when(v.rlike(DAY_FIRST_DATE), _ymd(year, F.regexp_extract(v, DAY_FIRST_DATE, 2),
                                                F.regexp_extract(v, DAY_FIRST_DATE, 1)))
-    nv = normalize_search_text(v)
-    amount = F.when(F.length(F.regexp_extract(nv, RELATIVE_FULL, 1)) <= 15,
-                    F.regexp_extract(nv, RELATIVE_FULL, 1).try_cast("bigint"))
-    unit = F.regexp_extract(nv, RELATIVE_FULL, 2)
+    amount = F.when(F.length(n_txt) <= 15, n_txt.try_cast("bigint"))
     unit_s = F.lit(None).cast("bigint")
     for name, secs in UNIT_SECONDS.items():
         unit_s = F.when(unit.startswith(name), F.lit(secs)).otherwise(unit_s)
     offset = F.try_multiply(amount, unit_s)
-    relative = F.when(nv.rlike(RELATIVE_FULL), F.when(
+    relative = F.when(unit != "", F.when(
         offset.isNull() | (offset > MAX_OFFSET_SECONDS), F.to_timestamp(F.lit(EARLIEST)))
         .otherwise(F.timestamp_seconds(F.unix_seconds(now) - offset)))
     yesterday = F.when(nv.contains(YESTERDAY_WORD),
@@ -71,7 +91,9 @@ def is_within_days(ts, as_of, days: int) -> Column:
     """Unknown date -> keep; else not older than ``days`` before ``as_of``."""
     t = col_(ts)
     cutoff = F.timestamp_seconds(F.unix_seconds(as_ts(as_of)) - int(days) * 86400)
-    return t.isNull() | (t >= cutoff)
+    # One reference to ``ts``: a pushed-down filter inlines the whole parse
+    # expression for every reference.
+    return F.coalesce(t >= cutoff, F.lit(True))
 
 
 def digest_date(ts) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.dates import is_within_days, parse_date
+from gazette.functions.dates import is_within_days, with_parsed_date
 from gazette.functions.text import col_
 
 
@@ -22,8 +22,7 @@ def is_valid_title(title) -> Column:
 
 def annotate(articles: DataFrame, as_of, days_back: int = K.DAYS_BACK) -> DataFrame:
     """Add published_at, title_ok, date_ok (date_ok only counts after titles pass)."""
-    return (articles
-            .withColumn("published_at", parse_date("date_str", as_of))
+    return (with_parsed_date(articles, "date_str", as_of)
             .withColumn("title_ok", is_valid_title("title"))
             .withColumn("date_ok", is_within_days("published_at", as_of, days_back)))
 
