@@ -96,3 +96,10 @@ JS_SPACE = "[" + JS_SPACE_CLASS_BODY + "]"
 RE2_SPACE_CLASS_BODY = (r"\t\n\x{0b}\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
                         r"\x{202f}\x{205f}\x{3000}\x{feff}")
 RE2_SPACE = "[" + RE2_SPACE_CLASS_BODY + "]"
+
+# --- fixed values: prompt texts ---------------------------------------------
+HISTORY_BLOCK_INTRO = (
+    "Historico recente que nao pode se repetir. "
+    "Considere como repetido o mesmo fato, movimento, anuncio ou materia, "
+    "mesmo se o titulo atual estiver reescrito:")
+# --- end of fixed values ----------------------------------------------------

@@ -109,3 +109,10 @@ def digest_title(name, ts) -> Column:
 def ts_text(ts) -> Column:
     """Timestamp as 'yyyy-MM-dd HH:mm:ss' text (stable across engines)."""
     return F.date_format(col_(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+def parse_iso(c) -> Column:
+    """The subset of date text both engines agree on: ISO date / date-time
+    with optional zone; anything else is null (callers treat null as keep)."""
+    v = col_(c)
+    return F.when(v.rlike(ISO_DATE), F.regexp_replace(v, r"Z$", "").try_cast("timestamp"))

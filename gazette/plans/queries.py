@@ -136,3 +136,110 @@ def q_run_totals(spark, sf_dir):
         F.count_if(F.col("kept")).cast("bigint").alias("unique_titles"),
         F.count_if(F.col("kept") & F.col("date_str").isNull()).cast("bigint").alias("undated"),
         F.countDistinct("site").cast("bigint").alias("sites"))
+
+
+# --- personas and history ---------------------------------------------------
+from gazette.operators import history as hist  # noqa: E402
+from gazette.operators import personas as pers  # noqa: E402
+from gazette.operators.select import lexical_select  # noqa: E402
+from gazette.sources.derived import (history_from_articles,  # noqa: E402
+                                     personas_from_conversations,
+                                     raw_personas_from_conversations)
+
+
+def v_personas(spark, sf_dir) -> DataFrame:
+    return personas_from_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def v_history(spark, sf_dir) -> DataFrame:
+    return hist.repair_entries(history_from_articles(v_articles(spark, sf_dir)), AS_OF)
+
+
+def _join(c):
+    return F.array_join(F.col(c), " | ")
+
+
+@query("personas_valid")
+def q_personas_valid(spark, sf_dir):
+    p = v_personas(spark, sf_dir)
+    ok = p.join(pers.persona_violations(p), p["persona_idx"] == F.col("v_idx"), "left_anti") \
+        if False else p.join(pers.persona_violations(p).select(
+            F.col("persona_idx").alias("persona_idx")), "persona_idx", "left_anti")
+    return ok.select("persona_idx", "id", "nome", "descricao",
+                     _join("prioridades").alias("prioridades"), _join("evitar").alias("evitar"))
+
+
+@query("persona_violations")
+def q_persona_violations(spark, sf_dir):
+    raw = raw_personas_from_conversations(read_table(spark, sf_dir, "conversations"))
+    return pers.persona_violations(raw)
+
+
+@query("history_load")
+def q_history_load(spark, sf_dir):
+    h = v_history(spark, sf_dir)
+    return h.select("persona_id", "entry_pos", "title", "chamada", "resumo", "link",
+                    "normalized_link", "title_key", F.array_join("title_keys", "|").alias("title_keys"),
+                    F.array_join("source_title_keys", "|").alias("source_title_keys"),
+                    ts_text("sent_at").alias("sent_at"))
+
+
+@query("history_context")
+def q_history_context(spark, sf_dir):
+    return hist.history_context(v_history(spark, sf_dir))
+
+
+@query("persona_context")
+def q_persona_context(spark, sf_dir):
+    lines = hist.history_context(v_history(spark, sf_dir))
+    return pers.persona_context(v_personas(spark, sf_dir), lines)
+
+
+def unique_articles(spark, sf_dir) -> DataFrame:
+    """Deduplicated run articles with their parsed dates (D1 kept rows)."""
+    return deduped(spark, sf_dir).filter("kept").select(
+        "pos", "ord", "site", "title", "link", "date_str", "published_at")
+
+
+def lexical(spark, sf_dir, articles=None) -> DataFrame:
+    a = articles if articles is not None else unique_articles(spark, sf_dir)
+    return lexical_select(a, v_personas(spark, sf_dir))
+
+
+@query("lexical_select")
+def q_lexical_select(spark, sf_dir):
+    return lexical(spark, sf_dir)
+
+
+def suppressed(spark, sf_dir, articles=None) -> DataFrame:
+    a = articles if articles is not None else unique_articles(spark, sf_dir)
+    return hist.suppress_repeats(lexical(spark, sf_dir, a), a, v_history(spark, sf_dir))
+
+
+@query("suppress_repeats")
+def q_suppress_repeats(spark, sf_dir):
+    s = suppressed(spark, sf_dir).filter(F.col("status") == "kept")
+    return s.select("persona_id", F.col("slot").cast("bigint").alias("slot"), "rank", "ord")
+
+
+@query("selection_counts")
+def q_selection_counts(spark, sf_dir):
+    return hist.selection_counts(suppressed(spark, sf_dir))
+
+
+def sent_rows(spark, sf_dir, articles=None) -> DataFrame:
+    a = articles if articles is not None else unique_articles(spark, sf_dir)
+    s = suppressed(spark, sf_dir, a).filter(F.col("status") == "kept")
+    return s.join(a.select("ord", "title", "link", "site"), "ord").select(
+        "persona_id", F.col("slot").cast("bigint").alias("seq"), "title",
+        F.lit(None).cast("string").alias("chamada"), F.lit(None).cast("string").alias("resumo"),
+        "link", "site")
+
+
+@query("record_sent")
+def q_record_sent(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    out = hist.record_sent(v_history(spark, sf_dir), sent_rows(spark, sf_dir, a),
+                           sent_at=AS_OF, doc_title=None, doc_link=None, as_of=AS_OF)
+    return out.select("persona_id", "entry_pos", "title", "link", "normalized_link", "title_key",
+                      ts_text("sent_at").alias("sent_at"))

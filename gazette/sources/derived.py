@@ -47,3 +47,100 @@ def articles_from_pages(pages: DataFrame) -> DataFrame:
         page_title(F.col("html")).alias("title"),
         F.col("url").alias("link"),
         synthetic_date_text(F.col("page_id")).alias("date_str"))
+
+
+# --- personas ---------------------------------------------------------------
+# One client profile per conversation: the first turn is the description and
+# the conversation's most frequent long words are its topics.
+TOPIC_MIN_CHARS = 4
+N_TOPICS = 3
+
+
+def conversation_topics(conversations: DataFrame) -> DataFrame:
+    """(conv_id, topic_rank, token): the 4 most frequent words of >= 4 chars,
+    ties by word. Counting is a partial aggregate; the top-4 is a windowed
+    group limit, so a long conversation never sits whole in one task."""
+    from pyspark.sql import Window
+    from gazette.functions.text import normalize_title
+    words = conversations.select(
+        "conv_id", F.explode(F.split(normalize_title(F.col("text")), " ")).alias("token"))
+    counts = (words.filter(F.char_length("token") >= TOPIC_MIN_CHARS)
+              .groupBy("conv_id", "token").agg(F.count("*").alias("n")))
+    w = Window.partitionBy("conv_id").orderBy(F.col("n").desc(), F.col("token"))
+    return (counts.withColumn("topic_rank", F.row_number().over(w))
+            .filter(F.col("topic_rank") <= N_TOPICS + 1).drop("n"))
+
+
+def personas_from_conversations(conversations: DataFrame) -> DataFrame:
+    """v_personas(persona_idx, id, nome, descricao, prioridades, evitar)."""
+    from gazette.functions.text import squash
+    first = (conversations.filter(F.col("turn") == 0)
+             .select("conv_id", squash(F.col("text")).alias("descricao")))
+    topics = conversation_topics(conversations)
+    lists = topics.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("topic_rank") <= N_TOPICS,
+                                           F.struct("topic_rank", "token")))).alias("_p"),
+        F.sort_array(F.collect_list(F.when(F.col("topic_rank") > N_TOPICS,
+                                           F.struct("topic_rank", "token")))).alias("_e"))
+    ids = conversations.select("conv_id").distinct()
+    return (ids.join(first, "conv_id", "left").join(lists, "conv_id", "left")
+            .select(F.col("conv_id").alias("persona_idx"),
+                    F.concat(F.lit("p"), F.col("conv_id").cast("string")).alias("id"),
+                    F.concat(F.lit("Cliente "), F.col("conv_id").cast("string")).alias("nome"),
+                    "descricao",
+                    F.coalesce(F.transform("_p", lambda s: s["token"]),
+                               F.array().cast("array<string>")).alias("prioridades"),
+                    F.coalesce(F.transform("_e", lambda s: s["token"]),
+                               F.array().cast("array<string>")).alias("evitar")))
+
+
+def raw_personas_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Unvalidated profiles: id = first word of the first turn (collides
+    across conversations), descricao = the second turn (may be missing)."""
+    from gazette.functions.text import normalize_title, squash
+    p = personas_from_conversations(conversations)
+    turn0 = conversations.filter(F.col("turn") == 0).select(
+        F.col("conv_id").alias("persona_idx"),
+        F.substring_index(normalize_title(F.col("text")), " ", 1).alias("id"))
+    turn1 = conversations.filter(F.col("turn") == 1).select(
+        F.col("conv_id").alias("persona_idx"), squash(F.col("text")).alias("descricao"))
+    return (p.drop("id", "descricao").join(turn0, "persona_idx", "left")
+            .join(turn1, "persona_idx", "left")
+            .select("persona_idx", "id", "nome", "descricao", "prioridades", "evitar"))
+
+
+# --- history ----------------------------------------------------------------
+HISTORY_EVERY = 3      # one article in three was sent before
+HISTORY_PERSONAS = 7   # to personas p0..p6 (the others have no history)
+
+
+def history_from_articles(articles: DataFrame) -> DataFrame:
+    """Raw stored history entries, shaped like the JSON file's entries:
+    some use the ``titulo``/``summaryTitle`` aliases, some carry a stored
+    empty link key, some only a title, some an unknown send time."""
+    o = F.col("ord")
+    link = F.when(o % 2 == 0, F.concat(
+        F.col("link"), F.when(F.col("link").contains("?"), F.lit("&")).otherwise(F.lit("?")),
+        F.lit("utm_medium=email"))).otherwise(F.lit(""))
+    sent = F.date_format(
+        F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+                            - (o % 30) * 86400), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return (articles.filter(o % HISTORY_EVERY == 0).select(
+        F.concat(F.lit("p"), (o % HISTORY_PERSONAS).cast("string")).alias("persona_id"),
+        o.alias("entry_pos"),
+        F.when(o % 4 != 0, F.col("title")).alias("title"),
+        F.col("title").alias("titulo"),
+        F.when(o % 2 == 0, F.concat(F.lit("Resumo de "), F.col("title"))).alias("chamada"),
+        F.lit(None).cast("string").alias("summaryTitle"),
+        F.when(o % 5 == 0, F.lit("   ")).otherwise(
+            F.concat(F.lit("Resumo "), o.cast("string"))).alias("resumo"),
+        link.alias("link"),
+        F.when(o % 9 == 0, F.lit("")).alias("normalizedLink"),
+        F.lit(None).cast("array<string>").alias("titleKeys"),
+        F.lit(None).cast("string").alias("titleKey"),
+        F.lit(None).cast("array<string>").alias("sourceTitleKeys"),
+        F.lit(None).cast("string").alias("sourceTitleKey"),
+        F.col("site").alias("source"),
+        F.when(o % 11 != 0, sent).alias("sentAt"),
+        F.lit(None).cast("string").alias("docTitle"),
+        F.lit(None).cast("string").alias("docLink")))
