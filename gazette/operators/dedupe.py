@@ -13,9 +13,9 @@ undecided row that holds the minimum order value on *all* of its keys
 undecided rows sharing a key with a newly kept row. The earliest undecided
 row always qualifies, so every round makes progress; on real data a handful
 of rounds decide everything. Rounds work only on still-undecided (row, key)
-pairs of keys held by more than one row, which shrink each round; results
-are persisted, and every few rounds checkpointed to the shared checkpoint
-folder, so lineage stays flat and a lost executor costs a few rounds at most.
+pairs of keys held by more than one row, which shrink each round; the
+undecided set is checkpointed to the shared checkpoint folder every round,
+so plans and lineage stay flat and a lost executor costs one round at most.
 
 Skew: the per-key minimum is a partial (map-side) aggregate, so a key held
 by a third of all rows costs one pre-aggregated value per map task; the
@@ -33,9 +33,6 @@ from pyspark.sql import functions as F
 from gazette.session import cut_lineage
 
 
-CHECKPOINT_EVERY = 4
-
-
 def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
                   group_cols: Sequence[str] = ()) -> DataFrame:
     """Return ``df`` plus a boolean ``kept``; (group_cols, order_col) must be unique.
@@ -52,11 +49,9 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
                    .filter(F.col("kc") > 1).select(*g, "key"))
     shared = pairs.join(shared_keys, g + ["key"], "left_semi")
     n_keys = shared.groupBy(*ids).agg(F.count("*").alias("nk"))
-    undecided = shared.join(n_keys, ids).persist()
+    undecided = cut_lineage(shared.join(n_keys, ids))
     decided: list[DataFrame] = []
-    rounds = 0
-    while undecided.count() > 0:
-        rounds += 1
+    while not undecided.isEmpty():
         first = (undecided.groupBy(*g, "key")
                  .agg(F.min(F.struct(F.col(order_col), F.col("nk"))).alias("m"))
                  .select(*g, "key", F.col("m")[order_col].alias("mo"), F.col("m.nk").alias("mnk")))
@@ -67,19 +62,14 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
         hit = (undecided.join(claimed.select(*g, "key"), g + ["key"], "left_semi")
                .select(*ids).distinct())
         removed = hit.join(roots, ids, "left_anti")
+        # The round's verdicts are persisted (their lineage starts at this
+        # round's checkpointed input, so a lost block costs one round); the
+        # shrinking undecided set is checkpointed, which keeps every round's
+        # plan as small as the first one's.
         round_result = (roots.withColumn("kept", F.lit(True))
-                        .unionByName(removed.withColumn("kept", F.lit(False))))
-        nxt = undecided.join(round_result.select(*ids), ids, "left_anti")
-        if rounds % CHECKPOINT_EVERY == 0:
-            # Reliable checkpoint: lineage stays flat however many rounds run.
-            round_result = cut_lineage(round_result)
-            nxt = cut_lineage(undecided.join(round_result.select(*ids), ids, "left_anti"))
-        else:
-            # Persisted: a lost block is rebuilt from at most a few rounds.
-            round_result = round_result.persist()
-            nxt = nxt.persist()
+                        .unionByName(removed.withColumn("kept", F.lit(False)))).persist()
         decided.append(round_result)
-        undecided = nxt
+        undecided = cut_lineage(undecided.join(round_result.select(*ids), ids, "left_anti"))
     status = None
     for part in decided:
         status = part if status is None else status.unionByName(part)

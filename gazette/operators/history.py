@@ -105,7 +105,8 @@ def suppress_repeats(selection: DataFrame, articles: DataFrame, history: DataFra
     ``slot`` (1..max) of kept rows.
     """
     ident = with_identity(articles.select("ord", "title", "link"))
-    sel = selection.join(ident.select("ord", "normalized_link", "source_title_keys"), "ord")
+    # Read by four branches below and by the dedupe's own jobs: persist once.
+    sel = selection.join(ident.select("ord", "normalized_link", "source_title_keys"), "ord").persist()
     link_k = sel.select("persona_id", "rank", F.lit("L").alias("kind"),
                         F.col("normalized_link").alias("key"))
     title_k = sel.select("persona_id", "rank", F.lit("T").alias("kind"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from gazette.functions import constants as K
 from gazette.plans import sqlfrag as S
+from gazette.functions.dates import ISO_DATE as ISO
 from gazette.sources.derived import AS_OF, H1, HOST
 
 AS = f"TIMESTAMP '{AS_OF}'"
@@ -147,5 +148,251 @@ FROM (SELECT site, count(*) AS raw_count, count_if(NOT title_ok) AS title_filter
     return out
 
 
+def _blank(x: str) -> str:
+    return f"({x} IS NULL OR {S.js_trim(x)} = '')"
+
+
+def _uniq2(a: str, b: str) -> str:
+    """Order-preserving distinct non-empty of a two-element list."""
+    return (f"list_filter([{a}, {b}], lambda x, i: x IS NOT NULL AND x <> '' AND "
+            f"list_position([{a}, {b}], x) = i)")
+
+
+def _clean(arr: str) -> str:
+    return (f"list_filter(list_transform(coalesce({arr}, CAST([] AS VARCHAR[])), "
+            f"lambda x: {S.js_trim('x')}), lambda x: x IS NOT NULL AND x <> '')")
+
+
+V_TOPICS = f"""v_topics AS (
+  SELECT conv_id, token,
+         row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, token) AS topic_rank
+  FROM (SELECT conv_id, token, count(*) AS n
+        FROM (SELECT conv_id, unnest(string_split({S.normalize_title('text')}, ' ')) AS token
+              FROM conversations)
+        WHERE length(token) >= 4 GROUP BY conv_id, token)
+  QUALIFY topic_rank <= 4)"""
+
+V_PERSONAS = f"""v_personas AS (
+  SELECT i.conv_id AS persona_idx, 'p' || CAST(i.conv_id AS VARCHAR) AS id,
+         'Cliente ' || CAST(i.conv_id AS VARCHAR) AS nome, f.descricao,
+         coalesce(list(t.token ORDER BY t.topic_rank) FILTER (WHERE t.topic_rank <= 3),
+                  CAST([] AS VARCHAR[])) AS prioridades,
+         coalesce(list(t.token ORDER BY t.topic_rank) FILTER (WHERE t.topic_rank > 3),
+                  CAST([] AS VARCHAR[])) AS evitar
+  FROM (SELECT DISTINCT conv_id FROM conversations) i
+  LEFT JOIN (SELECT conv_id, {S.squash('text')} AS descricao FROM conversations WHERE turn = 0) f
+    USING (conv_id)
+  LEFT JOIN v_topics t USING (conv_id)
+  GROUP BY i.conv_id, f.descricao)"""
+
+V_RAW_PERSONAS = f"""v_raw_personas AS (
+  SELECT p.persona_idx, split_part({S.normalize_title('t0.text')}, ' ', 1) AS id, p.nome,
+         t1.descricao, p.prioridades, p.evitar
+  FROM v_personas p
+  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) t0
+    ON t0.conv_id = p.persona_idx
+  LEFT JOIN (SELECT conv_id, {S.squash('text')} AS descricao FROM conversations WHERE turn = 1) t1
+    ON t1.conv_id = p.persona_idx)"""
+
+
+def _violations(src: str) -> str:
+    bad = lambda a: f"coalesce(len(list_filter({a}, lambda x: {_blank('x')})) > 0, false)"
+    return f"""v_violations AS (
+  SELECT persona_idx, id AS persona_id,
+         CASE WHEN {_blank('id')} THEN 'id' WHEN {_blank('nome')} THEN 'nome'
+              WHEN {_blank('descricao')} THEN 'descricao'
+              WHEN persona_idx > first_idx THEN 'id_duplicado'
+              WHEN {bad('prioridades')} THEN 'prioridades'
+              WHEN {bad('evitar')} THEN 'evitar' END AS violation
+  FROM {src} r
+  LEFT JOIN (SELECT {S.js_trim('id')} AS tid, min(persona_idx) AS first_idx FROM {src}
+             WHERE NOT {_blank('id')} GROUP BY 1) f ON f.tid = {S.js_trim('r.id')})"""
+
+
+V_HIST_RAW = f"""v_hist_raw AS (
+  SELECT 'p' || CAST(ord % 7 AS VARCHAR) AS persona_id, ord AS entry_pos,
+         CASE WHEN ord % 4 <> 0 THEN title END AS title, title AS titulo,
+         CASE WHEN ord % 2 = 0 THEN 'Resumo de ' || title END AS chamada,
+         CAST(NULL AS VARCHAR) AS summaryTitle,
+         CASE WHEN ord % 5 = 0 THEN '   ' ELSE 'Resumo ' || CAST(ord AS VARCHAR) END AS resumo,
+         CASE WHEN ord % 2 = 0 THEN link || CASE WHEN contains(link, '?') THEN '&' ELSE '?' END
+              || 'utm_medium=email' ELSE '' END AS link,
+         CASE WHEN ord % 9 = 0 THEN '' END AS normalizedLink,
+         CAST(NULL AS VARCHAR[]) AS titleKeys, CAST(NULL AS VARCHAR) AS titleKey,
+         CAST(NULL AS VARCHAR[]) AS sourceTitleKeys, CAST(NULL AS VARCHAR) AS sourceTitleKey,
+         site AS source,
+         CASE WHEN ord % 11 <> 0 THEN strftime(TIMESTAMP '2024-01-31 00:00:00'
+              - to_seconds(CAST(ord % 30 AS BIGINT) * 86400), '%Y-%m-%dT%H:%M:%S.000Z') END AS sentAt
+  FROM v_articles WHERE ord % 3 = 0)"""
+
+V_HIST = f"""v_hist AS (
+  SELECT persona_id, entry_pos, _idt AS title, nullif(_c, '') AS chamada, nullif(_r, '') AS resumo,
+         link, coalesce(normalizedLink, id_nl) AS normalized_link,
+         coalesce(titleKey, coalesce(tks[1], '')) AS title_key, tks AS title_keys,
+         coalesce(sourceTitleKey, coalesce(stks[1], '')) AS source_title_key,
+         stks AS source_title_keys, source, sent_at
+  FROM (SELECT *, list_transform(tks, lambda k: id_host || '::' || k) AS stks
+        FROM (SELECT *, {_uniq2(S.normalize_title('_idt'), S.normalize_title('_c'))} AS tks,
+                     {S.identity_host('link', 'id_nl')} AS id_host
+              FROM (SELECT *, CASE WHEN _t <> '' THEN _t ELSE _c END AS _idt,
+                           {S.normalize_link('link')} AS id_nl,
+                           CASE WHEN regexp_matches(sentAt, {S.q(ISO)}) THEN
+                             try_cast(regexp_replace(sentAt, 'Z$', '') AS TIMESTAMP) END AS sent_at
+                    FROM (SELECT persona_id, entry_pos, normalizedLink, titleKey, sourceTitleKey,
+                                 source, sentAt,
+                                 {S.nws('coalesce(title, titulo, \'\')')} AS _t,
+                                 {S.nws('coalesce(chamada, summaryTitle, \'\')')} AS _c,
+                                 {S.nws('resumo')} AS _r, coalesce(link, '') AS link
+                          FROM v_hist_raw))))
+  WHERE {S.within_days('sent_at', AS, K.LOOKBACK_DAYS)})"""
+
+
+def _trunc_part(col: str, label: str, limit: int | None) -> str:
+    body = S.truncate(col, limit) if limit else col
+    return f"CASE WHEN coalesce({col}, '') <> '' THEN {S.q(label)} || {body} END"
+
+
+V_HCTX = f"""v_hctx AS (
+  SELECT persona_id, line_no, line FROM (
+    SELECT persona_id,
+           row_number() OVER (PARTITION BY persona_id ORDER BY sent_at DESC NULLS LAST, entry_pos)
+             AS line_no,
+           concat_ws(' | ', {_trunc_part('title', 'Titulo original: ', K.HISTORY_TITLE_LIMIT)},
+                     {_trunc_part('chamada', 'Chamada enviada: ', K.HISTORY_CHAMADA_LIMIT)},
+                     {_trunc_part('resumo', 'Resumo enviado: ', K.HISTORY_RESUMO_LIMIT)},
+                     {_trunc_part('link', 'Link: ', None)}) AS line
+    FROM v_hist)
+  WHERE line_no <= {K.HISTORY_PROMPT_ITEMS} AND line <> '')"""
+
+
+def _block(head: str, arr: str) -> str:
+    return (f"CASE WHEN len({arr}) > 0 THEN {S.q(head)} || chr(10) || '- ' || "
+            f"array_to_string({arr}, chr(10) || '- ') END")
+
+
+V_LEX = f"""v_unique AS (SELECT * FROM v_dedup WHERE kept),
+v_tt AS (
+  SELECT DISTINCT ord, token FROM (
+    SELECT ord, unnest(string_split({S.normalize_title('title')}, ' ')) AS token FROM v_unique)
+  WHERE token <> ''),
+v_topic AS (
+  SELECT DISTINCT persona_id, token FROM (
+    SELECT persona_id, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
+    FROM (SELECT id AS persona_id, unnest({_clean('prioridades')}) AS topic FROM v_personas))
+  WHERE token <> ''),
+v_avoid AS (
+  SELECT DISTINCT persona_id, token FROM (
+    SELECT persona_id, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
+    FROM (SELECT id AS persona_id, unnest({_clean('evitar')}) AS topic FROM v_personas))
+  WHERE token <> ''),
+v_scores AS (
+  SELECT persona_id, ord, count(*) AS score FROM v_tt JOIN v_topic USING (token)
+  GROUP BY persona_id, ord),
+v_cand AS (
+  SELECT s.persona_id, s.ord, s.score, u.published_at FROM v_scores s JOIN v_unique u USING (ord)
+  WHERE NOT EXISTS (SELECT 1 FROM v_tt t JOIN v_avoid a USING (token)
+                    WHERE a.persona_id = s.persona_id AND t.ord = s.ord)),
+v_lex AS (
+  SELECT persona_id, rank, ord, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY persona_id
+                                 ORDER BY score DESC, published_at DESC NULLS LAST, ord) AS rank
+    FROM v_cand)
+  WHERE rank <= {max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)})"""
+
+V_SUPPRESS = f"""v_hkeys AS (
+  SELECT DISTINCT persona_id, 'L' AS kind, normalized_link AS key FROM v_hist
+  WHERE coalesce(normalized_link, '') <> ''
+  UNION
+  SELECT DISTINCT persona_id, 'T' AS kind, key FROM (
+    SELECT persona_id, unnest(list_concat(source_title_keys, [source_title_key])) AS key FROM v_hist)
+  WHERE coalesce(key, '') <> ''),
+v_sel AS (
+  SELECT l.persona_id, l.rank, l.ord, u.normalized_link,
+         CASE WHEN u.title_key <> '' THEN [u.id_host || '::' || u.title_key]
+              ELSE CAST([] AS VARCHAR[]) END AS stk
+  FROM v_lex l JOIN v_unique u USING (ord)),
+v_seen AS (
+  SELECT DISTINCT s.persona_id, s.rank FROM v_sel s JOIN v_hkeys h
+    ON h.persona_id = s.persona_id AND h.kind = 'L' AND h.key = s.normalized_link
+  UNION
+  SELECT DISTINCT s.persona_id, s.rank FROM (
+    SELECT persona_id, rank, unnest(stk) AS key FROM v_sel) s JOIN v_hkeys h
+    ON h.persona_id = s.persona_id AND h.kind = 'T' AND h.key = s.key),
+v_fresh AS (
+  SELECT *, list_filter([normalized_link] || stk, lambda k: k <> '') AS keys,
+         row_number() OVER (PARTITION BY persona_id ORDER BY rank) AS step
+  FROM v_sel s WHERE NOT EXISTS (
+    SELECT 1 FROM v_seen x WHERE x.persona_id = s.persona_id AND x.rank = s.rank)),
+v_d2 AS (
+  SELECT DISTINCT persona_id, CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS claimed,
+         CAST(NULL AS BOOLEAN) AS kept, CAST(0 AS BIGINT) AS nkept FROM v_fresh
+  UNION ALL
+  SELECT q.persona_id, q.step,
+         CASE WHEN list_has_any(s.claimed, q.keys) THEN s.claimed
+              ELSE list_concat(s.claimed, q.keys) END,
+         NOT list_has_any(s.claimed, q.keys),
+         s.nkept + CASE WHEN list_has_any(s.claimed, q.keys) THEN 0 ELSE 1 END
+  FROM v_d2 s JOIN v_fresh q ON q.persona_id = s.persona_id AND q.step = s.step + 1),
+v_fresh_st AS (
+  SELECT f.persona_id, f.rank, f.ord, d.kept, d.nkept FROM v_fresh f
+  JOIN v_d2 d ON d.persona_id = f.persona_id AND d.step = f.step),
+v_cut AS (
+  SELECT persona_id, rank AS cut FROM v_fresh_st WHERE kept AND nkept = {K.MAX_PER_PERSONA}),
+v_status AS (
+  SELECT s.persona_id, s.rank, s.ord,
+         CASE WHEN c.cut IS NOT NULL AND s.rank > c.cut THEN 'unexamined'
+              WHEN x.rank IS NOT NULL THEN 'history'
+              WHEN f.kept THEN 'kept' ELSE 'duplicate' END AS status,
+         CASE WHEN f.kept AND (c.cut IS NULL OR s.rank <= c.cut) THEN f.nkept END AS slot
+  FROM v_sel s
+  LEFT JOIN v_seen x ON x.persona_id = s.persona_id AND x.rank = s.rank
+  LEFT JOIN v_fresh_st f ON f.persona_id = s.persona_id AND f.rank = s.rank
+  LEFT JOIN v_cut c ON c.persona_id = s.persona_id)"""
+
+
+def _more_sql(out: dict[str, str]) -> None:
+    out["personas_valid"] = with_(V_TOPICS, V_PERSONAS, _violations("v_personas")) + """
+SELECT persona_idx, id, nome, descricao, array_to_string(prioridades, ' | ') AS prioridades,
+       array_to_string(evitar, ' | ') AS evitar
+FROM v_personas p WHERE NOT EXISTS (
+  SELECT 1 FROM v_violations v WHERE v.persona_idx = p.persona_idx AND v.violation IS NOT NULL)"""
+    out["persona_violations"] = with_(V_TOPICS, V_PERSONAS, V_RAW_PERSONAS,
+                                      _violations("v_raw_personas")) + (
+        "SELECT persona_idx, persona_id, violation FROM v_violations WHERE violation IS NOT NULL")
+    hist = with_(V_ARTICLES, V_HIST_RAW, V_HIST)
+    out["history_load"] = hist + f"""
+SELECT persona_id, entry_pos, title, chamada, resumo, link, normalized_link, title_key,
+       array_to_string(title_keys, '|') AS title_keys,
+       array_to_string(source_title_keys, '|') AS source_title_keys,
+       {S.ts_text('sent_at')} AS sent_at
+FROM v_hist"""
+    out["history_context"] = with_(V_ARTICLES, V_HIST_RAW, V_HIST, V_HCTX) + (
+        "SELECT persona_id, line_no, line FROM v_hctx")
+    nl = "chr(10)"
+    out["persona_context"] = with_(V_ARTICLES, V_HIST_RAW, V_HIST, V_HCTX, V_TOPICS, V_PERSONAS) + f"""
+SELECT p.id, concat_ws({nl},
+  '### ' || coalesce(p.nome, '') || ' | id: "' || coalesce(p.id, '') || '"',
+  coalesce(p.descricao, ''),
+  {_block('Prioridades:', _clean('p.prioridades'))},
+  {_block('Evitar:', _clean('p.evitar'))},
+  {_block(K.HISTORY_BLOCK_INTRO, 'coalesce(h.hl, CAST([] AS VARCHAR[]))')}) AS context
+FROM v_personas p
+LEFT JOIN (SELECT persona_id, list(line ORDER BY line_no) AS hl FROM v_hctx GROUP BY persona_id) h
+  ON h.persona_id = p.id"""
+    run = [V_ARTICLES, V_ANNOTATED, V_TOP, V_COLLECT, V_KEYS, greedy_scan("v_keys", "pos"),
+           V_TOPICS, V_PERSONAS, V_LEX]
+    out["lexical_select"] = with_(*run, recursive=True) + (
+        "SELECT persona_id, rank, ord, score FROM v_lex")
+    sup = with_(*run, V_HIST_RAW, V_HIST, V_SUPPRESS, recursive=True)
+    out["suppress_repeats"] = sup + (
+        "SELECT persona_id, slot, rank, ord FROM v_status WHERE status = 'kept'")
+    out["selection_counts"] = sup + """
+SELECT persona_id, CAST(count_if(status = 'kept') AS BIGINT) AS kept,
+       CAST(count_if(status IN ('history', 'duplicate')) AS BIGINT) AS removed
+FROM v_status GROUP BY persona_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return _sql()
+    out = _sql()
+    _more_sql(out)
+    return out
