@@ -43,7 +43,9 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
     """
     g = list(group_cols)
     ids = g + [order_col]
-    base = df.persist()
+    # Checkpointed, not persisted: downstream plans then start from a small
+    # leaf instead of the input's whole expression tree.
+    base = cut_lineage(df)
     pairs = base.select(*ids, F.explode(keys_col).alias("key")).distinct()
     shared_keys = (pairs.groupBy(*g, "key").agg(F.count("*").alias("kc"))
                    .filter(F.col("kc") > 1).select(*g, "key"))

@@ -11,6 +11,7 @@ from gazette.functions.dates import is_within_days, parse_iso
 from gazette.functions.identity import dedupe_keys, with_identity
 from gazette.functions.text import normalize_whitespace, truncate_text, unique_non_empty
 from gazette.operators.dedupe import greedy_dedupe
+from gazette.session import cut_lineage
 
 # Stored-file layout: {"version": 1, "personas": {"<id>": [entry, ...]}}.
 ENTRY_DDL = ("title STRING, titulo STRING, chamada STRING, summaryTitle STRING, resumo STRING, "
@@ -105,8 +106,10 @@ def suppress_repeats(selection: DataFrame, articles: DataFrame, history: DataFra
     ``slot`` (1..max) of kept rows.
     """
     ident = with_identity(articles.select("ord", "title", "link"))
-    # Read by four branches below and by the dedupe's own jobs: persist once.
-    sel = selection.join(ident.select("ord", "normalized_link", "source_title_keys"), "ord").persist()
+    # Read by four branches below and by the dedupe's own jobs: materialise
+    # once in the checkpoint folder (also keeps the later plans small).
+    sel = cut_lineage(selection.join(ident.select("ord", "normalized_link", "source_title_keys"),
+                                     "ord"))
     link_k = sel.select("persona_id", "rank", F.lit("L").alias("kind"),
                         F.col("normalized_link").alias("key"))
     title_k = sel.select("persona_id", "rank", F.lit("T").alias("kind"),

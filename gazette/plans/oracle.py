@@ -174,7 +174,7 @@ V_TOPICS = f"""v_topics AS (
 
 V_PERSONAS = f"""v_personas AS (
   SELECT i.conv_id AS persona_idx, 'p' || CAST(i.conv_id AS VARCHAR) AS id,
-         'Cliente ' || CAST(i.conv_id AS VARCHAR) AS nome, f.descricao,
+         'Cliente ' || CAST(i.conv_id + 100 AS VARCHAR) AS nome, f.descricao,
          coalesce(list(t.token ORDER BY t.topic_rank) FILTER (WHERE t.topic_rank <= 3),
                   CAST([] AS VARCHAR[])) AS prioridades,
          coalesce(list(t.token ORDER BY t.topic_rank) FILTER (WHERE t.topic_rank > 3),

@@ -17,6 +17,7 @@ from gazette.functions.text import normalize_title, normalize_whitespace
 from gazette.operators import quality
 from gazette.operators.dedupe import greedy_dedupe
 from gazette.sources.derived import AS_OF, articles_from_pages
+from gazette.session import cut_lineage
 from gazette.sources.tables import read_table, scan_pages
 
 REGISTRY: dict = {}
@@ -152,7 +153,9 @@ def v_personas(spark, sf_dir) -> DataFrame:
 
 
 def v_history(spark, sf_dir) -> DataFrame:
-    return hist.repair_entries(history_from_articles(v_articles(spark, sf_dir)), AS_OF)
+    """The loaded history state, materialised once per run (a table in the
+    checkpoint folder), as the reference loads it once per run."""
+    return cut_lineage(hist.repair_entries(history_from_articles(v_articles(spark, sf_dir)), AS_OF))
 
 
 def _join(c):
@@ -243,3 +246,85 @@ def q_record_sent(spark, sf_dir):
                            sent_at=AS_OF, doc_title=None, doc_link=None, as_of=AS_OF)
     return out.select("persona_id", "entry_pos", "title", "link", "normalized_link", "title_key",
                       ts_text("sent_at").alias("sent_at"))
+
+
+# --- extraction and digest ----------------------------------------------------
+from gazette.operators import extract as ex  # noqa: E402
+from gazette.operators import render as rd  # noqa: E402
+from gazette.sources.derived import listings_from_pages  # noqa: E402
+
+
+@query("extract_cards")
+def q_extract_cards(spark, sf_dir):
+    return ex.extract_cards(listings_from_pages(read_table(spark, sf_dir, "pages")))
+
+
+# The navigation links of the driver's pages are single path segments with
+# short texts, so this binding relaxes the portal rule's two parameters
+# (path parts >= 1, title >= 3 chars); the operator's defaults are 2 and 20.
+ANCHOR_MIN_PARTS = 1
+ANCHOR_MIN_TITLE = 3
+
+
+@query("extract_anchors")
+def q_extract_anchors(spark, sf_dir):
+    return ex.extract_anchors(read_table(spark, sf_dir, "pages"), min_parts=ANCHOR_MIN_PARTS,
+                              min_title_chars=ANCHOR_MIN_TITLE)
+
+
+def kept_selection(spark, sf_dir, articles=None) -> DataFrame:
+    a = articles if articles is not None else unique_articles(spark, sf_dir)
+    return suppressed(spark, sf_dir, a).filter(F.col("status") == "kept")
+
+
+def selected_texts(spark, sf_dir, kept) -> DataFrame:
+    return ex.texts_for_selected(read_table(spark, sf_dir, "pages"), kept.select("ord"))
+
+
+@query("article_text")
+def q_article_text(spark, sf_dir):
+    t = selected_texts(spark, sf_dir, kept_selection(spark, sf_dir))
+    return t.select("ord", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def summaries(spark, sf_dir, articles, kept) -> DataFrame:
+    texts = selected_texts(spark, sf_dir, kept)
+    return rd.lead_summary(articles.join(texts, "ord").select("ord", "title", "link", "text"))
+
+
+@query("lead_summary")
+def q_lead_summary(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    return summaries(spark, sf_dir, a, kept_selection(spark, sf_dir, a))
+
+
+def items(spark, sf_dir) -> DataFrame:
+    a = unique_articles(spark, sf_dir)
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    return rd.digest_items(kept, a, summaries(spark, sf_dir, a, kept))
+
+
+@query("digest_items")
+def q_digest_items(spark, sf_dir):
+    return items(spark, sf_dir)
+
+
+@query("persona_articles")
+def q_persona_articles(spark, sf_dir):
+    it = items(spark, sf_dir)
+    names = v_personas(spark, sf_dir).select(F.col("id").alias("persona_id"), "nome")
+    per = it.groupBy("persona_id").agg(
+        F.count("*").cast("bigint").alias("n_articles"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "ord"))),
+                                 lambda s: s["ord"].cast("string")), ",").alias("ords"))
+    return per.join(names, "persona_id").select("persona_id", "nome", "n_articles", "ords")
+
+
+@query("render_digest")
+def q_render_digest(spark, sf_dir):
+    return rd.render_digest(items(spark, sf_dir), v_personas(spark, sf_dir), AS_OF)
+
+
+@query("digest_spans")
+def q_digest_spans(spark, sf_dir):
+    return rd.digest_spans(items(spark, sf_dir), AS_OF)

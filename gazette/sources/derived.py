@@ -86,7 +86,7 @@ def personas_from_conversations(conversations: DataFrame) -> DataFrame:
     return (ids.join(first, "conv_id", "left").join(lists, "conv_id", "left")
             .select(F.col("conv_id").alias("persona_idx"),
                     F.concat(F.lit("p"), F.col("conv_id").cast("string")).alias("id"),
-                    F.concat(F.lit("Cliente "), F.col("conv_id").cast("string")).alias("nome"),
+                    F.concat(F.lit("Cliente "), (F.col("conv_id") + 100).cast("string")).alias("nome"),
                     "descricao",
                     F.coalesce(F.transform("_p", lambda s: s["token"]),
                                F.array().cast("array<string>")).alias("prioridades"),
@@ -144,3 +144,30 @@ def history_from_articles(articles: DataFrame) -> DataFrame:
         F.when(o % 11 != 0, sent).alias("sentAt"),
         F.lit(None).cast("string").alias("docTitle"),
         F.lit(None).cast("string").alias("docLink")))
+
+
+# --- listing pages ------------------------------------------------------------
+NAV = r"(?is)<nav\b[^>]*>(.*?)</nav>"
+ISO_TEXT = r"^\d{4}-\d{2}-\d{2}T"
+
+
+def _escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def listings_from_pages(pages: DataFrame) -> DataFrame:
+    """v_listing(page_id, url, html): per page, a listing with the page's own
+    article card (h2 title, link, time) followed by its navigation links as
+    ``li.item`` cards."""
+    art = articles_from_pages(pages).select(F.col("ord").alias("page_id"), "title", "date_str")
+    nav = pages.select("page_id", "url", F.replace(F.regexp_extract("html", NAV, 1), F.lit("<li>"),
+                                                  F.lit('<li class="item">')).alias("nav"))
+    d = F.coalesce(F.col("date_str"), F.lit(""))
+    time_tag = F.when(d.rlike(ISO_TEXT), F.concat(F.lit('<time datetime="'), d, F.lit('">'),
+                                                 _escape(d), F.lit("</time>"))) \
+        .otherwise(F.concat(F.lit("<time>"), _escape(d), F.lit("</time>")))
+    html = F.concat(F.lit("<html><body><main><article><h2>"), _escape(F.col("title")),
+                    F.lit('</h2><a href="'), F.col("url"), F.lit('">ler</a>'), time_tag,
+                    F.lit("</article>"), F.col("nav"), F.lit("</main></body></html>"))
+    return nav.join(art, "page_id").select("page_id", "url", html.alias("html"))
