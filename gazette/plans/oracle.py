@@ -9,6 +9,9 @@ from __future__ import annotations
 from gazette.functions import constants as K
 from gazette.plans import sqlfrag as S
 from gazette.functions.dates import ISO_DATE as ISO
+from gazette.operators import extract as EX
+from gazette.operators import render as RD
+from gazette.sources import derived as DV
 from gazette.sources.derived import AS_OF, H1, HOST
 
 AS = f"TIMESTAMP '{AS_OF}'"
@@ -392,7 +395,150 @@ SELECT persona_id, CAST(count_if(status = 'kept') AS BIGINT) AS kept,
 FROM v_status GROUP BY persona_id"""
 
 
+def _decode_sql(x: str) -> str:
+    return _decode(x)
+
+
+def _inner_text(x: str) -> str:
+    y = f"regexp_replace(regexp_replace({x}, {S.q(EX.SCRIPT)}, ' ', 'g'), {S.q(EX.STYLE)}, ' ', 'g')"
+    y = f"regexp_replace(regexp_replace({y}, {S.q(EX.BLOCK_TAG)}, ' ', 'g'), '<[^>]+>', '', 'g')"
+    return S.squash(_decode(y))
+
+
+def _article_text(h: str) -> str:
+    picks = []
+    for pattern in EX.TEXT_SELECTORS:
+        t = _inner_text(f"regexp_extract({h}, {S.q(pattern)}, 1)")
+        picks.append(f"CASE WHEN length({t}) > {K.ARTICLE_TEXT_MIN_CHARS} THEN {t} END")
+    body = (f"CASE WHEN regexp_matches({h}, '(?i)<body\\b') THEN regexp_extract({h}, {S.q(EX.BODY)}, 1) "
+            f"ELSE {h} END")
+    return f"coalesce({', '.join(picks)}, substr({_inner_text(body)}, 1, {K.BODY_FALLBACK_CHARS}))"
+
+
+V_DIGEST = f"""v_kept AS (SELECT persona_id, slot, rank, ord FROM v_status WHERE status = 'kept'),
+v_text AS (
+  SELECT page_id AS ord, coalesce(nullif(t, ''), {S.q(K.ARTICLE_TEXT_FAILED)}) AS text FROM (
+    SELECT page_id, {_article_text('html')} AS t FROM pages
+    WHERE page_id IN (SELECT ord FROM v_kept))),
+v_sum AS (
+  SELECT ord,
+         array_to_string(list_slice(string_split({S.squash("coalesce(title, '')")}, ' '), 1, 15), ' ')
+           AS chamada,
+         array_to_string(list_slice(list_filter(list_transform(
+           regexp_extract_all(coalesce(text, ''), {S.q(RD.SENTENCE)}), lambda x: trim(x)),
+           lambda x: x <> ''), 1, 3), ' ') AS resumo,
+         link
+  FROM v_unique JOIN v_text USING (ord)),
+v_items AS (
+  SELECT k.persona_id, k.slot AS item_no, k.ord, coalesce(s.chamada, u.title) AS chamada,
+         coalesce(s.resumo, '') AS resumo, coalesce(s.link, u.link) AS link
+  FROM v_kept k JOIN v_unique u USING (ord) LEFT JOIN v_sum s USING (ord)),
+v_parts AS (
+  SELECT *, CAST(item_no AS VARCHAR) || '. ' || chamada || chr(10) AS chamada_text,
+         resumo || chr(10) AS resumo_text, 'Link: ' || link || chr(10) || chr(10) AS link_text
+  FROM v_items)"""
+
+HEADER = f"({S.q(K.DIGEST_HEADER_PREFIX)} || strftime({AS}, '%d-%m-%Y') || chr(10) || chr(10))"
+
+
+def _digest_sql(out: dict[str, str]) -> None:
+    run = [V_ARTICLES, V_ANNOTATED, V_TOP, V_COLLECT, V_KEYS, greedy_scan("v_keys", "pos"),
+           V_TOPICS, V_PERSONAS, V_LEX, V_HIST_RAW, V_HIST, V_SUPPRESS, V_DIGEST]
+    w = with_(*run, recursive=True)
+    out["article_text"] = w + "SELECT ord, text, CAST(length(text) AS BIGINT) AS n_chars FROM v_text"
+    out["lead_summary"] = w + "SELECT ord, chamada, resumo, link FROM v_sum"
+    out["digest_items"] = w + "SELECT persona_id, item_no, ord, chamada, resumo, link FROM v_items"
+    out["persona_articles"] = w + """
+SELECT i.persona_id, p.nome, count(*) AS n_articles,
+       array_to_string(list(CAST(i.ord AS VARCHAR) ORDER BY i.item_no), ',') AS ords
+FROM v_items i JOIN v_personas p ON p.id = i.persona_id GROUP BY i.persona_id, p.nome"""
+    out["render_digest"] = w + f"""
+SELECT d.persona_id, strftime({AS}, '%d-%m-%Y') || ' | ' || {S.js_trim('p.nome')} AS doc_title,
+       d.n_items, {HEADER} || d.body AS body
+FROM (SELECT persona_id, count(*) AS n_items,
+             string_agg(chamada_text || resumo_text || link_text, '' ORDER BY item_no) AS body
+      FROM v_parts GROUP BY persona_id) d
+JOIN v_personas p ON p.id = d.persona_id"""
+    out["digest_spans"] = w + f""",
+v_cur AS (
+  SELECT *, 1 + length({HEADER}) + coalesce(sum(length(chamada_text) + length(resumo_text)
+            + length(link_text)) OVER (PARTITION BY persona_id ORDER BY item_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor
+  FROM v_parts)
+SELECT DISTINCT persona_id, CAST(1 AS BIGINT) AS span_no, CAST(1 AS BIGINT) AS start,
+       CAST(length({HEADER}) AS BIGINT) AS "end", 'HEADING_1' AS style FROM v_parts
+UNION ALL
+SELECT persona_id, CAST(item_no * 2 AS BIGINT), CAST(cursor AS BIGINT),
+       CAST(cursor + length(chamada_text) - 1 AS BIGINT), 'HEADING_2' FROM v_cur
+UNION ALL
+SELECT persona_id, CAST(item_no * 2 + 1 AS BIGINT),
+       CAST(cursor + length(chamada_text) + length(resumo_text) + 6 AS BIGINT),
+       CAST(cursor + length(chamada_text) + length(resumo_text) + length(link_text) - 2 AS BIGINT),
+       {S.q(K.LINK_STYLE)} FROM v_cur""".replace("WITH RECURSIVE", "WITH RECURSIVE", 1)
+    # the spans query appends one more CTE to the WITH list
+    out["digest_spans"] = out["digest_spans"].replace("\n,\nv_cur AS", ",\nv_cur AS")
+
+
+def _extract_sql(out: dict[str, str]) -> None:
+    origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1)"
+    NAVA = '<a href="([^"]*)">([^<]*)</a>'
+    out["extract_cards"] = with_(V_ARTICLES) + f""",
+v_nav AS (
+  SELECT page_id, url, regexp_extract(html, {S.q(DV.NAV)}, 1) AS nav FROM pages),
+v_navl AS (
+  SELECT page_id, url, regexp_extract_all(nav, {S.q(NAVA)}, 1) AS h,
+         regexp_extract_all(nav, {S.q(NAVA)}, 2) AS t FROM v_nav),
+v_cand AS (
+  SELECT a.ord AS page_id, 0 AS k, a.title, a.link,
+         CASE WHEN coalesce(a.date_str, '') = '' THEN NULL ELSE a.date_str END AS date_str
+  FROM v_articles a
+  UNION ALL
+  SELECT page_id, i AS k, {S.js_trim(_decode('t[i]'))} AS title,
+         {origin} || h[i] AS link, CAST(NULL AS VARCHAR) AS date_str
+  FROM (SELECT *, unnest(generate_series(1, len(h))) AS i FROM v_navl)),
+v_ok AS (
+  SELECT * FROM v_cand WHERE title <> '' AND length(title) >= {K.MIN_CARD_TITLE_LENGTH}
+  QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY k) = 1)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, title, link, date_str
+FROM v_ok""".replace("WITH ", "WITH ", 1)
+    out["extract_cards"] = out["extract_cards"].replace("FROM pages)\n,\nv_nav", "FROM pages),\nv_nav")
+    A = S.q(EX.ANCHOR)
+    path = "regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+    blocked = " OR ".join(f"starts_with({path}, {S.q(b)})" for b in K.ANCHOR_BLOCKED_PREFIXES)
+    first_bad = ", ".join(S.q(b) for b in K.ANCHOR_BLOCKED_FIRST_PARTS)
+    clean = lambda x: S.squash(
+        f"regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), {S.q(K.ANCHOR_CAPTION_PREFIX)}, '', 'g')")
+    out["extract_anchors"] = f"""
+WITH v_a AS (
+  SELECT page_id, {origin} AS origin, regexp_extract_all(html, {A}, 1) AS hs,
+         regexp_extract_all(html, {A}, 2) AS ins FROM pages),
+v_b AS (
+  SELECT page_id, origin, i - 1 AS pos, trim(hs[i]) AS href, ins[i] AS inr
+  FROM (SELECT *, unnest(generate_series(1, len(hs))) AS i FROM v_a)),
+v_c AS (
+  SELECT page_id, pos, origin,
+         CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.\\-]*:') THEN href
+              WHEN starts_with(href, '//') THEN regexp_extract(origin, '^([^:]+:)', 1) || href
+              WHEN starts_with(href, '/') THEN origin || href
+              ELSE origin || '/' || href END AS link, inr
+  FROM v_b),
+v_d AS (
+  SELECT page_id, pos, link, origin,
+         CASE WHEN {clean('inr')} <> '' THEN {clean('inr')}
+              ELSE {clean(f"regexp_extract(inr, {S.q(EX.IMG_ALT)}, 1)")} END AS title,
+         list_filter(string_split({path}, '/'), lambda p: p <> '') AS parts,
+         ({blocked}) AS blocked
+  FROM v_c)
+SELECT page_id, link, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title
+FROM v_d
+WHERE starts_with(link, origin || '/') AND NOT blocked AND len(parts) >= 1
+  AND NOT (parts[1] IN ({first_bad})) AND length(title) >= 3
+GROUP BY page_id, link"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     _more_sql(out)
+    _digest_sql(out)
+    _extract_sql(out)
     return out
