@@ -216,8 +216,10 @@ def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, do
         F.col("site").alias("source"),
         (F.col("sent_at") if "sent_at" in s.columns else F.lit(sent_at).cast("timestamp"))
         .alias("sent_at"),
-        F.lit(doc_title).cast("string").alias("doc_title"),
-        F.lit(doc_link).cast("string").alias("doc_link"))
+        (F.col("doc_title") if "doc_title" in s.columns else F.lit(doc_title).cast("string"))
+        .alias("doc_title"),
+        (F.col("doc_link") if "doc_link" in s.columns else F.lit(doc_link).cast("string"))
+        .alias("doc_link"))
     kept_old = history.join(placed.select("persona_id", "entry_pos"), ["persona_id", "entry_pos"],
                             "left_anti").select(*HISTORY_COLS)
     out = kept_old.unionByName(new_rows.select(*HISTORY_COLS))

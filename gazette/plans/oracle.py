@@ -536,9 +536,113 @@ WHERE starts_with(link, origin || '/') AND NOT blocked AND len(parts) >= 1
 GROUP BY page_id, link"""
 
 
+V_DOCS = f"""v_docs AS (
+  SELECT a.ord AS id,
+         CASE a.ord % 3
+           WHEN 0 THEN strftime(e.modified_time, '%d-%m-%Y') || ' | ' || n.nome
+           WHEN 1 THEN 'Clipping ' || n.nome || ' - ' || strftime(e.modified_time, '%d/%m/%Y')
+           ELSE 'Relatorio ' || n.nome END AS name,
+         e.modified_time, a.title, a.link AS url
+  FROM v_articles a
+  JOIN (SELECT ord, 'Cliente ' || CAST(ord % {DV.DOC_PERSONAS} + 100 AS VARCHAR) AS nome
+        FROM v_articles) n USING (ord)
+  LEFT JOIN (SELECT event_id // {DV.DOC_EVENT_STRIDE} AS id, CAST(ts AS TIMESTAMP) AS modified_time
+             FROM events WHERE event_id % {DV.DOC_EVENT_STRIDE} = 0) e ON e.id = a.ord)"""
+
+
+def _token(x: str) -> str:
+    toks = (f"list_filter(list_transform(string_split_regex({x}, '\\s+'), "
+            f"lambda t: regexp_replace(t, '[^\\p{{L}}\\p{{N}}-]', '', 'g')), lambda t: length(t) >= 3)")
+    return f"(CASE WHEN len({toks}) > 0 THEN {toks}[-1] ELSE {x} END)"
+
+
+def _doc_match(name: str, nome: str) -> str:
+    f, p = S.normalize_search(name), S.normalize_search(nome)
+    pat = S.q(K.DOC_TITLE_CURRENT)
+    legacy = S.normalize_search(f"'Clipping ' || {nome} || ' -'")
+    return (f"({f} <> '' AND {p} <> '' AND ((regexp_matches({f}, {pat}) AND "
+            f"regexp_extract({f}, {pat}, 2) = {p}) OR starts_with({f}, {legacy})))")
+
+
+def _cands(page: int) -> str:
+    return f"""v_cand{page} AS (
+  SELECT * FROM (
+    SELECT p.id AS persona_id, p.nome, d.id, d.name, d.modified_time,
+           row_number() OVER (PARTITION BY p.id ORDER BY d.modified_time DESC NULLS LAST, d.id)
+             AS cand_rank
+    FROM (SELECT id, nome, lower({_token('nome')}) AS word FROM v_personas) p
+    JOIN (SELECT DISTINCT id, name, modified_time,
+                 unnest(string_split_regex(lower(name), '[^\\p{{L}}\\p{{N}}-]+')) AS word
+          FROM v_docs) d USING (word))
+  WHERE cand_rank <= {page})"""
+
+
+V_DTEXT = f"""v_dtext AS (
+  SELECT id, strftime(modified_time, '%d-%m-%Y') AS day,
+         'CLIPPING DE NOTICIAS - ' || strftime(modified_time, '%d-%m-%Y') || chr(10) || chr(10) ||
+         '1. ' || title || chr(10) || 'Resumo parte A de ' || CAST(id AS VARCHAR) || chr(10) ||
+         '  Resumo parte B  ' || chr(10) || 'Link: ' || url || chr(10) || chr(10) ||
+         'texto solto depois do link' || chr(10) || '2. Item sem link ' || CAST(id AS VARCHAR) ||
+         chr(10) || 'linha orfa' || chr(10) AS text
+  FROM v_docs)"""
+
+V_DITEMS = f"""v_dl0 AS (
+  SELECT id, unnest(string_split_regex(coalesce(text, ''), '\\r?\\n')) AS raw,
+         unnest(generate_series(0, len(string_split_regex(coalesce(text, ''), '\\r?\\n')) - 1)) AS pos
+  FROM v_dtext),
+v_dl AS (
+  SELECT id, pos, line,
+         regexp_matches(line, {S.q(K.DIGEST_HEADER_LINE)}) AS is_header,
+         NOT regexp_matches(line, {S.q(K.DIGEST_HEADER_LINE)})
+           AND regexp_matches(line, {S.q(K.DIGEST_ITEM_LINE)}) AS is_title,
+         NOT regexp_matches(line, {S.q(K.DIGEST_HEADER_LINE)})
+           AND NOT regexp_matches(line, {S.q(K.DIGEST_ITEM_LINE)})
+           AND regexp_matches(line, {S.q(K.DIGEST_LINK_LINE)}) AS is_link
+  FROM (SELECT id, pos, {S.js_trim('raw')} AS line FROM v_dl0) WHERE line <> ''),
+v_dli AS (
+  SELECT *, sum(CAST(is_title AS INTEGER)) OVER (PARTITION BY id ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS item FROM v_dl),
+v_marks AS (
+  SELECT id, item, min(pos) FILTER (WHERE is_title) AS t_pos, min(pos) FILTER (WHERE is_link) AS l_pos
+  FROM v_dli WHERE item > 0 GROUP BY id, item HAVING min(pos) FILTER (WHERE is_link) IS NOT NULL),
+v_items_doc AS (
+  SELECT l.id, row_number() OVER (PARTITION BY l.id ORDER BY l.item) AS item_no,
+         trim(regexp_extract(arg_min(l.line, l.pos) FILTER (WHERE l.is_title), {S.q(K.DIGEST_ITEM_LINE)}, 1))
+           AS title,
+         trim(coalesce(string_agg(l.line, ' ' ORDER BY l.pos) FILTER (
+           WHERE NOT l.is_title AND NOT l.is_header AND l.pos < m.l_pos), '')) AS resumo,
+         regexp_extract(arg_min(l.line, l.pos) FILTER (WHERE l.pos = m.l_pos),
+                        {S.q(K.DIGEST_LINK_LINE)}, 1) AS link
+  FROM v_dli l JOIN v_marks m ON m.id = l.id AND m.item = l.item
+  WHERE l.pos >= m.t_pos AND l.pos <= m.l_pos
+  GROUP BY l.id, l.item)"""
+
+
+def _docs_sql(out: dict[str, str]) -> None:
+    base = [V_ARTICLES, V_TOPICS, V_PERSONAS, V_DOCS]
+    out["candidate_docs"] = with_(*base, _cands(K.CATALOGUE_PAGE)) + f"""
+SELECT persona_id, cand_rank, id AS doc_id, name, {S.ts_text('modified_time')} AS modified_time
+FROM v_cand{K.CATALOGUE_PAGE}"""
+    out["docs_for_persona"] = with_(*base, _cands(K.CATALOGUE_PAGE)) + f"""
+SELECT persona_id,
+       row_number() OVER (PARTITION BY persona_id ORDER BY modified_time DESC NULLS LAST, cand_rank)
+         AS doc_rank,
+       id AS doc_id, name, {S.ts_text('modified_time')} AS modified_time
+FROM v_cand{K.CATALOGUE_PAGE}
+WHERE {_doc_match('name', 'nome')} AND {S.within_days('modified_time', AS, K.LOOKBACK_DAYS)}"""
+    out["latest_doc"] = with_(*base, _cands(K.LATEST_DOC_PAGE)) + f"""
+SELECT persona_id, arg_min(id, cand_rank) AS doc_id, arg_min(name, cand_rank) AS name,
+       {S.ts_text('arg_min(modified_time, cand_rank)')} AS modified_time
+FROM v_cand{K.LATEST_DOC_PAGE} WHERE {_doc_match('name', 'nome')} GROUP BY persona_id"""
+    out["doc_text"] = with_(V_ARTICLES, V_DOCS, V_DTEXT) + "SELECT id AS doc_id, text FROM v_dtext"
+    out["parse_doc_items"] = with_(V_ARTICLES, V_DOCS, V_DTEXT, V_DITEMS) + (
+        "SELECT id AS doc_id, item_no, title, resumo, link FROM v_items_doc")
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     _more_sql(out)
     _digest_sql(out)
     _extract_sql(out)
+    _docs_sql(out)
     return out

@@ -328,3 +328,55 @@ def q_render_digest(spark, sf_dir):
 @query("digest_spans")
 def q_digest_spans(spark, sf_dir):
     return rd.digest_spans(items(spark, sf_dir), AS_OF)
+
+
+# --- stored digests -----------------------------------------------------------
+from gazette.operators import docs as dc  # noqa: E402
+from gazette.sources.derived import clip_docs, nested_doc_bodies  # noqa: E402
+
+
+def v_docs(spark, sf_dir) -> DataFrame:
+    return clip_docs(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "events"))
+
+
+@query("candidate_docs")
+def q_candidate_docs(spark, sf_dir):
+    c = dc.candidate_docs(v_docs(spark, sf_dir), v_personas(spark, sf_dir))
+    return c.select("persona_id", F.col("cand_rank").cast("bigint").alias("cand_rank"),
+                    F.col("id").alias("doc_id"), "name", ts_text("modified_time").alias("modified_time"))
+
+
+@query("docs_for_persona")
+def q_docs_for_persona(spark, sf_dir):
+    c = dc.candidate_docs(v_docs(spark, sf_dir), v_personas(spark, sf_dir))
+    d = dc.docs_for_persona(c, AS_OF)
+    return d.select("persona_id", F.col("doc_rank").cast("bigint").alias("doc_rank"),
+                    F.col("id").alias("doc_id"), "name", ts_text("modified_time").alias("modified_time"))
+
+
+@query("latest_doc")
+def q_latest_doc(spark, sf_dir):
+    d = dc.latest_doc(v_docs(spark, sf_dir), v_personas(spark, sf_dir))
+    return d.select("persona_id", F.col("id").alias("doc_id"), "name",
+                    ts_text("modified_time").alias("modified_time"))
+
+
+@query("doc_text")
+def q_doc_text(spark, sf_dir):
+    return dc.doc_text(nested_doc_bodies(v_docs(spark, sf_dir))).select(
+        F.col("id").alias("doc_id"), "text")
+
+
+@query("parse_doc_items")
+def q_parse_doc_items(spark, sf_dir):
+    t = dc.doc_text(nested_doc_bodies(v_docs(spark, sf_dir)))
+    return dc.parse_doc_items(t).select(F.col("id").alias("doc_id"), "item_no", "title", "resumo", "link")
+
+
+@query("hydrate_history")
+def q_hydrate_history(spark, sf_dir):
+    docs = v_docs(spark, sf_dir)
+    h = dc.hydrate_history(v_history(spark, sf_dir), v_personas(spark, sf_dir), docs,
+                           nested_doc_bodies(docs), AS_OF)
+    return h.select("persona_id", "entry_pos", "title", "resumo", "link", "normalized_link",
+                    ts_text("sent_at").alias("sent_at"), "doc_title")

@@ -171,3 +171,73 @@ def listings_from_pages(pages: DataFrame) -> DataFrame:
                     F.lit('</h2><a href="'), F.col("url"), F.lit('">ler</a>'), time_tag,
                     F.lit("</article>"), F.col("nav"), F.lit("</main></body></html>"))
     return nav.join(art, "page_id").select("page_id", "url", html.alias("html"))
+
+
+# --- document catalogue -------------------------------------------------------------
+DOC_PERSONAS = 50
+DOC_EVENT_STRIDE = 40
+DOC_LINK_FMT = "https://docs.example.com/document/d/{id}/edit"
+
+
+def clip_docs(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """v_clip_docs(id, name, modified_time, web_view_link, persona_nome, title,
+    url): one stored digest per page, named in the current form, the legacy
+    form, or an unrelated form that still carries the persona's name token;
+    modified when the event with the same id happened."""
+    art = articles_from_pages(pages).select(F.col("ord").alias("id"), "title", F.col("link").alias("url"))
+    # Events are in time order; stepping through them spreads the documents
+    # over the month the events cover.
+    ts = events.select((F.col("event_id") / DOC_EVENT_STRIDE).cast("bigint").alias("id"),
+                       F.col("ts").cast("timestamp").alias("modified_time")).where(
+        F.col("event_id") % DOC_EVENT_STRIDE == 0)
+    nome = F.concat(F.lit("Cliente "), (F.col("id") % DOC_PERSONAS + 100).cast("string"))
+    day = F.date_format("modified_time", "dd-MM-yyyy")
+    k = F.col("id") % 3
+    name = (F.when(k == 0, F.concat(day, F.lit(" | "), nome))
+            .when(k == 1, F.concat(F.lit("Clipping "), nome, F.lit(" - "),
+                                   F.date_format("modified_time", "dd/MM/yyyy")))
+            .otherwise(F.concat(F.lit("Relatorio "), nome)))
+    link = F.concat(F.lit(DOC_LINK_FMT.split("{id}")[0]), F.col("id").cast("string"),
+                    F.lit(DOC_LINK_FMT.split("{id}")[1]))
+    return art.join(ts, "id", "left").select("id", name.alias("name"), "modified_time",
+                                             link.alias("web_view_link"), nome.alias("persona_nome"),
+                                             "title", "url")
+
+
+def doc_lines(docs: DataFrame) -> DataFrame:
+    """(id, lines): the stored digest text of each document, one finished item
+    plus stray text, a header line, an unfinished item and an orphan line."""
+    lines = F.array(
+        F.concat(F.lit("CLIPPING DE NOTICIAS - "), F.date_format("modified_time", "dd-MM-yyyy")),
+        F.lit(""),
+        F.concat(F.lit("1. "), F.col("title")),
+        F.concat(F.lit("Resumo parte A de "), F.col("id").cast("string")),
+        F.lit("  Resumo parte B  "),
+        F.concat(F.lit("Link: "), F.col("url")),
+        F.lit(""),
+        F.lit("texto solto depois do link"),
+        F.concat(F.lit("2. Item sem link "), F.col("id").cast("string")),
+        F.lit("linha orfa"))
+    return docs.select("id", lines.alias("lines"))
+
+
+def nested_doc_bodies(docs: DataFrame) -> DataFrame:
+    """(id, content): each line becomes a paragraph of two text runs; a
+    section break (no paragraph) and an element without a text run sit
+    after the first line, as document bodies carry them."""
+    def runs(line):
+        full = F.concat(line, F.lit("\n"))
+        half = F.floor(F.char_length(full) / 2).cast("int")
+        first = F.substring(full, F.lit(1), half)
+        rest = F.substring(full, half + 1, F.char_length(full))
+        return F.array(F.struct(F.struct(first.alias("content")).alias("textRun")),
+                       F.struct(F.struct(rest.alias("content")).alias("textRun")))
+    para = lambda els: F.struct(F.struct(els.alias("elements")).alias("paragraph"))
+    null_run = F.array(F.struct(F.lit(None).cast("struct<content:string>").alias("textRun")))
+    empty_para = F.struct(F.lit(None).cast(
+        "struct<elements:array<struct<textRun:struct<content:string>>>>").alias("paragraph"))
+    d = doc_lines(docs)
+    blocks = F.transform("lines", lambda l: para(runs(l)))
+    content = F.concat(F.slice(blocks, 1, 1), F.array(empty_para, para(null_run)),
+                       F.slice(blocks, 2, 100))
+    return d.select("id", content.alias("content"))
