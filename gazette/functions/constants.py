@@ -103,3 +103,47 @@ HISTORY_BLOCK_INTRO = (
     "Considere como repetido o mesmo fato, movimento, anuncio ou materia, "
     "mesmo se o titulo atual estiver reescrito:")
 # --- end of fixed values ----------------------------------------------------
+
+# --- fixed values: request prompts (pieces in prompt order) -----------------
+PRESELECT_RULES = (
+    "Voce e um curador de noticias especializado. Analise os perfis abaixo e selecione artigos "
+    "relevantes apenas pelos titulos.\n\n"
+    "Regras:\n"
+    "- maximo de {max} artigos por cliente\n"
+    "- um mesmo artigo pode ser selecionado para multiplos clientes\n"
+    "- artigos \"sem data\" devem ser avaliados normalmente\n"
+    "- prefira artigos mais recentes quando houver empate\n"
+    "- seja criterioso e priorize os temas centrais de cada persona\n"
+    "- descarte assuntos perifericos, promocionais, taticos ou fora de contexto\n"
+    "- respeite rigidamente a lista \"Evitar\" de cada persona\n"
+    "- nunca repita itens listados no historico recente\n"
+    "- trate como repetida a mesma noticia mesmo com titulo diferente, se o link, a chamada, "
+    "o resumo ou o contexto indicarem o mesmo fato\n\n"
+    "Perfis:\n")
+PRESELECT_ARTICLES_HEAD = "\n\nArtigos:\n"
+PRESELECT_IDS_HEAD = "\n\nResponda apenas com JSON. As chaves devem ser os IDs exatos: "
+PRESELECT_FORMAT = '\n\n{\n  "selecao": {\n    "id_cliente": [0, 3, 7]\n  }\n}'
+FILTER_HEAD = (
+    "Voce e um curador de noticias. Abaixo esta o perfil de um cliente e uma lista de artigos.\n"
+    "Selecione apenas os artigos diretamente relevantes para este cliente.\n\n"
+    "Regras:\n"
+    "- priorize os temas centrais e de maior impacto para a pessoa ou negocio\n"
+    "- descarte assuntos perifericos, promocionais, taticos ou fora de contexto\n"
+    "- respeite rigidamente a lista \"Evitar\", quando existir\n\n"
+    "Perfil do cliente:\n")
+FILTER_LIST_HEAD = "\n\nLista de artigos:\n"
+FILTER_FOOT = ('\n\nResponda apenas com JSON no formato:\n{"selecionados": [0, 3, 5]}\n\n'
+               'Se nenhum for relevante, retorne {"selecionados": []}.')
+SUMMARY_HEAD = (
+    "Voce e um editor de noticias. Gere um JSON com:\n"
+    "- \"chamada\": titulo impactante com no maximo 15 palavras\n"
+    "- \"resumo\": resumo objetivo com 3 a 5 frases\n"
+    "- \"link\": URL original do artigo\n\n"
+    "Responda apenas com JSON, sem markdown.\n\n")
+PRESELECT_PARAMS = (0.2, 1024)
+FILTER_PARAMS = (0.2, 256)
+SUMMARY_PARAMS = (0.3, 320)
+PRESELECT_FALLBACK = '{"selecao":{}}'
+FILTER_FALLBACK = '{"selecionados":[]}'
+SUMMARY_FALLBACK = "{}"
+# --- end of fixed values ----------------------------------------------------

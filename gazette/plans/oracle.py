@@ -417,7 +417,8 @@ def _article_text(h: str) -> str:
 
 V_DIGEST = f"""v_kept AS (SELECT persona_id, slot, rank, ord FROM v_status WHERE status = 'kept'),
 v_text AS (
-  SELECT page_id AS ord, coalesce(nullif(t, ''), {S.q(K.ARTICLE_TEXT_FAILED)}) AS text FROM (
+  SELECT page_id AS ord, coalesce(nullif(t, ''), {S.q(K.ARTICLE_TEXT_FAILED)}) AS text,
+         coalesce(t, '') = '' AS text_failed FROM (
     SELECT page_id, {_article_text('html')} AS t FROM pages
     WHERE page_id IN (SELECT ord FROM v_kept))),
 v_sum AS (
@@ -639,8 +640,196 @@ FROM v_cand{K.LATEST_DOC_PAGE} WHERE {_doc_match('name', 'nome')} GROUP BY perso
         "SELECT id AS doc_id, item_no, title, resumo, link FROM v_items_doc")
 
 
+def _fences(x: str, fallback: str) -> str:
+    raw = f"coalesce({S.js_trim(x)}, {S.q(fallback)})"
+    raw = f"regexp_replace({raw}, {S.q(K.FENCE_OPEN)}, '')"
+    return f"regexp_replace({raw}, {S.q(K.FENCE_CLOSE)}, '')"
+
+
+def _pctx(name: str, with_history: bool) -> str:
+    hist = ("LEFT JOIN (SELECT persona_id, list(line ORDER BY line_no) AS hl FROM v_hctx "
+            "GROUP BY persona_id) h ON h.persona_id = p.id") if with_history else ""
+    hl = "coalesce(h.hl, CAST([] AS VARCHAR[]))" if with_history else "CAST([] AS VARCHAR[])"
+    return f"""{name} AS (
+  SELECT p.id, p.persona_idx, concat_ws(chr(10),
+    '### ' || coalesce(p.nome, '') || ' | id: "' || coalesce(p.id, '') || '"',
+    coalesce(p.descricao, ''),
+    {_block('Prioridades:', _clean('p.prioridades'))},
+    {_block('Evitar:', _clean('p.evitar'))},
+    {_block(K.HISTORY_BLOCK_INTRO, hl)}) AS context
+  FROM v_personas p {hist})"""
+
+
+NUMERIC_JSON = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
+
+V_FETCH = f"""v_fetch AS (
+  SELECT p.page_id AS ord, p.url AS site, kind,
+         CASE WHEN kind = 'article' THEN a.title END AS title,
+         CASE WHEN kind = 'article' THEN a.link END AS link,
+         CASE WHEN kind = 'article' THEN coalesce(nullif(t, ''), {S.q(K.ARTICLE_TEXT_FAILED_TOOL)}) END AS text,
+         CASE WHEN kind = 'empty' THEN CAST(0 AS BIGINT) END AS articles_found,
+         CASE WHEN kind = 'empty' THEN
+           CASE WHEN coalesce(a.title_ok, false) THEN '1 artigos fora do periodo'
+                ELSE {S.q(K.TOOL_REASON_ALL_TITLES)} END END AS reason,
+         CASE WHEN kind = 'error' THEN 'pagina incompleta' END AS error
+  FROM (SELECT page_id, url, html, {_article_text('html')} AS t,
+               NOT regexp_matches(coalesce(html, ''), '(?i)</html>\\s*$') AS failed FROM pages) p
+  LEFT JOIN v_annotated a ON a.ord = p.page_id,
+  LATERAL (SELECT CASE WHEN p.failed THEN 'error' WHEN a.title_ok AND a.date_ok THEN 'article'
+                       ELSE 'empty' END AS kind))"""
+
+V_SELJ = """v_selj AS (
+  SELECT l.persona_id, p.persona_idx,
+         string_agg(CAST(l.ord AS VARCHAR), ', ' ORDER BY l.rank) AS ords,
+         CAST(arg_min(l.ord, l.rank) AS VARCHAR) AS first
+  FROM v_lex l JOIN v_personas p ON p.id = l.persona_id GROUP BY l.persona_id, p.persona_idx)"""
+
+
+def _io_sql(out: dict[str, str]) -> None:
+    run = [V_ARTICLES, V_ANNOTATED, V_TOP, V_COLLECT, V_KEYS, greedy_scan("v_keys", "pos"),
+           V_TOPICS, V_PERSONAS, V_LEX, V_HIST_RAW, V_HIST, V_HCTX]
+    lim = max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)
+    head, tail = K.PRESELECT_RULES.split("{max}")
+    out["preselect_request"] = with_(*run, _pctx("v_pctx", True), recursive=True) + f"""
+SELECT 'preselect' AS request_id, 0 AS section_no, CAST(0 AS BIGINT) AS seq,
+       {S.q(head)} || CAST(least(count(*), {lim}) AS VARCHAR) || {S.q(tail)} AS text, '' AS joiner
+FROM v_unique
+UNION ALL SELECT 'preselect', 1, persona_idx, context, chr(10) || chr(10) FROM v_pctx
+UNION ALL SELECT 'preselect', 2, 0, {S.q(K.PRESELECT_ARTICLES_HEAD)}, ''
+UNION ALL SELECT 'preselect', 3, ord, '[' || CAST(ord AS VARCHAR) || '] ' || title || ' (' ||
+       coalesce(substr(nullif(date_str, ''), 1, 16), 'sem data') || ')', chr(10) FROM v_unique
+UNION ALL SELECT 'preselect', 4, 0, {S.q(K.PRESELECT_IDS_HEAD)}, ''
+UNION ALL SELECT 'preselect', 5, persona_idx, '"' || id || '"', ', ' FROM v_personas
+UNION ALL SELECT 'preselect', 6, 0, {S.q(K.PRESELECT_FORMAT)}, ''"""
+    fetch = [V_ARTICLES, V_ANNOTATED, V_FETCH]
+    out["fetch_report"] = with_(*fetch) + """
+SELECT ord, site, kind, title, link, CAST(length(text) AS BIGINT) AS text_chars, articles_found,
+       reason, error FROM v_fetch"""
+    out["filter_requests"] = with_(*fetch, V_TOPICS, V_PERSONAS, _pctx("v_pctx0", False)) + f""",
+v_usable AS (SELECT * FROM v_fetch WHERE error IS NULL AND coalesce(title, '') <> ''
+             AND coalesce(link, '') <> '')
+SELECT id AS request_id, 1 AS section_no, CAST(0 AS BIGINT) AS seq,
+       {S.q(K.FILTER_HEAD)} || context || {S.q(K.FILTER_LIST_HEAD)} AS text, '' AS joiner
+FROM v_pctx0 WHERE EXISTS (SELECT 1 FROM v_usable)
+UNION ALL SELECT '*', 2, ord, '[' || CAST(ord AS VARCHAR) || '] ' || title || ' - ' || link, chr(10)
+FROM v_usable
+UNION ALL SELECT id, 3, 0, {S.q(K.FILTER_FOOT)}, '' FROM v_pctx0 WHERE EXISTS (SELECT 1 FROM v_usable)"""
+    out["filter_requests"] = out["filter_requests"].replace("))\n,\nv_usable", ")),\nv_usable")
+    dig = run + [V_SUPPRESS, V_DIGEST]
+    t, m = K.SUMMARY_PARAMS
+    out["summary_requests"] = with_(*dig, recursive=True) + f"""
+SELECT u.ord, {S.q(K.SUMMARY_HEAD)} || 'Titulo: ' || u.title || chr(10) || 'URL: ' || u.link ||
+       chr(10) || 'Texto:' || chr(10) || substr(coalesce(x.text, ''), 1, {K.SUMMARY_TEXT_LIMIT}) AS prompt,
+       CAST({t} AS DOUBLE) AS temperature, CAST({m} AS INTEGER) AS max_tokens
+FROM v_unique u JOIN v_text x USING (ord)"""
+    sel_shapes = f"""v_scomp AS (
+  SELECT persona_id AS request_id, CASE persona_idx % 7
+    WHEN 0 THEN '{{"selecao": {{"' || persona_id || '": [' || ords || ']}}}}'
+    WHEN 1 THEN '```json' || chr(10) || '{{"selecao": {{"' || persona_id || '": [' || ords || ']}}}}' || chr(10) || '```'
+    WHEN 2 THEN '{{"selecao": {{"' || persona_id || '": [' || ords
+    WHEN 3 THEN '{{"selecao": {{"' || persona_id || '": ["' || first || '", ' || ords || ']}}}}'
+    WHEN 4 THEN '{{"selecao": {{"' || persona_id || '": [' || first || '.0, 2.5, ' || ords || ']}}}}'
+    WHEN 5 THEN '{{"selecao": {{"' || persona_id || '": [-1, 999999999, ' || ords || ']}}}}'
+    ELSE '{{"selecao": {{"' || persona_id || '": "nenhum"}}}}' END AS content
+  FROM v_selj),
+v_sraw AS (
+  SELECT request_id, r AS raw, json_valid(r) AS ok FROM (
+    SELECT request_id, {_fences('content', K.PRESELECT_FALLBACK)} AS r FROM v_scomp)),
+v_sval AS (
+  SELECT request_id, ok, CASE WHEN ok THEN json_extract(raw, '$.selecao."' || request_id || '"') END AS val
+  FROM v_sraw),
+v_sgood AS (
+  SELECT * FROM v_sval WHERE ok AND (val IS NULL OR json_type(val) IN ('NULL', 'ARRAY'))),
+v_selem AS (
+  SELECT request_id AS persona_id, i, e FROM (
+    SELECT request_id, unnest(json_extract(val, '$[*]')) AS e,
+           unnest(generate_series(0, CAST(json_array_length(val) AS BIGINT) - 1)) AS i
+    FROM v_sgood WHERE json_type(val) = 'ARRAY' AND json_array_length(val) > 0)),
+v_snum AS (
+  SELECT persona_id, i, TRY_CAST(CAST(e AS VARCHAR) AS DOUBLE) AS x FROM v_selem
+  WHERE json_type(e) IN {NUMERIC_JSON})"""
+    out["parse_selection"] = with_(*run, V_SELJ, sel_shapes, recursive=True) + f"""
+SELECT persona_id, rank, ord FROM (
+  SELECT n.persona_id, u.ord, row_number() OVER (PARTITION BY n.persona_id ORDER BY n.i) AS rank
+  FROM v_snum n JOIN v_unique u ON CAST(u.ord AS DOUBLE) = n.x
+  WHERE n.x = floor(n.x) AND n.x >= 0)
+WHERE rank <= {lim}"""
+    filt_shapes = f"""v_fcomp AS (
+  SELECT persona_id AS request_id, CASE persona_idx % 5
+    WHEN 0 THEN '{{"selecionados": [' || ords || ']}}'
+    WHEN 1 THEN '```' || chr(10) || '{{"selecionados": [' || ords || ']}}' || chr(10) || '```'
+    WHEN 2 THEN '{{"selecionados": [1, 2'
+    WHEN 3 THEN '{{"selecionados": [' || first || ', ' || first || ', "' || first || '"]}}'
+    ELSE '{{"selecionados": [99999999, ' || ords || ']}}' END AS content
+  FROM v_selj),
+v_fraw AS (
+  SELECT request_id, r AS raw, json_valid(r) AS ok FROM (
+    SELECT request_id, {_fences('content', K.FILTER_FALLBACK)} AS r FROM v_fcomp)),
+v_farr AS (
+  SELECT request_id, json_extract(raw, '$.selecionados') AS arr FROM v_fraw WHERE ok),
+v_felem AS (
+  SELECT request_id AS persona_id, unnest(json_extract(arr, '$[*]')) AS e,
+         unnest(generate_series(0, CAST(json_array_length(arr) AS BIGINT) - 1)) AS pos
+  FROM v_farr WHERE json_type(arr) = 'ARRAY' AND json_array_length(arr) > 0),
+v_fkey AS (
+  SELECT persona_id, pos,
+         CASE WHEN json_type(e) IN {NUMERIC_JSON}
+                   AND TRY_CAST(CAST(e AS VARCHAR) AS DOUBLE) = floor(TRY_CAST(CAST(e AS VARCHAR) AS DOUBLE))
+                THEN CAST(TRY_CAST(CAST(e AS VARCHAR) AS DOUBLE) AS BIGINT)
+              WHEN json_type(e) = 'VARCHAR' AND regexp_matches(json_extract_string(e, '$'), '^(0|[1-9][0-9]{{0,17}})$')
+                THEN CAST(json_extract_string(e, '$') AS BIGINT) END AS ord
+  FROM v_felem)"""
+    out["parse_filter"] = with_(*run, V_SELJ, V_FETCH, filt_shapes, recursive=True) + """
+SELECT k.persona_id, CAST(k.pos AS BIGINT) AS pos, k.ord FROM v_fkey k
+JOIN (SELECT ord FROM v_fetch WHERE error IS NULL AND coalesce(title, '') <> ''
+      AND coalesce(link, '') <> '') r USING (ord)"""
+    sum_shapes = f"""v_mcomp AS (
+  SELECT s.ord, CASE s.ord % 5
+    WHEN 0 THEN CAST(to_json({{'chamada': s.chamada, 'resumo': s.resumo, 'link': s.link}}) AS VARCHAR)
+    WHEN 1 THEN '```json' || chr(10) || CAST(to_json({{'chamada': s.chamada, 'resumo': s.resumo, 'link': s.link}}) AS VARCHAR) || chr(10) || '```'
+    WHEN 2 THEN 'Resumo indisponivel para ' || u.title
+    WHEN 3 THEN CAST(to_json({{'chamada': s.chamada, 'resumo': s.resumo}}) AS VARCHAR)
+    ELSE CAST(to_json({{'chamada': s.chamada, 'resumo': s.resumo, 'link': s.link || '#resumo'}}) AS VARCHAR) END AS content
+  FROM v_sum s JOIN v_unique u USING (ord)),
+v_mraw AS (
+  SELECT ord, r AS raw, json_valid(r) AS ok FROM (
+    SELECT ord, {_fences('CAST(content AS VARCHAR)', K.SUMMARY_FALLBACK)} AS r FROM v_mcomp))"""
+    out["parse_summaries"] = with_(*dig, sum_shapes, recursive=True) + """
+SELECT m.ord,
+       CASE WHEN ok THEN coalesce(json_extract_string(raw, '$.chamada'), u.title) ELSE u.title END AS chamada,
+       CASE WHEN ok THEN coalesce(json_extract_string(raw, '$.resumo'), '') ELSE raw END AS resumo,
+       CASE WHEN ok AND json_exists(raw, '$.link') THEN json_extract_string(raw, '$.link')
+            ELSE u.link END AS link
+FROM v_mraw m JOIN v_unique u USING (ord)"""
+    out["warning_digest"] = with_(*dig, recursive=True) + f""",
+v_warn AS (
+  SELECT 1 AS label_no, 'Portais com falha' AS label, page_id AS seq,
+         {S.site_label('url')} || ': pagina incompleta' AS text
+  FROM pages WHERE NOT regexp_matches(coalesce(html, ''), '(?i)</html>\\s*$')
+  UNION ALL
+  SELECT 2, 'Artigos sem extracao completa', x.ord, u.title
+  FROM v_text x JOIN v_unique u USING (ord) WHERE x.text_failed),
+v_wn AS (SELECT label_no, label, count(*) AS n FROM v_warn GROUP BY label_no, label)
+SELECT label_no, CAST(0 AS BIGINT) AS line_no, '       ' || label || ': ' || CAST(n AS VARCHAR) AS line
+FROM v_wn
+UNION ALL
+SELECT label_no, line_no, '         - ' || text FROM (
+  SELECT label_no, text, row_number() OVER (PARTITION BY label_no ORDER BY seq) AS line_no FROM v_warn)
+WHERE line_no <= {K.WARNING_SHOWN}
+UNION ALL
+SELECT label_no, CAST({K.WARNING_SHOWN + 1} AS BIGINT), '         - ... e mais ' || CAST(n - {K.WARNING_SHOWN} AS VARCHAR)
+FROM v_wn WHERE n > {K.WARNING_SHOWN}"""
+    out["warning_digest"] = out["warning_digest"].replace("chr(10) AS link_text\n  FROM v_items)\n,\nv_warn", "chr(10) AS link_text\n  FROM v_items),\nv_warn")
+    out["run_counters"] = with_(*dig, recursive=True) + """
+SELECT (SELECT count(*) FROM v_unique) AS titles_collected,
+       (SELECT count(DISTINCT ord) FROM v_kept) AS selected_unique,
+       (SELECT count(DISTINCT persona_id) FROM v_kept) AS docs_created,
+       (SELECT count(DISTINCT ord) FROM v_kept) AS summaries"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
+    _io_sql(out)
     _more_sql(out)
     _digest_sql(out)
     _extract_sql(out)

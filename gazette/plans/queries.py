@@ -380,3 +380,89 @@ def q_hydrate_history(spark, sf_dir):
                            nested_doc_bodies(docs), AS_OF)
     return h.select("persona_id", "entry_pos", "title", "resumo", "link", "normalized_link",
                     ts_text("sent_at").alias("sent_at"), "doc_title")
+
+
+# --- requests, responses and reports -------------------------------------------
+from gazette.operators import report as rp  # noqa: E402
+from gazette.operators import requests as rq  # noqa: E402
+from gazette.operators.select import preselection_limit  # noqa: E402
+from gazette.sources.derived import (filter_completions, selection_completions,  # noqa: E402
+                                     summary_completions)
+
+
+@query("preselect_request")
+def q_preselect_request(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    p = v_personas(spark, sf_dir)
+    ctx = pers.persona_context(p, hist.history_context(v_history(spark, sf_dir)))
+    return rq.preselect_request(a, ctx, p, preselection_limit())
+
+
+def tool_rows(spark, sf_dir) -> DataFrame:
+    return rp.fetch_report(read_table(spark, sf_dir, "pages"), v_articles(spark, sf_dir), AS_OF)
+
+
+@query("fetch_report")
+def q_fetch_report(spark, sf_dir):
+    r = tool_rows(spark, sf_dir)
+    return r.select("ord", "site", "kind", "title", "link",
+                    F.char_length("text").cast("bigint").alias("text_chars"), "articles_found",
+                    "reason", "error")
+
+
+@query("filter_requests")
+def q_filter_requests(spark, sf_dir):
+    ctx = pers.persona_context(v_personas(spark, sf_dir))
+    return rq.filter_requests(tool_rows(spark, sf_dir), ctx)
+
+
+@query("summary_requests")
+def q_summary_requests(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    texts = selected_texts(spark, sf_dir, kept)
+    return rq.summary_requests(a.join(texts, "ord").select("ord", "title", "link", "text"))
+
+
+@query("parse_selection")
+def q_parse_selection(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    p = v_personas(spark, sf_dir)
+    comp = selection_completions(lexical(spark, sf_dir, a), p)
+    req = comp.select("request_id", F.col("request_id").alias("persona_id"))
+    return rq.parse_selection(comp, req, a, preselection_limit())
+
+
+@query("parse_filter")
+def q_parse_filter(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    comp = filter_completions(lexical(spark, sf_dir, a), v_personas(spark, sf_dir))
+    return rq.parse_filter(comp, rq.usable_rows(tool_rows(spark, sf_dir)))
+
+
+@query("parse_summaries")
+def q_parse_summaries(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    s = summaries(spark, sf_dir, a, kept)
+    return rq.parse_summaries(summary_completions(s, a), a)
+
+
+@query("warning_digest")
+def q_warning_digest(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    texts = selected_texts(spark, sf_dir, kept)
+    return rp.warning_digest(rp.run_warnings(read_table(spark, sf_dir, "pages"), texts, a))
+
+
+@query("run_counters")
+def q_run_counters(spark, sf_dir):
+    a = unique_articles(spark, sf_dir)
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    selected = kept.select(F.countDistinct("ord").cast("bigint")).scalar()
+    return spark.range(1).select(
+        a.select(F.count("*").cast("bigint")).scalar().alias("titles_collected"),
+        selected.alias("selected_unique"),
+        kept.select(F.countDistinct("persona_id").cast("bigint")).scalar().alias("docs_created"),
+        selected.alias("summaries"))

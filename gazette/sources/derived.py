@@ -241,3 +241,62 @@ def nested_doc_bodies(docs: DataFrame) -> DataFrame:
     content = F.concat(F.slice(blocks, 1, 1), F.array(empty_para, para(null_run)),
                        F.slice(blocks, 2, 100))
     return d.select("id", content.alias("content"))
+
+
+# --- model completions ------------------------------------------------------------
+def _ords_json(sel: DataFrame) -> DataFrame:
+    """(persona_id, persona_idx, ords): a persona's picks as JSON array text."""
+    return sel.groupBy("persona_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "ord"))),
+                                 lambda s: s["ord"].cast("string")), ", ").alias("ords"),
+        F.min_by("ord", "rank").cast("string").alias("first"))
+
+
+def selection_completions(selection: DataFrame, personas: DataFrame) -> DataFrame:
+    """(request_id, content): one preselection answer per persona, built from
+    the lexical picks, in seven shapes: plain, fenced, cut short, a string
+    index, float indexes, out-of-range indexes, a non-array value."""
+    j = _ords_json(selection).join(personas.select(F.col("id").alias("persona_id"), "persona_idx"),
+                                   "persona_id")
+    key = F.concat(F.lit('{"selecao": {"'), F.col("persona_id"), F.lit('": ['))
+    plain = F.concat(key, F.col("ords"), F.lit("]}}"))
+    k = F.col("persona_idx") % 7
+    content = (F.when(k == 0, plain)
+               .when(k == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
+               .when(k == 2, F.concat(key, F.col("ords")))
+               .when(k == 3, F.concat(key, F.lit('"'), F.col("first"), F.lit('", '), F.col("ords"), F.lit("]}}")))
+               .when(k == 4, F.concat(key, F.col("first"), F.lit(".0, 2.5, "), F.col("ords"), F.lit("]}}")))
+               .when(k == 5, F.concat(key, F.lit("-1, 999999999, "), F.col("ords"), F.lit("]}}")))
+               .otherwise(F.concat(F.lit('{"selecao": {"'), F.col("persona_id"), F.lit('": "nenhum"}}'))))
+    return j.select(F.col("persona_id").alias("request_id"), content.alias("content"))
+
+
+def filter_completions(selection: DataFrame, personas: DataFrame) -> DataFrame:
+    """(request_id, content): per persona filter answers in five shapes:
+    plain, fenced, malformed, duplicates plus a numeric string, a miss."""
+    j = _ords_json(selection).join(personas.select(F.col("id").alias("persona_id"), "persona_idx"),
+                                   "persona_id")
+    plain = F.concat(F.lit('{"selecionados": ['), F.col("ords"), F.lit("]}"))
+    k = F.col("persona_idx") % 5
+    content = (F.when(k == 0, plain)
+               .when(k == 1, F.concat(F.lit("```\n"), plain, F.lit("\n```")))
+               .when(k == 2, F.lit('{"selecionados": [1, 2'))
+               .when(k == 3, F.concat(F.lit('{"selecionados": ['), F.col("first"), F.lit(", "),
+                                      F.col("first"), F.lit(', "'), F.col("first"), F.lit('"]}')))
+               .otherwise(F.concat(F.lit('{"selecionados": [99999999, '), F.col("ords"), F.lit("]}"))))
+    return j.select(F.col("persona_id").alias("request_id"), content.alias("content"))
+
+
+def summary_completions(summaries: DataFrame, articles: DataFrame) -> DataFrame:
+    """(request_id, content): per article summary answers in five shapes:
+    JSON, fenced JSON, plain text, JSON without link, JSON with another link."""
+    j = summaries.join(articles.select("ord", "title"), "ord")
+    full = F.to_json(F.struct("chamada", "resumo", "link"))
+    k = F.col("ord") % 5
+    content = (F.when(k == 0, full)
+               .when(k == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
+               .when(k == 2, F.concat(F.lit("Resumo indisponivel para "), F.col("title")))
+               .when(k == 3, F.to_json(F.struct("chamada", "resumo")))
+               .otherwise(F.to_json(F.struct("chamada", "resumo", F.concat(F.col("link"), F.lit("#resumo"))
+                                             .alias("link")))))
+    return j.select(F.col("ord").cast("string").alias("request_id"), content.alias("content"))
