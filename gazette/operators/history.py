@@ -226,3 +226,29 @@ def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, do
     if as_of is not None:
         out = out.filter(is_within_days("sent_at", as_of, lookback_days))
     return out
+
+
+def save_history(history: DataFrame, base_dir: str) -> str:
+    """K1: write the history snapshot as a new partitioned Parquet version
+    (never over a path that is being read) and return its path."""
+    import uuid
+    path = f"{base_dir.rstrip('/')}/history/v={uuid.uuid4().hex}"
+    history.select(*HISTORY_COLS).write.mode("errorifexists").partitionBy("persona_id").parquet(path)
+    return path
+
+
+def load_saved_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*HISTORY_COLS)
+
+
+def history_json_lines(history: DataFrame) -> DataFrame:
+    """The stored-file entry shape, one JSON document per persona and entry
+    (``persona_id``, ``entry``), so export never funnels through one task."""
+    entry = F.struct(
+        "title", "chamada", "resumo", "link", F.col("normalized_link").alias("normalizedLink"),
+        F.col("title_key").alias("titleKey"), F.col("title_keys").alias("titleKeys"),
+        F.col("source_title_key").alias("sourceTitleKey"),
+        F.col("source_title_keys").alias("sourceTitleKeys"), "source",
+        F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("sentAt"),
+        F.col("doc_title").alias("docTitle"), F.col("doc_link").alias("docLink"))
+    return history.select("persona_id", "entry_pos", F.to_json(entry).alias("entry"))

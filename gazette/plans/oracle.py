@@ -827,6 +827,18 @@ SELECT (SELECT count(*) FROM v_unique) AS titles_collected,
        (SELECT count(DISTINCT ord) FROM v_kept) AS summaries"""
 
 
+def _tail_sql(out: dict[str, str]) -> None:
+    out["history_roundtrip"] = out["history_load"]
+    out["import_totals"] = with_(V_ARTICLES, V_TOPICS, V_PERSONAS, V_DOCS, _cands(K.CATALOGUE_PAGE),
+                                 V_HIST_RAW, V_HIST, V_DTEXT, V_DITEMS) + f"""
+SELECT CAST(count(DISTINCT persona_id) AS BIGINT) AS personas, CAST(count(*) AS BIGINT) AS documents,
+       CAST(coalesce(sum(n), 0) AS BIGINT) AS articles
+FROM v_cand{K.CATALOGUE_PAGE} c
+JOIN (SELECT id, count(*) AS n FROM v_items_doc GROUP BY id) i USING (id)
+WHERE c.persona_id NOT IN (SELECT DISTINCT persona_id FROM v_hist)
+  AND {_doc_match('c.name', 'c.nome')} AND {S.within_days('c.modified_time', AS, K.LOOKBACK_DAYS)}"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     _io_sql(out)
@@ -834,4 +846,5 @@ def oracle_sql() -> dict[str, str]:
     _digest_sql(out)
     _extract_sql(out)
     _docs_sql(out)
+    _tail_sql(out)
     return out

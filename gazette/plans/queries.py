@@ -466,3 +466,43 @@ def q_run_counters(spark, sf_dir):
         selected.alias("selected_unique"),
         kept.select(F.countDistinct("persona_id").cast("bigint")).scalar().alias("docs_created"),
         selected.alias("summaries"))
+
+
+# --- sinks, streaming and import totals -------------------------------------------
+from gazette.streaming import incremental as inc  # noqa: E402
+
+
+@query("history_roundtrip")
+def q_history_roundtrip(spark, sf_dir):
+    path = hist.save_history(v_history(spark, sf_dir), inc.scratch_dir(spark, "history-save"))
+    h = hist.load_saved_history(spark, path)
+    return h.select("persona_id", "entry_pos", "title", "chamada", "resumo", "link",
+                    "normalized_link", "title_key", F.array_join("title_keys", "|").alias("title_keys"),
+                    F.array_join("source_title_keys", "|").alias("source_title_keys"),
+                    ts_text("sent_at").alias("sent_at"))
+
+
+@query("stream_suppress")
+def q_stream_suppress(spark, sf_dir):
+    work = inc.scratch_dir(spark, "stream")
+    src = inc.stage_pages(read_table(spark, sf_dir, "pages"), f"{work}/source")
+    final = inc.run_incremental(spark, src, work, v_personas(spark, sf_dir), AS_OF,
+                                initial_history=v_history(spark, sf_dir))
+    return final.select("persona_id", "entry_pos", "title", "normalized_link",
+                        ts_text("sent_at").alias("sent_at"))
+
+
+@query("import_totals")
+def q_import_totals(spark, sf_dir):
+    docs = v_docs(spark, sf_dir)
+    h = v_history(spark, sf_dir)
+    fresh = v_personas(spark, sf_dir).join(h.select(F.col("persona_id").alias("id")).distinct(),
+                                           "id", "left_anti")
+    mine = dc.docs_for_persona(dc.candidate_docs(docs, fresh), AS_OF)
+    its = dc.parse_doc_items(dc.doc_text(nested_doc_bodies(docs).join(
+        mine.select("id").distinct(), "id", "left_semi")))
+    per_doc = its.groupBy("id").agg(F.count("*").alias("n"))
+    used = mine.join(per_doc, "id")
+    return used.agg(F.countDistinct("persona_id").cast("bigint").alias("personas"),
+                    F.count("*").cast("bigint").alias("documents"),
+                    F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("articles"))
