@@ -38,7 +38,9 @@ def inner_text(fragment) -> Column:
 def article_text(html) -> Column:
     """First selector whose first match has > 200 chars of text, else the
     body text cut to 3000 chars (the reference's fallback length)."""
-    h = col_(html)
+    # Script and style bodies are not part of the document tree: drop them
+    # before looking for the first container.
+    h = F.regexp_replace(F.regexp_replace(col_(html), SCRIPT, " "), STYLE, " ")
     picks = []
     for pattern in TEXT_SELECTORS:
         t = inner_text(F.regexp_extract(h, pattern, 1))

@@ -406,6 +406,7 @@ def _inner_text(x: str) -> str:
 
 
 def _article_text(h: str) -> str:
+    h = f"regexp_replace(regexp_replace({h}, {S.q(EX.SCRIPT)}, ' ', 'g'), {S.q(EX.STYLE)}, ' ', 'g')"
     picks = []
     for pattern in EX.TEXT_SELECTORS:
         t = _inner_text(f"regexp_extract({h}, {S.q(pattern)}, 1)")
