@@ -828,7 +828,23 @@ SELECT (SELECT count(*) FROM v_unique) AS titles_collected,
        (SELECT count(DISTINCT ord) FROM v_kept) AS summaries"""
 
 
+V_DOC_ARTS = f"""v_doc_arts AS (
+  SELECT doc_id AS ord, source AS site, {S.js_trim("split_part(text, chr(10), 1)")} AS title,
+         'https://www.' || source || '.example.com/' || md5(text) || '/?utm_source=x' AS link
+  FROM documents),
+v_doc_keys AS (
+  SELECT *, list_filter([normalized_link] ||
+                        CASE WHEN title_key <> '' THEN [id_host || '::' || title_key]
+                             ELSE []::VARCHAR[] END, lambda k: k <> '') AS keys
+  FROM (SELECT *, {S.identity_host('link', 'normalized_link')} AS id_host,
+               {S.normalize_title('title')} AS title_key
+        FROM (SELECT *, {S.normalize_link('link')} AS normalized_link FROM v_doc_arts)))"""
+
+
 def _tail_sql(out: dict[str, str]) -> None:
+    out["dedupe_documents"] = with_(V_DOC_ARTS, greedy_scan("v_doc_keys", "ord", "v_ddoc"),
+                                    recursive=True) + (
+        "SELECT ord, site, title, normalized_link, kept FROM v_ddoc")
     out["history_roundtrip"] = out["history_load"]
     out["import_totals"] = with_(V_ARTICLES, V_TOPICS, V_PERSONAS, V_DOCS, _cands(K.CATALOGUE_PAGE),
                                  V_HIST_RAW, V_HIST, V_DTEXT, V_DITEMS) + f"""

@@ -506,3 +506,12 @@ def q_import_totals(spark, sf_dir):
     return used.agg(F.countDistinct("persona_id").cast("bigint").alias("personas"),
                     F.count("*").cast("bigint").alias("documents"),
                     F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("articles"))
+
+
+@query("dedupe_documents")
+def q_dedupe_documents(spark, sf_dir):
+    from gazette.sources.derived import articles_from_documents
+    d = with_identity(articles_from_documents(read_table(spark, sf_dir, "documents")))
+    d = d.withColumn("keys", dedupe_keys("normalized_link", "source_title_keys"))
+    out = greedy_dedupe(d, "ord", "keys")
+    return out.select("ord", "site", "title", "normalized_link", "kept")

@@ -300,3 +300,15 @@ def summary_completions(summaries: DataFrame, articles: DataFrame) -> DataFrame:
                .otherwise(F.to_json(F.struct("chamada", "resumo", F.concat(F.col("link"), F.lit("#resumo"))
                                              .alias("link")))))
     return j.select(F.col("ord").cast("string").alias("request_id"), content.alias("content"))
+
+
+def articles_from_documents(documents: DataFrame) -> DataFrame:
+    """v_doc_articles(ord, site, title, link): one candidate per document -
+    title = its first line, link = a tracking-tagged URL keyed by the text's
+    digest, so exact copies inside one source collide on both keys."""
+    from gazette.functions.text import js_trim as trim_js
+    link = F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.com/"), F.md5("text"),
+                    F.lit("/?utm_source=x"))
+    return documents.select(F.col("doc_id").alias("ord"), F.col("source").alias("site"),
+                            trim_js(F.substring_index("text", "\n", 1)).alias("title"),
+                            link.alias("link"))
