@@ -579,14 +579,13 @@ def _cands(page: int) -> str:
   WHERE cand_rank <= {page})"""
 
 
-V_DTEXT = f"""v_dtext AS (
-  SELECT id, strftime(modified_time, '%d-%m-%Y') AS day,
-         'CLIPPING DE NOTICIAS - ' || strftime(modified_time, '%d-%m-%Y') || chr(10) || chr(10) ||
-         '1. ' || title || chr(10) || 'Resumo parte A de ' || CAST(id AS VARCHAR) || chr(10) ||
-         '  Resumo parte B  ' || chr(10) || 'Link: ' || url || chr(10) || chr(10) ||
-         'texto solto depois do link' || chr(10) || '2. Item sem link ' || CAST(id AS VARCHAR) ||
-         chr(10) || 'linha orfa' || chr(10) AS text
-  FROM v_docs)"""
+_DOC_LINES = [
+    "'CLIPPING DE NOTICIAS - ' || strftime(modified_time, '%d-%m-%Y')", "''", "'1. ' || title",
+    "'Resumo parte A de ' || CAST(id AS VARCHAR)", "'  Resumo parte B  '", "'Link: ' || url", "''",
+    "'texto solto depois do link'", "'2. Item sem link ' || CAST(id AS VARCHAR)", "'linha orfa'"]
+# A line that is null (no modification time) contributes no text runs.
+V_DTEXT = ("v_dtext AS (\n  SELECT id, concat_ws('', "
+           + ", ".join(f"({x}) || chr(10)" for x in _DOC_LINES) + ") AS text\n  FROM v_docs)")
 
 V_DITEMS = f"""v_dl0 AS (
   SELECT id, unnest(string_split_regex(coalesce(text, ''), '\\r?\\n')) AS raw,
