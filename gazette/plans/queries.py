@@ -241,11 +241,17 @@ def sent_rows(spark, sf_dir, articles=None) -> DataFrame:
 
 @query("record_sent")
 def q_record_sent(spark, sf_dir):
+    """U1 after a run: each persona's digest items are recorded with the
+    summary's headline, text and (possibly model-returned) link."""
     a = unique_articles(spark, sf_dir)
-    out = hist.record_sent(v_history(spark, sf_dir), sent_rows(spark, sf_dir, a),
-                           sent_at=AS_OF, doc_title=None, doc_link=None, as_of=AS_OF)
-    return out.select("persona_id", "entry_pos", "title", "link", "normalized_link", "title_key",
-                      ts_text("sent_at").alias("sent_at"))
+    kept = cut_lineage(kept_selection(spark, sf_dir, a))
+    it = rd.digest_items(kept, a, summaries(spark, sf_dir, a, kept))
+    sent = it.join(a.select("ord", "title", "site"), "ord").select(
+        "persona_id", F.col("item_no").alias("seq"), "title", "chamada", "resumo", "link", "site")
+    out = hist.record_sent(v_history(spark, sf_dir), sent, sent_at=AS_OF, doc_title=None,
+                           doc_link=None, as_of=AS_OF)
+    return out.select("persona_id", "entry_pos", "title", "chamada", "link", "normalized_link",
+                      "title_key", ts_text("sent_at").alias("sent_at"))
 
 
 # --- extraction and digest ----------------------------------------------------
