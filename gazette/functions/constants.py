@@ -24,6 +24,7 @@ MIN_ANCHOR_TITLE_LENGTH = 20
 DAY_FIRST_DATE = r"(\d{1,2})/(\d{1,2})/(\d{2,4})"
 RELATIVE_DATE = r"ha\s+(?:cerca de\s+)?(\d+)\s+(minuto|minutos|hora|horas|dia|dias|semana|semanas)"
 YESTERDAY_WORD = "ontem"
+MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # Anchor-rule portal: link prefix, blocked path prefixes, blocked first parts.
 ANCHOR_SITE_PREFIX = "https://exame.com/"

@@ -9,12 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.constants import DAY_FIRST_DATE, RELATIVE_DATE, YESTERDAY_WORD
+from gazette.functions.constants import (DAY_FIRST_DATE, MONTH_ABBREVIATIONS, RELATIVE_DATE,
+                                         YESTERDAY_WORD)
 from gazette.functions.text import col_, js_trim, normalize_search_text
 
 ISO_DATE = (r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
             r"(?:Z|[+-]\d{2}:?\d{2})?)?$")
 BARE_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+# English month-name dates a browser's date parser also reads, with an
+# optional weekday and time and a UTC marker: "Mon, 06 May 2026 12:00:00 GMT",
+# "May 6, 2026 10:30", "6 May 2026". Groups: day-first day, day-first month,
+# month-first month, month-first day, year, hour, minute, second.
+ENGLISH_DATE = (r"^(?:[A-Za-z]+,?\s+)?(?:(\d{1,2})\s+([A-Za-z]{3,9})\.?|([A-Za-z]{3,9})\.?\s+(\d{1,2}),?)"
+                r"\s+(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?(?:\s*(?:GMT|UTC|Z))?$")
 # JavaScript's \b is ASCII-only; spell it out so Java's Unicode-aware \b does not differ.
 RELATIVE_FULL = r"(?<![A-Za-z0-9_])" + RELATIVE_DATE + r"(?![A-Za-z0-9_])"
 UNIT_SECONDS = {"minuto": 60, "hora": 3600, "dia": 86400, "semana": 7 * 86400}
@@ -69,6 +76,7 @@ def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_orde
         F.regexp_extract(bare, BARE_MONTH_FIRST, 2)))
     if slash_order == "dmy":
         mdy = F.lit(None).cast("timestamp")
+    english = _english(bare)
     y = F.regexp_extract(v, DAY_FIRST_DATE, 3)
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).when(F.length(y) == 4, y)
     dmy = F.when(v.rlike(DAY_FIRST_DATE), _ymd(year, F.regexp_extract(v, DAY_FIRST_DATE, 2),
@@ -83,10 +91,26 @@ def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_orde
         .otherwise(F.timestamp_seconds(F.unix_seconds(now) - offset)))
     yesterday = F.when(nv.contains(YESTERDAY_WORD),
                        F.timestamp_seconds(F.unix_seconds(now) - 86400))
-    parsed = F.coalesce(iso, mdy, dmy, relative, yesterday)
+    parsed = F.coalesce(iso, mdy, english, dmy, relative, yesterday)
     return F.when(v.isNull() | (v == ""), F.lit(None).cast("timestamp")).otherwise(parsed)
 
 
+def _english(bare: Column) -> Column:
+    g = lambda i: F.regexp_extract(bare, ENGLISH_DATE, i)
+    word = F.when(g(2) != "", g(2)).otherwise(g(3))
+    day = F.when(g(1) != "", g(1)).otherwise(g(4))
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]),
+                             F.lower(F.substring(word, 1, 3)))
+    hh = F.when(g(6) != "", g(6)).otherwise(F.lit("0"))
+    mm = F.when(g(7) != "", g(7)).otherwise(F.lit("0"))
+    ss = F.when(g(8) != "", g(8)).otherwise(F.lit("0"))
+    text = F.concat(g(5), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
+                    F.lpad(day, 2, "0"), F.lit(" "), F.lpad(hh, 2, "0"), F.lit(":"),
+                    F.lpad(mm, 2, "0"), F.lit(":"), F.lpad(ss, 2, "0"))
+    return F.when(bare.rlike(ENGLISH_DATE) & (month > 0),
+                  F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
 def is_within_days(ts, as_of, days: int) -> Column:
     """Unknown date -> keep; else not older than ``days`` before ``as_of``."""
     t = col_(ts)

@@ -8,7 +8,7 @@ decode/encode query parameters (the test links use only safe characters).
 from __future__ import annotations
 
 from gazette.functions import constants as K
-from gazette.functions.dates import ISO_DATE, BARE_MONTH_FIRST
+from gazette.functions.dates import BARE_MONTH_FIRST, ENGLISH_DATE, ISO_DATE
 from gazette.functions.links import DEFAULT_PORTS, HOST_PATTERN, URL_PATTERN
 
 WS = K.RE2_SPACE
@@ -122,6 +122,16 @@ def parse_date(v: str, as_of: str) -> str:
     mdy = (f"CASE WHEN regexp_matches({b}, {BM}) THEN try_strptime(regexp_extract({b}, {BM}, 3) "
            f"|| '-' || lpad(regexp_extract({b}, {BM}, 1), 2, '0') || '-' || "
            f"lpad(regexp_extract({b}, {BM}, 2), 2, '0'), '%Y-%m-%d') END")
+    E = q(ENGLISH_DATE)
+    g = lambda i: f"regexp_extract({b}, {E}, {i})"
+    word = f"(CASE WHEN {g(2)} <> '' THEN {g(2)} ELSE {g(3)} END)"
+    day = f"(CASE WHEN {g(1)} <> '' THEN {g(1)} ELSE {g(4)} END)"
+    months = ", ".join(q(m) for m in K.MONTH_ABBREVIATIONS)
+    month = f"list_position([{months}], lower(substr({word}, 1, 3)))"
+    part = lambda i: f"lpad(CASE WHEN {g(i)} <> '' THEN {g(i)} ELSE '0' END, 2, '0')"
+    english = (f"CASE WHEN regexp_matches({b}, {E}) AND coalesce({month}, 0) > 0 THEN try_strptime("
+               f"{g(5)} || '-' || lpad(CAST({month} AS VARCHAR), 2, '0') || '-' || lpad({day}, 2, '0') "
+               f"|| ' ' || {part(6)} || ':' || {part(7)} || ':' || {part(8)}, '%Y-%m-%d %H:%M:%S') END")
     D = q(K.DAY_FIRST_DATE)
     y = f"regexp_extract({v}, {D}, 3)"
     year = f"(CASE WHEN length({y}) = 2 THEN '20' || {y} WHEN length({y}) = 4 THEN {y} END)"
@@ -138,7 +148,7 @@ def parse_date(v: str, as_of: str) -> str:
     rel = f"CASE WHEN regexp_matches({nv}, {R}) THEN {as_of} - to_seconds({amount} * {unit_s}) END"
     yday = f"CASE WHEN contains({nv}, 'ontem') THEN {as_of} - INTERVAL 1 DAY END"
     return (f"(CASE WHEN {v} IS NULL OR {v} = '' THEN NULL ELSE "
-            f"coalesce({iso}, {mdy}, {dmy}, {rel}, {yday}) END)")
+            f"coalesce({iso}, {mdy}, {english}, {dmy}, {rel}, {yday}) END)")
 
 
 def within_days(ts: str, as_of: str, days: int) -> str:

@@ -188,3 +188,13 @@ def test_ticker_titles(spark):
     assert not one(spark, is_valid_title(F.lit("PETR4R$49,641,14%")))
     assert not one(spark, is_valid_title(F.lit("ABEV3R$14,520,07%")))
     assert one(spark, is_valid_title(F.lit("WEG amplia fabrica e acelera expansao global")))
+
+
+def test_english_and_slash_dates(spark):
+    from gazette.functions.dates import ts_text
+    got = lambda v: one(spark, ts_text(parse_date(F.lit(v), NOW)))
+    assert got("Mon, 06 May 2026 12:00:00 GMT") == "2026-05-06 12:00:00"
+    assert got("May 6, 2026 10:30") == "2026-05-06 10:30:00"
+    assert got("05/06/2026") == "2026-05-06 00:00:00"      # bare: month first
+    assert got("Publicado em 13/06/26") == "2026-06-13 00:00:00"  # embedded: day first
+    assert got("31 Feb 2026") is None
