@@ -66,6 +66,13 @@ def normalize_title(c) -> Column:
     return F.trim(F.regexp_replace(x, f"{JS_SPACE}+", " "))
 
 
+def title_words(c) -> Column:
+    """The words of ``normalize_title(c)`` (maximal [a-z0-9] runs after
+    lower-casing and accent removal) with one regex split instead of the
+    full normalisation; may contain '' at the ends."""
+    return F.split(strip_accents(F.lower(F.coalesce(col_(c), F.lit("")))), "[^a-z0-9]+")
+
+
 def normalize_search_text(c) -> Column:
     """lower, accents removed, whitespace squashed; punctuation kept; null -> ''."""
     x = strip_accents(F.lower(col_(c)))

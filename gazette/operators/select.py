@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.text import clean_topics, normalize_title
+from gazette.functions.text import clean_topics, title_words
 
 
 def title_tokens(articles: DataFrame) -> DataFrame:
     """(ord, token): distinct words of each title key."""
-    return (articles.select("ord", F.explode(F.split(normalize_title("title"), " ")).alias("token"))
+    return (articles.select("ord", F.explode(title_words("title")).alias("token"))
             .filter(F.col("token") != "").distinct())
 
 
@@ -19,8 +19,7 @@ def topic_tokens(personas: DataFrame, column: str) -> DataFrame:
     """(persona_id, token): words of a persona's cleaned topic list."""
     topics = personas.select(F.col("id").alias("persona_id"),
                              F.explode(clean_topics(column)).alias("topic"))
-    return (topics.select("persona_id", F.explode(F.split(normalize_title("topic"), " "))
-                          .alias("token"))
+    return (topics.select("persona_id", F.explode(title_words("topic")).alias("token"))
             .filter(F.col("token") != "").distinct())
 
 

@@ -61,9 +61,8 @@ def conversation_topics(conversations: DataFrame) -> DataFrame:
     ties by word. Counting is a partial aggregate; the top-4 is a windowed
     group limit, so a long conversation never sits whole in one task."""
     from pyspark.sql import Window
-    from gazette.functions.text import normalize_title
-    words = conversations.select(
-        "conv_id", F.explode(F.split(normalize_title(F.col("text")), " ")).alias("token"))
+    from gazette.functions.text import title_words
+    words = conversations.select("conv_id", F.explode(title_words(F.col("text"))).alias("token"))
     counts = (words.filter(F.char_length("token") >= TOPIC_MIN_CHARS)
               .groupBy("conv_id", "token").agg(F.count("*").alias("n")))
     w = Window.partitionBy("conv_id").orderBy(F.col("n").desc(), F.col("token"))
