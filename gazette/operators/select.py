@@ -32,22 +32,32 @@ def preselection_limit(max_per_persona: int = K.MAX_PER_PERSONA,
 
 def lexical_select(articles: DataFrame, personas: DataFrame,
                    limit: int | None = None) -> DataFrame:
-    """(persona_id, rank, ord, score): articles sharing >= 1 topic word with
-    the persona, none of its avoid words; more shared words first, then newer
-    (undated last), then earlier ``ord``; at most ``limit`` per persona.
+    """(persona_id, rank, ord, score) - the offline stand-in for the model's
+    preselection. It honours the prompt's checkable rules: priority topics,
+    the avoid list, newer first, at most ``limit`` per persona.
 
-    The persona x article pairing is an equi-join on words, never a cross
-    join; a word held by many titles is a hot join key that AQE's skew
-    handling splits, and the score is a partial aggregate.
+    Retrieval is per topic word: each word's ``limit`` newest articles (a
+    windowed group limit, partial before the shuffle, so a word in a third
+    of all titles costs ``limit`` rows per map task). A persona's candidates
+    are the union over its topic words, scored by how many of its words
+    retrieved the article. Candidates holding an avoid word are dropped.
+    They are ranked by score, then newest (undated last), then ``ord``.
+    Work per persona is bounded by (topic words x limit), never by
+    (personas x articles).
     """
     limit = limit or preselection_limit()
     tt = title_tokens(articles)
-    scores = (tt.join(topic_tokens(personas, "prioridades"), "token")
-              .groupBy("persona_id", "ord").agg(F.count("*").alias("score")))
-    avoided = (tt.join(topic_tokens(personas, "evitar"), "token")
+    dated = tt.join(articles.select("ord", "published_at"), "ord")
+    w_word = Window.partitionBy("token").orderBy(F.col("published_at").desc_nulls_last(),
+                                                 F.col("ord"))
+    recent = (dated.withColumn("_r", F.row_number().over(w_word)).filter(F.col("_r") <= limit)
+              .select("token", "ord", "published_at"))
+    cand = (topic_tokens(personas, "prioridades").join(recent, "token")
+            .groupBy("persona_id", "ord", "published_at").agg(F.count("*").alias("score")))
+    avoided = (cand.select("persona_id", "ord").join(tt, "ord")
+               .join(topic_tokens(personas, "evitar"), ["persona_id", "token"], "left_semi")
                .select("persona_id", "ord").distinct())
-    cand = (scores.join(avoided, ["persona_id", "ord"], "left_anti")
-            .join(articles.select("ord", "published_at"), "ord"))
+    cand = cand.join(avoided, ["persona_id", "ord"], "left_anti")
     w = Window.partitionBy("persona_id").orderBy(F.col("score").desc(),
                                                  F.col("published_at").desc_nulls_last(),
                                                  F.col("ord"))

@@ -288,11 +288,17 @@ v_avoid AS (
     SELECT persona_id, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
     FROM (SELECT id AS persona_id, unnest({_clean('evitar')}) AS topic FROM v_personas))
   WHERE token <> ''),
+v_recent AS (
+  SELECT token, ord, published_at FROM (
+    SELECT t.token, t.ord, u.published_at,
+           row_number() OVER (PARTITION BY t.token ORDER BY u.published_at DESC NULLS LAST, t.ord) AS r
+    FROM v_tt t JOIN v_unique u USING (ord))
+  WHERE r <= {max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)}),
 v_scores AS (
-  SELECT persona_id, ord, count(*) AS score FROM v_tt JOIN v_topic USING (token)
-  GROUP BY persona_id, ord),
+  SELECT persona_id, ord, published_at, count(*) AS score FROM v_topic JOIN v_recent USING (token)
+  GROUP BY persona_id, ord, published_at),
 v_cand AS (
-  SELECT s.persona_id, s.ord, s.score, u.published_at FROM v_scores s JOIN v_unique u USING (ord)
+  SELECT s.persona_id, s.ord, s.score, s.published_at FROM v_scores s
   WHERE NOT EXISTS (SELECT 1 FROM v_tt t JOIN v_avoid a USING (token)
                     WHERE a.persona_id = s.persona_id AND t.ord = s.ord)),
 v_lex AS (
