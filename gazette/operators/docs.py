@@ -24,15 +24,18 @@ def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE
     """Per persona, documents whose name holds the persona's search token
     as a word (case-insensitive), newest first, at most ``page``.
 
-    An equi-join on (token, word); the page cut is a windowed group limit."""
+    A persona's candidates depend only on its token, so each word's ``page``
+    newest documents are cut first (a partial windowed group limit), then
+    joined to the personas by word: a word in every document name costs
+    ``page`` rows per persona, never personas x documents."""
     words = docs.select("id", "name", "modified_time", "web_view_link", F.explode(
         F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}-]+"))).alias("word"))
+    by_word = Window.partitionBy("word").orderBy(F.col("modified_time").desc_nulls_last(), F.col("id"))
+    newest = (words.filter(F.col("word") != "").withColumn("cand_rank", F.row_number().over(by_word))
+              .filter(F.col("cand_rank") <= page))
     tok = personas.select(F.col("id").alias("persona_id"), "nome",
                           F.lower(search_token(F.col("nome"))).alias("word"))
-    w = Window.partitionBy("persona_id").orderBy(F.col("modified_time").desc_nulls_last(),
-                                                 F.col("id"))
-    return (tok.join(words, "word").drop("word")
-            .withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= page))
+    return tok.join(newest, "word").drop("word")
 
 
 def is_doc_for_persona(file_name, persona_name) -> Column:
