@@ -20,7 +20,7 @@ HOST_PATTERN = r"^(\[[0-9a-f:.]+\]|[a-z0-9_.~\-]+)$"
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
 
-def url_parts(c, staged_df=None) -> dict[str, Column]:
+def url_parts(c) -> dict[str, Column]:
     """Split a link into the parts a browser's URL parser would expose.
 
     ``ok`` is false where a browser would reject the link (or the scheme

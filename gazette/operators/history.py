@@ -148,7 +148,7 @@ def selection_counts(suppressed: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin("history", "duplicate")).cast("bigint").alias("removed"))
 
 
-def _fold_upserts(keys_schema: str):
+def _fold_upserts():
     """Per-persona sequential upsert over only the entries the sent rows can
     match (plus the sent rows): first match in list order is replaced in
     place, otherwise the row is appended after the persona's last position."""
@@ -205,7 +205,7 @@ def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, do
                .select("persona_id", "seq", "normalized_link",
                        F.col("source_title_keys").alias("keys"), "max_pos"))
     placed = (hist_in.groupBy("persona_id").cogroup(sent_in.groupBy("persona_id"))
-              .applyInPandas(_fold_upserts(""), "persona_id string, entry_pos long, seq long"))
+              .applyInPandas(_fold_upserts(), "persona_id string, entry_pos long, seq long"))
     new_rows = placed.join(s, ["persona_id", "seq"]).select(
         "persona_id", "entry_pos",
         normalize_whitespace(F.coalesce("title", "chamada", F.lit(""))).alias("title"),

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import constants as K
 from gazette.functions.dates import parse_date, ts_text
 from gazette.functions.identity import dedupe_keys, with_identity
-from gazette.functions.links import normalize_link, site_label
+from gazette.functions.links import site_label
 from gazette.functions.text import normalize_title, normalize_whitespace
 from gazette.operators import quality
 from gazette.operators.dedupe import greedy_dedupe
@@ -165,9 +164,7 @@ def _join(c):
 @query("personas_valid")
 def q_personas_valid(spark, sf_dir):
     p = v_personas(spark, sf_dir)
-    ok = p.join(pers.persona_violations(p), p["persona_idx"] == F.col("v_idx"), "left_anti") \
-        if False else p.join(pers.persona_violations(p).select(
-            F.col("persona_idx").alias("persona_idx")), "persona_idx", "left_anti")
+    ok = p.join(pers.persona_violations(p).select("persona_idx"), "persona_idx", "left_anti")
     return ok.select("persona_idx", "id", "nome", "descricao",
                      _join("prioridades").alias("prioridades"), _join("evitar").alias("evitar"))
 
