@@ -63,3 +63,16 @@ def test_history_save_roundtrip_and_digest_sink(spark):
     write_digests(docs, os.path.join(d, "digests"), "2024-02-01")
     back = spark.read.json(os.path.join(d, "digests"))
     assert [r["persona_id"] for r in back.collect()] == ["p1"]
+
+
+def test_composed_run_writes_digests_and_history(spark):
+    from gazette.plans import queries as Q
+    from gazette.plans.digest_run import run_digest
+    from gazette.sources.derived import AS_OF
+    from gazette.sources.tables import read_table
+    sf = "/root/testdata/sf0.001"
+    out = run_digest(read_table(spark, sf, "pages"), Q.v_personas(spark, sf), Q.v_history(spark, sf),
+                     AS_OF, _tmp(spark))
+    written = spark.read.json(out.digests_path)
+    assert written.count() == out.digests.count() > 0
+    assert out.history.count() >= Q.v_history(spark, sf).count()
