@@ -198,3 +198,15 @@ def test_english_and_slash_dates(spark):
     assert got("05/06/2026") == "2026-05-06 00:00:00"      # bare: month first
     assert got("Publicado em 13/06/26") == "2026-06-13 00:00:00"  # embedded: day first
     assert got("31 Feb 2026") is None
+
+
+def test_small_helpers(spark):
+    from gazette.functions.links import doc_id_from_link, site_label
+    from gazette.functions.text import date_tag, strip_fences, truncate_text
+    assert one(spark, doc_id_from_link(F.lit("https://docs.example.com/document/d/abc123/edit"))) == "abc123"
+    assert one(spark, site_label(F.lit("https://www.g1.globo.com/economia"))) == "g1.globo.com"
+    assert one(spark, truncate_text(F.lit("  abcdef   ghij  "), 8)) == "abcde..."
+    assert one(spark, strip_fences(F.lit(' ```JSON\n{"a":1}\n``` '), "{}")) == '{"a":1}'
+    assert one(spark, strip_fences(F.lit(None).cast("string"), "{}")) == "{}"
+    assert one(spark, date_tag(F.lit("2026-05-06T12:00:00.000Z"))) == "2026-05-06T12:00"
+    assert one(spark, date_tag(F.lit(""))) == "sem data"
