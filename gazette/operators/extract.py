@@ -101,7 +101,8 @@ def extract_anchors(pages: DataFrame, site_prefix: Column | None = None,
                        & ~F.get("parts", 0).isin(*blocked_first)
                        & (F.char_length("title") >= min_title_chars))
     from gazette.operators.dedupe import first_per_key
-    return first_per_key(kept.select("page_id", "pos", "title", "link"), ["page_id", "link"], "pos")
+    kept = kept.select("page_id", F.col("pos").cast("bigint").alias("pos"), "title", "link")
+    return first_per_key(kept, ["page_id", "link"], "pos")
 
 
 # --- S2: listing cards -------------------------------------------------------------

@@ -709,8 +709,8 @@ UNION ALL SELECT 'preselect', 5, persona_idx, '"' || id || '"', ', ' FROM v_pers
 UNION ALL SELECT 'preselect', 6, 0, {S.q(K.PRESELECT_FORMAT)}, ''"""
     fetch = [V_ARTICLES, V_ANNOTATED, V_FETCH]
     out["fetch_report"] = with_(*fetch) + """
-SELECT ord, site, kind, title, link, CAST(length(text) AS BIGINT) AS text_chars, articles_found,
-       reason, error FROM v_fetch"""
+SELECT ord, site, kind, title, link, CAST(length(text) AS DOUBLE) AS text_chars,
+       CAST(articles_found AS DOUBLE) AS articles_found, reason, error FROM v_fetch"""
     out["filter_requests"] = with_(*fetch, V_TOPICS, V_PERSONAS, _pctx("v_pctx0", False)) + f""",
 v_usable AS (SELECT * FROM v_fetch WHERE error IS NULL AND coalesce(title, '') <> ''
              AND coalesce(link, '') <> '')

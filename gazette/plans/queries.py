@@ -408,9 +408,10 @@ def tool_rows(spark, sf_dir) -> DataFrame:
 @query("fetch_report")
 def q_fetch_report(spark, sf_dir):
     r = tool_rows(spark, sf_dir)
+    # nullable counts as DOUBLE so both engines hand back the same column type
     return r.select("ord", "site", "kind", "title", "link",
-                    F.char_length("text").cast("bigint").alias("text_chars"), "articles_found",
-                    "reason", "error")
+                    F.char_length("text").cast("double").alias("text_chars"),
+                    F.col("articles_found").cast("double").alias("articles_found"), "reason", "error")
 
 
 @query("filter_requests")
