@@ -146,3 +146,42 @@ def test_residue_scan_matches_sequential(spark):
         assert kept == sequential_dedupe([(p, k) for _, p, k in cases[:15]])
     finally:
         D.RESIDUE_AFTER_ROUNDS = old
+
+
+def test_hydrate_history_older_document_overwrites(spark):
+    """History import on a small fixture, checked against the sequential
+    rule: newest document first, an older document's matching item replaces
+    the entry in place, personas that already have history are skipped,
+    documents outside the lookback are ignored."""
+    personas = spark.createDataFrame([("pa", "Ana Souza"), ("pb", "Bia Lima")], "id string, nome string")
+    hist_raw = spark.createDataFrame([("pb", 0, "Antiga", None, None, "https://s.com/old",
+                                       "2026-05-05T10:00:00Z")],
+                                     "persona_id string, entry_pos long, title string, chamada string, "
+                                     "resumo string, link string, sentAt string")
+    for c in ("titulo", "summaryTitle", "normalizedLink", "titleKey", "sourceTitleKey", "source",
+              "docTitle", "docLink"):
+        hist_raw = hist_raw.withColumn(c, F.lit(None).cast("string"))
+    for c in ("titleKeys", "sourceTitleKeys"):
+        hist_raw = hist_raw.withColumn(c, F.lit(None).cast("array<string>"))
+    now = "2026-05-06 15:00:00"
+    history = hist.repair_entries(hist_raw, now)
+    docs = spark.createDataFrame([
+        (1, "06-05-2026 | Ana Souza", "2026-05-06 09:00:00",
+         "1. Titulo X\nresumo x\nLink: https://s.com/x\n2. Titulo Y\nLink: https://s.com/y\n"),
+        (2, "Clipping Ana Souza - 04/05/2026", "2026-05-04 09:00:00",
+         "1. Titulo X\nLink: https://s.com/x-outro\n"),
+        (3, "06-05-2026 | Bia Lima", "2026-05-06 09:00:00", "1. Nova\nLink: https://s.com/n\n"),
+        (4, "01-01-2026 | Ana Souza", "2026-01-01 09:00:00", "1. Velha\nLink: https://s.com/v\n")],
+        "id long, name string, t string, text string")
+    docs = (docs.withColumn("modified_time", F.to_timestamp("t"))
+            .withColumn("web_view_link", F.concat(F.lit("https://d/"), F.col("id").cast("string"))))
+    bodies = docs.select("id", F.expr(
+        "transform(split(text, '\\n'), l -> named_struct('paragraph', named_struct('elements', "
+        "array(named_struct('textRun', named_struct('content', concat(l, '\\n')))))))").alias("content"))
+    out = dc.hydrate_history(history, personas, docs, bodies, now)
+    got = sorted((r["persona_id"], r["entry_pos"], r["title"], r["link"], r["doc_title"])
+                 for r in out.collect())
+    assert got == [
+        ("pa", 0, "Titulo X", "https://s.com/x-outro", "Clipping Ana Souza - 04/05/2026"),
+        ("pa", 1, "Titulo Y", "https://s.com/y", "06-05-2026 | Ana Souza"),
+        ("pb", 0, "Antiga", "https://s.com/old", None)]
