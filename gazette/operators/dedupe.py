@@ -68,10 +68,12 @@ def _finish_residue(undecided: DataFrame, g: list[str], order_col: str) -> DataF
 
 
 def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
-                  group_cols: Sequence[str] = ()) -> DataFrame:
+                  group_cols: Sequence[str] = (), materialize_input: bool = True) -> DataFrame:
     """Return ``df`` plus a boolean ``kept``; (group_cols, order_col) must be unique.
 
     ``group_cols`` run independent dedupes side by side (D2: one per persona).
+    ``materialize_input=False`` skips checkpointing the input when it is
+    already a cheap read of checkpointed data.
     Keys held by a single row can never conflict, so only rows holding a
     shared key enter the rounds; the rest are kept outright.
     """
@@ -79,7 +81,7 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
     ids = g + [order_col]
     # Checkpointed, not persisted: downstream plans then start from a small
     # leaf instead of the input's whole expression tree.
-    base = cut_lineage(df)
+    base = cut_lineage(df) if materialize_input else df
     pairs = base.select(*ids, F.explode(keys_col).alias("key")).distinct()
     shared_keys = (pairs.groupBy(*g, "key").agg(F.count("*").alias("kc"))
                    .filter(F.col("kc") > 1).select(*g, "key"))

@@ -121,8 +121,9 @@ def suppress_repeats(selection: DataFrame, articles: DataFrame, history: DataFra
     sel = sel.join(seen, ["persona_id", "rank"], "left")
     fresh = (sel.filter(F.col("_seen").isNull())
              .withColumn("keys", dedupe_keys("normalized_link", "source_title_keys")))
+    # ``fresh`` reads the checkpointed selection, so it is not copied again.
     deduped = greedy_dedupe(fresh.select("persona_id", "rank", "ord", "keys"), "rank", "keys",
-                            group_cols=["persona_id"])
+                            group_cols=["persona_id"], materialize_input=False)
     w = Window.partitionBy("persona_id").orderBy("rank")
     kept = (deduped.filter("kept").withColumn("slot", F.row_number().over(w))
             .select("persona_id", "rank", "slot"))
