@@ -49,4 +49,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from v
 """
 
-ORACLE = {"op1_quality_rules": OP1}
+OP3 = rf"""
+with d as (
+  select doc_id, source, cast(len({WORDS}) as bigint) as size,
+    cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+  from documents),
+s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+s as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight from s0),
+-- the water level: sources in the order in which they fill up
+f as (
+  select *, 1.5::double * sum(source_size) over () as goal,
+    coalesce(sum(2.0::double * source_size) over (o rows between unbounded preceding and 1 preceding), 0) as capped,
+    sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0) as left_over
+  from s window o as (order by 2.0::double * source_size / weight, source nulls last)),
+lvl as (
+  select coalesce(arg_min((goal - capped) / left_over, 2.0::double * source_size / weight), 0) as level
+  from f where 2.0::double * source_size / weight >= (goal - capped) / left_over),
+t as (select source, source_size, weight, least(weight * level, 2.0::double * source_size)::double as target from s, lvl),
+q as (select cast(round_even(sum(target) / 64, 0) as bigint) as seats from t),
+quot as (
+  select source, source_size, target, k, target / 64 / (2 * k + 1) as quotient
+  from t, lateral unnest(range(cast(ceil(source_size * 2.0::double / 64) as bigint))) u(k)),
+won as (
+  select source, count(*) as seats from (
+    select source, row_number() over (order by quotient desc, source nulls last, k) as place from quot)
+  where place <= (select seats from q) group by source),
+src as (
+  select t.*, coalesce(w.seats, 0) as seats, greatest(1, cast(ceil(t.source_size / 2000000) as bigint)) as shards
+  from t left join won w on t.source is not distinct from w.source),
+e as (
+  select d.*, src.source_size, src.target, src.seats, d.h % src.shards as shard
+  from d join src on d.source is not distinct from src.source),
+cell as (select source, shard, any_value(source_size) as ss, any_value(seats) as seats, sum(size)::bigint as cell from e group by source, shard),
+cq as (
+  select source, shard, cell, seats, k, seats::double * cell / greatest(ss, 1) / (2 * k + 1) as quotient
+  from cell, lateral unnest(range(cast(ceil(cell * 2.0::double / 64) as bigint))) u(k)),
+quota as (
+  select source, shard, count(*) as n from (
+    select *, row_number() over (partition by source order by quotient desc, shard, k) as place from cq)
+  where place <= seats group by source, shard),
+tape as (
+  select e.*, c.cell, least(coalesce(quota.n, 0) * 64, 2 * c.cell) as quota_words,
+    coalesce(sum(size) over (partition by e.source, e.shard order by e.h, e.doc_id, e.size rows between unbounded preceding and 1 preceding), 0) as start
+  from e join cell c on e.source is not distinct from c.source and e.shard = c.shard
+  left join quota on e.source is not distinct from quota.source and e.shard = quota.shard)
+select doc_id, size, source_size, target,
+  cast(case when cell = 0 then 0 else size * (quota_words // cell)
+    + greatest(0, least(size, quota_words % cell - start)) end as bigint) as taken
+from tape
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3}
