@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import mixing, quality, simhash
+from gazette.llm import mixing, packing, quality, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir, "doc_id", "source", "text")
     return mixing.mix(d, mixing.text_size(d["text"])).select(
@@ -37,6 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op10_simhash": op10_simhash,
 }
