@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.components import components
+from gazette.llm.joins import join_measured
 from gazette.llm.text import U64, group_starts, run_offsets, slices, word_spans
 from gazette.llm.xxh import xxh64_spans
 from gazette.session import cut_lineage
@@ -249,13 +250,13 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         nodes["fp"], "least", F.coalesce("component", nodes["fp"]).alias("root"))
     rooted = cut_lineage(rooted)
     named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_r"))
-    named = cut_lineage(rooted.join(named, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "component_id"))
-    return fps.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.join(named, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "component_id")
+    return join_measured(fps, named, F.col("fp") == F.col("_fp"), "inner").select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` that name their group (smallest doc_id); rows
     with a null doc_id can't be named and all stay."""
     groups = near_duplicate_groups(docs, doc_id, text, **params)
-    gone = cut_lineage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return join_measured(docs, gone, docs[doc_id] == F.col("_gone"), "left_anti")
