@@ -24,10 +24,11 @@ skewed join keys.
 
 Defined results: a line without words is never removed; a null text has no
 lines and stays null, an empty text one empty line. A null doc_id comes
-after all others. Rows that share a doc_id have their lines at the same
-places, and lines at one place don't remove each other. A document may lose
-all its lines; it stays with an empty text. Hashes have 64 bits. Other
-columns are kept.
+after all others; different texts under one doc_id (or under null) follow
+each other by a hash of the text. Rows with the same doc_id and text are one
+document: they lose the same lines, not each other's. A document may lose
+all its lines; it stays with an empty text. Token and line hashes have 64
+bits. Other columns are kept.
 """
 
 from __future__ import annotations

@@ -29,8 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.llm.joins import join_measured
 from gazette.session import cut_lineage
 
+SPACE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
 
@@ -140,3 +142,37 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return d.select("doc_id", "source", "size", "source_size", "target", "shard", "quota_words",
                     taken.cast("bigint").alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space inside kept."""
+    gap = "[\\x20\\x09-\\x0D]"
+    parts = F.split(text, f"(?<={gap})(?=[^\\x20\\x09-\\x0D])")
+    lead = F.when(F.rlike(text, F.lit(f"^{gap}")), 1).otherwise(0)
+    return F.rtrim(F.array_join(F.slice(parts, F.lit(1), (n + lead).cast("int")), ""), F.lit(SPACE))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+                    **params) -> DataFrame:
+    """The mix as rows of ``docs``: a row for each time a document is taken
+    whole, and one with its first words for the rest; what is not taken goes.
+    Rows alike in doc_id, source and size share what they take."""
+    size = text_size(docs[text])
+    mixed = mix(docs, size, doc_id, source, **params)
+    taken = mixed.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n")).select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"),
+        F.floor(F.col("_sum") / F.col("_n")).alias("_taken")).where("_taken > 0")
+    own = docs.columns
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("_row"), docs[doc_id].alias("_id"),
+                    docs[source].alias("_source"), docs[text].alias("_text"), size.alias("_size"))
+    d = join_measured(d, taken, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s"))
+                      & (F.col("_size") == F.col("_z")), "inner")
+    parts = F.expr("transform(sequence(1, ceil(_taken / _size)), i -> least(_size, _taken - (i - 1) * _size))")
+    d = d.withColumn("_words", F.explode(parts))
+    cut = F.col("_words") < F.col("_size")
+    new_text = F.when(cut, first_words(F.col("_text"), F.col("_words"))).otherwise(F.col("_text"))
+    d = d.withColumn("_new", new_text)
+    values = {text: F.col("_new")}
+    if "n_chars" in own:
+        values["n_chars"] = F.when(cut, F.length("_new")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[values.get(c, F.col("_row")[c]).alias(c) for c in own])
