@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import lines, mixing, packing, quality, simhash
+from gazette.llm import lines, mixing, packing, quality, simhash, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
