@@ -99,4 +99,25 @@ select doc_id, size, source_size, target,
 from tape
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3}
+OP5 = """
+with recursive d as (
+  select row_number() over () as rid, doc_id, cast(coalesce(strlen(text), 0) as bigint) as n_bytes,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as bigint) as h
+  from documents),
+-- the rows of buckets that exist; the ones over the limit go one bit deeper
+b(depth, rid, prefix, shard_bytes, over) as (
+  select 0, rid, 0::bigint, (sum(n_bytes) over ())::bigint,
+    sum(n_bytes) over () > 1048576 and min(h) over () < max(h) over ()
+  from d
+  union all
+  select b.depth + 1, b.rid, d.h >> (60 - b.depth - 1),
+    (sum(d.n_bytes) over (partition by d.h >> (60 - b.depth - 1)))::bigint,
+    sum(d.n_bytes) over (partition by d.h >> (60 - b.depth - 1)) > 1048576
+      and min(d.h) over (partition by d.h >> (60 - b.depth - 1)) < max(d.h) over (partition by d.h >> (60 - b.depth - 1))
+  from b join d using (rid) where b.over)
+select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(prefix), depth, '0') end as shard,
+  depth, shard_bytes
+from b join d using (rid) where not over
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_sharding": OP5}
