@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import lines, mixing, packing, quality, sharding, simhash, tokens
+from gazette.llm import lines, mixing, packing, quality, sharding, simhash, substring, suffix, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -45,6 +45,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_substring": op6_substring,
+    "op7_suffix": op7_suffix,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
