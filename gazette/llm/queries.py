@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import lines, mixing, packing, quality, sharding, simhash, substring, suffix, tokens
+from gazette.llm import embed, lines, mixing, packing, quality, sharding, simhash, substring, suffix, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_substring": op6_substring,
     "op7_suffix": op7_suffix,
+    "op8_embeddings": op8_embeddings,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
