@@ -120,4 +120,42 @@ select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(prefix), depth
 from b join d using (rid) where not over
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_sharding": OP5}
+OP6 = rf"""
+with d as (select row_number() over () as rid, doc_id, {WORDS} as w from documents),
+win as (
+  select rid, i, md5(array_to_string(w[i:i + 34], ' ')) as g from (
+    select rid, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+again as (select g from win group by g having count(*) > 1),
+hit as (select rid, i from win semi join again using (g)),
+-- starts in order; a word goes if a start lies in the 35 positions up to it
+word as (select rid, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d),
+flagged as (
+  select rid, k, word, max(i) over (partition by rid order by k rows between 34 preceding and current row) is not null as gone
+  from (select word.*, hit.i from word left join hit on word.rid = hit.rid and word.k = hit.i)),
+kept as (
+  select rid, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by k) filter (not gone) as text
+  from flagged group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (rid)
+"""
+
+OP8 = """
+with recursive v as (
+  select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+ok as (
+  select rid, vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (
+  select a.rid as a, b.rid as b, b.vec_id as id from ok a join ok b on a.label = b.label and a.rid <> b.rid
+  where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach(rid, hop) as (select rid, rid from v union select reach.rid, link.b from reach join link on reach.hop = link.a),
+comp as (select reach.rid, min(v.vec_id) as component_id from reach join v on v.rid = reach.hop group by reach.rid),
+n as (select a as rid, count(*) as n_links from link group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id,
+  coalesce(vec_id = component_id, false) as kept
+from v join comp using (rid) left join n using (rid)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_sharding": OP5, "op6_substring": OP6, "op8_embeddings": OP8}
