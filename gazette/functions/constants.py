@@ -26,8 +26,8 @@ RELATIVE_DATE = r"ha\s+(?:cerca de\s+)?(\d+)\s+(minuto|minutos|hora|horas|dia|di
 YESTERDAY_WORD = "ontem"
 MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
-# Anchor-rule portal: link prefix, blocked path prefixes, blocked first parts.
-ANCHOR_SITE_PREFIX = "https://exame.com/"
+# Anchor-rule portals: host part, blocked path prefixes, blocked first parts.
+ANCHOR_HOSTS = ["exame.com"]
 ANCHOR_BLOCKED_PREFIXES = [
     "/invest/guia/",
     "/invest/calculadoras/",
@@ -39,6 +39,28 @@ ANCHOR_BLOCKED_PREFIXES = [
 ANCHOR_BLOCKED_FIRST_PARTS = ["autor", "canais-especiais", "pagina-especial"]
 ANCHOR_CAPTION_PREFIX = r"(?i)^Imagem referente a noticia:\s*"
 
+# Selectors as (tag, attribute, part of its value), in selector order.
+CARD_SELECTORS = [
+    ("article", None, None),
+    (None, "class", "news-item"),
+    (None, "class", "noticia"),
+    (None, "class", "card"),
+    ("li", "class", "item"),
+    (None, "data-testid", "card"),
+    (None, "class", "c-card"),
+    ("a", "href", "/noticia/"),
+    ("a", "href", "/noticias/"),
+]
+DATE_SELECTORS = [("time", None, None), (None, "class", "date"), (None, "class", "data"), (None, "class", "hora")]
+DATE_CONTAINERS = {"div", "li", "section", "main"}
+TEXT_SELECTORS = [
+    ("article", None, None),
+    (None, "class", "content"),
+    (None, "class", "article-body"),
+    (None, "class", "post-body"),
+    ("main", None, None),
+]
+
 # Article text.
 ARTICLE_TEXT_MIN_CHARS = 200
 BODY_FALLBACK_CHARS = 3000
@@ -51,7 +73,6 @@ DIGEST_HEADER_LINE = r"(?i)^CLIPPING DE NOTICIAS\b"
 DIGEST_ITEM_LINE = r"^\d+\.\s+(.+)$"
 DIGEST_LINK_LINE = r"(?i)^Link:\s+(https?://\S+)$"
 DOC_TITLE_CURRENT = r"^(\d{2}-\d{2}-\d{4}) \| (.+)$"
-DOC_TITLE_LEGACY_PREFIX = "Clipping {name} -"
 LINK_STYLE = "link:rgb(0.1,0.3,0.8):underline"
 
 # Model responses.
@@ -78,15 +99,12 @@ LATEST_DOC_PAGE = 20
 # Empty-site reasons (run / tool wording).
 REASON_NO_ELEMENTS = "nenhum elemento compativel na pagina"
 REASON_ALL_TITLES = "possivel bloqueio anti-bot (todos os titulos invalidos)"
-REASON_DATE_FMT = "{n} artigo(s) encontrado(s) - todos fora dos ultimos {days} dia(s)"
 REASON_DEFAULT = "sem artigos validos no periodo"
 TOOL_REASON_NO_ELEMENTS = "nenhum elemento compativel"
 TOOL_REASON_ALL_TITLES = "possivel bloqueio anti-bot"
-TOOL_REASON_DATE_FMT = "{n} artigos fora do periodo"
 
 # Warning digest.
 WARNING_SHOWN = 3
-WARNING_MORE_FMT = "... e mais {n}"
 # --- end of fixed values ----------------------------------------------------
 
 # Whitespace as JavaScript's \s sees it, spelled out (Java's \s is ASCII-only).

@@ -1,223 +1,209 @@
-"""Extraction from raw pages: listing cards (S2), rule-based anchors (S3),
-article text (S4). Regular expressions run JVM-side; only the card walker,
-which needs element nesting, runs as an Arrow-batched ``mapInPandas``."""
+"""Extraction from raw pages: listing cards (S2), rule-based anchors (S3) and
+article text (S4). Selectors, rendered lines and containers need the element
+tree, so each rule is a small function over ``htmltree.Page``, run once per
+page inside Arrow batches; everything around it is DataFrame work."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin, urlsplit
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.text import clean_anchor_text, col_, decode_basic_entities, squash
-
-SCRIPT = r"(?is)<script\b[^>]*>.*?</script>"
-STYLE = r"(?is)<style\b[^>]*>.*?</style>"
-BLOCK_TAG = (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|section|article|header|footer|nav|main|aside|"
-             r"tr|td|th|table|blockquote|figure|figcaption)\b[^>]*>")
-ANY_TAG = r"<[^>]+>"
-CONTAINERS = "div|section|main|span|p|article|aside|ul|li"
-# Candidate containers for the article text, in selector order.
-TEXT_SELECTORS = [
-    r"(?is)<article\b[^>]*>(.*?)</article>",
-    rf"(?is)<(?:{CONTAINERS})\b[^>]*\bclass\s*=\s*[\"'][^\"']*content[^\"']*[\"'][^>]*>(.*?)</(?:{CONTAINERS})>",
-    rf"(?is)<(?:{CONTAINERS})\b[^>]*\bclass\s*=\s*[\"'][^\"']*article-body[^\"']*[\"'][^>]*>(.*?)</(?:{CONTAINERS})>",
-    rf"(?is)<(?:{CONTAINERS})\b[^>]*\bclass\s*=\s*[\"'][^\"']*post-body[^\"']*[\"'][^>]*>(.*?)</(?:{CONTAINERS})>",
-    r"(?is)<main\b[^>]*>(.*?)</main>",
-]
-BODY = r"(?is)<body\b[^>]*>(.*?)(?:</body>|$)"
-
-
-def inner_text(fragment) -> Column:
-    """Visible text of an HTML fragment, whitespace squashed: scripts and
-    styles dropped, block tags become spaces, inline tags vanish."""
-    x = F.regexp_replace(F.regexp_replace(col_(fragment), SCRIPT, " "), STYLE, " ")
-    x = F.regexp_replace(F.regexp_replace(x, BLOCK_TAG, " "), ANY_TAG, "")
-    return squash(decode_basic_entities(x))
-
-
-def article_text(html) -> Column:
-    """First selector whose first match has > 200 chars of text, else the
-    body text cut to 3000 chars (the reference's fallback length)."""
-    # Script and style bodies are not part of the document tree: drop them
-    # before looking for the first container.
-    h = F.regexp_replace(F.regexp_replace(col_(html), SCRIPT, " "), STYLE, " ")
-    picks = []
-    for pattern in TEXT_SELECTORS:
-        t = inner_text(F.regexp_extract(h, pattern, 1))
-        picks.append(F.when(F.char_length(t) > K.ARTICLE_TEXT_MIN_CHARS, t))
-    body = F.when(h.rlike(r"(?i)<body\b"), F.regexp_extract(h, BODY, 1)).otherwise(h)
-    return F.coalesce(*picks, F.substring(inner_text(body), 1, K.BODY_FALLBACK_CHARS))
+from gazette.session import cut_lineage
+
+CANDIDATE_DDL = "page_id long, pos long, title string, link string, date_str string"
+
+
+def _link(url: str, href: str) -> str:
+    """The address an anchor resolves to, as the page sees it."""
+    try:
+        return urljoin(url or "", href.strip())
+    except ValueError:
+        return href.strip()
+
+
+def _date_text(page, i: int | None) -> str | None:
+    if i is None:
+        return None
+    return page.attrs[i].get("datetime") or page.text(i).strip() or None
+
+
+def page_cards(url: str, html: str, min_title_chars: int = K.MIN_CARD_TITLE_LENGTH) -> Iterator[tuple]:
+    """S2 on one page: (title, link, date text) in selector order, the first
+    card per link."""
+    from gazette.operators.htmltree import Page
+    page = Page(html)
+    anchors = page.all(("a", "href", ""))
+    headings = page.all(*[(h, None, None) for h in ("h1", "h2", "h3", "h4")])
+    dates = page.all(*K.DATE_SELECTORS)
+    seen = set()
+    for rule in K.CARD_SELECTORS:
+        for i in page.all(rule):
+            anchor = i if page.tag[i] == "a" else page.first_below(i, anchors)
+            heading = page.first_below(i, headings)
+            title = (page.text(heading) if heading is not None else page.inner_text(i).split("\n")[0]).strip()
+            if anchor is None or "href" not in page.attrs[anchor] or len(title) < min_title_chars:
+                continue
+            link = _link(url, page.attrs[anchor]["href"])
+            if link and link not in seen:
+                seen.add(link)
+                yield title, link, _date_text(page, page.first_below(i, dates))
+
+
+def _clean(text: str) -> str:
+    """F11 on one anchor text: tags, one caption prefix and white space."""
+    import re
+    text = re.sub(r"<[^>]+>", " ", text)
+    return " ".join(re.sub(K.ANCHOR_CAPTION_PREFIX, "", text).split())
+
+
+def page_anchors(url: str, html: str, prefix: str | None = None, blocked_prefixes=tuple(K.ANCHOR_BLOCKED_PREFIXES),
+                 blocked_first=tuple(K.ANCHOR_BLOCKED_FIRST_PARTS), min_parts: int = 2,
+                 min_title_chars: int = K.MIN_ANCHOR_TITLE_LENGTH) -> Iterator[tuple]:
+    """S3 on one page: (title, link, date text) of the anchors under
+    ``prefix`` (default: the page's own origin), the first per link."""
+    from gazette.operators.htmltree import Page
+    page = Page(html)
+    parts = urlsplit(url or "")
+    prefix = f"{parts.scheme}://{parts.netloc}/" if prefix is None else prefix
+    images = page.all(("img", None, None))
+    dates = page.all(*K.DATE_SELECTORS)
+    seen = set()
+    for i in page.all(("a", "href", "")):
+        link = _link(url, page.attrs[i]["href"])
+        if not link.startswith(prefix) or link in seen:
+            continue
+        path = urlsplit(link).path
+        names = [p for p in path.split("/") if p]
+        if (any(path.startswith(b) for b in blocked_prefixes) or len(names) < min_parts
+                or (names and names[0] in blocked_first)):
+            continue
+        image = page.first_below(i, images)
+        title = _clean(page.text(i)) or (_clean(page.attrs[image].get("alt", "")) if image is not None else "")
+        if len(title) < min_title_chars:
+            continue
+        seen.add(link)
+        box = page.closest(page.parent[i], K.DATE_CONTAINERS)
+        yield title, link, _date_text(page, page.first_below(box, dates)) if box is not None else None
+
+
+def page_text(html: str, min_chars: int = K.ARTICLE_TEXT_MIN_CHARS, fallback_chars: int | None = K.BODY_FALLBACK_CHARS) -> str:
+    """S4 on one page: the first selector whose first element has more than
+    ``min_chars`` of visible text, else the body's, cut to ``fallback_chars``
+    (None: not cut)."""
+    from gazette.operators.htmltree import Page
+    page = Page(html)
+    for rule in K.TEXT_SELECTORS:
+        for i in page.all(rule)[:1]:
+            text = page.inner_text(i)
+            if len(text) > min_chars:
+                return " ".join(text.split())
+    body = page.all(("body", None, None))
+    text = " ".join((page.inner_text(body[0]) if body else page.rendered()).split())
+    return text if fallback_chars is None else text[:fallback_chars].strip()
+
+
+def _per_page(pages: DataFrame, rule: Callable) -> DataFrame:
+    import pandas as pd
 
+    def run(batches):
+        for pdf in batches:
+            rows = [(page, pos, *found) for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)
+                    for pos, found in enumerate(rule(url or "", html or ""))]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "title", "link", "date_str"])
+    return pages.select("page_id", "url", "html").mapInPandas(run, CANDIDATE_DDL)
 
-def texts_for_selected(pages: DataFrame, selected_ords: DataFrame) -> DataFrame:
-    """J4 + S4: text only for selected articles. The semi join runs before any
-    HTML work, so html never travels through an earlier shuffle; the small
-    selected side is broadcast by AQE from its runtime size."""
-    sel = selected_ords.select(F.col("ord").alias("page_id")).distinct()
-    chosen = pages.select("page_id", "html").join(sel, "page_id", "left_semi")
-    text = article_text(F.col("html"))
-    return chosen.select(F.col("page_id").alias("ord"),
-                         F.coalesce(F.nullif(text, F.lit("")), F.lit(K.ARTICLE_TEXT_FAILED))
-                         .alias("text"),
-                         (F.coalesce(text, F.lit("")) == "").alias("text_failed"))
-
-
-# --- S3: rule-based anchors ------------------------------------------------------
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
-IMG_ALT = r"(?is)<img\b[^>]*\balt\s*=\s*\"([^\"]*)\""
-ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)"
-
-
-def extract_anchors(pages: DataFrame, site_prefix: Column | None = None,
-                    blocked_prefixes=tuple(K.ANCHOR_BLOCKED_PREFIXES),
-                    blocked_first=tuple(K.ANCHOR_BLOCKED_FIRST_PARTS),
-                    min_parts: int = 2, min_title_chars: int = K.MIN_ANCHOR_TITLE_LENGTH) -> DataFrame:
-    """S3 + D3: (page_id, pos, title, link) for anchors under ``site_prefix``
-    (default: the page's own origin + '/'), path rules applied, title from
-    the anchor text else its image's alt text, first anchor per link."""
-    origin = F.regexp_extract("url", ORIGIN, 1)
-    prefix = site_prefix if site_prefix is not None else F.concat(origin, F.lit("/"))
-    a = pages.select("page_id", origin.alias("origin"), prefix.alias("prefix"),
-                     F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"),
-                                               F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("inner")))
-                     .alias("pos", "a"))
-    href = F.trim(F.col("a.href"))
-    link = (F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), href)
-            .when(href.startswith("//"), F.concat(F.regexp_extract(F.col("origin"), r"^([^:]+:)", 1), href))
-            .when(href.startswith("/"), F.concat(F.col("origin"), href))
-            .otherwise(F.concat(F.col("origin"), F.lit("/"), href)))
-    a = a.select("page_id", "pos", "prefix", link.alias("link"), F.col("a.inner").alias("inner"))
-    path = F.regexp_extract("link", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    blocked = F.lit(False)
-    for b in blocked_prefixes:
-        blocked = blocked | path.startswith(b)
-    text = clean_anchor_text(F.col("inner"))
-    alt = clean_anchor_text(F.regexp_extract("inner", IMG_ALT, 1))
-    title = F.when(text != "", text).otherwise(alt)
-    kept = a.select("page_id", "pos", "link", title.alias("title"), parts.alias("parts"),
-                    blocked.alias("blocked"), F.col("link").startswith(F.col("prefix")).alias("under"))
-    kept = kept.filter(F.col("under") & ~F.col("blocked") & (F.size("parts") >= min_parts)
-                       & ~F.get("parts", 0).isin(*blocked_first)
-                       & (F.char_length("title") >= min_title_chars))
-    from gazette.operators.dedupe import first_per_key
-    kept = kept.select("page_id", F.col("pos").cast("bigint").alias("pos"), "title", "link")
-    return first_per_key(kept, ["page_id", "link"], "pos")
-
-
-# --- S2: listing cards -------------------------------------------------------------
-CARD_SCHEMA = "page_id long, pos long, title string, link string, date_str string"
-
-
-def _cards_of_page(url: str, html: str):
-    """Card candidates of one listing page, in selector order (small helper:
-    stdlib parser, no external DOM library)."""
-    from html.parser import HTMLParser
-    from urllib.parse import urljoin
-
-    void = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "col"}
-    block = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section",
-             "article", "header", "footer", "nav", "main", "aside", "tr", "table", "br"}
-
-    class Node:
-        __slots__ = ("tag", "attrs", "kids", "parent")
-
-        def __init__(self, tag, attrs, parent):
-            self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
-
-    class Builder(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.root = Node("#root", {}, None)
-            self.cur = self.root
-
-        def handle_starttag(self, tag, attrs):
-            node = Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-            self.cur.kids.append(node)
-            if tag not in void:
-                self.cur = node
-
-        def handle_endtag(self, tag):
-            n = self.cur
-            while n is not None and n.tag != tag:
-                n = n.parent
-            if n is not None and n.parent is not None:
-                self.cur = n.parent
-
-        def handle_data(self, data):
-            self.cur.kids.append(data)
-
-    b = Builder()
-    b.feed(html or "")
-    b.close()
-
-    def walk(n):
-        for k in n.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from walk(k)
-
-    def text(n, lines=False):
-        out = []
-        for k in n.kids:
-            if isinstance(k, str):
-                out.append(k)
-            elif k.tag not in ("script", "style"):
-                inner = text(k, lines)
-                if lines and k.tag in block:
-                    out.append("\n" + inner + "\n")
-                else:
-                    out.append(inner)
-        return "".join(out)
-
-    def has(n, attr, sub):
-        return sub in n.attrs.get(attr, "")
-
-    selectors = [
-        lambda n: n.tag == "article",
-        lambda n: has(n, "class", "news-item"),
-        lambda n: has(n, "class", "noticia"),
-        lambda n: has(n, "class", "card"),
-        lambda n: n.tag == "li" and has(n, "class", "item"),
-        lambda n: has(n, "data-testid", "card"),
-        lambda n: has(n, "class", "c-card"),
-        lambda n: n.tag == "a" and has(n, "href", "/noticia/"),
-        lambda n: n.tag == "a" and has(n, "href", "/noticias/"),
-    ]
-    nodes = list(walk(b.root))
-    seen, pos = set(), 0
-    for sel in selectors:
-        for el in (n for n in nodes if sel(n)):
-            desc = list(walk(el))
-            anchor = el if el.tag == "a" else next((d for d in desc if d.tag == "a" and "href" in d.attrs), None)
-            heading = next((d for d in desc if d.tag in ("h1", "h2", "h3", "h4")), None)
-            when = next((d for d in desc if d.tag == "time" or has(d, "class", "date")
-                         or has(d, "class", "data") or has(d, "class", "hora")), None)
-            link = urljoin(url, anchor.attrs["href"]) if anchor is not None and "href" in anchor.attrs else None
-            raw = text(heading) if heading is not None else text(el, lines=True).lstrip(" \t").split("\n")[0]
-            title = raw.strip()
-            date = None
-            if when is not None:
-                date = when.attrs.get("datetime") or text(when).strip() or None
-            if not title or len(title) < K.MIN_CARD_TITLE_LENGTH or not link or link in seen:
-                continue
-            seen.add(link)
-            yield pos, title, link, date
-            pos += 1
+
+def extract_cards(listings: DataFrame, min_title_chars: int = K.MIN_CARD_TITLE_LENGTH) -> DataFrame:
+    """S2 + D3: (page_id, pos, title, link, date_str) per listing page."""
+    return _per_page(listings, lambda url, html: page_cards(url, html, min_title_chars))
+
+
+def extract_anchors(pages: DataFrame, prefix: str | None = None, blocked_prefixes=tuple(K.ANCHOR_BLOCKED_PREFIXES),
+                    blocked_first=tuple(K.ANCHOR_BLOCKED_FIRST_PARTS), min_parts: int = 2,
+                    min_title_chars: int = K.MIN_ANCHOR_TITLE_LENGTH) -> DataFrame:
+    """S3 + D3: (page_id, pos, title, link, date_str) per page; the date is
+    that of the anchor's nearest container."""
+    return _per_page(pages, lambda url, html: page_anchors(
+        url, html, prefix, blocked_prefixes, blocked_first, min_parts, min_title_chars))
+
+
+def extract_candidates(pages: DataFrame, anchor_hosts: tuple[str, ...] = tuple(K.ANCHOR_HOSTS)) -> DataFrame:
+    """The candidates of a listing page by its host's rule: S3 for hosts that
+    contain one of ``anchor_hosts``, S2 for all others."""
+    def rule(url: str, html: str):
+        host = urlsplit(url).hostname or ""
+        return page_anchors(url, html) if any(h in host for h in anchor_hosts) else page_cards(url, html)
+    return _per_page(pages, rule)
 
 
-def extract_cards(listings: DataFrame) -> DataFrame:
-    """S2 + D3: (page_id, pos, title, link, date_str) per listing page.
+#: Candidates a page can hold: their places share a BIGINT with the page id.
+POS_BITS = 20
 
-    Each page is parsed independently inside Arrow batches; the first card
-    per link on a page wins, as in the page-side loop."""
+
+def articles_from_listings(pages: DataFrame, anchor_hosts: tuple[str, ...] = tuple(K.ANCHOR_HOSTS)) -> DataFrame:
+    """(ord, page_id, site, title, link, date_str): every candidate of every
+    listing page, with the date it carries. ``ord`` orders them by page and
+    place; a page with 2^20 candidates or more fails the run."""
+    c = extract_candidates(pages, anchor_hosts)
+    place = F.when(F.col("pos") < (1 << POS_BITS), F.shiftleft("page_id", POS_BITS) + F.col("pos")).otherwise(
+        F.raise_error(F.lit("too many candidates on one page")).cast("bigint"))
+    sites = pages.select(F.col("page_id").alias("_p"), F.col("url").alias("site"))
+    return c.join(sites, F.col("page_id") == F.col("_p")).select(
+        place.alias("ord"), "page_id", "site", "title", "link", "date_str")
+
+
+def article_text(html, min_chars: int = K.ARTICLE_TEXT_MIN_CHARS, fallback_chars: int | None = K.BODY_FALLBACK_CHARS):
+    """S4 as a column (an Arrow-batched function)."""
     import pandas as pd
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                rows.extend((int(pid), p, t, lk, d) for p, t, lk, d in _cards_of_page(url, html))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "title", "link", "date_str"])
+    def text(pages):
+        return pages.map(lambda h: page_text(h or "", min_chars, fallback_chars))
+    text.__annotations__ = {"pages": pd.Series, "return": pd.Series}
+    return F.pandas_udf(text, "string")(html)
+
 
-    return listings.select("page_id", "url", "html").mapInPandas(run, CARD_SCHEMA)
+#: Bits of the filter over selected ids: at most 65,536 rows of 16 bytes.
+FILTER_BITS = 22
+
+
+def maybe_selected(pages: DataFrame, selected: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The pages whose ``key`` hashes to a bit that some selected key set. The
+    bits are an aggregate of at most 2^(bits-6) words, so it may always be
+    sent to the scan, however many keys are selected."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = cut_lineage(selected.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(one).alias("_bits")))
+    return (pages.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("_word"))
+            .where(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits"))
+
+
+def texts_for_selected(pages: DataFrame, selected_ords: DataFrame) -> DataFrame:
+    """J4 + S4: text only for selected articles, before any html work.
+
+    The selected ids reach the html scan as a Bloom filter first (an
+    aggregate of fixed size, read once), so that the html of pages that were
+    not selected stays in its scan stage even when the ids are too many for a
+    broadcast; the exact join with the distinct ids follows on the survivors
+    (as an inner join, since a semi join would be moved below the filter)."""
+    sel = cut_lineage(selected_ords.select(F.col("ord").alias("page_id")).distinct())
+    chosen = maybe_selected(pages.select("page_id", "html"), sel, "page_id").join(sel, "page_id")
+    text = article_text(F.col("html"))
+    return chosen.select(F.col("page_id").alias("ord"), text.alias("_t")).select(
+        "ord", F.coalesce(F.nullif("_t", F.lit("")), F.lit(K.ARTICLE_TEXT_FAILED)).alias("text"),
+        (F.coalesce("_t", F.lit("")) == "").alias("text_failed"))
+
+
+def texts_for_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """J4 by address: (link, text, text_failed) for the ``links`` that are the
+    url of a page (the first by page_id, if several are)."""
+    sel = cut_lineage(links.select(F.col("link").alias("url")).distinct())
+    found = maybe_selected(pages.select("url", "page_id", "html"), sel, "url").join(sel, "url")
+    text = found.select("url", "page_id", article_text(F.col("html")).alias("_t"))
+    text = text.groupBy("url").agg(F.min_by("_t", "page_id").alias("_t"))
+    return text.select(F.col("url").alias("link"),
+                       F.coalesce(F.nullif("_t", F.lit("")), F.lit(K.ARTICLE_TEXT_FAILED)).alias("text"),
+                       (F.coalesce("_t", F.lit("")) == "").alias("text_failed"))

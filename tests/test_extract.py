@@ -16,6 +16,57 @@ def test_article_text_prefers_article(spark):
     assert t.startswith("Titulo palavra palavra") and len(t) > 200
 
 
+def rows(spark, frame):
+    return [tuple(r) for r in frame.drop("page_id").orderBy("pos").collect()]
+
+
+def page(spark, html, url="https://p.com/a/b/page"):
+    return spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+
+
+def test_card_title_is_the_first_rendered_line(spark):
+    html = ("<div class='card'>\n   <div>\n      <span>Porto  amplia\n  o cais</span>\n   </div><p>resto</p>"
+            "<a href='/n/1?a=1&amp;b=2'>ler</a></div>"
+            "<article>\n\n<a href=c/d>Linha de trem &eacute; aberta<br>detalhe</a></article>")
+    assert rows(spark, ex.extract_cards(page(spark, html))) == [
+        (0, "Linha de trem é aberta", "https://p.com/a/b/c/d", None),
+        (1, "Porto amplia o cais", "https://p.com/n/1?a=1&b=2", None)]
+
+
+def test_unclosed_and_nested_tags(spark):
+    html = "<ul>" + "".join(f"<li class=item><a href='/n/{i}'>Item numero {i} da lista</a>" for i in range(1500)) + "</ul>"
+    got = rows(spark, ex.extract_cards(page(spark, html)))
+    assert len(got) == 1500 and got[1499][1:3] == ("Item numero 1499 da lista", "https://p.com/n/1499")
+    deep = "<div>" * 5000 + "<article><h2>Titulo bem fundo</h2><a href='/x'>y</a></article>"
+    assert rows(spark, ex.extract_cards(page(spark, deep))) == [(0, "Titulo bem fundo", "https://p.com/x", None)]
+
+
+def test_text_of_nested_containers(spark):
+    inner = "<div class='content'><div><p>" + "um " * 60 + "</p></div><div><p>" + "dois " * 40 + "</p></div></div>"
+    html = "<body><nav><p>menu</p></nav>" + inner + "<footer>rodape</footer></body>"
+    assert ex.page_text(html) == ("um " * 60 + "dois " * 40).strip()
+
+
+def test_anchor_date_and_attributes(spark):
+    html = ("<section><time datetime='2026-05-06T10:00:00Z'>x</time><ul><li><span class='data'>06/05/2026</span>"
+            "<a href='/secao/uma-materia'>Uma <b>materia</b> com titulo longo</a></li>"
+            "<li><a href='/secao/outra'><img alt='Imagem referente a noticia: Titulo que vem da imagem'></a></li></ul>"
+            "<a href='/secao/terceira#x'>Terceira materia sem lista</a></section>")
+    assert rows(spark, ex.extract_anchors(page(spark, html))) == [
+        (0, "Uma materia com titulo longo", "https://p.com/secao/uma-materia", "06/05/2026"),
+        (1, "Titulo que vem da imagem", "https://p.com/secao/outra", None),
+        (2, "Terceira materia sem lista", "https://p.com/secao/terceira#x", "2026-05-06T10:00:00Z")]
+
+
+def test_hosts_choose_their_rule(spark):
+    html = "<li class='item'><a href='/secao/x'>Uma materia com titulo longo</a></li>"
+    by_anchor = ex.extract_candidates(page(spark, html, "https://portal.net/"), anchor_hosts=("portal.net",))
+    assert rows(spark, by_anchor)[0][2] == "https://portal.net/secao/x"
+    short = page(spark, "<li class='item'><a href='/x'>Titulo curto</a></li>", "https://portal.net/")
+    assert rows(spark, ex.extract_candidates(short, anchor_hosts=("portal.net",))) == []
+    assert len(rows(spark, ex.extract_candidates(short))) == 1
+
+
 def test_article_text_body_fallback(spark):
     html = "<html><body><article>curto</article><p>" + "x" * 5000 + "</p></body></html>"
     df = spark.createDataFrame([(1, html)], "page_id long, html string")

@@ -26,14 +26,30 @@ def test_scan_prunes_columns_and_keeps_python_out(spark):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     p2 = plan(Q.REGISTRY["candidate_docs"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in p2
+    assert "Python" not in p2
 
 
 def test_text_extraction_reads_html_only_for_selected(spark):
     a = Q.unique_articles(spark, SF)
     kept = Q.kept_selection(spark, SF, a)
     p = plan(Q.selected_texts(spark, SF, kept))
-    # the semi join with the selection happens before the text expressions
-    assert "LeftSemi" in p
+    # both joins with the selection happen before any text is extracted
+    assert p.index("ArrowEvalPython") < p.index("Join")
+
+
+def test_html_of_unselected_pages_is_not_shuffled(spark):
+    """Without a broadcast of the ids, the filter of fixed size still stands
+    between the html scan and the semi join's exchange."""
+    from gazette.operators.extract import texts_for_selected
+    from gazette.sources.tables import read_table
+    pages = read_table(spark, SF, "pages")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(texts_for_selected(pages, pages.selectExpr("page_id as ord").where("ord < 5")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = p[p.index("Exchange hashpartitioning"):]
+    assert "BroadcastHashJoin" in below and below.index("BroadcastHashJoin") < below.index("html")
 
 
 def test_no_cartesian_products(spark):
