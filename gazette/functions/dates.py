@@ -1,7 +1,8 @@
 """Date expressions: the Portuguese date-text chain, recency, digest dates.
 
 ``as_of`` is always an explicit timestamp (a Column or a string literal);
-nothing here reads the clock, so reruns are deterministic.
+nothing here reads the clock, so reruns are deterministic. All results are
+TIMESTAMP_NTZ in UTC and no step depends on the session's time zone.
 """
 
 from __future__ import annotations
@@ -32,12 +33,35 @@ EARLIEST = "0001-01-01 00:00:00"
 
 
 def as_ts(as_of) -> Column:
-    return F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of
+    return (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp_ntz")
+
+
+def _number(c: Column) -> Column:
+    return c.try_cast("int")
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(_number(y), _number(m), _number(d), zero, zero, zero.cast("decimal(16,6)"))
+
+
+def minus_seconds(ts: Column, seconds: Column) -> Column:
+    """``ts`` moved back; days and seconds apart, as intervals hold no more
+    than 10^12 seconds."""
+    return ts - F.make_dt_interval(
+        F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)"))
+
+
+ZONE = r"(?:Z|[+-]\d{2}:?\d{2})$"
+
+
+def _iso(v: Column) -> Column:
+    """ISO text; a zone is applied (the result is in UTC), text without one
+    is taken as it stands."""
+    zoned = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(v.try_cast("timestamp")).cast("decimal(24,0)") / F.lit(1000000)).cast("decimal(18,6)"))
+    return F.when(v.rlike(ISO_DATE), F.when(v.rlike("[T ].*" + ZONE), zoned).otherwise(
+        F.regexp_replace(v, "Z$", "").try_cast("timestamp_ntz")))
 
 
 def parse_date(c, as_of, slash_order: str = "mdy_then_dmy") -> Column:
@@ -69,13 +93,13 @@ def with_parsed_date(df, src: str, as_of, out: str = "published_at",
 
 def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_order) -> Column:
     now = as_ts(as_of)
-    iso = F.when(v.rlike(ISO_DATE), F.regexp_replace(v, r"Z$", "").try_cast("timestamp"))
+    iso = _iso(v)
     bare = js_trim(v)
     mdy = F.when(bare.rlike(BARE_MONTH_FIRST), _ymd(
         F.regexp_extract(bare, BARE_MONTH_FIRST, 3), F.regexp_extract(bare, BARE_MONTH_FIRST, 1),
         F.regexp_extract(bare, BARE_MONTH_FIRST, 2)))
     if slash_order == "dmy":
-        mdy = F.lit(None).cast("timestamp")
+        mdy = F.lit(None).cast("timestamp_ntz")
     english = _english(bare)
     y = F.regexp_extract(v, DAY_FIRST_DATE, 3)
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).when(F.length(y) == 4, y)
@@ -87,12 +111,11 @@ def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_orde
         unit_s = F.when(unit.startswith(name), F.lit(secs)).otherwise(unit_s)
     offset = F.try_multiply(amount, unit_s)
     relative = F.when(unit != "", F.when(
-        offset.isNull() | (offset > MAX_OFFSET_SECONDS), F.to_timestamp(F.lit(EARLIEST)))
-        .otherwise(F.timestamp_seconds(F.unix_seconds(now) - offset)))
-    yesterday = F.when(nv.contains(YESTERDAY_WORD),
-                       F.timestamp_seconds(F.unix_seconds(now) - 86400))
+        offset.isNull() | (offset > MAX_OFFSET_SECONDS), F.lit(EARLIEST).cast("timestamp_ntz"))
+        .otherwise(minus_seconds(now, offset)))
+    yesterday = F.when(nv.contains(YESTERDAY_WORD), minus_seconds(now, F.lit(86400)))
     parsed = F.coalesce(iso, mdy, english, dmy, relative, yesterday)
-    return F.when(v.isNull() | (v == ""), F.lit(None).cast("timestamp")).otherwise(parsed)
+    return F.when(v.isNull() | (v == ""), F.lit(None).cast("timestamp_ntz")).otherwise(parsed)
 
 
 def _english(bare: Column) -> Column:
@@ -101,20 +124,15 @@ def _english(bare: Column) -> Column:
     day = F.when(g(1) != "", g(1)).otherwise(g(4))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]),
                              F.lower(F.substring(word, 1, 3)))
-    hh = F.when(g(6) != "", g(6)).otherwise(F.lit("0"))
-    mm = F.when(g(7) != "", g(7)).otherwise(F.lit("0"))
-    ss = F.when(g(8) != "", g(8)).otherwise(F.lit("0"))
-    text = F.concat(g(5), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
-                    F.lpad(day, 2, "0"), F.lit(" "), F.lpad(hh, 2, "0"), F.lit(":"),
-                    F.lpad(mm, 2, "0"), F.lit(":"), F.lpad(ss, 2, "0"))
-    return F.when(bare.rlike(ENGLISH_DATE) & (month > 0),
-                  F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+    part = lambda i: F.coalesce(_number(g(i)), F.lit(0))
+    return F.when(bare.rlike(ENGLISH_DATE) & (month > 0), F.try_make_timestamp_ntz(
+        _number(g(5)), month.cast("int"), _number(day), part(6), part(7), part(8).cast("decimal(16,6)")))
 
 
 def is_within_days(ts, as_of, days: int) -> Column:
     """Unknown date -> keep; else not older than ``days`` before ``as_of``."""
     t = col_(ts)
-    cutoff = F.timestamp_seconds(F.unix_seconds(as_ts(as_of)) - int(days) * 86400)
+    cutoff = minus_seconds(as_ts(as_of), F.lit(int(days) * 86400))
     # One reference to ``ts``: a pushed-down filter inlines the whole parse
     # expression for every reference.
     return F.coalesce(t >= cutoff, F.lit(True))
@@ -138,5 +156,4 @@ def ts_text(ts) -> Column:
 def parse_iso(c) -> Column:
     """The subset of date text both engines agree on: ISO date / date-time
     with optional zone; anything else is null (callers treat null as keep)."""
-    v = col_(c)
-    return F.when(v.rlike(ISO_DATE), F.regexp_replace(v, r"Z$", "").try_cast("timestamp"))
+    return _iso(col_(c))

@@ -109,12 +109,6 @@ def identity_host_from(parts: dict[str, Column]) -> Column:
     return F.when(host != "", host).otherwise(F.lit("unknown"))
 
 
-def link_host(c) -> Column:
-    """Lower-case host of a parseable link, '' otherwise."""
-    p = url_parts(c)
-    return F.when(p["ok"], p["host"]).otherwise(F.lit(""))
-
-
 def site_label(c) -> Column:
     """host without a leading ``www.``; the input itself if unparseable."""
     p = url_parts(c)
@@ -124,3 +118,8 @@ def site_label(c) -> Column:
 def doc_id_from_link(c) -> Column:
     """first ``/d/<id>/`` segment of a document link (null if none)."""
     return F.nullif(F.regexp_extract(col_(c), r"/d/([^/]+)/", 1), F.lit(""))
+
+
+def doc_link(doc_id) -> Column:
+    """A stored document's link, built from its id (the import's default)."""
+    return F.concat(F.lit("https://docs.google.com/document/d/"), col_(doc_id).cast("string"), F.lit("/edit"))

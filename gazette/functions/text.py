@@ -32,7 +32,8 @@ def accent_map() -> tuple[str, str]:
             if len(base) == 1 and base != ch:
                 src.append(ch)
                 dst.append(base)
-    return "".join(src), "".join(dst)
+    # marks of already decomposed text have no target: translate drops them
+    return "".join(src) + "".join(map(chr, range(0x300, 0x370))), "".join(dst)
 
 
 def col_(c) -> Column:
@@ -111,9 +112,10 @@ def clean_topics(arr) -> Column:
     return F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))
 
 
-def date_tag(c) -> Column:
-    """F16: first 16 chars of the raw date text, else 'sem data'."""
-    return F.coalesce(F.substring(F.nullif(col_(c), F.lit("")), 1, 16), F.lit("sem data"))
+def date_tag(c, max_chars: int | None = 16) -> Column:
+    """F16: first ``max_chars`` of the raw date text (None: all), else 'sem data'."""
+    text = F.nullif(col_(c), F.lit(""))
+    return F.coalesce(text if max_chars is None else F.substring(text, 1, max_chars), F.lit("sem data"))
 
 
 def decode_basic_entities(c) -> Column:

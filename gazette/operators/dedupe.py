@@ -16,6 +16,8 @@ of rounds decide everything. Rounds work only on still-undecided (row, key)
 pairs of keys held by more than one row, which shrink each round; the
 undecided set is checkpointed to the shared checkpoint folder every round,
 so plans and lineage stay flat and a lost executor costs one round at most.
+A long dependency chain (A{1}, B{1,2}, C{2,3}, ...) takes a round for every
+two of its rows; there is no other way out and no cap.
 
 Skew: the per-key minimum is a partial (map-side) aggregate, so a key held
 by a third of all rows costs one pre-aggregated value per map task; the
@@ -33,40 +35,6 @@ from pyspark.sql import functions as F
 from gazette.session import cut_lineage
 
 
-# After this many rounds, a residue of at most RESIDUE_MAX_PAIRS undecided
-# (row, key) pairs - a size checked with a count, so bounded by construction -
-# is finished by an exact ordered scan per group instead of more rounds. Only
-# long dependency chains (A{1}, B{1,2}, C{2,3}, ...) ever get here.
-RESIDUE_AFTER_ROUNDS = 8
-RESIDUE_MAX_PAIRS = 200_000
-
-
-def _finish_residue(undecided: DataFrame, g: list[str], order_col: str) -> DataFrame:
-    """Exact sequential scan over the (bounded) residue: rows decided in the
-    rounds claimed nothing that a residue row holds, so the residue is an
-    independent problem."""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    ids = g + [order_col]
-    fields = [undecided.schema[c] for c in ids] + [StructField("kept", BooleanType())]
-    schema = StructType(fields)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        claimed, rows = set(), []
-        for _, part in pdf.sort_values(order_col).groupby(order_col, sort=True):
-            keys = set(part["key"])
-            keep = not (keys & claimed)
-            if keep:
-                claimed |= keys
-            rows.append([part[c].iloc[0] for c in ids] + [keep])
-        return pd.DataFrame(rows, columns=ids + ["kept"])
-
-    src = undecided.select(*ids, "key") if g else undecided.select(*ids, "key", F.lit(0).alias("_all"))
-    grouped = src.groupBy(*(g or ["_all"]))
-    return grouped.applyInPandas(scan, schema)
-
-
 def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
                   group_cols: Sequence[str] = (), materialize_input: bool = True) -> DataFrame:
     """Return ``df`` plus a boolean ``kept``; (group_cols, order_col) must be unique.
@@ -89,12 +57,7 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
     n_keys = shared.groupBy(*ids).agg(F.count("*").alias("nk"))
     undecided = cut_lineage(shared.join(n_keys, ids))
     decided: list[DataFrame] = []
-    rounds = 0
     while not undecided.isEmpty():
-        if rounds >= RESIDUE_AFTER_ROUNDS and undecided.count() <= RESIDUE_MAX_PAIRS:
-            decided.append(cut_lineage(_finish_residue(undecided, g, order_col)))
-            break
-        rounds += 1
         first = (undecided.groupBy(*g, "key")
                  .agg(F.min(F.struct(F.col(order_col), F.col("nk"))).alias("m"))
                  .select(*g, "key", F.col("m")[order_col].alias("mo"), F.col("m.nk").alias("mnk")))
@@ -105,12 +68,11 @@ def greedy_dedupe(df: DataFrame, order_col: str, keys_col: str,
         hit = (undecided.join(claimed.select(*g, "key"), g + ["key"], "left_semi")
                .select(*ids).distinct())
         removed = hit.join(roots, ids, "left_anti")
-        # The round's verdicts are persisted (their lineage starts at this
-        # round's checkpointed input, so a lost block costs one round); the
-        # shrinking undecided set is checkpointed, which keeps every round's
-        # plan as small as the first one's.
-        round_result = (roots.withColumn("kept", F.lit(True))
-                        .unionByName(removed.withColumn("kept", F.lit(False)))).persist()
+        # The verdicts and the shrinking undecided set are both checkpointed:
+        # nothing stays pinned on the executors and every round's plan is as
+        # small as the first one's.
+        round_result = cut_lineage(roots.withColumn("kept", F.lit(True))
+                                   .unionByName(removed.withColumn("kept", F.lit(False))))
         decided.append(round_result)
         undecided = cut_lineage(undecided.join(round_result.select(*ids), ids, "left_anti"))
     status = None

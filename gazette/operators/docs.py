@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.dates import is_within_days
+from gazette.functions.dates import as_ts, is_within_days
+from gazette.functions.links import doc_link
 from gazette.functions.text import col_, js_trim, normalize_search_text
 
 
@@ -20,22 +21,56 @@ def search_token(name) -> Column:
     return F.when(F.size(toks) > 0, F.element_at(toks, -1)).otherwise(col_(name))
 
 
-def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE_PAGE) -> DataFrame:
-    """Per persona, documents whose name holds the persona's search token
-    as a word (case-insensitive), newest first, at most ``page``.
-
-    A persona's candidates depend only on its token, so each word's ``page``
-    newest documents are cut first (a partial windowed group limit), then
-    joined to the personas by word: a word in every document name costs
-    ``page`` rows per persona, never personas x documents."""
-    words = docs.select("id", "name", "modified_time", "web_view_link", F.explode(
-        F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}-]+"))).alias("word"))
-    by_word = Window.partitionBy("word").orderBy(F.col("modified_time").desc_nulls_last(), F.col("id"))
-    newest = (words.filter(F.col("word") != "").withColumn("cand_rank", F.row_number().over(by_word))
-              .filter(F.col("cand_rank") <= page))
-    tok = personas.select(F.col("id").alias("persona_id"), "nome",
-                          F.lower(search_token(F.col("nome"))).alias("word"))
-    return tok.join(newest, "word").drop("word")
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    n = F.char_length(text) - size
+    return F.array_distinct(F.transform(F.when(n >= 0, F.sequence(F.lit(1), n + 1)).otherwise(
+        F.array().cast("array<int>")), lambda i: F.substring(text, i, size)))
+
+
+def _containing(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(part, text) for every distinct ``part`` found inside a distinct
+    ``text``: they meet in an equi-join on the part's first (up to three)
+    characters, and the rest is compared there."""
+    parts = parts.select("part", F.least(F.char_length("part"), F.lit(3)).alias("size")).distinct()
+    parts = parts.withColumn("gram", F.substring(F.col("part"), F.lit(1), F.col("size")))
+    grams = (texts.select("text").distinct().withColumn("size", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+             .withColumn("gram", F.explode(_grams(F.col("text"), F.col("size")))))
+    return parts.join(grams, ["size", "gram"]).filter(F.col("text").contains(F.col("part"))).select("part", "text")
+
+
+def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE_PAGE,
+                   kind: str | None = None, folder: str | None = None) -> DataFrame:
+    """Per persona, documents whose name contains the persona's search
+    token (case-insensitive), newest first, at most ``page``.
+
+    ``kind`` keeps documents of one mime_type, ``folder`` those with that
+    parent; a ``trashed`` column, where there is one, drops trashed ones.
+
+    A persona's candidates depend only on its token. A token without white
+    space lies inside one word of a name, so distinct tokens meet distinct
+    words, then the documents by word; a phrase meets whole names. Each
+    token's ``page`` newest documents are cut (a partial windowed group
+    limit) before the personas join, so a token found in every name costs
+    ``page`` rows a persona, never personas x documents."""
+    if kind is not None:
+        docs = docs.filter(F.col("mime_type") == kind)
+    if folder is not None:
+        docs = docs.filter(F.array_contains("parents", folder))
+    if "trashed" in docs.columns:
+        docs = docs.filter(~F.coalesce(F.col("trashed"), F.lit(False)))
+    named = docs.select("id", "name", "modified_time", "web_view_link", F.lower("name").alias("text"))
+    tokens = personas.select(F.col("id").alias("persona_id"), "nome",
+                             F.lower(search_token(F.col("nome"))).alias("part")).filter(F.col("part") != "")
+    spaced = F.col("part").rlike(r"\s")
+    words = named.select("id", "name", "modified_time", "web_view_link",
+                         F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text"))
+    by_word = _containing(tokens.filter(~spaced), words).join(words, "text")
+    by_name = _containing(tokens.filter(spaced), named).join(named, "text")
+    met = by_word.unionByName(by_name).drop("text").dropDuplicates(["part", "id"])
+    by_part = Window.partitionBy("part").orderBy(F.col("modified_time").desc_nulls_last(), F.col("id"))
+    newest = met.withColumn("cand_rank", F.row_number().over(by_part)).filter(F.col("cand_rank") <= page)
+    return tokens.join(newest, "part").drop("part")
 
 
 def is_doc_for_persona(file_name, persona_name) -> Column:
@@ -128,9 +163,10 @@ def hydrate_history(history: DataFrame, personas: DataFrame, docs: DataFrame, bo
     its = parse_doc_items(texts)
     sent = mine.join(its, "id").select(
         "persona_id",
-        (F.col("doc_rank") * 1_000_000 + F.col("item_no")).alias("seq"),
+        F.row_number().over(Window.partitionBy("persona_id").orderBy("doc_rank", "item_no"))
+        .cast("bigint").alias("seq"),
         "title", F.col("title").alias("chamada"), "resumo", "link",
         F.lit(None).cast("string").alias("site"),
-        F.col("modified_time").alias("sent_at"),
-        F.col("name").alias("doc_title"), F.col("web_view_link").alias("doc_link"))
+        F.coalesce("modified_time", as_ts(as_of)).alias("sent_at"),
+        F.col("name").alias("doc_title"), F.coalesce("web_view_link", doc_link("id")).alias("doc_link"))
     return record_sent(history, sent, sent_at=None, as_of=as_of, lookback_days=lookback_days)

@@ -15,12 +15,11 @@ def title_tokens(articles: DataFrame) -> DataFrame:
             .filter(F.col("token") != "").distinct())
 
 
-def topic_tokens(personas: DataFrame, column: str) -> DataFrame:
-    """(persona_id, token): words of a persona's cleaned topic list."""
-    topics = personas.select(F.col("id").alias("persona_id"),
-                             F.explode(clean_topics(column)).alias("topic"))
-    return (topics.select("persona_id", F.explode(title_words("topic")).alias("token"))
-            .filter(F.col("token") != "").distinct())
+def topic_tokens(profiles: DataFrame, column: str, key: str = "profile") -> DataFrame:
+    """(key, topic, token): words of each topic of a cleaned topic list."""
+    topics = profiles.select(key, F.explode(F.array_distinct(F.col(column))).alias("topic"))
+    return (topics.select(key, "topic", F.explode(F.array_distinct(title_words("topic"))).alias("token"))
+            .filter(F.col("token") != ""))
 
 
 def preselection_limit(max_per_persona: int = K.MAX_PER_PERSONA,
@@ -36,31 +35,34 @@ def lexical_select(articles: DataFrame, personas: DataFrame,
     preselection. It honours the prompt's checkable rules: priority topics,
     the avoid list, newer first, at most ``limit`` per persona.
 
-    Retrieval is per topic word: each word's ``limit`` newest articles (a
-    windowed group limit, partial before the shuffle, so a word in a third
-    of all titles costs ``limit`` rows per map task). A persona's candidates
-    are the union over its topic words, scored by how many of its words
-    retrieved the article. Candidates holding an avoid word are dropped.
-    They are ranked by score, then newest (undated last), then ``ord``.
-    Work per persona is bounded by (topic words x limit), never by
-    (personas x articles).
+    An article is a candidate of a persona when its title holds a word of one
+    of the priority topics; the score is the number of topics met that way.
+    Candidates whose title holds a word of the avoid list are dropped. The
+    rest is ranked by score, then newest (undated last), then ``ord``, and
+    only then cut to ``limit``.
+
+    Personas with the same two topic lists share one profile, so the work is
+    done once per distinct profile. Titles and topics meet in an equi-join on
+    words (a hot word is a skewed join key, which AQE splits), scores are a
+    partial aggregate, and the cut is a windowed group limit.
     """
     limit = limit or preselection_limit()
+    lists = personas.select(F.col("id").alias("persona_id"),
+                            F.array_sort(F.array_distinct(clean_topics("prioridades"))).alias("likes"),
+                            F.array_sort(F.array_distinct(clean_topics("evitar"))).alias("avoids"))
+    lists = lists.withColumn("profile", F.to_json(F.struct("likes", "avoids")))
+    profiles = lists.select("profile", "likes", "avoids").dropDuplicates(["profile"])
     tt = title_tokens(articles)
-    dated = tt.join(articles.select("ord", "published_at"), "ord")
-    w_word = Window.partitionBy("token").orderBy(F.col("published_at").desc_nulls_last(),
-                                                 F.col("ord"))
-    recent = (dated.withColumn("_r", F.row_number().over(w_word)).filter(F.col("_r") <= limit)
-              .select("token", "ord", "published_at"))
-    cand = (topic_tokens(personas, "prioridades").join(recent, "token")
-            .groupBy("persona_id", "ord", "published_at").agg(F.count("*").alias("score")))
-    avoided = (cand.select("persona_id", "ord").join(tt, "ord")
-               .join(topic_tokens(personas, "evitar"), ["persona_id", "token"], "left_semi")
-               .select("persona_id", "ord").distinct())
-    cand = cand.join(avoided, ["persona_id", "ord"], "left_anti")
-    w = Window.partitionBy("persona_id").orderBy(F.col("score").desc(),
-                                                 F.col("published_at").desc_nulls_last(),
-                                                 F.col("ord"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    scores = (topic_tokens(profiles, "likes").join(tt, "token")
+              .groupBy("profile", "ord").agg(F.countDistinct("topic").alias("score")))
+    avoided = (topic_tokens(profiles, "avoids").select("profile", "token").distinct()
+               .join(tt, "token").select("profile", "ord").distinct())
+    cand = (scores.join(avoided, ["profile", "ord"], "left_anti")
+            .join(articles.select("ord", "published_at"), "ord"))
+    w = Window.partitionBy("profile").orderBy(F.col("score").desc(),
+                                              F.col("published_at").desc_nulls_last(),
+                                              F.col("ord"))
+    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return (lists.select("persona_id", "profile").join(ranked, "profile")
             .select("persona_id", F.col("rank").cast("bigint").alias("rank"), "ord",
                     F.col("score").cast("bigint").alias("score")))
