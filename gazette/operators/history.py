@@ -25,6 +25,9 @@ HISTORY_COLS = ["persona_id", "entry_pos", "title", "chamada", "resumo", "link",
                 "source_title_keys", "source", "sent_at", "doc_title", "doc_link"]
 
 
+HISTORY_BUCKETS = 64
+
+
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     """The JSON history file -> raw entries (persona_id, entry_pos, ...).
     Malformed JSON fails the read (FAILFAST), as the reference refuses it."""
@@ -78,7 +81,9 @@ def entry_match_keys(history: DataFrame) -> DataFrame:
     return both.filter(F.col("key").isNotNull() & (F.col("key") != ""))
 
 
-def history_context(history: DataFrame, max_items: int = K.HISTORY_PROMPT_ITEMS) -> DataFrame:
+def history_context(history: DataFrame, max_items: int = K.HISTORY_PROMPT_ITEMS,
+                    title_chars: int | None = K.HISTORY_TITLE_LIMIT, chamada_chars: int | None = K.HISTORY_CHAMADA_LIMIT,
+                    resumo_chars: int | None = K.HISTORY_RESUMO_LIMIT) -> DataFrame:
     """(persona_id, line_no, line) for the newest ``max_items`` entries;
     unknown send times sort last, ties in stored order."""
     w = Window.partitionBy("persona_id").orderBy(F.col("sent_at").desc_nulls_last(),
@@ -88,9 +93,9 @@ def history_context(history: DataFrame, max_items: int = K.HISTORY_PROMPT_ITEMS)
         F.coalesce(F.col(c), F.lit("")) != "",
         F.concat(F.lit(label), truncate_text(F.col(c), limit) if limit else F.col(c)))
     line = F.concat_ws(" | ",
-                       part("title", "Titulo original: ", K.HISTORY_TITLE_LIMIT),
-                       part("chamada", "Chamada enviada: ", K.HISTORY_CHAMADA_LIMIT),
-                       part("resumo", "Resumo enviado: ", K.HISTORY_RESUMO_LIMIT),
+                       part("title", "Titulo original: ", title_chars),
+                       part("chamada", "Chamada enviada: ", chamada_chars),
+                       part("resumo", "Resumo enviado: ", resumo_chars),
                        part("link", "Link: ", None))
     return (top.select("persona_id", F.col("line_no").cast("bigint").alias("line_no"),
                        line.alias("line")).filter(F.col("line") != ""))
@@ -159,35 +164,48 @@ def _fold_upserts():
         if sent.empty:
             return pd.DataFrame({"persona_id": [], "entry_pos": [], "seq": []})
         persona = sent["persona_id"].iloc[0]
-        state = [[int(r.entry_pos), r.normalized_link or "", set(r.keys if r.keys is not None else ()),
-                  None] for r in hist.sort_values("entry_pos").itertuples()]
+        def names(r):
+            keys = [("T", k) for k in (r.keys if r.keys is not None else ())]
+            return keys + [("L", r.normalized_link)] * bool(r.normalized_link)
+
+        held: dict[int, list] = {}  # place: its keys now
+        at: dict[tuple, set] = {}  # key: places that hold it
+        seqs: dict[int, int] = {}
+
+        def put(place: int, keys: list) -> None:
+            for k in held.get(place, ()):
+                at[k].discard(place)
+            held[place] = keys
+            for k in keys:
+                at.setdefault(k, set()).add(place)
+
+        for r in hist.sort_values("entry_pos").itertuples():
+            put(int(r.entry_pos), names(r))
         next_pos = int(sent["max_pos"].iloc[0]) if pd.notna(sent["max_pos"].iloc[0]) else -1
         for r in sent.sort_values("seq").itertuples():
-            link = r.normalized_link or ""
-            keys = set(r.keys if r.keys is not None else ())
-            hit = next((e for e in state if (link and e[1] == link) or (e[2] & keys)), None)
-            if hit is None:
-                next_pos += 1
-                state.append([next_pos, link, keys, int(r.seq)])
-            else:
-                hit[1], hit[2], hit[3] = link, keys, int(r.seq)
-        rows = [(persona, e[0], e[3]) for e in state if e[3] is not None]
+            keys = names(r)
+            place = min((min(at[k]) for k in keys if at.get(k)), default=None)
+            if place is None:
+                place = next_pos = next_pos + 1
+            put(place, keys)
+            seqs[place] = int(r.seq)
+        rows = [(persona, place, seq) for place, seq in seqs.items()]
         return pd.DataFrame(rows, columns=["persona_id", "entry_pos", "seq"])
     return fold
 
 
-def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_link=None,
-                as_of=None, lookback_days: int = K.LOOKBACK_DAYS) -> DataFrame:
-    """Upsert sent articles into a persona's history, then retention.
+def upserts(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_link=None) -> DataFrame:
+    """The entries that sent articles become, each at the place of the
+    entry it replaces or after the persona's last one.
 
     sent: (persona_id, seq, title, chamada, resumo, link, site) in send order.
     Only history entries sharing a key with some sent row take part in the
-    ordered fold (a cogrouped pandas fold per persona); untouched entries
-    pass through as a plain relational anti join + union.
+    ordered fold (a cogrouped pandas fold per persona).
     """
     s = with_identity(sent, title=F.coalesce("title", F.lit("")), link="link",
                       chamada=F.coalesce("chamada", F.lit("")))
-    s = s.filter((F.col("normalized_link") != "") | (F.size("source_title_keys") > 0))
+    # read by the keys, the fold and the new rows: materialised once
+    s = cut_lineage(s.filter((F.col("normalized_link") != "") | (F.size("source_title_keys") > 0)))
     s_keys = (s.select("persona_id", "seq", F.lit("L").alias("kind"),
                        F.col("normalized_link").alias("key"))
               .unionByName(s.select("persona_id", "seq", F.lit("T").alias("kind"),
@@ -215,41 +233,41 @@ def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, do
         F.coalesce("link", F.lit("")).alias("link"),
         "normalized_link", "title_key", "title_keys", "source_title_key", "source_title_keys",
         F.col("site").alias("source"),
-        (F.col("sent_at") if "sent_at" in s.columns else F.lit(sent_at).cast("timestamp"))
+        (F.col("sent_at") if "sent_at" in s.columns else F.lit(sent_at).cast("timestamp_ntz"))
         .alias("sent_at"),
         (F.col("doc_title") if "doc_title" in s.columns else F.lit(doc_title).cast("string"))
         .alias("doc_title"),
         (F.col("doc_link") if "doc_link" in s.columns else F.lit(doc_link).cast("string"))
         .alias("doc_link"))
-    kept_old = history.join(placed.select("persona_id", "entry_pos"), ["persona_id", "entry_pos"],
+    return cut_lineage(new_rows.select(*HISTORY_COLS))
+
+
+def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_link=None,
+                as_of=None, lookback_days: int = K.LOOKBACK_DAYS) -> DataFrame:
+    """The history with sent articles upserted, then retention. Untouched
+    entries pass through a plain anti join."""
+    new = upserts(history, sent, sent_at, doc_title, doc_link)
+    kept_old = history.join(new.select("persona_id", "entry_pos"), ["persona_id", "entry_pos"],
                             "left_anti").select(*HISTORY_COLS)
-    out = kept_old.unionByName(new_rows.select(*HISTORY_COLS))
+    out = kept_old.unionByName(new)
     if as_of is not None:
         out = out.filter(is_within_days("sent_at", as_of, lookback_days))
     return out
 
 
 def save_history(history: DataFrame, base_dir: str) -> str:
-    """K1: write the history snapshot as a new partitioned Parquet version
-    (never over a path that is being read) and return its path."""
+    """K1: write the history snapshot as a new Parquet version (never over a
+    path that is being read) and return its path. Personas are clustered in
+    ``HISTORY_BUCKETS`` folders by hash, not one folder each, so the number of
+    files doesn't grow with the personas."""
     import uuid
     path = f"{base_dir.rstrip('/')}/history/v={uuid.uuid4().hex}"
-    history.select(*HISTORY_COLS).write.mode("errorifexists").partitionBy("persona_id").parquet(path)
+    bucket = F.pmod(F.xxhash64("persona_id"), F.lit(HISTORY_BUCKETS)).cast("int")
+    (history.select(*HISTORY_COLS, bucket.alias("bucket")).repartition("bucket")
+     .sortWithinPartitions("bucket", "persona_id", "entry_pos")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(path))
     return path
 
 
 def load_saved_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*HISTORY_COLS)
-
-
-def history_json_lines(history: DataFrame) -> DataFrame:
-    """The stored-file entry shape, one JSON document per persona and entry
-    (``persona_id``, ``entry``), so export never funnels through one task."""
-    entry = F.struct(
-        "title", "chamada", "resumo", "link", F.col("normalized_link").alias("normalizedLink"),
-        F.col("title_key").alias("titleKey"), F.col("title_keys").alias("titleKeys"),
-        F.col("source_title_key").alias("sourceTitleKey"),
-        F.col("source_title_keys").alias("sourceTitleKeys"), "source",
-        F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("sentAt"),
-        F.col("doc_title").alias("docTitle"), F.col("doc_link").alias("docLink"))
-    return history.select("persona_id", "entry_pos", F.to_json(entry).alias("entry"))

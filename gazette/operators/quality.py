@@ -65,21 +65,24 @@ def collect_articles(articles: DataFrame, as_of, k: int = K.MAX_PER_SITE,
 
 def site_funnel(articles: DataFrame, as_of, k: int = K.MAX_PER_SITE,
                 days_back: int = K.DAYS_BACK) -> DataFrame:
-    """A1 + P10: per-site raw / title-rejected / date-rejected / kept counts and
-    the empty-site reason."""
+    """A1 + P10: per-site raw / title-rejected / date-rejected / kept /
+    over-limit counts, the undated ones among the kept, and the empty-site
+    reason."""
     a = annotate(articles, as_of, days_back)
     agg = a.groupBy("site").agg(
         F.count("*").alias("raw_count"),
         F.count_if(~F.col("title_ok")).alias("title_filtered"),
         F.count_if(F.col("title_ok") & ~F.col("date_ok")).alias("date_filtered"),
-        F.count_if(F.col("title_ok") & F.col("date_ok")).alias("found"),
-        F.count_if(F.col("title_ok") & F.col("date_ok") & F.col("date_str").isNull())
-        .alias("undated_found"))
+        F.count_if(F.col("title_ok") & F.col("date_ok")).alias("found"))
     kept = F.least(F.col("found"), F.lit(k))
-    return agg.select(
+    shown = top_per_site(a.filter("title_ok AND date_ok"), k)
+    undated = shown.groupBy("site").agg(
+        F.count_if(F.coalesce(F.col("date_str"), F.lit("")) == "").alias("undated"))
+    return agg.join(undated, "site", "left").select(
         "site", "raw_count", "title_filtered", "date_filtered",
         kept.alias("kept"),
         F.greatest(F.col("found") - F.lit(k), F.lit(0)).alias("over_limit"),
+        F.coalesce("undated", F.lit(0)).alias("undated"),
         empty_site_reason(F.col("raw_count"), F.col("title_filtered"), F.col("date_filtered"),
                           kept, days_back).alias("reason"))
 

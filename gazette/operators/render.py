@@ -7,23 +7,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.dates import digest_date, digest_title
+from gazette.functions.dates import as_ts, digest_date, digest_title
 from gazette.functions.text import squash
 
 SENTENCE = r"[^.!?]+[.!?]*"
 
 
-def lead_summary(articles: DataFrame) -> DataFrame:
-    """M8 (declared stand-in for the model's summary): headline = first 15
-    words of the title, summary = first 3 sentences of the text, link kept.
+def lead_summary(articles: DataFrame, max_words: int = 15, max_sentences: int = 3) -> DataFrame:
+    """M8 (declared stand-in for the model's summary): headline = first
+    ``max_words`` words of the title, summary = first ``max_sentences``
+    sentences of the text, link kept.
     Input (ord, title, link, text) - one row per distinct article (J3)."""
     words = F.split(squash(F.coalesce("title", F.lit(""))), " ")
     sentences = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), 0),
                             lambda s: F.trim(s))
     return articles.select(
         "ord",
-        F.array_join(F.slice(words, 1, 15), " ").alias("chamada"),
-        F.array_join(F.slice(F.filter(sentences, lambda s: s != ""), 1, 3), " ").alias("resumo"),
+        F.array_join(F.slice(words, 1, max_words), " ").alias("chamada"),
+        F.array_join(F.slice(F.filter(sentences, lambda s: s != ""), 1, max_sentences), " ").alias("resumo"),
         F.col("link").alias("link"))
 
 
@@ -55,7 +56,7 @@ def render_digest(items: DataFrame, personas: DataFrame, run_ts) -> DataFrame:
     """K2 + K4: one document per persona with at least one item:
     (persona_id, doc_title, n_items, body). Items are concatenated in
     item order (at most the per-persona cap, so each group is small)."""
-    ts = F.to_timestamp(F.lit(run_ts)) if isinstance(run_ts, str) else run_ts
+    ts = as_ts(run_ts)
     p = _parts(items)
     docs = p.groupBy("persona_id").agg(
         F.count("*").cast("bigint").alias("n_items"),
@@ -72,7 +73,7 @@ def digest_spans(items: DataFrame, run_ts) -> DataFrame:
     """K3: (persona_id, span_no, start, end, style). Heading-1 over the header,
     heading-2 over each item's first line, link style over the URL; the
     cursor is a running length from 1 (W5). Offsets count code points."""
-    ts = F.to_timestamp(F.lit(run_ts)) if isinstance(run_ts, str) else run_ts
+    ts = as_ts(run_ts)
     header_len = F.char_length(F.concat(F.lit(K.DIGEST_HEADER_PREFIX), digest_date(ts), F.lit("\n\n")))
     p = _parts(items).withColumn(
         "item_len", F.char_length("chamada_text") + F.char_length("resumo_text") + F.char_length("link_text"))

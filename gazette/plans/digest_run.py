@@ -1,12 +1,12 @@
 """The composed batch run: one call from raw pages to digests and history.
 
-run_digest(pages, personas, history, ...) follows the reference's stages:
-collect (extract, filter, per-site cut) -> dedupe -> preselect (lexical
-stand-in) -> suppress repeats -> article text -> summaries (stand-in) ->
-render -> upsert history. It writes the digest documents and the new
-history version under ``out_dir`` and returns their paths; every stage is a
-DataFrame job and the intermediate tables are checkpoints in the shared
-checkpoint folder.
+run_digest(listings, personas, history, ...): check the personas, collect
+(extract the candidates of every listing page with their own dates, filter,
+per-site cut), dedupe, preselect (lexical stand-in), suppress repeats, article
+text, summaries (stand-in), render, upsert history. It writes the digest
+documents and the new history version under ``out_dir`` and returns their
+paths; every stage is a DataFrame job and the intermediate tables are
+checkpoints in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from gazette.operators import history as hist
 from gazette.operators import quality
 from gazette.operators import render as rd
 from gazette.operators.dedupe import greedy_dedupe
-from gazette.operators.extract import texts_for_selected
+from gazette.operators.extract import articles_from_listings, texts_for_links
+from gazette.operators.personas import validate_personas
 from gazette.operators.select import lexical_select
 from gazette.session import cut_lineage
-from gazette.sources.derived import articles_from_pages
 from gazette.sources.files import write_digests
 
 
@@ -37,22 +37,38 @@ class RunOutput:
     history: DataFrame
 
 
-def run_digest(pages: DataFrame, personas: DataFrame, history: DataFrame, as_of: str,
-               out_dir: str, days_back: int = K.DAYS_BACK, max_per_site: int = K.MAX_PER_SITE,
-               max_per_persona: int = K.MAX_PER_PERSONA) -> RunOutput:
-    """pages: (page_id, url, html); personas: (persona_idx, id, nome, descricao,
-    prioridades, evitar); history: the repaired history (``repair_entries``)."""
-    arts = quality.collect_articles(articles_from_pages(pages), as_of, max_per_site, days_back)
+def unique_articles(listings: DataFrame, as_of, max_per_site: int = K.MAX_PER_SITE,
+                    days_back: int = K.DAYS_BACK) -> DataFrame:
+    """S2/S3 -> P1/F9/P2 -> W1/W7 -> D1: the run's articles, each once."""
+    arts = quality.collect_articles(articles_from_listings(listings), as_of, max_per_site, days_back)
     arts = with_identity(arts).withColumn("keys", dedupe_keys("normalized_link", "source_title_keys"))
-    unique = cut_lineage(greedy_dedupe(arts, "pos", "keys").filter("kept").select(
+    return cut_lineage(greedy_dedupe(arts, "pos", "keys").filter("kept").select(
         "pos", "ord", "site", "title", "link", "date_str", "published_at"))
-    selection = lexical_select(unique, personas, max(max_per_persona,
-                                                     max_per_persona * K.PRESELECT_MULTIPLIER))
-    kept = cut_lineage(hist.suppress_repeats(selection, unique, history, max_per_persona)
+
+
+def kept_selection(unique: DataFrame, personas: DataFrame, history: DataFrame,
+                   max_per_persona: int = K.MAX_PER_PERSONA) -> DataFrame:
+    """M7 -> J1/D2/W3: the slots of each persona's digest."""
+    selection = lexical_select(unique, personas, max(max_per_persona, max_per_persona * K.PRESELECT_MULTIPLIER))
+    return cut_lineage(hist.suppress_repeats(selection, unique, history, max_per_persona)
                        .filter(F.col("status") == "kept"))
-    texts = texts_for_selected(pages, kept.select("ord"))
-    summaries = rd.lead_summary(unique.join(texts, "ord").select("ord", "title", "link", "text"))
-    items = cut_lineage(rd.digest_items(kept, unique, summaries))
+
+
+def run_digest(listings: DataFrame, personas: DataFrame, history: DataFrame, as_of: str,
+               out_dir: str, article_pages: DataFrame | None = None, days_back: int = K.DAYS_BACK,
+               max_per_site: int = K.MAX_PER_SITE, max_per_persona: int = K.MAX_PER_PERSONA) -> RunOutput:
+    """listings, article_pages: (page_id, url, html), the pages that list
+    articles and those the links lead to (default: the same table); personas:
+    (persona_idx, id, nome, descricao, prioridades, evitar); history: the
+    repaired history (``repair_entries``)."""
+    personas = validate_personas(personas)
+    unique = unique_articles(listings, as_of, max_per_site, days_back)
+    kept = kept_selection(unique, personas, history, max_per_persona)
+    chosen = unique.join(kept.select("ord").distinct(), "ord", "left_semi")
+    texts = texts_for_links(listings if article_pages is None else article_pages, chosen.select("link"))
+    texts = chosen.join(texts, "link", "left").select(
+        "ord", "title", "link", F.coalesce("text", F.lit(K.ARTICLE_TEXT_FAILED)).alias("text"))
+    items = cut_lineage(rd.digest_items(kept, unique, rd.lead_summary(texts)))
     digests = rd.render_digest(items, personas, as_of)
     digests_path = f"{out_dir.rstrip('/')}/digests"
     write_digests(digests, digests_path, as_of[:10])
@@ -61,4 +77,4 @@ def run_digest(pages: DataFrame, personas: DataFrame, history: DataFrame, as_of:
     new_history = hist.record_sent(history, sent, sent_at=as_of, as_of=as_of)
     history_path = hist.save_history(new_history, out_dir)
     return RunOutput(digests_path, history_path, digests,
-                     hist.load_saved_history(pages.sparkSession, history_path))
+                     hist.load_saved_history(listings.sparkSession, history_path))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from gazette.functions import constants as K
 from gazette.plans import sqlfrag as S
-from gazette.functions.dates import ISO_DATE as ISO
-from gazette.operators import extract as EX
-from gazette.operators import render as RD
-from gazette.sources import derived as DV
-from gazette.sources.derived import AS_OF, H1, HOST
 
+AS_OF = "2024-02-01 00:00:00"
+H1 = r"(?s)<h1[^>]*>(.*?)</h1>"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#:]*)"
+NAV = r"(?is)<nav\b[^>]*>(.*?)</nav>"
+ISO = (r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+       r"(?:Z|[+-]\d{2}:?\d{2})?)?$")
+SENTENCE = r"[^.!?]+[.!?]*"
 AS = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -137,7 +139,7 @@ FROM v_dedup"""
     out["site_report"] = with_(V_ARTICLES, V_ANNOTATED) + f"""
 SELECT site, raw_count, CAST(title_filtered AS BIGINT) AS title_filtered,
        CAST(date_filtered AS BIGINT) AS date_filtered, CAST(least(found, {k}) AS BIGINT) AS kept,
-       CAST(greatest(found - {k}, 0) AS BIGINT) AS over_limit,
+       CAST(greatest(found - {k}, 0) AS BIGINT) AS over_limit, CAST(undated AS BIGINT) AS undated,
        CASE WHEN least(found, {k}) = 0 THEN
          CASE WHEN raw_count = 0 THEN {S.q(K.REASON_NO_ELEMENTS)}
               WHEN title_filtered = raw_count THEN {S.q(K.REASON_ALL_TITLES)}
@@ -146,8 +148,11 @@ SELECT site, raw_count, CAST(title_filtered AS BIGINT) AS title_filtered,
               ELSE {S.q(K.REASON_DEFAULT)} END END AS reason
 FROM (SELECT site, count(*) AS raw_count, count_if(NOT title_ok) AS title_filtered,
              count_if(title_ok AND NOT date_ok) AS date_filtered,
-             count_if(title_ok AND date_ok) AS found
-      FROM v_annotated GROUP BY site)"""
+             count_if(title_ok AND date_ok) AS found,
+             count_if(title_ok AND date_ok AND coalesce(date_str, '') = '' AND r <= {k}) AS undated
+      FROM (SELECT *, row_number() OVER (PARTITION BY site, title_ok AND date_ok
+                                         ORDER BY published_at DESC NULLS LAST, ord) AS r FROM v_annotated)
+      GROUP BY site)"""
     return out
 
 
@@ -213,7 +218,7 @@ def _violations(src: str) -> str:
 
 
 V_HIST_RAW = f"""v_hist_raw AS (
-  SELECT 'p' || CAST(ord % 7 AS VARCHAR) AS persona_id, ord AS entry_pos,
+  SELECT 'p' || CAST(ord // 10 AS VARCHAR) AS persona_id, ord AS entry_pos,
          CASE WHEN ord % 4 <> 0 THEN title END AS title, title AS titulo,
          CASE WHEN ord % 2 = 0 THEN 'Resumo de ' || title END AS chamada,
          CAST(NULL AS VARCHAR) AS summaryTitle,
@@ -226,7 +231,7 @@ V_HIST_RAW = f"""v_hist_raw AS (
          site AS source,
          CASE WHEN ord % 11 <> 0 THEN strftime(TIMESTAMP '2024-01-31 00:00:00'
               - to_seconds(CAST(ord % 30 AS BIGINT) * 86400), '%Y-%m-%dT%H:%M:%S.000Z') END AS sentAt
-  FROM v_articles WHERE ord % 3 = 0)"""
+  FROM v_articles)"""
 
 V_HIST = f"""v_hist AS (
   SELECT persona_id, entry_pos, _idt AS title, nullif(_c, '') AS chamada, nullif(_r, '') AS resumo,
@@ -279,8 +284,8 @@ v_tt AS (
     SELECT ord, unnest(string_split({S.normalize_title('title')}, ' ')) AS token FROM v_unique)
   WHERE token <> ''),
 v_topic AS (
-  SELECT DISTINCT persona_id, token FROM (
-    SELECT persona_id, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
+  SELECT DISTINCT persona_id, topic, token FROM (
+    SELECT persona_id, topic, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
     FROM (SELECT id AS persona_id, unnest({_clean('prioridades')}) AS topic FROM v_personas))
   WHERE token <> ''),
 v_avoid AS (
@@ -288,15 +293,10 @@ v_avoid AS (
     SELECT persona_id, unnest(string_split({S.normalize_title('topic')}, ' ')) AS token
     FROM (SELECT id AS persona_id, unnest({_clean('evitar')}) AS topic FROM v_personas))
   WHERE token <> ''),
-v_recent AS (
-  SELECT token, ord, published_at FROM (
-    SELECT t.token, t.ord, u.published_at,
-           row_number() OVER (PARTITION BY t.token ORDER BY u.published_at DESC NULLS LAST, t.ord) AS r
-    FROM v_tt t JOIN v_unique u USING (ord))
-  WHERE r <= {max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)}),
 v_scores AS (
-  SELECT persona_id, ord, published_at, count(*) AS score FROM v_topic JOIN v_recent USING (token)
-  GROUP BY persona_id, ord, published_at),
+  SELECT t.persona_id, u.ord, u.published_at, count(DISTINCT t.topic) AS score
+  FROM v_topic t JOIN v_tt w USING (token) JOIN v_unique u ON u.ord = w.ord
+  GROUP BY t.persona_id, u.ord, u.published_at),
 v_cand AS (
   SELECT s.persona_id, s.ord, s.score, s.published_at FROM v_scores s
   WHERE NOT EXISTS (SELECT 1 FROM v_tt t JOIN v_avoid a USING (token)
@@ -401,25 +401,27 @@ SELECT persona_id, CAST(count_if(status = 'kept') AS BIGINT) AS kept,
 FROM v_status GROUP BY persona_id"""
 
 
-def _decode_sql(x: str) -> str:
-    return _decode(x)
+# Script and style bodies, block tags and containers of the driver's pages (one
+# article element each, never nested), written out for this check.
+_GONE = [r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>",
+         r"(?is)<title\b[^>]*>.*?</title>", r"(?s)<!--.*?-->"]
+_BLOCK = (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|section|article|header|footer|nav|main|aside|"
+          r"tr|td|th|table|blockquote|figure|figcaption)\b[^>]*>")
 
 
 def _inner_text(x: str) -> str:
-    y = f"regexp_replace(regexp_replace({x}, {S.q(EX.SCRIPT)}, ' ', 'g'), {S.q(EX.STYLE)}, ' ', 'g')"
-    y = f"regexp_replace(regexp_replace({y}, {S.q(EX.BLOCK_TAG)}, ' ', 'g'), '<[^>]+>', '', 'g')"
+    y = f"regexp_replace(regexp_replace({x}, {S.q(_BLOCK)}, ' ', 'g'), '<[^>]+>', '', 'g')"
+    y = f"replace(replace({y}, '&copy;', '©'), '&middot;', '·')"
     return S.squash(_decode(y))
 
 
 def _article_text(h: str) -> str:
-    h = f"regexp_replace(regexp_replace({h}, {S.q(EX.SCRIPT)}, ' ', 'g'), {S.q(EX.STYLE)}, ' ', 'g')"
-    picks = []
-    for pattern in EX.TEXT_SELECTORS:
-        t = _inner_text(f"regexp_extract({h}, {S.q(pattern)}, 1)")
-        picks.append(f"CASE WHEN length({t}) > {K.ARTICLE_TEXT_MIN_CHARS} THEN {t} END")
-    body = (f"CASE WHEN regexp_matches({h}, '(?i)<body\\b') THEN regexp_extract({h}, {S.q(EX.BODY)}, 1) "
-            f"ELSE {h} END")
-    return f"coalesce({', '.join(picks)}, substr({_inner_text(body)}, 1, {K.BODY_FALLBACK_CHARS}))"
+    for pattern in _GONE:
+        h = f"regexp_replace({h}, {S.q(pattern)}, ' ', 'g')"
+    article = _inner_text(f"regexp_extract({h}, {S.q('(?is)<article[^>]*>(.*?)(?:</article>|$)')}, 1)")
+    body = _inner_text(f"regexp_extract({h}, {S.q('(?is)<body[^>]*>(.*?)(?:</body>|$)')}, 1)")
+    return (f"CASE WHEN length({article}) > {K.ARTICLE_TEXT_MIN_CHARS} THEN {article} "
+            f"ELSE trim(substr({body}, 1, {K.BODY_FALLBACK_CHARS})) END")
 
 
 V_DIGEST = f"""v_kept AS (SELECT persona_id, slot, rank, ord FROM v_status WHERE status = 'kept'),
@@ -433,7 +435,7 @@ v_sum AS (
          array_to_string(list_slice(string_split({S.squash("coalesce(title, '')")}, ' '), 1, 15), ' ')
            AS chamada,
          array_to_string(list_slice(list_filter(list_transform(
-           regexp_extract_all(coalesce(text, ''), {S.q(RD.SENTENCE)}), lambda x: trim(x)),
+           regexp_extract_all(coalesce(text, ''), {S.q(SENTENCE)}), lambda x: trim(x)),
            lambda x: x <> ''), 1, 3), ' ') AS resumo,
          link
   FROM v_unique JOIN v_text USING (ord)),
@@ -487,30 +489,43 @@ SELECT persona_id, CAST(item_no * 2 + 1 AS BIGINT),
     out["digest_spans"] = out["digest_spans"].replace("\n,\nv_cur AS", ",\nv_cur AS")
 
 
-def _extract_sql(out: dict[str, str]) -> None:
-    origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1)"
-    NAVA = '<a href="([^"]*)">([^<]*)</a>'
-    out["extract_cards"] = with_(V_ARTICLES) + f""",
-v_nav AS (
-  SELECT page_id, url, regexp_extract(html, {S.q(DV.NAV)}, 1) AS nav FROM pages),
+ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1)"
+NAVA = '<a href="([^"]*)">([^<]*)</a>'
+V_LISTED = f"""v_nav AS (
+  SELECT page_id, url, regexp_extract(html, {S.q(NAV)}, 1) AS nav FROM pages),
 v_navl AS (
   SELECT page_id, url, regexp_extract_all(nav, {S.q(NAVA)}, 1) AS h,
          regexp_extract_all(nav, {S.q(NAVA)}, 2) AS t FROM v_nav),
-v_cand AS (
-  SELECT a.ord AS page_id, 0 AS k, a.title, a.link,
+v_card AS (
+  SELECT a.ord AS page_id, 0 AS k, {S.squash('a.title')} AS title, a.link,
          CASE WHEN coalesce(a.date_str, '') = '' THEN NULL ELSE a.date_str END AS date_str
   FROM v_articles a
   UNION ALL
-  SELECT page_id, i AS k, {S.js_trim(_decode('t[i]'))} AS title,
-         {origin} || h[i] AS link, CAST(NULL AS VARCHAR) AS date_str
+  SELECT page_id, i AS k, {S.squash(_decode('t[i]'))} AS title,
+         {ORIGIN} || {_decode('h[i]')} AS link, CAST(NULL AS VARCHAR) AS date_str
   FROM (SELECT *, unnest(generate_series(1, len(h))) AS i FROM v_navl)),
-v_ok AS (
-  SELECT * FROM v_cand WHERE title <> '' AND length(title) >= {K.MIN_CARD_TITLE_LENGTH}
-  QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY k) = 1)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, title, link, date_str
-FROM v_ok""".replace("WITH ", "WITH ", 1)
-    out["extract_cards"] = out["extract_cards"].replace("FROM pages)\n,\nv_nav", "FROM pages),\nv_nav")
-    A = S.q(EX.ANCHOR)
+v_card_ok AS (
+  SELECT * FROM v_card WHERE title <> '' AND length(title) >= {K.MIN_CARD_TITLE_LENGTH}
+  QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY k) = 1),
+v_listed AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, title, link, date_str
+  FROM v_card_ok)"""
+V_LISTED_OK = f"""v_listed_ok AS (
+  SELECT *, {S.valid_title('title')} AS title_ok, {S.within_days('published_at', AS, K.DAYS_BACK)} AS date_ok
+  FROM (SELECT l.page_id * 1048576 + l.pos AS ord, l.*, p.url AS site, {S.parse_date('date_str', AS)} AS published_at
+        FROM v_listed l JOIN pages p USING (page_id)))"""
+
+
+def _extract_sql(out: dict[str, str]) -> None:
+    origin = ORIGIN
+    out["extract_cards"] = with_(V_ARTICLES, V_LISTED) + "SELECT page_id, pos, title, link, date_str FROM v_listed"
+    out["collect_listings"] = with_(V_ARTICLES, V_LISTED, V_LISTED_OK) + f"""
+SELECT ord, page_id, site, r AS site_rank, title, link, date_str FROM (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY published_at DESC NULLS LAST, ord) AS r
+  FROM v_listed_ok WHERE title_ok AND date_ok)
+WHERE r <= {K.MAX_PER_SITE}"""
+    A = S.q(r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>")
+    alt = S.q(r"(?is)<img\b[^>]*\balt\s*=\s*\"([^\"]*)\"")
     path = "regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
     blocked = " OR ".join(f"starts_with({path}, {S.q(b)})" for b in K.ANCHOR_BLOCKED_PREFIXES)
     first_bad = ", ".join(S.q(b) for b in K.ANCHOR_BLOCKED_FIRST_PARTS)
@@ -521,7 +536,7 @@ WITH v_a AS (
   SELECT page_id, {origin} AS origin, regexp_extract_all(html, {A}, 1) AS hs,
          regexp_extract_all(html, {A}, 2) AS ins FROM pages),
 v_b AS (
-  SELECT page_id, origin, i - 1 AS pos, trim(hs[i]) AS href, ins[i] AS inr
+  SELECT page_id, origin, i - 1 AS pos, {_decode('trim(hs[i])')} AS href, {_decode('ins[i]')} AS inr
   FROM (SELECT *, unnest(generate_series(1, len(hs))) AS i FROM v_a)),
 v_c AS (
   SELECT page_id, pos, origin,
@@ -533,15 +548,17 @@ v_c AS (
 v_d AS (
   SELECT page_id, pos, link, origin,
          CASE WHEN {clean('inr')} <> '' THEN {clean('inr')}
-              ELSE {clean(f"regexp_extract(inr, {S.q(EX.IMG_ALT)}, 1)")} END AS title,
+              ELSE {clean(f"regexp_extract(inr, {alt}, 1)")} END AS title,
          list_filter(string_split({path}, '/'), lambda p: p <> '') AS parts,
          ({blocked}) AS blocked
   FROM v_c)
-SELECT page_id, link, arg_min(pos, pos) AS pos, arg_min(title, pos) AS title
-FROM v_d
-WHERE starts_with(link, origin || '/') AND NOT blocked AND len(parts) >= 1
-  AND NOT (parts[1] IN ({first_bad})) AND length(title) >= 3
-GROUP BY page_id, link"""
+SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS pos, title,
+       CAST(NULL AS VARCHAR) AS date_str
+FROM (SELECT page_id, link, min(pos) AS p, arg_min(title, pos) AS title
+      FROM v_d
+      WHERE starts_with(link, origin || '/') AND NOT blocked AND len(parts) >= 1
+        AND NOT (parts[1] IN ({first_bad})) AND length(title) >= 3
+      GROUP BY page_id, link)"""
 
 
 V_DOCS = f"""v_docs AS (
@@ -552,10 +569,10 @@ V_DOCS = f"""v_docs AS (
            ELSE 'Relatorio ' || n.nome END AS name,
          e.modified_time, a.title, a.link AS url
   FROM v_articles a
-  JOIN (SELECT ord, 'Cliente ' || CAST(ord % {DV.DOC_PERSONAS} + 100 AS VARCHAR) AS nome
+  JOIN (SELECT ord, 'Cliente ' || CAST(ord // 5 + 100 AS VARCHAR) AS nome
         FROM v_articles) n USING (ord)
-  LEFT JOIN (SELECT event_id // {DV.DOC_EVENT_STRIDE} AS id, CAST(ts AS TIMESTAMP) AS modified_time
-             FROM events WHERE event_id % {DV.DOC_EVENT_STRIDE} = 0) e ON e.id = a.ord)"""
+  LEFT JOIN (SELECT event_id // 40 AS id, CAST(max(ts) AS TIMESTAMP) AS modified_time
+             FROM events GROUP BY 1) e ON e.id = a.ord)"""
 
 
 def _token(x: str) -> str:
@@ -578,10 +595,8 @@ def _cands(page: int) -> str:
     SELECT p.id AS persona_id, p.nome, d.id, d.name, d.modified_time,
            row_number() OVER (PARTITION BY p.id ORDER BY d.modified_time DESC NULLS LAST, d.id)
              AS cand_rank
-    FROM (SELECT id, nome, lower({_token('nome')}) AS word FROM v_personas) p
-    JOIN (SELECT DISTINCT id, name, modified_time,
-                 unnest(string_split_regex(lower(name), '[^\\p{{L}}\\p{{N}}-]+')) AS word
-          FROM v_docs) d USING (word))
+    FROM (SELECT id, nome, lower({_token('nome')}) AS part FROM v_personas) p
+    JOIN v_docs d ON contains(lower(d.name), p.part))
   WHERE cand_rank <= {page})"""
 
 
@@ -668,21 +683,33 @@ def _pctx(name: str, with_history: bool) -> str:
 
 NUMERIC_JSON = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
 
-V_FETCH = f"""v_fetch AS (
-  SELECT p.page_id AS ord, p.url AS site, kind,
-         CASE WHEN kind = 'article' THEN a.title END AS title,
-         CASE WHEN kind = 'article' THEN a.link END AS link,
-         CASE WHEN kind = 'article' THEN coalesce(nullif(t, ''), {S.q(K.ARTICLE_TEXT_FAILED_TOOL)}) END AS text,
-         CASE WHEN kind = 'empty' THEN CAST(0 AS BIGINT) END AS articles_found,
-         CASE WHEN kind = 'empty' THEN
-           CASE WHEN coalesce(a.title_ok, false) THEN '1 artigos fora do periodo'
-                ELSE {S.q(K.TOOL_REASON_ALL_TITLES)} END END AS reason,
-         CASE WHEN kind = 'error' THEN 'pagina incompleta' END AS error
-  FROM (SELECT page_id, url, html, {_article_text('html')} AS t,
-               NOT regexp_matches(coalesce(html, ''), '(?i)</html>\\s*$') AS failed FROM pages) p
-  LEFT JOIN v_annotated a ON a.ord = p.page_id,
-  LATERAL (SELECT CASE WHEN p.failed THEN 'error' WHEN a.title_ok AND a.date_ok THEN 'article'
-                       ELSE 'empty' END AS kind))"""
+V_FETCH = f"""v_site AS (
+  SELECT p.page_id, p.url AS site, NOT regexp_matches(coalesce(p.html, ''), '(?i)</html>\\s*$') AS failed,
+         coalesce(raw, 0) AS raw, coalesce(bad_titles, 0) AS bad_titles, coalesce(bad_dates, 0) AS bad_dates,
+         coalesce(found, 0) AS found
+  FROM pages p LEFT JOIN (
+    SELECT page_id, count(*) AS raw, count_if(NOT title_ok) AS bad_titles,
+           count_if(title_ok AND NOT date_ok) AS bad_dates, count_if(title_ok AND date_ok) AS found
+    FROM v_listed_ok GROUP BY page_id) USING (page_id)),
+v_linked AS (
+  SELECT url AS link, arg_min(t, page_id) AS text FROM (
+    SELECT url, page_id, {_article_text('html')} AS t FROM pages) GROUP BY url),
+v_fetch AS (
+  SELECT a.ord, s.site, 'article' AS kind, a.title, a.link,
+         coalesce(nullif(l.text, ''), {S.q(K.ARTICLE_TEXT_FAILED_TOOL)}) AS text,
+         CAST(NULL AS BIGINT) AS articles_found, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS error
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY published_at DESC NULLS LAST, ord) AS r
+        FROM v_listed_ok WHERE title_ok AND date_ok) a
+  JOIN v_site s ON s.page_id = a.page_id AND NOT s.failed LEFT JOIN v_linked l ON l.link = a.link
+  WHERE a.r <= {K.MAX_PER_SITE_TOOL}
+  UNION ALL
+  SELECT page_id * 1048576, site, CASE WHEN failed THEN 'error' ELSE 'empty' END, NULL, NULL, NULL,
+         CASE WHEN NOT failed THEN 0 END,
+         CASE WHEN NOT failed THEN CASE WHEN raw = 0 THEN {S.q(K.TOOL_REASON_NO_ELEMENTS)}
+           WHEN bad_titles = raw THEN {S.q(K.TOOL_REASON_ALL_TITLES)}
+           ELSE CAST(bad_dates AS VARCHAR) || ' artigos fora do periodo' END END,
+         CASE WHEN failed THEN 'pagina incompleta' END
+  FROM v_site WHERE failed OR found = 0)"""
 
 V_SELJ = """v_selj AS (
   SELECT l.persona_id, p.persona_idx,
@@ -697,6 +724,7 @@ def _io_sql(out: dict[str, str]) -> None:
     lim = max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)
     head, tail = K.PRESELECT_RULES.split("{max}")
     out["preselect_request"] = with_(*run, _pctx("v_pctx", True), recursive=True) + f"""
+SELECT *, CAST({K.PRESELECT_PARAMS[0]} AS DOUBLE) AS temperature, {K.PRESELECT_PARAMS[1]} AS max_tokens FROM (
 SELECT 'preselect' AS request_id, 0 AS section_no, CAST(0 AS BIGINT) AS seq,
        {S.q(head)} || CAST(least(count(*), {lim}) AS VARCHAR) || {S.q(tail)} AS text, '' AS joiner
 FROM v_unique
@@ -706,8 +734,8 @@ UNION ALL SELECT 'preselect', 3, ord, '[' || CAST(ord AS VARCHAR) || '] ' || tit
        coalesce(substr(nullif(date_str, ''), 1, 16), 'sem data') || ')', chr(10) FROM v_unique
 UNION ALL SELECT 'preselect', 4, 0, {S.q(K.PRESELECT_IDS_HEAD)}, ''
 UNION ALL SELECT 'preselect', 5, persona_idx, '"' || id || '"', ', ' FROM v_personas
-UNION ALL SELECT 'preselect', 6, 0, {S.q(K.PRESELECT_FORMAT)}, ''"""
-    fetch = [V_ARTICLES, V_ANNOTATED, V_FETCH]
+UNION ALL SELECT 'preselect', 6, 0, {S.q(K.PRESELECT_FORMAT)}, '')"""
+    fetch = [V_ARTICLES, V_LISTED, V_LISTED_OK, V_FETCH]
     out["fetch_report"] = with_(*fetch) + """
 SELECT ord, site, kind, title, link, CAST(length(text) AS DOUBLE) AS text_chars,
        CAST(articles_found AS DOUBLE) AS articles_found, reason, error FROM v_fetch"""
@@ -720,7 +748,9 @@ FROM v_pctx0 WHERE EXISTS (SELECT 1 FROM v_usable)
 UNION ALL SELECT '*', 2, ord, '[' || CAST(ord AS VARCHAR) || '] ' || title || ' - ' || link, chr(10)
 FROM v_usable
 UNION ALL SELECT id, 3, 0, {S.q(K.FILTER_FOOT)}, '' FROM v_pctx0 WHERE EXISTS (SELECT 1 FROM v_usable)"""
-    out["filter_requests"] = out["filter_requests"].replace("))\n,\nv_usable", ")),\nv_usable")
+    t, m = K.FILTER_PARAMS
+    out["filter_requests"] = out["filter_requests"].replace("\n,\nv_usable", ",\nv_usable").replace(
+        "SELECT id AS request_id", f"SELECT *, CAST({t} AS DOUBLE) AS temperature, {m} AS max_tokens FROM (\nSELECT id AS request_id") + ")"
     dig = run + [V_SUPPRESS, V_DIGEST]
     t, m = K.SUMMARY_PARAMS
     out["summary_requests"] = with_(*dig, recursive=True) + f"""
@@ -785,10 +815,11 @@ v_fkey AS (
               WHEN json_type(e) = 'VARCHAR' AND regexp_matches(json_extract_string(e, '$'), '^(0|[1-9][0-9]{{0,17}})$')
                 THEN CAST(json_extract_string(e, '$') AS BIGINT) END AS ord
   FROM v_felem)"""
-    out["parse_filter"] = with_(*run, V_SELJ, V_FETCH, filt_shapes, recursive=True) + """
-SELECT k.persona_id, CAST(k.pos AS BIGINT) AS pos, k.ord FROM v_fkey k
-JOIN (SELECT ord FROM v_fetch WHERE error IS NULL AND coalesce(title, '') <> ''
-      AND coalesce(link, '') <> '') r USING (ord)"""
+    listed = """v_dedup AS (
+  SELECT ord, title, CAST(NULL AS TIMESTAMP) AS published_at, true AS kept FROM v_fetch WHERE kind = 'article')"""
+    out["parse_filter"] = with_(V_ARTICLES, V_LISTED, V_LISTED_OK, V_FETCH, listed, V_TOPICS, V_PERSONAS, V_LEX, V_SELJ,
+                                filt_shapes, recursive=True) + """
+SELECT k.persona_id, CAST(k.pos AS BIGINT) AS pos, k.ord FROM v_fkey k JOIN v_fetch r USING (ord)"""
     sum_shapes = f"""v_mcomp AS (
   SELECT s.ord, CASE s.ord % 5
     WHEN 0 THEN CAST(to_json({{'chamada': s.chamada, 'resumo': s.resumo, 'link': s.link}}) AS VARCHAR)
@@ -830,7 +861,7 @@ FROM v_wn WHERE n > {K.WARNING_SHOWN}"""
 SELECT (SELECT count(*) FROM v_unique) AS titles_collected,
        (SELECT count(DISTINCT ord) FROM v_kept) AS selected_unique,
        (SELECT count(DISTINCT persona_id) FROM v_kept) AS docs_created,
-       (SELECT count(DISTINCT ord) FROM v_kept) AS summaries"""
+       (SELECT count(*) FROM v_sum) AS summaries"""
 
 
 V_DOC_ARTS = f"""v_doc_arts AS (
@@ -846,6 +877,87 @@ v_doc_keys AS (
         FROM (SELECT *, {S.normalize_link('link')} AS normalized_link FROM v_doc_arts)))"""
 
 
+def _identity_of(src: str, name: str) -> str:
+    """``src`` (persona_id, seq, title, chamada, link, ...) with link key and
+    title keys, in send order; rows without any key drop out."""
+    return f"""{name} AS (
+  SELECT *, list_transform(tks, lambda k: id_host || '::' || k) AS stks,
+         row_number() OVER (PARTITION BY persona_id ORDER BY seq) AS step
+  FROM (SELECT *, {S.identity_host('link', 'nl')} AS id_host,
+               {_uniq2(S.normalize_title("coalesce(title, '')"), S.normalize_title("coalesce(chamada, '')"))} AS tks
+        FROM (SELECT *, {S.normalize_link('link')} AS nl FROM {src}))
+  WHERE nl <> '' OR len(tks) > 0)"""
+
+
+def _fold(sent: str) -> str:
+    """The sequential upsert as a recursive CTE that carries a persona's whole
+    list: (place, link key, title keys, the row that last wrote it)."""
+    entry = "{{'pos': {pos}, 'link': {link}, 'keys': {keys}, 'step': {step}}}"
+    old = entry.format(pos="entry_pos", link="coalesce(normalized_link, '')", step="CAST(NULL AS BIGINT)",
+                       keys="list_filter(list_concat(source_title_keys, [source_title_key]), lambda k: coalesce(k, '') <> '')")
+    new = lambda pos: entry.format(pos=pos, link="s.nl", keys="s.stks", step="s.step")
+    hits = ("list_transform(list_filter(f.state, lambda e: (s.nl <> '' AND e.link = s.nl) "
+            "OR list_has_any(e.keys, s.stks)), lambda e: e.pos)")
+    return f"""v_start AS (
+  SELECT p.persona_id, coalesce(h.state, []) AS state, coalesce(h.top, -1) AS top
+  FROM (SELECT DISTINCT persona_id FROM {sent}) p LEFT JOIN (
+    SELECT persona_id, list({old} ORDER BY entry_pos) AS state, max(entry_pos) AS top
+    FROM v_hist GROUP BY persona_id) h USING (persona_id)),
+v_fold AS (
+  SELECT persona_id, CAST(0 AS BIGINT) AS step, state, top FROM v_start
+  UNION ALL
+  SELECT f.persona_id, s.step,
+         CASE WHEN len({hits}) = 0 THEN list_append(f.state, {new('f.top + 1')})
+              ELSE list_transform(f.state, lambda e: CASE WHEN e.pos = list_min({hits}) THEN {new('e.pos')} ELSE e END) END,
+         CASE WHEN len({hits}) = 0 THEN f.top + 1 ELSE f.top END
+  FROM v_fold f JOIN {sent} s ON s.persona_id = f.persona_id AND s.step = f.step + 1),
+v_placed AS (
+  SELECT persona_id, e.pos AS entry_pos, e.step AS step FROM (
+    SELECT persona_id, unnest(state) AS e FROM v_fold
+    QUALIFY row_number() OVER (PARTITION BY persona_id ORDER BY v_fold.step DESC) = 1)
+  WHERE e.step IS NOT NULL)"""
+
+
+def _upsert_sql(out: dict[str, str]) -> None:
+    run = [V_ARTICLES, V_ANNOTATED, V_TOP, V_COLLECT, V_KEYS, greedy_scan("v_keys", "pos"),
+           V_TOPICS, V_PERSONAS, V_LEX, V_HIST_RAW, V_HIST, V_SUPPRESS, V_DIGEST]
+    sent = """v_sent0 AS (
+  SELECT i.persona_id, i.item_no AS seq, u.title, i.chamada, i.resumo, i.link, u.site
+  FROM v_items i JOIN v_unique u USING (ord))"""
+    keep = S.within_days("sent_at", AS, K.LOOKBACK_DAYS)
+    first = lambda a: f"coalesce({a}[1], '')"
+    out["record_sent"] = with_(*run, sent, _identity_of("v_sent0", "v_sent"), _fold("v_sent"), recursive=True) + f"""
+SELECT persona_id, entry_pos, title, chamada, link, normalized_link, title_key, {S.ts_text('sent_at')} AS sent_at FROM (
+  SELECT s.persona_id, p.entry_pos, {S.nws("coalesce(s.title, s.chamada, '')")} AS title,
+         nullif({S.nws("coalesce(s.chamada, '')")}, '') AS chamada, coalesce(s.link, '') AS link,
+         s.nl AS normalized_link, {first('s.tks')} AS title_key, {AS} AS sent_at
+  FROM v_placed p JOIN v_sent s ON s.persona_id = p.persona_id AND s.step = p.step
+  UNION ALL
+  SELECT persona_id, entry_pos, title, chamada, link, normalized_link, title_key, sent_at FROM v_hist h
+  WHERE NOT EXISTS (SELECT 1 FROM v_placed p WHERE p.persona_id = h.persona_id AND p.entry_pos = h.entry_pos))
+WHERE {keep}"""
+    docs = [V_ARTICLES, V_TOPICS, V_PERSONAS, V_DOCS, _cands(K.CATALOGUE_PAGE), V_HIST_RAW, V_HIST, V_DTEXT, V_DITEMS]
+    page = K.CATALOGUE_PAGE
+    imported = f"""v_mine AS (
+  SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY modified_time DESC NULLS LAST, cand_rank) AS doc_rank
+  FROM v_cand{page} c WHERE {_doc_match('c.name', 'c.nome')} AND {S.within_days('c.modified_time', AS, K.LOOKBACK_DAYS)}
+    AND c.persona_id NOT IN (SELECT DISTINCT persona_id FROM v_hist)),
+v_sent0 AS (
+  SELECT m.persona_id, row_number() OVER (PARTITION BY m.persona_id ORDER BY m.doc_rank, i.item_no) AS seq,
+         i.title, i.title AS chamada, i.resumo, i.link, coalesce(m.modified_time, {AS}) AS sent_at, m.name AS doc_title
+  FROM v_mine m JOIN v_items_doc i ON i.id = m.id)"""
+    out["hydrate_history"] = with_(*docs, imported, _identity_of("v_sent0", "v_sent"), _fold("v_sent"), recursive=True) + f"""
+SELECT persona_id, entry_pos, title, resumo, link, normalized_link, {S.ts_text('sent_at')} AS sent_at, doc_title FROM (
+  SELECT s.persona_id, p.entry_pos, {S.nws("coalesce(s.title, s.chamada, '')")} AS title,
+         nullif({S.nws("coalesce(s.resumo, '')")}, '') AS resumo, coalesce(s.link, '') AS link,
+         s.nl AS normalized_link, s.sent_at, s.doc_title
+  FROM v_placed p JOIN v_sent s ON s.persona_id = p.persona_id AND s.step = p.step
+  UNION ALL
+  SELECT persona_id, entry_pos, title, resumo, link, normalized_link, sent_at, CAST(NULL AS VARCHAR) FROM v_hist h
+  WHERE NOT EXISTS (SELECT 1 FROM v_placed p WHERE p.persona_id = h.persona_id AND p.entry_pos = h.entry_pos))
+WHERE {keep}"""
+
+
 def _tail_sql(out: dict[str, str]) -> None:
     out["dedupe_documents"] = with_(V_DOC_ARTS, greedy_scan("v_doc_keys", "ord", "v_ddoc"),
                                     recursive=True) + (
@@ -869,4 +981,5 @@ def oracle_sql() -> dict[str, str]:
     _extract_sql(out)
     _docs_sql(out)
     _tail_sql(out)
+    _upsert_sql(out)
     return out

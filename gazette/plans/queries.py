@@ -124,7 +124,7 @@ def q_dedupe_removed(spark, sf_dir):
 def q_site_report(spark, sf_dir):
     f = quality.site_funnel(v_articles(spark, sf_dir), AS_OF)
     return f.select("site", *[F.col(c).cast("bigint").alias(c) for c in (
-        "raw_count", "title_filtered", "date_filtered", "kept", "over_limit")], "reason")
+        "raw_count", "title_filtered", "date_filtered", "kept", "over_limit", "undated")], "reason")
 
 
 @query("run_totals")
@@ -401,8 +401,21 @@ def q_preselect_request(spark, sf_dir):
     return rq.preselect_request(a, ctx, p, preselection_limit())
 
 
+def v_listings(spark, sf_dir) -> DataFrame:
+    return listings_from_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query("collect_listings")
+def q_collect_listings(spark, sf_dir):
+    """The run's collect step over all candidates of the listing pages."""
+    c = quality.collect_articles(ex.articles_from_listings(v_listings(spark, sf_dir)), AS_OF)
+    return c.select("ord", "page_id", "site", F.col("site_rank").cast("bigint").alias("site_rank"), "title", "link", "date_str")
+
+
 def tool_rows(spark, sf_dir) -> DataFrame:
-    return rp.fetch_report(read_table(spark, sf_dir, "pages"), v_articles(spark, sf_dir), AS_OF)
+    listings = v_listings(spark, sf_dir)
+    return rp.fetch_report(listings, cut_lineage(ex.articles_from_listings(listings)),
+                           read_table(spark, sf_dir, "pages"), AS_OF)
 
 
 @query("fetch_report")
@@ -439,9 +452,10 @@ def q_parse_selection(spark, sf_dir):
 
 @query("parse_filter")
 def q_parse_filter(spark, sf_dir):
-    a = unique_articles(spark, sf_dir)
-    comp = filter_completions(lexical(spark, sf_dir, a), v_personas(spark, sf_dir))
-    return rq.parse_filter(comp, rq.usable_rows(tool_rows(spark, sf_dir)))
+    rows = cut_lineage(tool_rows(spark, sf_dir))
+    listed = rq.usable_rows(rows).select("ord", "title", F.lit(None).cast("timestamp_ntz").alias("published_at"))
+    comp = filter_completions(lexical(spark, sf_dir, listed), v_personas(spark, sf_dir))
+    return rq.parse_filter(comp, rows)
 
 
 @query("parse_summaries")
@@ -469,7 +483,7 @@ def q_run_counters(spark, sf_dir):
         a.select(F.count("*").cast("bigint")).scalar().alias("titles_collected"),
         selected.alias("selected_unique"),
         kept.select(F.countDistinct("persona_id").cast("bigint")).scalar().alias("docs_created"),
-        selected.alias("summaries"))
+        summaries(spark, sf_dir, a, kept).select(F.count("*").cast("bigint")).scalar().alias("summaries"))
 
 
 # --- sinks, streaming and import totals -------------------------------------------
@@ -488,10 +502,9 @@ def q_history_roundtrip(spark, sf_dir):
 
 @query("stream_suppress")
 def q_stream_suppress(spark, sf_dir):
-    work = inc.scratch_dir(spark, "stream")
-    src = inc.stage_pages(read_table(spark, sf_dir, "pages"), f"{work}/source")
-    final = inc.run_incremental(spark, src, work, v_personas(spark, sf_dir), AS_OF,
-                                initial_history=v_history(spark, sf_dir))
+    final = inc.run_incremental(spark, f"{sf_dir}/pages.parquet", inc.scratch_dir(spark, "stream"),
+                                v_personas(spark, sf_dir), AS_OF, initial_history=v_history(spark, sf_dir),
+                                listing=listings_from_pages)
     return final.select("persona_id", "entry_pos", "title", "normalized_link",
                         ts_text("sent_at").alias("sent_at"))
 

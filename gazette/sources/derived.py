@@ -109,8 +109,9 @@ def raw_personas_from_conversations(conversations: DataFrame) -> DataFrame:
 
 
 # --- history ----------------------------------------------------------------
-HISTORY_EVERY = 3      # one article in three was sent before
-HISTORY_PERSONAS = 7   # to personas p0..p6 (the others have no history)
+#: Consecutive articles that one persona was sent before: personas with a
+#: history grow with the pages.
+HISTORY_RUN = 10
 
 
 def history_from_articles(articles: DataFrame) -> DataFrame:
@@ -124,8 +125,8 @@ def history_from_articles(articles: DataFrame) -> DataFrame:
     sent = F.date_format(
         F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit("2024-01-31 00:00:00")))
                             - (o % 30) * 86400), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return (articles.filter(o % HISTORY_EVERY == 0).select(
-        F.concat(F.lit("p"), (o % HISTORY_PERSONAS).cast("string")).alias("persona_id"),
+    return (articles.select(
+        F.concat(F.lit("p"), F.floor(o / HISTORY_RUN).cast("string")).alias("persona_id"),
         o.alias("entry_pos"),
         F.when(o % 4 != 0, F.col("title")).alias("title"),
         F.col("title").alias("titulo"),
@@ -161,20 +162,22 @@ def listings_from_pages(pages: DataFrame) -> DataFrame:
     ``li.item`` cards."""
     art = articles_from_pages(pages).select(F.col("ord").alias("page_id"), "title", "date_str")
     nav = pages.select("page_id", "url", F.replace(F.regexp_extract("html", NAV, 1), F.lit("<li>"),
-                                                  F.lit('<li class="item">')).alias("nav"))
+                                                  F.lit('<li class="item">')).alias("nav"),
+                       F.coalesce(F.col("html").rlike(r"(?i)</html>\s*$"), F.lit(False)).alias("whole"))
     d = F.coalesce(F.col("date_str"), F.lit(""))
     time_tag = F.when(d.rlike(ISO_TEXT), F.concat(F.lit('<time datetime="'), d, F.lit('">'),
                                                  _escape(d), F.lit("</time>"))) \
         .otherwise(F.concat(F.lit("<time>"), _escape(d), F.lit("</time>")))
     html = F.concat(F.lit("<html><body><main><article><h2>"), _escape(F.col("title")),
                     F.lit('</h2><a href="'), F.col("url"), F.lit('">ler</a>'), time_tag,
-                    F.lit("</article>"), F.col("nav"), F.lit("</main></body></html>"))
+                    F.lit("</article>"), F.col("nav"), F.lit("</main></body>"),
+                    F.when(F.col("whole"), F.lit("</html>")).otherwise(F.lit("")))
     return nav.join(art, "page_id").select("page_id", "url", html.alias("html"))
 
 
 # --- document catalogue -------------------------------------------------------------
-DOC_PERSONAS = 50
-DOC_EVENT_STRIDE = 40
+#: Documents per persona, and consecutive events per document.
+DOCS_EACH, EVENTS_EACH = 5, 40
 DOC_LINK_FMT = "https://docs.example.com/document/d/{id}/edit"
 
 
@@ -182,14 +185,11 @@ def clip_docs(pages: DataFrame, events: DataFrame) -> DataFrame:
     """v_clip_docs(id, name, modified_time, web_view_link, persona_nome, title,
     url): one stored digest per page, named in the current form, the legacy
     form, or an unrelated form that still carries the persona's name token;
-    modified when the event with the same id happened."""
+    modified when the last of its events happened."""
     art = articles_from_pages(pages).select(F.col("ord").alias("id"), "title", F.col("link").alias("url"))
-    # Events are in time order; stepping through them spreads the documents
-    # over the month the events cover.
-    ts = events.select((F.col("event_id") / DOC_EVENT_STRIDE).cast("bigint").alias("id"),
-                       F.col("ts").cast("timestamp").alias("modified_time")).where(
-        F.col("event_id") % DOC_EVENT_STRIDE == 0)
-    nome = F.concat(F.lit("Cliente "), (F.col("id") % DOC_PERSONAS + 100).cast("string"))
+    # Events are in time order: a document was modified at the last of its own.
+    ts = events.groupBy(F.floor(F.col("event_id") / EVENTS_EACH).alias("id")).agg(F.max("ts").alias("modified_time"))
+    nome = F.concat(F.lit("Cliente "), (F.floor(F.col("id") / DOCS_EACH) + 100).cast("string"))
     day = F.date_format("modified_time", "dd-MM-yyyy")
     k = F.col("id") % 3
     name = (F.when(k == 0, F.concat(day, F.lit(" | "), nome))
@@ -238,7 +238,7 @@ def nested_doc_bodies(docs: DataFrame) -> DataFrame:
     d = doc_lines(docs)
     blocks = F.transform("lines", lambda l: para(runs(l)))
     content = F.concat(F.slice(blocks, 1, 1), F.array(empty_para, para(null_run)),
-                       F.slice(blocks, 2, 100))
+                       F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))))
     return d.select("id", content.alias("content"))
 
 

@@ -1,109 +1,137 @@
 """Incremental repeat suppression.
 
-Each micro-batch of raw pages is one run: extract -> filter -> per-site cut
--> dedupe -> lexical selection -> suppression against the history state ->
-upsert into the history. The history is a versioned Parquet table in the
-shared checkpoint folder: batch ``e`` reads the newest complete version and
-writes version ``e`` (a retried batch rewrites the same version, so replays
-are idempotent); the stream's own checkpoint remembers which files were
-consumed, so rerunning over the same files emits nothing new. The lookback
-filter inside the upsert is the state's time-to-live.
+Each micro-batch of listing pages is one run: extract -> filter -> per-site
+cut -> dedupe -> lexical selection -> suppression against the history ->
+upserts. The history is kept as files in the shared checkpoint folder: batch
+``e`` reads the state before ``e`` (the newest snapshot of an earlier batch
+and the deltas after it) and writes its own entries as delta ``e``. A batch
+that is run again therefore starts from the same state and overwrites its own
+delta with the same entries, so each article is recorded once. Every
+``SNAPSHOT_EVERY`` batches the state is written out as a snapshot, and what
+lies before the previous snapshot is removed. The stream's own checkpoint
+remembers which files were consumed; the lookback filter is the state's time
+to live.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
-from gazette.functions.identity import dedupe_keys, with_identity
+from gazette.functions.dates import is_within_days
 from gazette.operators import history as hist
-from gazette.operators import quality
-from gazette.operators.dedupe import greedy_dedupe
-from gazette.operators.select import lexical_select
+from gazette.plans.digest_run import kept_selection, unique_articles
 from gazette.session import cut_lineage
-from gazette.sources.derived import articles_from_pages
 from gazette.sources.tables import SCHEMAS
 
 HISTORY_DDL = ("persona_id STRING, entry_pos BIGINT, title STRING, chamada STRING, resumo STRING, "
                "link STRING, normalized_link STRING, title_key STRING, title_keys ARRAY<STRING>, "
                "source_title_key STRING, source_title_keys ARRAY<STRING>, source STRING, "
-               "sent_at TIMESTAMP, doc_title STRING, doc_link STRING")
+               "sent_at TIMESTAMP_NTZ, doc_title STRING, doc_link STRING")
+SNAPSHOT_EVERY = 8
 
 
-def _versions(spark: SparkSession, state_dir: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            out.append(int(name[2:]))
-    return sorted(out)
-
+def _folder(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def latest_history(spark: SparkSession, state_dir: str, initial: DataFrame | None = None) -> DataFrame:
-    versions = _versions(spark, state_dir)
-    if versions:
-        return spark.read.schema(HISTORY_DDL).parquet(f"{state_dir}/v={versions[-1]}")
-    if initial is not None:
-        return initial.select(*hist.HISTORY_COLS)
-    return spark.createDataFrame([], HISTORY_DDL)
 
-
-def run_batch(pages: DataFrame, history: DataFrame, personas: DataFrame, as_of,
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose files under ``path`` are complete."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    done = lambda p: fs.exists(_folder(spark, f"{p.toString()}/_SUCCESS")[0])
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("e=") and done(p))
+
+
+def history_before(spark: SparkSession, state_dir: str, epoch: int, initial: DataFrame | None = None,
+                   as_of=None) -> DataFrame:
+    """The history as batch ``epoch`` finds it."""
+    snapshots = [e for e in _epochs(spark, f"{state_dir}/snapshot") if e < epoch]
+    since = snapshots[-1] if snapshots else -1
+    if snapshots:
+        base = spark.read.schema(HISTORY_DDL).parquet(f"{state_dir}/snapshot/e={since}")
+    elif initial is not None:
+        base = initial.select(*hist.HISTORY_COLS)
+    else:
+        base = spark.createDataFrame([], HISTORY_DDL)
+    rows = base.withColumn("_epoch", F.lit(-1))
+    deltas = [e for e in _epochs(spark, f"{state_dir}/delta") if since < e < epoch]
+    for e in deltas:
+        rows = rows.unionByName(spark.read.schema(HISTORY_DDL).parquet(f"{state_dir}/delta/e={e}")
+                                .withColumn("_epoch", F.lit(e)))
+    if deltas:  # the latest entry of each place
+        latest = rows.groupBy("persona_id", "entry_pos").agg(
+            F.max_by(F.struct(*hist.HISTORY_COLS[2:]), "_epoch").alias("_entry"))
+        rows = latest.select("persona_id", "entry_pos", "_entry.*")
+    rows = rows.select(*hist.HISTORY_COLS)
+    return rows if as_of is None else rows.filter(is_within_days("sent_at", as_of, K.LOOKBACK_DAYS))
+
+
+def run_batch(listings: DataFrame, history: DataFrame, personas: DataFrame, as_of,
               days_back: int = K.DAYS_BACK) -> DataFrame:
-    """One run over a batch of pages; returns the next history state."""
-    arts = quality.collect_articles(articles_from_pages(pages), as_of, days_back=days_back)
-    arts = with_identity(arts).withColumn("keys", dedupe_keys("normalized_link", "source_title_keys"))
-    unique = greedy_dedupe(arts, "pos", "keys").filter("kept").select(
-        "ord", "site", "title", "link", "date_str", "published_at")
-    unique = cut_lineage(unique)
-    sel = lexical_select(unique, personas)
-    kept = hist.suppress_repeats(sel, unique, history).filter(F.col("status") == "kept")
+    """One run over a batch of listing pages; the entries it adds to or
+    replaces in the history."""
+    unique = unique_articles(listings, as_of, days_back=days_back)
+    kept = kept_selection(unique, personas, history)
     sent = kept.join(unique.select("ord", "title", "link", "site"), "ord").select(
         "persona_id", F.col("slot").cast("bigint").alias("seq"), "title",
         F.lit(None).cast("string").alias("chamada"), F.lit(None).cast("string").alias("resumo"),
         "link", "site")
-    return hist.record_sent(history, sent, sent_at=as_of, as_of=as_of)
-
-
-def run_incremental(spark: SparkSession, source_dir: str, work_dir: str, personas: DataFrame,
-                    as_of, initial_history: DataFrame | None = None,
-                    files_per_batch: int = 1) -> DataFrame:
-    """Drive ``run_batch`` over every file in ``source_dir`` with an
-    available-now trigger; returns the final history state."""
+    return hist.upserts(history, sent, sent_at=as_of)
+
+
+def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, state_dir: str, personas: DataFrame,
+                  as_of, initial: DataFrame | None = None) -> None:
+    """Batch ``epoch``: the same files whenever and however often it runs."""
+    current = cut_lineage(history_before(spark, state_dir, epoch, initial, as_of))
+    run_batch(batch, current, personas, as_of).write.mode("overwrite").parquet(f"{state_dir}/delta/e={epoch}")
+    if (epoch + 1) % SNAPSHOT_EVERY == 0:
+        history_before(spark, state_dir, epoch + 1, initial, as_of).write.mode("overwrite").parquet(
+            f"{state_dir}/snapshot/e={epoch}")
+        expire(spark, state_dir)
+
+
+def expire(spark: SparkSession, state_dir: str) -> None:
+    """Remove what no batch from the last snapshot on can read."""
+    snapshots = _epochs(spark, f"{state_dir}/snapshot")
+    for kind in ("snapshot", "delta"):
+        for e in _epochs(spark, f"{state_dir}/{kind}"):
+            if len(snapshots) > 1 and (e < snapshots[-2] if kind == "snapshot" else e <= snapshots[-2]):
+                folder, fs = _folder(spark, f"{state_dir}/{kind}/e={e}")
+                fs.delete(folder, True)
+
+
+def run_incremental(spark: SparkSession, source: str, work_dir: str, personas: DataFrame,
+                    as_of, initial_history: DataFrame | None = None, files_per_batch: int = 1,
+                    listing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Drive ``process_batch`` over the files of ``source`` (page_id, url,
+    html), read where they are, with an available-now trigger; returns the
+    final history. ``listing`` turns raw pages into listing pages."""
     state_dir = f"{work_dir}/history"
     personas = cut_lineage(personas)
+    initial = None if initial_history is None else cut_lineage(initial_history.select(*hist.HISTORY_COLS))
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        current = latest_history(spark, state_dir, initial_history)
-        nxt = run_batch(batch, current, personas, as_of)
-        nxt.write.mode("overwrite").parquet(f"{state_dir}/v={epoch}")
-
-    stream = (spark.readStream.schema(SCHEMAS["pages"]).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(source_dir))
+        if not batch.isEmpty():
+            process_batch(spark, listing(batch) if listing else batch, epoch, state_dir, personas, as_of, initial)
+
+    path, fs = _folder(spark, source)
+    reader = spark.readStream.schema(SCHEMAS["pages"]).option("maxFilesPerTrigger", files_per_batch)
+    if fs.getFileStatus(path).isFile():  # a stream reads folders
+        reader, source = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
+    stream = reader.parquet(source)
     q = (stream.writeStream.foreachBatch(on_batch)
          .option("checkpointLocation", f"{work_dir}/stream-checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_history(spark, state_dir, initial_history)
-
-
-def stage_pages(pages: DataFrame, target_dir: str, n_files: int = 4) -> str:
-    """Write pages as ``n_files`` files (by page_id modulo) for the stream source."""
-    (pages.repartition(n_files, F.col("page_id") % n_files)
-     .write.mode("errorifexists").parquet(target_dir))
-    return target_dir
+    return history_before(spark, state_dir, 1 << 62, initial, as_of)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -18,15 +18,15 @@ def test_read_personas_file(spark):
     d = _tmp(spark)
     path = os.path.join(d, "personas.json")
     with open(path, "w") as fh:
-        json.dump([{"id": "id_unico", "nome": "Nome do Cliente", "descricao": "Descricao",
-                    "prioridades": ["tema 1", "tema 2"], "evitar": ["assunto"]},
-                   {"id": "outro", "nome": "Outro Cliente", "descricao": "CEO",
-                    "prioridades": ["mercado"], "evitar": [" "]}], fh)
+        json.dump([{"id": "north", "nome": "Northwind Desk", "descricao": "Covers ports",
+                    "prioridades": ["shipping", "grain"], "evitar": ["sport"]},
+                   {"id": "south", "nome": "Southgate Desk", "descricao": "Covers rail",
+                    "prioridades": ["freight"], "evitar": [" "]}], fh)
     p = read_personas_json(spark, path)
-    assert [r["id"] for r in p.orderBy("persona_idx").collect()] == ["id_unico", "outro"]
+    assert [r["id"] for r in p.orderBy("persona_idx").collect()] == ["north", "south"]
     v = pers.persona_violations(p).collect()
-    assert [(r["persona_id"], r["violation"]) for r in v] == [("outro", "evitar")]
-    assert select_personas(p, ["outro"]).count() == 1
+    assert [(r["persona_id"], r["violation"]) for r in v] == [("south", "evitar")]
+    assert select_personas(p, ["south"]).count() == 1
 
 
 def test_read_history_file_repairs_and_prunes(spark):
@@ -68,11 +68,12 @@ def test_history_save_roundtrip_and_digest_sink(spark):
 def test_composed_run_writes_digests_and_history(spark):
     from gazette.plans import queries as Q
     from gazette.plans.digest_run import run_digest
-    from gazette.sources.derived import AS_OF
+    from gazette.sources.derived import AS_OF, listings_from_pages
     from gazette.sources.tables import read_table
     sf = "/root/testdata/sf0.001"
-    out = run_digest(read_table(spark, sf, "pages"), Q.v_personas(spark, sf), Q.v_history(spark, sf),
-                     AS_OF, _tmp(spark))
+    pages = read_table(spark, sf, "pages")
+    out = run_digest(listings_from_pages(pages), Q.v_personas(spark, sf), Q.v_history(spark, sf),
+                     AS_OF, _tmp(spark), article_pages=pages)
     written = spark.read.json(out.digests_path)
     assert written.count() == out.digests.count() > 0
     assert out.history.count() >= Q.v_history(spark, sf).count()
