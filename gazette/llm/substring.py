@@ -6,9 +6,10 @@ right: a factor copies from one occurrence of an indexed block and goes on
 while the following block copies from the place that follows it there;
 otherwise the next factor begins. A block covers at least one whole window of
 ``window`` words, so every factor is long enough to be a duplicate span. A
-repeated window need not lie inside one factor, so the windows of the blocks
-at factor boundaries (blocks without another whole occurrence, beside the
-same anchor gram) are looked up one by one. The result is exact, up to
+repeated window need not lie inside one factor, so the blocks at factor
+boundaries (without another whole occurrence, but beside an anchor that has
+one) are looked up again window by window, and what is found there becomes
+part of the factors. The result is exact, up to
 128-bit hashes: a word goes if a window over it also starts anywhere else.
 
 Defined results: a null, empty or blank text has no words. Repeated rows
@@ -27,27 +28,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm import repeats
-from gazette.llm.text import (BASES, group_starts, prefix_hash, run_offsets, slices, span_hash, word_hashes, word_spans)
+from gazette.llm.text import BASES, group_starts, prefix_hash, slices, span_hash, word_hashes, word_spans
 
 WINDOW, GRAM = 35, 8
+#: Pieces in which the blocks at factor boundaries are checked.
+STEPS = (1,)
 
 
-def word_blocks(window: int, gram_size: int):
-    def scan(buf: np.ndarray, offs: np.ndarray) -> repeats.Blocks:
+def word_blocks(window: int, gram_size: int) -> repeats.Scan:
+    def scan(buf: np.ndarray, offs: np.ndarray) -> repeats.Scanned:
         start, end, words = word_spans(buf, offs)
-        h = [prefix_hash(word_hashes(buf, start, end, b), b) for b in BASES]
-        n = len(start)
-        at = np.arange(max(n - gram_size + 1, 0))
-        gram = span_hash(h[0], at, at + gram_size, BASES[0])
+        prefix = tuple(prefix_hash(word_hashes(buf, start, end, b), b) for b in BASES)
+        at = np.arange(max(len(start) - gram_size + 1, 0))
+        gram = span_hash(prefix[0], at, at + gram_size, BASES[0])
         first, count, anchor = repeats.anchored(gram, window, gram_size, words)
-        last = first + count - 1 + window
         row = np.repeat(np.arange(len(words)), words)[first]
-
-        def windows(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.repeat(first[mine], count[mine]) + run_offsets(count[mine])
-            return tuple(span_hash(p, at, at + window, b) for p, b in zip(h, BASES, strict=True))
-        return repeats.Blocks(row, first - group_starts(words)[row], count, gram[anchor],
-                              *(span_hash(p, first, last, b) for p, b in zip(h, BASES, strict=True)), windows)
+        return repeats.Scanned(repeats.Blocks(row, first, count, anchor), group_starts(words), prefix, gram)
     return scan
 
 
@@ -72,9 +68,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     by one space."""
     doc, sig = repeats.identified(docs, doc_id, text)
     d = docs.select(doc.alias("doc"), sig.alias("sig"), docs[text].cast("string").alias("text"), docs[doc_id].alias("doc_id"))
-    whole, single = repeats.repeated_blocks(d.select("doc", "sig", "text"), word_blocks(window, gram))
-    spans = factors(whole, window).select("doc", "sig", "start", "end").unionByName(
-        single.select("doc", "sig", "start", (F.col("start") + window).alias("end")))
+    blocks = repeats.repeated_blocks(d.select("doc", "sig", "text"), word_blocks(window, gram), window, STEPS)
+    runs = factors(blocks, window).select("doc", "sig", "start", (F.col("end") - F.col("start") - window + 1).alias("count"))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,5 +84,5 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(words), pa.array(total[at[1:]] - total[at[:-1]]),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-    joined = repeats.with_runs(d, repeats.covered(spans)).select("doc_id", "text", "starts", "ends")
+    joined = repeats.with_runs(d, repeats.covered(runs, window)).select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")

@@ -16,8 +16,9 @@ corpus:
 2. the parse: a phrase with all that its windows reach (the parse suffix cut
    at ``window`` bytes) is one class; a class met twice is repeated in every
    window, which settles repetitive text phrase by phrase;
-3. where classes of one trigger differ, their suffixes are merged: every
-   window start of one occurrence of each class is a (suffix, parse) pair.
+3. where classes of one trigger differ, their suffixes are merged: one
+   occurrence of each class is cut into ever smaller runs of (suffix, parse)
+   pairs, down to single windows, as long as other classes share them.
 
 Matches never cross documents. Exact up to 128-bit hashes.
 
@@ -37,26 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import repeats
-from gazette.llm.text import BASES, prefix_hash, run_offsets, slices, span_hash
+from gazette.llm.text import BASES, prefix_hash, slices, span_hash
 
 WINDOW, TRIGGER = 200, 40
+#: Sizes of the pieces of phrases in which suffixes are merged.
+STEPS = (32, 4, 1)
 
 
-def byte_phrases(window: int, trigger: int):
-    def scan(buf: np.ndarray, offs: np.ndarray) -> repeats.Blocks:
-        n, sizes = len(buf), np.diff(offs)
-        h = [prefix_hash(buf, b) for b in BASES]
-        at = np.arange(max(n - trigger + 1, 0))
-        rolling = span_hash(h[0], at, at + trigger, BASES[0])
-        first, count, anchor = repeats.anchored(rolling, window, trigger, sizes)
-        last = first + count - 1 + window
+def byte_phrases(window: int, trigger: int) -> repeats.Scan:
+    def scan(buf: np.ndarray, offs: np.ndarray) -> repeats.Scanned:
+        prefix = tuple(prefix_hash(buf, b) for b in BASES)
+        at = np.arange(max(len(buf) - trigger + 1, 0))
+        rolling = span_hash(prefix[0], at, at + trigger, BASES[0])
+        first, count, anchor = repeats.anchored(rolling, window, trigger, np.diff(offs))
         row = np.searchsorted(offs, first, "right") - 1
-
-        def windows(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.repeat(first[mine], count[mine]) + run_offsets(count[mine])
-            return tuple(span_hash(p, at, at + window, b) for p, b in zip(h, BASES, strict=True))
-        return repeats.Blocks(row, first - offs[row], count, rolling[anchor],
-                              *(span_hash(p, first, last, b) for p, b in zip(h, BASES, strict=True)), windows)
+        return repeats.Scanned(repeats.Blocks(row, first, count, anchor), offs, prefix, rolling)
     return scan
 
 
@@ -65,9 +61,7 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes that stay."""
     doc, sig = repeats.identified(docs, doc_id, text)
     d = docs.select(doc.alias("doc"), sig.alias("sig"), docs[text].cast("string").alias("text"), docs[doc_id].alias("doc_id"))
-    whole, single = repeats.repeated_blocks(d.select("doc", "sig", "text"), byte_phrases(window, trigger))
-    spans = whole.select("doc", "sig", "start", (F.col("start") + F.col("count") - 1 + window).alias("end")).unionByName(
-        single.select("doc", "sig", "start", (F.col("start") + window).alias("end")))
+    runs = repeats.repeated_blocks(d.select("doc", "sig", "text"), byte_phrases(window, trigger), window, STEPS)
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,5 +75,5 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans.astype(np.int64)), kept],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-    joined = repeats.with_runs(d, repeats.covered(spans)).select("doc_id", "text", "starts", "ends")
+    joined = repeats.with_runs(d, repeats.covered(runs, window)).select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(remove, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -133,3 +133,20 @@ def group_starts(counts: np.ndarray) -> np.ndarray:
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as a Spark long."""
     return h.view(np.int64) if h.dtype == U64 else h.astype(np.int64)
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned arrays as one compressed buffer, each in its smallest type."""
+    sink = pa.BufferOutputStream()
+    for a in arrays:
+        if a.dtype != np.uint8:
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(a)), sink)
+    raw = sink.getvalue()
+    return np.int64(raw.size).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, count: int) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), "zstd")
+    source = pa.BufferReader(raw)
+    return [pa.ipc.read_tensor(source).to_numpy() for _ in range(count)]

@@ -30,29 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.encoders import default_path, load
-from gazette.llm.text import U64, group_starts, mix64, run_offsets, slices, word_hashes, word_spans
+from gazette.llm.text import U64, group_starts, mix64, pack, run_offsets, slices, unpack, word_hashes, word_spans
 
 BLOCK_BYTES = 4 << 20
 #: A word that makes up more than this part of a block's words is salted.
 HOT_SHARE = 1e-3
-_CODEC = "zstd"
-
-
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays as one compressed buffer, smallest integer types first."""
-    sink = pa.BufferOutputStream()
-    for a in arrays:
-        if a.dtype != np.uint8:
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(a)), sink)
-    raw = sink.getvalue()
-    return np.int64(raw.size).tobytes() + pa.compress(raw, _CODEC, asbytes=True)
-
-
-def _unpack(data: bytes, count: int) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), _CODEC)
-    source = pa.BufferReader(raw)
-    return [pa.ipc.read_tensor(source).to_numpy() for _ in range(count)]
 
 
 def _lowered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -87,7 +69,7 @@ def block_tables(buf: np.ndarray, offs: np.ndarray, buckets: int, salt: int) ->
         at, size = start[seen[part]], (end - start)[seen[part]]
         text = buf[np.repeat(at, size) + run_offsets(size)]
         rows = np.repeat(first[part], n_docs[part]) + run_offsets(n_docs[part])
-        yield int(bucket[part[0]]), _pack([size, text, n_docs[part], doc[rows], times[rows]])
+        yield int(bucket[part[0]]), pack([size, text, n_docs[part], doc[rows], times[rows]])
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
@@ -132,7 +114,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
                 total = np.zeros(ids.num_rows, np.int64)
         for body, is_ids in zip(table.column("body"), table.column("ids"), strict=True):
             if not is_ids.as_py():
-                doc, n = _unpack(body.as_py(), 2)
+                doc, n = unpack(body.as_py(), 2)
                 total[doc] += n
         return ids.append_column("n_tokens", pa.array(total))
 
@@ -146,7 +128,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
 def _sums(body: bytes, pieces: dict[bytes, int], path: str) -> bytes:
     """Token sums per document of one part of a block's table; ``pieces``
     remembers the count of every word of the bucket."""
-    size, text, n_docs, doc, times = _unpack(body, 5)
+    size, text, n_docs, doc, times = unpack(body, 5)
     data, ends = text.tobytes(), np.cumsum(size, dtype=np.int64)
     words = [data[e - s:e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
     new = [w for w in words if w not in pieces]
@@ -157,4 +139,4 @@ def _sums(body: bytes, pieces: dict[bytes, int], path: str) -> bytes:
     count = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), n_docs.astype(np.int64))
     total = np.bincount(doc, weights=count * times.astype(np.int64))
     some = np.flatnonzero(total)
-    return _pack([some, total[some].astype(np.int64)])
+    return pack([some, total[some].astype(np.int64)])

@@ -69,8 +69,8 @@ def test_bytes(spark):
 def test_factors_copy_from_their_reference(spark):
     passage = [f"p{i}" for i in range(50)]
     rows = [(1, " ".join(["x1"] + passage + ["x2"])), (2, " ".join(["y1", "y2"] + passage))]
-    d = frame(spark, rows).selectExpr("doc_id as doc", "xxhash64(text) as sig", "text")
-    whole, _ = substring.repeats.repeated_blocks(d, substring.word_blocks(14, 3))
+    d = frame(spark, rows).selectExpr("doc_id as doc", "cast(xxhash64(text) & 65535 as int) as sig", "text")
+    whole = substring.repeats.repeated_blocks(d, substring.word_blocks(14, 3), 14, (1,))
     texts = {doc: t.split() for doc, t in rows}
     made = substring.factors(whole, 14).collect()
     assert {r.doc for r in made} == {1, 2}
