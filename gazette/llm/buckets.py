@@ -23,7 +23,7 @@ from gazette.llm.text import U64, pack, slices, unpack
 TABLE = 1 << 16
 #: An entry with so many times its even share holds a hot hash.
 HOT_TIMES = 8
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def entry(h: np.ndarray) -> np.ndarray:

@@ -6,21 +6,25 @@ number), has a Jaccard similarity of ``threshold`` or more; lines are judged
 on the input, not on what is left.
 
 1. The tokens of a line are ordered by rarity: by the magnitude of a hashed
-   count over the whole corpus (a table of fixed size, ``RARITY_BUCKETS``),
+   count over the whole corpus (a table of fixed size, ``buckets.TABLE``),
    then by hash. Any total order gives exact results; a rare first token
    gives short posting lists.
-2. Lines with the same token set are one line class, kept by its first line.
-3. Two similar lines share a token among their first
-   size - ceil(threshold * size) + 1 (prefix filter). Prefix tokens that
-   occur in one class only are dropped by an aggregate; for what is left the
-   length and positional filters are join conditions.
-4. Each line first meets the ``firsts`` earliest lines of its posting lists,
-   one candidate each, which settles groups of near copies without pairing
-   their members; only lines not yet removed then meet all earlier lines of
-   their lists. Candidates are verified on whole token sets.
-
-Token sets travel only for lines with a candidate. Hot tokens are ordinary
-skewed join keys.
+2. Two similar lines share a token among their first
+   size - ceil(threshold * size) + 1 (prefix filter). The scan cuts each
+   slice's prefix tokens, and its first line of every token set, by hash into
+   buckets, and shuffles them as compressed columns. A bucket drops the
+   tokens of one set only and all but the first line of a set.
+3. For the posting lists that are left, the length and positional filters
+   are join conditions. Each line first meets the ``firsts`` earliest lines of
+   its lists, one candidate each, which settles groups of near copies without
+   pairing their members; only lines not yet removed then meet all earlier
+   lines of their lists.
+4. Candidates that share too few prefix tokens to reach the overlap drop out;
+   the rest is verified on whole token sets, which travel for these only.
+
+A token that makes up far more than its share of all tokens is spread over the
+buckets (it needs no test of being shared), and a hot token is an ordinary
+skewed join key afterwards.
 
 Defined results: a line without words is never removed; a null text has no
 lines and stays null, an empty text one empty line. A null doc_id comes
@@ -40,13 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.llm.buckets import dealt, entry, hashed_counts, heads, hot_entries, in_order, sizes, through_buckets
 from gazette.llm.joins import join_measured
 from gazette.llm.quality import bind
 from gazette.llm.text import (BASES, U64, group_starts, mix64, prefix_hash, run_offsets, slices, span_hash,
                               word_hashes, word_spans)
+from gazette.llm.tables import kept_table
 from gazette.session import cut_lineage
 
-RARITY_BUCKETS = 1 << 14
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -75,7 +80,7 @@ class Tokens:
         self.every = token
         if rarity is None:
             return
-        order = np.lexsort((token, rarity[self.bucket(token)], owner))
+        order = np.lexsort((token, rarity[entry(token)], owner))
         token, owner = token[order], owner[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
@@ -85,123 +90,146 @@ class Tokens:
         total = np.add.reduceat(mix64(self.token ^ U64(0x5851F42D4C957F2D)), self.first) if len(first) else np.empty(0, U64)
         self.key = mix64(total + self.size.astype(U64))
 
-    @staticmethod
-    def bucket(token: np.ndarray) -> np.ndarray:
-        return (token >> U64(50)).astype(np.int64) % RARITY_BUCKETS
-
-
-def rarity_table(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Magnitude (log2) of the number of tokens of each hash bucket over all
-    documents: RARITY_BUCKETS bytes at any input size."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY_BUCKETS, np.int64)
-        for _, buf, offs in slices(batches, "text"):
-            total += np.bincount(Tokens.bucket(Tokens(buf, offs, shingle).every), minlength=RARITY_BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["b", "n"])
-    counts = docs.mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    table = np.zeros(RARITY_BUCKETS, np.int64)
-    for r in counts.collect():  # one row a bucket
-        table[r.b] = r.n
-    return np.ceil(np.log2(table + 1)).astype(np.uint8)
-
 
 def _least_overlap(a, b, threshold: float):
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9))
 
 
-def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 4) -> DataFrame:
+#: What a bucket returns: a line to remove, or a posting.
+REMOVED, POSTING = 0, 1
+_OUT = "kind int, token long, key long, doc long, line long, size int, pos int"
+_NAMES = ["kind", "token", "key", "doc", "line", "size", "pos"]
+
+
+def _out(kind: int, doc: np.ndarray, line: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    columns = {"kind": np.full(n, kind, np.int32), "doc": doc, "line": line} | more
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[c].view(np.int64) if columns[c].dtype == U64 else columns[c], t) if c in columns else pa.nulls(n, t)
+         for c, t in zip(_NAMES, kinds, strict=True)], _NAMES)
+
+
+def _by_token(h: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(token)  # sorted hashes compress
+    return dealt(h[order], order, buckets)
+
+
+def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray) -> DataFrame:
+    """The rows of all buckets (see _OUT): lines that repeat an earlier
+    line's token set, and the prefix tokens that several sets share, each
+    with the first line of its set."""
+    magnitude, hot = np.ceil(np.log2(rarity + 1)).astype(np.uint8), hot_entries(rarity)
+
+    def cut(rows, buf, offs, buckets):
+        t = Tokens(buf, offs, shingle, magnitude)
+        doc, line = (rows.column(i).to_numpy()[t.row] for i in (0, 1))
+        line = line + t.line
+        order = in_order(t.key, doc, line)
+        head = heads(order, t.key)
+        lead = order[head][np.cumsum(head) - 1]
+        # equal places are rows of one document, not repeats
+        again = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
+        if len(again):
+            yield 0, int(again[0]) % buckets, [doc[again].view(U64), line[again].view(U64)]
+        first = order[head]
+        for b, r in dealt(mix64(t.key[first]), first, buckets):
+            yield 1, b, [t.key[r], doc[r].view(U64), line[r].view(U64)]
+        n = (t.size - np.ceil(threshold * t.size - 1e-9) + 1).astype(np.int64)[first]
+        own, pos = np.repeat(first, n), run_offsets(n)
+        token = t.token[t.first[own] + pos]
+        spread = np.where(hot[entry(token)], mix64(token ^ t.key[own]), mix64(token))
+        for b, r in _by_token(spread, token, buckets) if len(token) else ():
+            o = own[r]
+            yield 2, b, [token[r], t.key[o], doc[o].view(U64), line[o].view(U64), t.size[o].view(np.uint32), pos[r].view(U64)]
+
+    def whole(kind, columns):
+        if kind == 0:
+            yield _out(REMOVED, *columns)
+        elif kind == 1:
+            key, doc, line = columns
+            order = in_order(key, doc.view(np.int64), line.view(np.int64))
+            head = heads(order, key)
+            lead = order[head][np.cumsum(head) - 1]
+            again = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
+            yield _out(REMOVED, doc[again], line[again])
+        else:
+            token, key, doc, line, size, pos = columns
+            order = in_order(token, key, doc.view(np.int64), line.view(np.int64))
+            kept = order[heads(order, token, key)]  # one a token and set: its first line
+            kept = kept[(sizes(heads(kept, token)) > 1) | hot[entry(token[kept])]]
+            yield _out(POSTING, doc[kept], line[kept], token=token[kept], key=key[kept],
+                       size=size[kept].astype(np.int32), pos=pos[kept].astype(np.int32))
+    return through_buckets(docs, cut, whole, _OUT)
+
+
+def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
     """(doc, line) of every line to remove; ``docs`` has the columns doc
     (long, LAST for null), tag (see ``identified``) and text, and ``line`` is
     tag + line number."""
-    rarity = rarity_table(docs, shingle)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in slices(batches, "text"):
-            t = Tokens(buf, offs, shingle, rarity)
-            doc, line = (rows.column(i).to_numpy()[t.row] for i in (0, 1))
-            line = line + t.line
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), pa.array(t.key.view(np.int64))],
-                                             ["doc", "line", "key"])
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in slices(batches, "text"):
-            t = Tokens(buf, offs, shingle, rarity)
-            n = (t.size - np.ceil(threshold * t.size - 1e-9) + 1).astype(np.int64)
-            own, pos = np.repeat(np.arange(len(n)), n), run_offsets(n)
-            doc, line = (rows.column(i).to_numpy()[t.row] for i in (0, 1))
-            line = line + t.line
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.token[t.first[own] + pos].view(np.int64)), pa.array(t.key.view(np.int64)[own]),
-                 pa.array(doc[own]), pa.array(line[own]), pa.array(t.size[own]), pa.array(pos.astype(np.int32))],
-                ["token", "key", "doc", "line", "size", "pos"])
+    rarity = hashed_counts(docs, lambda buf, offs: Tokens(buf, offs, shingle).every)
+    magnitude = np.ceil(np.log2(rarity + 1)).astype(np.uint8)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in slices(batches, "text"):
-            t = Tokens(buf, offs, shingle, rarity)
+            t = Tokens(buf, offs, shingle, magnitude)
             wanted = rows.column(1)
             base = wanted.offsets.to_numpy()
-            asked = set(zip(np.repeat(np.arange(rows.num_rows), np.diff(base)).tolist(),
-                            wanted.flatten().to_pylist(), strict=True))
-            line = rows.column(2).to_numpy()[t.row] + t.line
-            mine = [i for i, place in enumerate(zip(t.row.tolist(), line.tolist(), strict=True)) if place in asked]
-            token = t.token.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.key.view(np.int64)[mine]),
-                 pa.array([token[t.first[i]:t.first[i] + t.size[i]] for i in mine], pa.list_(pa.int64()))], ["key", "tokens"])
-
-    occurrences = cut_lineage(docs.mapInArrow(keys, "doc long, line long, key long"))
-    prefix = docs.mapInArrow(prefixes, "token long, key long, doc long, line long, size int, pos int")
-    alive = prefix.groupBy("token").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).where("_a <> _b").select(
-        F.col("token").alias("_t"))
-    alive = cut_lineage(alive)
-    place = F.struct("doc", "line")
-    posted = cut_lineage(
-        prefix.join(alive, F.col("token") == F.col("_t"), "left_semi")
-        .groupBy("token", "key", "size", "pos").agg(F.min(place).alias("place")))
-
-    # the first line of each class that has candidates, and its whole set
-    classes = posted.groupBy("key").agg(F.min("place").alias("place"))
-    wanted = classes.groupBy(F.col("place.doc").alias("_d"), tag_of("place.line").alias("_tag")).agg(
-        F.collect_set("place.line").alias("_lines"))
-    at = join_measured(docs, wanted, (F.col("doc") == F.col("_d")) & (F.col("tag") == F.col("_tag")), "inner", 8 * F.size("_lines")).select("text", "_lines", "tag")
-    sets_of = cut_lineage(at.mapInArrow(sets, "key long, tokens array<long>").dropDuplicates(["key"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Keys of the later lines that are similar to their candidates."""
-        pairs = pairs.distinct()
-        x = sets_of.select(F.col("key").alias("x"), F.col("tokens").alias("xs"))
-        y = sets_of.select(F.col("key").alias("y"), F.col("tokens").alias("ys"))
-        common = F.size(F.array_intersect("xs", "ys"))
-        full = pairs.join(x, "x").join(y, "y").withColumn("_o", common)
-        return cut_lineage(full.where(
-            F.col("_o") >= _least_overlap(F.size("xs"), F.size("ys"), threshold)).select("x").distinct())
+            asked = np.repeat(np.arange(rows.num_rows), np.diff(base)) << 32 | wanted.flatten().to_numpy().astype(np.int64)
+            mine = np.flatnonzero(np.isin(t.row << 32 | t.line.astype(np.int64), asked))
+            size = t.size[mine]
+            token = t.token[np.repeat(t.first[mine], size) + run_offsets(size)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(group_starts(size).astype(np.int32)), pa.array(token))
+            yield pa.RecordBatch.from_arrays([pa.array(t.key[mine].view(np.int64)), lists], ["key", "tokens"])
+
+    found = kept_table(postings(docs, shingle, threshold, rarity))
+    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "line").alias("place"), "size", "pos")
+    # of every set: its shared prefix tokens, size and first line
+    prefix = kept_table(posted.groupBy("key").agg(
+        F.collect_list("token").alias("tokens"), F.first("size").alias("size"), F.first("place").alias("place")))
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """(x, y, x_place, y_place) of the candidates that pass the filters."""
         a, b = later.alias("a"), earlier.alias("b")
         small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
         bound = F.least("a.pos", "b.pos") + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-        return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place"))
-                      & (F.col("a.key") != F.col("b.key"))
-                      & (small >= F.ceil(large * F.lit(threshold) - F.lit(1e-9)))
-                      & (bound >= _least_overlap(F.col("a.size"), F.col("b.size"), threshold))).select(
-                          F.col("a.key").alias("x"), F.col("b.key").alias("y"))
+        pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place"))
+                       & (F.col("a.key") != F.col("b.key"))
+                       & (small >= F.ceil(large * F.lit(threshold) - F.lit(1e-9)))
+                       & (bound >= _least_overlap(F.col("a.size"), F.col("b.size"), threshold)))
+        pairs = pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+        for side in "xy":
+            pairs = pairs.join(prefix.select(*[F.col(c).alias(f"{side}_{c}") for c in prefix.columns]),
+                               F.col(side) == F.col(f"{side}_key"))
+        # what two sets share beyond their prefixes fits into the rest of one
+        rest = lambda side: F.ceil(F.col(f"{side}_size") * F.lit(threshold) - F.lit(1e-9)) - 1
+        shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
+        near = pairs.where(shared + F.greatest(rest("x"), rest("y")) >= _least_overlap(F.col("x_size"), F.col("y_size"), threshold))
+        return cut_lineage(near.select("x", "y", "x_place", "y_place"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(x, x_place) of the later lines that are similar to a candidate."""
+        lines = pairs.select(F.explode(F.array("x_place", "y_place")).alias("p")).distinct()
+        wanted = lines.groupBy(F.col("p.doc").alias("_d"), tag_of("p.line").alias("_tag")).agg(
+            F.collect_list((F.col("p.line") - tag_of("p.line")).cast("int")).alias("_lines"))
+        at = join_measured(docs, wanted, (F.col("doc") == F.col("_d")) & (F.col("tag") == F.col("_tag")), "inner",
+                           4 * F.size("_lines")).select("text", "_lines")
+        sets_of = kept_table(at.mapInArrow(sets, "key long, tokens array<long>"))
+        x = sets_of.select(F.col("key").alias("x"), F.col("tokens").alias("xs"))
+        y = sets_of.select(F.col("key").alias("y"), F.col("tokens").alias("ys"))
+        full = pairs.join(x, "x").join(y, "y").withColumn("_o", F.size(F.array_intersect("xs", "ys")))
+        return cut_lineage(full.where(
+            F.col("_o") >= _least_overlap(F.size("xs"), F.size("ys"), threshold)).select("x", "x_place").distinct())
 
     early = Window.partitionBy("token").orderBy("place", "key")
-    heads = cut_lineage(posted.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= firsts).drop("_n"))
-    gone = verified(met(posted, heads))
-    # nobody can be earlier than the first line of a list
-    open_ones = posted.join(gone, posted["key"] == gone["x"], "left_anti")
-    rest = cut_lineage(open_ones.join(heads.select(F.col("token").alias("_t"), F.col("key").alias("_k")),
-                                      (F.col("token") == F.col("_t")) & (F.col("key") == F.col("_k")), "left_anti"))
-    gone = gone.union(verified(met(rest, posted))).select(F.col("x").alias("_gone"))
-
-    kept = occurrences.groupBy("key").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-    kept = kept.join(gone, kept["key"] == F.col("_gone"), "left").where("_n > 1 or _gone is not null").select(
-        F.col("key").alias("_key"), "_first", F.col("_gone").isNotNull().alias("_all"))
-    kept = cut_lineage(kept)
-    return occurrences.join(kept, F.col("key") == F.col("_key")).where(
-        F.col("_all") | (place != F.col("_first"))).select("doc", "line")
+    heads_of = posted.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= firsts)
+    gone = verified(met(posted, heads_of))
+    # lists no longer than ``firsts`` have been met whole
+    long = heads_of.where(F.col("_n") == firsts).select(F.col("token").alias("_t"))
+    rest = posted.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
+    rest = rest.join(long, F.col("token") == F.col("_t"), "left_semi")
+    gone = gone.union(verified(met(rest, posted)))
+    return found.where(F.col("kind") == REMOVED).select("doc", "line").union(gone.select("x_place.doc", "x_place.line"))
 
 
 def tag_of(line: str):

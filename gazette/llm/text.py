@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at a time inside a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, bool)
@@ -91,11 +91,10 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     key = (base, inverse)
     have = _powers.get(key)
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16)
-        step = np.full(size, pow(base, -1, 1 << 64) if inverse else base, U64)
+        step = np.full(max(n + 1, SLICE_BYTES + (1 << 16)), pow(base, -1, 1 << 64) if inverse else base, U64)
         step[0] = 1
-        have = np.cumprod(step, dtype=U64)
-        if size <= 4 * SLICE_BYTES:
+        have = np.cumprod(step, out=step)
+        if len(have) <= 4 * SLICE_BYTES:
             _powers[key] = have
     return have
 
