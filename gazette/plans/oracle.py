@@ -973,6 +973,19 @@ WHERE c.persona_id NOT IN (SELECT DISTINCT persona_id FROM v_hist)
   AND {_doc_match('c.name', 'c.nome')} AND {S.within_days('c.modified_time', AS, K.LOOKBACK_DAYS)}"""
 
 
+def _file_sql(out: dict[str, str]) -> None:
+    out["personas_file"] = with_(V_TOPICS, V_PERSONAS) + """
+SELECT id, nome, descricao, array_to_string(prioridades, ' | ') AS prioridades, array_to_string(evitar, ' | ') AS evitar
+FROM v_personas WHERE id IN ('p0', 'p2', 'p3', 'p10')"""
+    # places are counted anew in the file
+    out["history_file"] = with_(V_ARTICLES, V_HIST_RAW.replace("ord AS entry_pos", (
+        "row_number() OVER (PARTITION BY ord // 10 ORDER BY ord) - 1 AS entry_pos")), V_HIST) + f"""
+SELECT persona_id, entry_pos, title, chamada, resumo, link, normalized_link, title_key, {S.ts_text('sent_at')} AS sent_at
+FROM v_hist"""
+    out["digest_sink"] = f"SELECT *, CAST('{AS_OF[:10]}' AS VARCHAR) AS run_date FROM (\n" + out["render_digest"] + ")"
+    out["doc_ids"] = with_(V_ARTICLES) + "SELECT ord AS id, CAST(ord AS VARCHAR) AS doc_id FROM v_articles"
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     _io_sql(out)
@@ -982,4 +995,5 @@ def oracle_sql() -> dict[str, str]:
     _docs_sql(out)
     _tail_sql(out)
     _upsert_sql(out)
+    _file_sql(out)
     return out

@@ -532,3 +532,43 @@ def q_dedupe_documents(spark, sf_dir):
     d = d.withColumn("keys", dedupe_keys("normalized_link", "source_title_keys"))
     out = greedy_dedupe(d, "ord", "keys")
     return out.select("ord", "site", "title", "normalized_link", "kept")
+
+
+# --- files ------------------------------------------------------------------------
+from gazette.functions.links import doc_id_from_link  # noqa: E402
+from gazette.sources import files as fl  # noqa: E402
+
+
+@query("personas_file")
+def q_personas_file(spark, sf_dir):
+    """S5 + P9: the persona list written as JSON, read back, and the requested
+    personas chosen from it."""
+    path = inc.scratch_dir(spark, "personas-json")
+    fl.write_personas_json(v_personas(spark, sf_dir), path)
+    p = fl.select_personas(fl.read_personas_json(spark, path), ["p0", "p2", "p3", "p10"])
+    return p.select("id", "nome", "descricao", _join("prioridades").alias("prioridades"), _join("evitar").alias("evitar"))
+
+
+@query("history_file")
+def q_history_file(spark, sf_dir):
+    """The raw history written in its stored layout, read and repaired."""
+    path = inc.scratch_dir(spark, "history-json")
+    fl.write_history_json(history_from_articles(v_articles(spark, sf_dir)), path)
+    h = hist.repair_entries(hist.read_history_json(spark, path), AS_OF)
+    return h.select("persona_id", "entry_pos", "title", "chamada", "resumo", "link", "normalized_link", "title_key",
+                    ts_text("sent_at").alias("sent_at"))
+
+
+@query("digest_sink")
+def q_digest_sink(spark, sf_dir):
+    """K4: the rendered digests written and read back."""
+    path = inc.scratch_dir(spark, "digests")
+    fl.write_digests(rd.render_digest(items(spark, sf_dir), v_personas(spark, sf_dir), AS_OF), path, AS_OF[:10])
+    back = spark.read.schema("persona_id string, doc_title string, n_items long, body string, run_date string").json(path)
+    return back.select("persona_id", "doc_title", "n_items", "body", "run_date")
+
+
+@query("doc_ids")
+def q_doc_ids(spark, sf_dir):
+    """document ids out of the catalogue's links."""
+    return v_docs(spark, sf_dir).select("id", doc_id_from_link("web_view_link").alias("doc_id"))

@@ -30,3 +30,34 @@ def write_digests(digests: DataFrame, path: str, run_date: str) -> None:
     under ``run_date=...``; a folder per persona would be millions of files."""
     (digests.filter(F.col("n_items") > 0).withColumn("run_date", F.lit(run_date))
      .write.mode("errorifexists").partitionBy("run_date").json(path))
+
+
+#: Files a JSON export is spread over, by persona hash.
+EXPORT_FILES = 16
+
+
+def _one_document_each(rows: DataFrame, path: str) -> None:
+    """``rows`` (bucket, value): one JSON document per file."""
+    rows.write.mode("errorifexists").partitionBy("bucket").text(path)
+
+
+def write_personas_json(personas: DataFrame, path: str, files: int = EXPORT_FILES) -> None:
+    """The persona list as files that ``read_personas_json`` reads: a JSON
+    array each, spread by id so that no task holds the whole list."""
+    one = F.struct("id", "nome", "descricao", "prioridades", "evitar")
+    rows = personas.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("bucket")).agg(
+        F.to_json(F.sort_array(F.collect_list(one))).alias("value"))
+    _one_document_each(rows, path)
+
+
+def write_history_json(entries: DataFrame, path: str, files: int = EXPORT_FILES) -> None:
+    """Raw history entries (persona_id, entry_pos, and the stored fields) as
+    files in the stored layout {"version", "personas": {id: [entry, ...]}}."""
+    fields = [c for c in entries.columns if c not in ("persona_id", "entry_pos")]
+    lists = entries.groupBy("persona_id").agg(F.sort_array(F.collect_list(
+        F.struct("entry_pos", F.struct(*fields).alias("entry")))).alias("_l"))
+    lists = lists.select("persona_id", F.transform("_l", lambda e: e["entry"]).alias("entries"))
+    rows = lists.groupBy(F.pmod(F.xxhash64("persona_id"), F.lit(files)).alias("bucket")).agg(
+        F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(
+            F.collect_list(F.struct("persona_id", "entries"))).alias("personas"))).alias("value"))
+    _one_document_each(rows, path)
