@@ -95,42 +95,68 @@ def _repeat_words(hashes: Column) -> Column:
     return bind(bind(hashes, windows), count)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The counts the rules use, as columns over one text column."""
+def counts(text: Column) -> Column:
+    """The counts of one text as a struct."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, SEPARATORS), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACE, "") != "")
-    return {
-        "words": words,
-        "n_chars_solid": F.length(F.translate(text, SPACE, "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
-        "n_exclaim": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("bigint"),
-        "n_upper": (F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))).cast("bigint"),
-        "line_counts": bind(lines, lambda a: F.struct(
-            F.size(a).cast("bigint").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("dup"))),
-    }
-
-
-def _from_words(words: Column) -> Column:
     stop = dict.fromkeys(STOP_WORDS)
-    return bind(words, lambda w: F.struct(
-        F.size(w).cast("bigint").alias("n"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))).cast("bigint").alias("stop"),
-        F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)).cast("bigint").alias("stutter"),
+    size = lambda a: F.size(a).cast("bigint")
+    of_words = bind(words, lambda w: F.struct(
+        size(w).alias("n"),
+        size(F.filter(w, lambda x: F.lower(x).isin(*stop))).alias("stop"),
+        size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)).alias("stutter"),
         _repeat_words(F.transform(w, lambda x: F.xxhash64(x))).alias("repeat")))
+    of_lines = bind(lines, lambda a: F.struct(
+        size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("dup")))
+    left = lambda rest: (F.length(text) - F.length(rest)).cast("bigint")
+    return F.struct(
+        of_words.alias("words"), of_lines.alias("lines"),
+        F.length(F.translate(text, SPACE, "")).cast("bigint").alias("chars"),
+        left(F.translate(text, SYMBOLS, "")).alias("symbols"), left(F.translate(text, "!", "")).alias("exclaim"),
+        left(F.regexp_replace(text, "\\p{Lu}", "")).alias("upper"))
+
+
+def _measures(c: Column) -> Column:
+    """What the rules look at, from the counts."""
+    n, chars, lines = c["words"]["n"], c["chars"], c["lines"]["n"]
+    share = lambda part, whole: 100 * part / F.greatest(whole, F.lit(1))
+    return F.struct(
+        n.alias("n_words"), chars.alias("word_chars"), c["symbols"].alias("n_symbols"),
+        c["lines"]["dup"].alias("n_dup_lines"), c["words"]["repeat"].alias("n_repeat_words"),
+        share(c["words"]["repeat"], n).alias("repeat_word_pct"),
+        (chars / F.greatest(n, F.lit(1))).alias("mean_word_chars"),
+        share(c["symbols"], chars).alias("symbol_pct"), share(c["words"]["stop"], n).alias("stop_word_pct"),
+        share(c["words"]["stutter"], n).alias("stutter_pct"), share(c["lines"]["dup"], lines).alias("dup_line_pct"),
+        share(c["upper"], chars).alias("upper_pct"), share(c["exclaim"], n).alias("exclaim_pct"))
+
+
+def _failed(table: tuple[Rule, ...], m: Column) -> Column:
+    """Names of the rules of a table that reject."""
+    def fails(rule: Rule) -> Column:
+        value, bad = m[rule.measure], F.lit(False)
+        if rule.low is not None:
+            bad = bad | (value < F.lit(rule.low))
+        if rule.high is not None:
+            bad = bad | (value > F.lit(rule.high))
+        return bad & (m["n_words"] >= rule.min_words)
+    names = F.array(*[F.when(fails(r), F.lit(r.name)) for r in table]) if table else F.array().cast("array<string>")
+    return F.filter(names, lambda x: x.isNotNull())
 
 
-def _fails(rule: Rule) -> Column:
-    value = F.col(rule.measure)
-    bad = F.lit(False)
-    if rule.low is not None:
-        bad = bad | (value < F.lit(rule.low))
-    if rule.high is not None:
-        bad = bad | (value > F.lit(rule.high))
-    return bad & (F.col("n_words") >= rule.min_words)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def assess(text: Column, base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All results for one text as one struct expression. Every intermediate
+    value is bound once, so a filter on a field that Catalyst moves below
+    other projections still evaluates the text once."""
+    def verdict(m: Column) -> Column:
+        return bind(F.struct(_failed(base, m).alias("base"), _failed(rules, m).alias("own")), lambda f: F.struct(
+            *[m[c].alias(c) for c in MEASURES], (F.size(f["base"]) > 0).alias("base_failed"),
+            F.concat(f["base"], f["own"]).alias("failed_rules"),
+            ((F.size(f["base"]) == 0) & (F.size(f["own"]) == 0)).alias("kept")))
+    return bind(bind(counts(text), _measures), verdict)
 
 
 def apply_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES,
@@ -139,36 +165,11 @@ def apply_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BA
     (names of all rules that reject the text) and ``kept``."""
     made = {*MEASURES, "base_failed", "failed_rules", "kept"}
     carried = [c for c in docs.columns if c.lower() not in made]
-    m = measures(docs[text])
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in carried]).alias("_row"),
-                      _from_words(m.pop("words")).alias("_w"), *[v.alias(f"_{k}") for k, v in m.items()])
-    row = row.select(
-        "_row", F.col("_w.n").alias("n_words"), F.col("_n_chars_solid").alias("word_chars"),
-        F.col("_n_symbols").alias("n_symbols"), F.col("_line_counts.dup").alias("n_dup_lines"),
-        F.col("_w.repeat").alias("n_repeat_words"), F.col("_w.stop").alias("_stop"),
-        F.col("_w.stutter").alias("_stutter"), F.col("_line_counts.n").alias("_lines"), "_n_upper", "_n_exclaim")
-    some_words = F.greatest(F.col("n_words"), F.lit(1))
-    some_chars = F.greatest(F.col("word_chars"), F.lit(1))
-    row = row.select(
-        "*",
-        (100 * F.col("n_repeat_words") / some_words).alias("repeat_word_pct"),
-        (F.col("word_chars") / some_words).alias("mean_word_chars"),
-        (100 * F.col("n_symbols") / some_chars).alias("symbol_pct"),
-        (100 * F.col("_stop") / some_words).alias("stop_word_pct"),
-        (100 * F.col("_stutter") / some_words).alias("stutter_pct"),
-        (100 * F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1))).alias("dup_line_pct"),
-        (100 * F.col("_n_upper") / some_chars).alias("upper_pct"),
-        (100 * F.col("_n_exclaim") / some_words).alias("exclaim_pct"))
-    hits = lambda table: F.filter(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in table]), lambda x: x.isNotNull())
-    row = row.select("_row", *MEASURES, hits(base).alias("_base"), hits(rules).alias("_own"))
-    return row.select(
-        "_row.*", *MEASURES, (F.size("_base") > 0).alias("base_failed"),
-        F.concat("_base", "_own").alias("failed_rules"),
-        ((F.size("_base") == 0) & (F.size("_own") == 0)).alias("kept"))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in carried]).alias("_row"), assess(docs[text], base, rules).alias("_q"))
+    return row.select("_row.*", "_q.*")
 
 
 def passing(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES,
             rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows no rule rejects, with their own columns."""
-    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs[text].alias("text"))
-    return apply_rules(inner, "text", base, rules).where("kept").select("_doc.*")
+    return docs.where(assess(docs[text], base, rules)["kept"])
