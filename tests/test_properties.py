@@ -129,23 +129,17 @@ def test_parse_items_rules(spark):
                    (2, "Titulo C", "", "https://x.com/c")]
 
 
-def test_residue_scan_matches_sequential(spark):
-    import gazette.operators.dedupe as D
-    old = D.RESIDUE_AFTER_ROUNDS
-    D.RESIDUE_AFTER_ROUNDS = 1
-    try:
-        cases = [("chain", pos, [f"x{pos}", f"x{pos + 1}"] if pos else ["x0"]) for pos in range(15)]
-        cases += [("mix", 1, ["a"]), ("mix", 2, ["a", "b"]), ("mix", 3, ["b"]), ("mix", 4, [])]
-        df = spark.createDataFrame(cases, "grp string, pos long, keys array<string>")
-        got = D.greedy_dedupe(df, "pos", "keys", group_cols=["grp"]).filter("kept").collect()
-        for grp in ("chain", "mix"):
-            rows = [(p, k) for g, p, k in cases if g == grp]
-            assert sorted(r["pos"] for r in got if r["grp"] == grp) == sequential_dedupe(rows)
-        plain = spark.createDataFrame([(p, k) for _, p, k in cases[:15]], "pos long, keys array<string>")
-        kept = sorted(r["pos"] for r in D.greedy_dedupe(plain, "pos", "keys").filter("kept").collect())
-        assert kept == sequential_dedupe([(p, k) for _, p, k in cases[:15]])
-    finally:
-        D.RESIDUE_AFTER_ROUNDS = old
+def test_chains_match_sequential(spark):
+    cases = [("chain", pos, [f"x{pos}", f"x{pos + 1}"] if pos else ["x0"]) for pos in range(15)]
+    cases += [("mix", 1, ["a"]), ("mix", 2, ["a", "b"]), ("mix", 3, ["b"]), ("mix", 4, [])]
+    df = spark.createDataFrame(cases, "grp string, pos long, keys array<string>")
+    got = greedy_dedupe(df, "pos", "keys", group_cols=["grp"]).filter("kept").collect()
+    for grp in ("chain", "mix"):
+        rows = [(p, k) for g, p, k in cases if g == grp]
+        assert sorted(r["pos"] for r in got if r["grp"] == grp) == sequential_dedupe(rows)
+    plain = spark.createDataFrame([(p, k) for _, p, k in cases[:15]], "pos long, keys array<string>")
+    kept = sorted(r["pos"] for r in greedy_dedupe(plain, "pos", "keys").filter("kept").collect())
+    assert kept == sequential_dedupe([(p, k) for _, p, k in cases[:15]])
 
 
 def test_hydrate_history_older_document_overwrites(spark):
