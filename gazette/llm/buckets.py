@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gazette.llm.text import U64, pack, slices, unpack
+from gazette.llm.text import U64, pack, slices, small_batches, unpack
 
 TABLE = 1 << 16
 #: An entry with so many times its even share holds a hot hash.
@@ -46,7 +46,7 @@ def hashed_counts(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np
             for row in batch.column(0):
                 total += np.frombuffer(row.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
-    rows = docs.select("text").mapInArrow(count, "counts binary")
+    rows = small_batches(docs.select("text")).mapInArrow(count, "counts binary")
     # tables of one size: summed in a few tasks, then in the driver
     total = np.zeros(TABLE, np.int64)
     for r in rows.repartition(8).mapInArrow(add, "counts binary").collect():
@@ -116,5 +116,5 @@ def through_buckets(docs: DataFrame, cut: Cut, whole: Whole, schema: str, block_
                 held.append([a.astype(U64) if a.dtype != np.uint8 else a for a in unpack(body, width)])
         if held:
             yield from finish(at, held)
-    parts = docs.mapInArrow(scan, "kind int, bucket int, width int, body binary")
+    parts = small_batches(docs).mapInArrow(scan, "kind int, bucket int, width int, body binary")
     return parts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(gather, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.encoders import byte_level_ids, default_path
-from gazette.llm.text import slices
+from gazette.llm.text import slices, small_batches
 from gazette.session import cut_lineage
 
 LENGTH = 2048
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    return d.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
+    return small_batches(d).mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
                         + ", ids array<int>" * with_ids)
 
 

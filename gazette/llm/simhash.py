@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.components import components
 from gazette.llm.joins import join_measured
-from gazette.llm.text import U64, group_starts, run_offsets, slices, word_spans
+from gazette.llm.text import U64, group_starts, run_offsets, slices, small_batches, word_spans
 from gazette.llm.xxh import xxh64_spans
 from gazette.session import cut_lineage
 
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fp = text_fingerprints(buf, offs, shingle, seed)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return small_batches(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 class BKTrees:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.encoders import default_path, load
-from gazette.llm.text import U64, group_starts, mix64, pack, run_offsets, slices, unpack, word_hashes, word_spans
+from gazette.llm.text import U64, group_starts, mix64, pack, run_offsets, slices, small_batches, unpack, word_hashes, word_spans
 
 BLOCK_BYTES = 4 << 20
 #: A word that makes up more than this part of a block's words is salted.
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
         return ids.append_column("n_tokens", pa.array(total))
 
     summed = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("ids", pa.bool_())])
-    parts = d.mapInArrow(tables, "bucket int, block long, body binary, ids boolean")
+    parts = small_batches(d).mapInArrow(tables, "bucket int, block long, body binary, ids boolean")
     dealt = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sums = dealt.mapInArrow(joined, "block long, body binary, ids boolean")
     return sums.groupBy("block").applyInArrow(documents, f"doc_id {id_type.simpleString()}, n_bytes long, n_tokens long")
