@@ -38,7 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id."""
+    """One row of each near-duplicate group: the smallest doc_id; of a group's
+    rows without one, one as well."""
     return simhash.one_per_group(docs)
 
 

@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.components import components
 from gazette.llm.joins import join_measured
+from gazette.llm.tables import kept_table
 from gazette.llm.text import U64, group_starts, run_offsets, slices, small_batches, word_spans
 from gazette.llm.xxh import xxh64_spans
 from gazette.session import cut_lineage
@@ -239,24 +240,41 @@ def links(nodes: DataFrame, radius: int = 3, shard_limit: int = 16_384) -> DataF
     return dealt.mapInArrow(_star_links(radius), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
-                          radius: int = 3, seed: int = 42, shard_limit: int = 16_384) -> DataFrame:
-    """(doc_id, fp, component_id): ``component_id`` is the smallest doc_id
-    reachable over links, a document's own included."""
-    fps = cut_lineage(fingerprints(docs, doc_id, text, shingle, seed))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _grouped(fps: DataFrame, least: dict[str, Column], radius: int = 3, shard_limit: int = 16_384) -> DataFrame:
+    """``fps`` with, for each of ``least``, its smallest value (null if there
+    is none) over the rows of the group."""
+    smallest = lambda c: [F.min(x).alias(name) for name, x in c.items()]
+    nodes = cut_lineage(fps.groupBy("fp").agg(*smallest(least)))
     linked = components(links(nodes.select("fp"), radius, shard_limit))
     rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
-        nodes["fp"], "least", F.coalesce("component", nodes["fp"]).alias("root"))
+        nodes["fp"], *least, F.coalesce("component", nodes["fp"]).alias("root"))
     rooted = cut_lineage(rooted)
-    named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_r"))
-    named = rooted.join(named, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "component_id")
-    return join_measured(fps, named, F.col("fp") == F.col("_fp"), "inner").select("doc_id", "fp", "component_id")
+    named = cut_lineage(rooted.groupBy(F.col("root").alias("_r")).agg(*smallest({c: F.col(c) for c in least})))
+    named = rooted.select(F.col("fp").alias("_fp"), "root").join(named, F.col("root") == F.col("_r")).select("_fp", *least)
+    return join_measured(fps, named, F.col("fp") == F.col("_fp"), "inner").drop("_fp")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that name their group (smallest doc_id); rows
-    with a null doc_id can't be named and all stay."""
-    groups = near_duplicate_groups(docs, doc_id, text, **params)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return join_measured(docs, gone, docs[doc_id] == F.col("_gone"), "left_anti")
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                          radius: int = 3, seed: int = 42, shard_limit: int = 16_384) -> DataFrame:
+    """(doc_id, fp, component_id): ``component_id`` is the smallest doc_id
+    reachable over links, a document's own included."""
+    fps = cut_lineage(fingerprints(docs, doc_id, text, shingle, seed))
+    return _grouped(fps, {"component_id": F.col("doc_id")}, radius, shard_limit).select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42,
+                  **params) -> DataFrame:
+    """One row of ``docs`` for each group: of those with the smallest doc_id
+    the first by a hash of the text, of repeated rows any one. Rows with a
+    null doc_id can't stand for named ones, nor named ones for them: of each
+    group's, one stays as well."""
+    # rows are told apart by a number of their own, written before it is used
+    rows = kept_table(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row")))
+    place = F.struct(F.col("own")[doc_id].alias("id"), F.xxhash64(F.col("own")[text]).alias("hash"), "row")
+    placed = rows.select(place.alias("place"), F.col("own")[text].alias("text"))
+    fps = cut_lineage(fingerprints(placed, "place", "text", shingle, seed))
+    at, unnamed = F.col("doc_id"), F.col("doc_id.id").isNull()
+    groups = _grouped(fps, {"named": F.when(~unnamed, at), "unnamed": F.when(unnamed, at)}, **params)
+    stays = F.when(unnamed, F.col("unnamed.row")).otherwise(F.col("named.row"))
+    gone = groups.where(F.col("doc_id.row") != stays).select(F.col("doc_id.row").alias("_gone"))
+    return join_measured(rows, gone, F.col("row") == F.col("_gone"), "left_anti").select("own.*")

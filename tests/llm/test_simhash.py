@@ -93,3 +93,11 @@ def test_one_row_of_each_group_stays(spark):
     kept = simhash.one_per_group(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2]
+
+
+def test_rows_are_judged_by_their_own_texts(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four", "red green blue pink", "north south east west")
+    rows = [(5, a), (5, b), (3, b), *[(8, c)] * 3, *[(None, d)] * 3, (9, a), (None, None), (None, "")]
+    kept = simhash.one_per_group(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+    assert got == sorted([(5, a), (3, b), (8, c), (None, d), (None, "")], key=repr)
