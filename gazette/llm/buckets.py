@@ -67,7 +67,13 @@ def dealt(h: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple[int,
 
 
 def in_order(*keys: np.ndarray) -> np.ndarray:
-    return np.lexsort(keys[::-1])
+    """As ``np.lexsort`` of the keys from the last to the first; only rows that
+    share their first key are compared on the others."""
+    order = np.argsort(keys[0])
+    shared = sizes(heads(order, keys[0])) > 1
+    rows = np.sort(order[shared])
+    order[shared] = rows[np.lexsort([k[rows] for k in keys[::-1]])]
+    return order
 
 
 def heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:

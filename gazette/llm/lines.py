@@ -97,14 +97,14 @@ def _least_overlap(a, b, threshold: float):
 
 #: What a bucket returns: a line to remove, or a posting.
 REMOVED, POSTING = 0, 1
-_OUT = "kind int, token long, key long, doc long, line long, size int, pos int"
-_NAMES = ["kind", "token", "key", "doc", "line", "size", "pos"]
+_OUT = "kind int, token long, key long, doc long, tag long, line int, size int, pos int"
+_NAMES = ["kind", "token", "key", "doc", "tag", "line", "size", "pos"]
 
 
-def _out(kind: int, doc: np.ndarray, line: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+def _out(kind: int, doc: np.ndarray, tag: np.ndarray, line: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
-    columns = {"kind": np.full(n, kind, np.int32), "doc": doc, "line": line} | more
-    kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32()]
+    columns = {"kind": np.full(n, kind, np.int32), "doc": doc, "tag": tag, "line": line.astype(np.int32)} | more
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[c].view(np.int64) if columns[c].dtype == U64 else columns[c], t) if c in columns else pa.nulls(n, t)
          for c, t in zip(_NAMES, kinds, strict=True)], _NAMES)
@@ -123,50 +123,52 @@ def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray
 
     def cut(rows, buf, offs, buckets):
         t = Tokens(buf, offs, shingle, magnitude)
-        doc, line = (rows.column(i).to_numpy()[t.row] for i in (0, 1))
-        line = line + t.line
-        order = in_order(t.key, doc, line)
+        docs_, tags = (rows.column(i).to_numpy() for i in (0, 1))
+        by_place = in_order(docs_, tags)
+        rank = np.empty(len(by_place), np.int64)
+        rank[by_place] = np.cumsum(heads(by_place, docs_, tags))
+        doc, tag, line, place = docs_[t.row], tags[t.row], t.line, rank[t.row] << 32 | t.line
+        order = in_order(t.key, place)
         head = heads(order, t.key)
         lead = order[head][np.cumsum(head) - 1]
         # equal places are rows of one document, not repeats
-        again = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
+        again = order[place[order] != place[lead]]
         if len(again):
-            yield 0, int(again[0]) % buckets, [doc[again].view(U64), line[again].view(U64)]
+            yield 0, int(again[0]) % buckets, [doc[again].view(U64), tag[again].view(U64), line[again].view(np.uint32)]
         first = order[head]
         for b, r in dealt(mix64(t.key[first]), first, buckets):
-            yield 1, b, [t.key[r], doc[r].view(U64), line[r].view(U64)]
+            yield 1, b, [t.key[r], doc[r].view(U64), tag[r].view(U64), line[r].view(np.uint32)]
         n = (t.size - np.ceil(threshold * t.size - 1e-9) + 1).astype(np.int64)[first]
         own, pos = np.repeat(first, n), run_offsets(n)
         token = t.token[t.first[own] + pos]
         spread = np.where(hot[entry(token)], mix64(token ^ t.key[own]), mix64(token))
         for b, r in _by_token(spread, token, buckets) if len(token) else ():
             o = own[r]
-            yield 2, b, [token[r], t.key[o], doc[o].view(U64), line[o].view(U64), t.size[o].view(np.uint32), pos[r].view(U64)]
+            yield 2, b, [token[r], t.key[o], doc[o].view(U64), tag[o].view(U64), line[o].view(np.uint32), t.size[o].view(np.uint32), pos[r].view(U64)]
 
     def whole(kind, columns):
         if kind == 0:
             yield _out(REMOVED, *columns)
         elif kind == 1:
-            key, doc, line = columns
-            order = in_order(key, doc.view(np.int64), line.view(np.int64))
+            key, doc, tag, line = columns
+            order = in_order(key, doc.view(np.int64), tag.view(np.int64), line)
             head = heads(order, key)
             lead = order[head][np.cumsum(head) - 1]
-            again = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]
-            yield _out(REMOVED, doc[again], line[again])
+            again = order[(doc[order] != doc[lead]) | (tag[order] != tag[lead]) | (line[order] != line[lead])]
+            yield _out(REMOVED, doc[again], tag[again], line[again])
         else:
-            token, key, doc, line, size, pos = columns
-            order = in_order(token, key, doc.view(np.int64), line.view(np.int64))
+            token, key, doc, tag, line, size, pos = columns
+            order = in_order(token, key, doc.view(np.int64), tag.view(np.int64), line)
             kept = order[heads(order, token, key)]  # one a token and set: its first line
             kept = kept[(sizes(heads(kept, token)) > 1) | hot[entry(token[kept])]]
-            yield _out(POSTING, doc[kept], line[kept], token=token[kept], key=key[kept],
+            yield _out(POSTING, doc[kept], tag[kept], line[kept], token=token[kept], key=key[kept],
                        size=size[kept].astype(np.int32), pos=pos[kept].astype(np.int32))
     return through_buckets(docs, cut, whole, _OUT)
 
 
 def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
-    """(doc, line) of every line to remove; ``docs`` has the columns doc
-    (long, LAST for null), tag (see ``identified``) and text, and ``line`` is
-    tag + line number."""
+    """(doc, tag, line) of every line to remove; ``docs`` has the columns doc
+    (long, LAST for null), tag (see ``identified``) and text."""
     rarity = hashed_counts(docs, lambda buf, offs: Tokens(buf, offs, shingle).every)
     magnitude = np.ceil(np.log2(rarity + 1)).astype(np.uint8)
 
@@ -183,7 +185,7 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
             yield pa.RecordBatch.from_arrays([pa.array(t.key[mine].view(np.int64)), lists], ["key", "tokens"])
 
     found = kept_table(postings(docs, shingle, threshold, rarity))
-    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "line").alias("place"), "size", "pos")
+    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "tag", "line").alias("place"), "size", "pos")
     # of every set: its shared prefix tokens, size and first line
     prefix = kept_table(posted.groupBy("key").agg(
         F.collect_list("token").alias("tokens"), F.first("size").alias("size"), F.first("place").alias("place")))
@@ -210,8 +212,8 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
     def verified(pairs: DataFrame) -> DataFrame:
         """(x, x_place) of the later lines that are similar to a candidate."""
         lines = pairs.select(F.explode(F.array("x_place", "y_place")).alias("p")).distinct()
-        wanted = lines.groupBy(F.col("p.doc").alias("_d"), tag_of("p.line").alias("_tag")).agg(
-            F.collect_list((F.col("p.line") - tag_of("p.line")).cast("int")).alias("_lines"))
+        wanted = lines.groupBy(F.col("p.doc").alias("_d"), F.col("p.tag").alias("_tag")).agg(
+            F.collect_list("p.line").alias("_lines"))
         at = join_measured(docs, wanted, (F.col("doc") == F.col("_d")) & (F.col("tag") == F.col("_tag")), "inner",
                            4 * F.size("_lines")).select("text", "_lines")
         sets_of = kept_table(at.mapInArrow(sets, "key long, tokens array<long>"))
@@ -229,18 +231,16 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
     rest = posted.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
     rest = rest.join(long, F.col("token") == F.col("_t"), "left_semi")
     gone = gone.union(verified(met(rest, posted)))
-    return found.where(F.col("kind") == REMOVED).select("doc", "line").union(gone.select("x_place.doc", "x_place.line"))
-
-
-def tag_of(line: str):
-    return F.shiftleft(F.shiftright(line, 32), 32)
+    return found.where(F.col("kind") == REMOVED).select("doc", "tag", "line").union(gone.select("x_place.*"))
 
 
 def identified(docs: DataFrame, doc_id: str, text: str) -> tuple:
     """(doc, tag) columns: the place of a document's lines in the corpus. The
-    tag holds 31 bits of the text's hash above 32 bits for the line number."""
-    return (F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)),
-            F.shiftleft(F.xxhash64(docs[text]).bitwiseAND(F.lit((1 << 31) - 1)), 32))
+    tag is the whole 64-bit hash of the text, ordered by its lower 31 bits
+    first."""
+    h = F.xxhash64(docs[text])
+    turned = F.shiftleft(h, 33).bitwiseOR(F.shiftrightunsigned(h, 31))
+    return F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)), turned.bitwiseXOR(F.lit(-1 << 63))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
@@ -249,8 +249,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **p
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     doc, tag = identified(docs, doc_id, text)
     gone = removed_lines(docs.select(doc.alias("doc"), tag.alias("tag"), docs[text].alias("text")), **params)
-    gone = gone.groupBy(F.col("doc").alias("_doc"), tag_of("line").alias("_t")).agg(
-        F.collect_set((F.col("line") - tag_of("line")).cast("int")).alias("_gone"))
+    gone = gone.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_t")).agg(F.collect_set("line").alias("_gone"))
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("_row"), docs[text].alias("_text"),
                     doc.alias("_id"), tag.alias("_tag"))
     d = join_measured(d, gone, (F.col("_id") == F.col("_doc")) & (F.col("_tag") == F.col("_t")), "left", 4 * F.size("_gone"))

@@ -112,13 +112,14 @@ def anchored(gram: np.ndarray, size: int, gram_size: int, counts: np.ndarray) ->
 
 
 def identified(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
-    """(doc, sig): rows with the same doc_id and text are interchangeable."""
-    return F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text]).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    """(doc, sig): rows with the same doc_id and text are interchangeable;
+    ``sig`` is the whole 64-bit hash of the text."""
+    return F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text])
 
 
 #: What a bucket returns: blocks repeated as a whole, or blocks to look into.
 WHOLE, LEAD = 0, 1
-_OUT = "kind int, doc long, sig int, start int, count int, settled boolean, ref_doc long, ref_sig int, ref_start int"
+_OUT = "kind int, doc long, sig long, start int, count int, settled boolean, ref_doc long, ref_sig long, ref_start int"
 
 
 def _round(docs: DataFrame, scan: Scan, window: int, step: int | None, hot: np.ndarray | None, asked: bool) -> DataFrame:
@@ -153,7 +154,7 @@ def _round(docs: DataFrame, scan: Scan, window: int, step: int | None, hot: np.n
         flag = np.zeros(len(core), np.uint8) if settled is None else settled.astype(np.uint8)
         order = np.argsort(core)
         for bucket, r in dealt(spread[order], order, buckets):
-            yield 0, bucket, [core[r], high[r], low[r], doc[r].view(U64), sig[r].view(np.uint32), start[r], b.count[r].view(U64), flag[r]]
+            yield 0, bucket, [core[r], high[r], low[r], doc[r].view(U64), sig[r].astype(np.int64).view(U64), start[r], b.count[r].view(U64), flag[r]]
 
     def whole(kind, columns):
         core, high, low, doc, sig, start, count, flag = columns
@@ -189,9 +190,9 @@ def _rows(kind, doc, sig, start, count, settled=None, ref_doc=None, ref_sig=None
     n = len(doc)
     ints = lambda a, t: pa.nulls(n, t) if a is None else pa.array(a.astype(np.int64)).cast(t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), ints(doc, pa.int64()), ints(sig, pa.int32()), ints(start, pa.int32()),
+        [pa.array(np.full(n, kind, np.int32)), ints(doc, pa.int64()), ints(sig, pa.int64()), ints(start, pa.int32()),
          ints(count, pa.int32()), pa.nulls(n, pa.bool_()) if settled is None else pa.array(settled),
-         ints(ref_doc, pa.int64()), ints(ref_sig, pa.int32()), ints(ref_start, pa.int32())],
+         ints(ref_doc, pa.int64()), ints(ref_sig, pa.int64()), ints(ref_start, pa.int32())],
         ["kind", "doc", "sig", "start", "count", "settled", "ref_doc", "ref_sig", "ref_start"])
 
 
@@ -246,10 +247,12 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def run_mask(n: int, starts: pa.Array, ends: pa.Array, begin: np.ndarray) -> np.ndarray:
     """Which of n positions lie in a run; ``begin`` is each document's first
-    position."""
+    position. A run past its document's end is an error."""
     edge = np.zeros(n + 1, np.int64)
     counts = np.diff(starts.offsets.to_numpy()) if len(starts) else np.empty(0, np.int64)
-    base = np.repeat(begin, counts)
+    base, end = np.repeat(begin, counts), ends.flatten().to_numpy()
+    if (end > np.repeat(np.diff(np.append(begin, n)), counts)).any():
+        raise ValueError("a run ends past its document: two texts share a doc_id and a 64-bit hash")
     np.add.at(edge, base + starts.flatten().to_numpy(), 1)
-    np.add.at(edge, base + ends.flatten().to_numpy(), -1)
+    np.add.at(edge, base + end, -1)
     return np.cumsum(edge[:-1]) > 0

@@ -75,3 +75,11 @@ def test_one_first_line_a_list_is_enough(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_texts_under_one_id_lose_their_own_lines(spark):
+    from test_repeats import colliding
+    a, b = colliding("some line that is here twice\nand", "another line that is here once\nor")
+    for doc in (None, 5):
+        rows = [(1, "some line that is here twice"), (doc, a), (doc, b)]
+        assert found(spark, rows) == sorted([(1, rows[0][1], 1, 0), (doc, a.split("\n")[1], 2, 1), (doc, b, 2, 0)], key=repr)

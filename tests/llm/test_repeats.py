@@ -4,6 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
 from gazette.llm import substring, suffix
 
 SCHEMA = "doc_id long, text string, n_words string, start string"
@@ -82,3 +87,29 @@ def test_factors_copy_from_their_reference(spark):
 def test_empty_table(spark):
     assert substring.dedup_substrings(frame(spark, [])).collect() == []
     assert suffix.dedup_bytes(frame(spark, [])).collect() == []
+
+
+def colliding(made, clean):
+    """Two texts whose xxhash64 agree in their lower 31 bits."""
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) & (1 << 31) - 1
+    seen = {low(t): t for t in (f"{made} m{i}" for i in range(1 << 17))}
+    return next((seen[low(t)], t) for t in (f"{clean} c{i}" for i in range(1 << 18)) if low(t) in seen)
+
+
+def test_texts_under_one_id_keep_their_own_runs(spark):
+    passage, clean = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(12))
+    a, b = colliding(passage, clean)
+    for doc in (None, 5):
+        rows = [(doc, a), (doc, b), (7, passage)]
+        got = substring.dedup_substrings(frame(spark, rows), window=14, gram=3).collect()
+        assert sorted((r.kept_text for r in got)) == sorted([a.split()[-1], b, ""])
+        kept = suffix.dedup_bytes(frame(spark, rows), window=16, trigger=4).collect()
+        assert sorted(bytes(r.kept) for r in kept) == sorted([a[len(passage):].encode(), b.encode(), b""])
+
+
+def test_a_run_past_its_document_is_an_error():
+    lists = lambda *x: pa.array(x, pa.list_(pa.int32()))
+    mask = lambda end: substring.repeats.run_mask(6, lists([0], []), lists([end], []), np.array([0, 3]))
+    assert mask(3).tolist() == [True] * 3 + [False] * 3
+    with pytest.raises(ValueError):
+        mask(4)
