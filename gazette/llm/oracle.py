@@ -158,4 +158,75 @@ select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id,
 from v join comp using (rid) left join n using (rid)
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_sharding": OP5, "op6_substring": OP6, "op8_embeddings": OP8}
+OP11 = """
+with recursive t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+-- unsigned crc32 of the decimal digits, bit by bit
+conv as (
+  select c, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''),
+    lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda r, x: xor(xor(r, x) >> 1, 3988292384::bigint * (xor(r, x) & 1))), 4294967295::bigint) % 9 as h
+  from (select distinct c from t)),
+-- (conversation, depth, turn) as rebuilt
+heads as (
+  select conv.c, t.n as d, t.role, t.text from conv join t on t.c = conv.c - conv.c % 5 where t.n <= conv.h),
+taken as (select conv.c, conv.h, count(heads.d) as k from conv left join heads on heads.c = conv.c group by all),
+turn as (
+  select * from heads union all
+  select t.c, k + t.n - h, t.role, t.text from t join taken on t.c = taken.c where t.n > h),
+path as (
+  select c, d, strlen(text) as bytes,
+    md5(string_agg(md5(role) || md5(text), '') over (partition by c order by d rows between unbounded preceding and current row)) as node
+  from turn
+  union all select c, 0, 0, '' from conv),
+last as (select c, max(d) as d from path group by c),
+up as (select p.c, p.d, p.node, q.node as parent from path p left join path q on q.c = p.c and q.d = p.d - 1),
+node as (
+  select path.node, any_value(path.d) as depth, any_value(bytes) as bytes, count(*) as n_convs, min(path.c) as conv_id,
+    coalesce(string_agg(path.c::varchar, ',' order by path.c) filter (last.d = path.d), '') as ends
+  from path join last on last.c = path.c group by path.node),
+edge as (select distinct node, parent from up where parent is not null),
+kids as (select parent as node, count(*) as n from edge group by parent),
+-- every node below, found along the conversations that pass both
+below as (
+  select distinct a.node as top, b.node from path a join path b on a.c = b.c and a.d <= b.d),
+sums as (
+  select top as node, count(*) filter (kids.n is null) as n_leaves, sum((node.n_convs - 1) * node.bytes) as saved
+  from below join node using (node) left join kids using (node) group by top)
+select node.conv_id, node.depth, p.conv_id as parent_conv_id, node.n_convs, coalesce(kids.n, 0)::bigint as n_children,
+  sums.n_leaves, sums.saved::bigint as saved_tokens, sha256(node.ends) as ends_sha256
+from node join sums using (node) left join kids using (node) left join edge on edge.node = node.node
+left join node p on p.node = edge.parent
+"""
+
+OP12 = r"""
+with low as (
+  select row_number() over () as rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents),
+item as (
+  select item_id, row_number() over () as rid,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark),
+asked as (
+  select distinct item_id, m, md5(array_to_string(w[i:i + m - 1], ' ')) as g from (
+    select item_id, w, least(len(w), 10) as m, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from item where len(w) > 0)),
+place as (
+  select rid, m, i, md5(array_to_string(w[i:i + m - 1], ' ')) as g from (
+    select rid, w, m, unnest(range(1, len(w) - m + 2)) as i from low, (select distinct m from asked) where len(w) >= m)),
+found as (select rid, i, asked.m, item_id from place join asked on place.m = asked.m and place.g = asked.g),
+hit as (select rid, count(distinct i + k) as n_hit from found, lateral unnest(range(m)) u(k) group by rid),
+ids as (
+  select rid, count(*) as n_items, string_agg(id, ',' order by id) as ids from (
+    select distinct rid, item_id, item_id::varchar as id from found) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from low left join hit using (rid) left join ids using (rid)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_sharding": OP5, "op6_substring": OP6, "op8_embeddings": OP8,
+          "op11_prefix_trie": OP11, "op12_decontamination": OP12}

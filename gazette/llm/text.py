@@ -7,6 +7,7 @@ the per-word work is vectorised and a task's memory follows the slice size
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,13 +71,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             at = end
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words per document) of the words in the buffer; a
-    document's edge always ends a word."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words per document) of the words in the buffer, parted by
+    the bytes of ``space``; a document's edge always ends a word."""
     n = len(buf)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs) - 1, np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     first = solid.copy()
@@ -133,6 +134,27 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
     return span_hash(prefix_hash(buf, base), start, end, base)
 
 
+#: Bytes hashed at a time by ``chunked_hashes``.
+HASH_BYTES = 1 << 21
+
+
+def chunked_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``word_hashes``, in chunks of HASH_BYTES, so that the eight bytes a
+    text byte that hashing needs don't follow the text; a word longer than a
+    chunk is hashed by itself."""
+    out = np.empty(len(start), U64)
+    at = 0
+    while at < len(start):
+        stop = max(int(np.searchsorted(end, start[at] + HASH_BYTES, "right")), at + 1)
+        if end[at] - start[at] > HASH_BYTES:
+            digest = hashlib.blake2b(buf[start[at]:end[at]].tobytes(), digest_size=8).digest()
+            out[at] = np.frombuffer(digest, U64)[0]
+        else:
+            out[at:stop] = word_hashes(buf[start[at]:end[stop - 1]], start[at:stop] - start[at], end[at:stop] - start[at])
+        at = stop
+    return out
+
+
 def run_offsets(lengths: np.ndarray) -> np.ndarray:
     """0 .. length-1 of each run, concatenated."""
     total = int(lengths.sum())
