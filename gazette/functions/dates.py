@@ -10,19 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.constants import (DAY_FIRST_DATE, MONTH_ABBREVIATIONS, RELATIVE_DATE,
+from gazette.functions.constants import (DAY_FIRST_DATE, JS_SPACE, MONTH_ABBREVIATIONS, RELATIVE_DATE,
                                          YESTERDAY_WORD)
-from gazette.functions.text import col_, js_trim, normalize_search_text
-
-ISO_DATE = (r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
-            r"(?:Z|[+-]\d{2}:?\d{2})?)?$")
-BARE_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-# English month-name dates a browser's date parser also reads, with an
-# optional weekday and time and a UTC marker: "Mon, 06 May 2026 12:00:00 GMT",
-# "May 6, 2026 10:30", "6 May 2026". Groups: day-first day, day-first month,
-# month-first month, month-first day, year, hour, minute, second.
-ENGLISH_DATE = (r"^(?:[A-Za-z]+,?\s+)?(?:(\d{1,2})\s+([A-Za-z]{3,9})\.?|([A-Za-z]{3,9})\.?\s+(\d{1,2}),?)"
-                r"\s+(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?(?:\s*(?:GMT|UTC|Z))?$")
+from gazette.functions.reuse import evaluated, reused
+from gazette.functions.text import col_, js_trim, let, normalize_search_text
+
+# The standard form: years of four digits (or a sign and six), date alone or
+# with a time and a zone.
+_ISO = (r"^([+-]\d{6}|\d{4})(?:-(\d{2})(?:-(\d{2}))?)?"
+        r"(?:T(\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(Z|[+-]\d{2}:\d{2})?)?$")
+# The free form, read as tokens: a comment, a time, a word (a run of letters and
+# of everything beyond ASCII), a number, a sign.
+_COMMENT = r"\([^()]*\)?"
+_TIME = r"(\d+):(\d+)(?::(\d+)(?:\.(\d+))?)?"
+_WORD = r"[^\x00-@]"
+_NOT_IN_WORD = rf"(?<!{_WORD})", rf"(?!{_WORD})"
+_HALF_DAY = rf"(?i){_NOT_IN_WORD[0]}([ap])m{_NOT_IN_WORD[1]}"
+_ZONE_HOURS = {"z": 0, "ut": 0, "utc": 0, "gmt": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6,
+               "pst": -8, "pdt": -7}
+_ZONE_NAME = rf"(?i){_NOT_IN_WORD[0]}({'|'.join(_ZONE_HOURS)}){_NOT_IN_WORD[1]}"
+_OFFSET = r"([+-])(\d{1,2})(?::?(\d{2}))?(?!\d)"
+_MONTH = rf"(?i){_NOT_IN_WORD[0]}({'|'.join(MONTH_ABBREVIATIONS)}){_WORD}*-?"
+_BARE_SLASHES = r"^\d{1,2}/\d{1,2}/\d{4}$"
 # JavaScript's \b is ASCII-only; spell it out so Java's Unicode-aware \b does not differ.
 RELATIVE_FULL = r"(?<![A-Za-z0-9_])" + RELATIVE_DATE + r"(?![A-Za-z0-9_])"
 UNIT_SECONDS = {"minuto": 60, "hora": 3600, "dia": 86400, "semana": 7 * 86400}
@@ -52,22 +61,115 @@ def minus_seconds(ts: Column, seconds: Column) -> Column:
         F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)"))
 
 
-ZONE = r"(?:Z|[+-]\d{2}:?\d{2})$"
+def _shifted(day: Column, seconds: Column, micros: Column) -> Column:
+    """The start of ``day`` plus whole seconds (negative too) and microseconds."""
+    return day.cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), (seconds.cast("decimal(16,0)") + micros.cast("decimal(16,0)") / 1000000).cast("decimal(18,6)"))
+
+
+def _moment(year: Column, month: Column, day: Column, time: Column, offset: Column) -> Column:
+    """UTC moment of calendar fields; null where one is out of range. Days
+    past a month's end run into the next month. ``time`` has the fields h, m, s
+    and fraction (digits), ``offset`` counts seconds east."""
+    def made(f: Column) -> Column:
+        midnight = (f["h"] == 24) & (f["m"] == 0) & (f["s"] == 0) & (F.translate(f["fraction"], "0", "") == "")
+        ok = (f["month"].between(1, 12) & f["day"].between(1, 31) & (f["m"] < 60) & (f["s"] < 60) & ((f["h"] < 24) | midnight)
+              & f["year"].between(1, 9999))
+        micros = F.coalesce(F.rpad(F.substring(f["fraction"], 1, 3), 6, "0").try_cast("int"), F.lit(0))
+        seconds = f["h"] * 3600 + f["m"] * 60 + f["s"] - f["offset"]
+        return F.when(ok, _shifted(F.date_add(F.make_date(f["year"], f["month"], F.lit(1)), f["day"] - 1), seconds, micros))
+    return let(F.struct(year.alias("year"), month.alias("month"), day.alias("day"), time["h"].alias("h"), time["m"].alias("m"),
+                        time["s"].alias("s"), time["fraction"].alias("fraction"), offset.alias("offset")), made)
+
+
+def _clock(h: Column, m: Column, s: Column, fraction: Column) -> Column:
+    zero = lambda c: F.coalesce(_number(c), F.lit(0))
+    return F.struct(zero(h).alias("h"), zero(m).alias("m"), zero(s).alias("s"), fraction.alias("fraction"))
+
+
+def _east(sign: Column, hours: Column, minutes: Column) -> Column:
+    size = F.coalesce(_number(hours), F.lit(0)) * 3600 + F.coalesce(_number(minutes), F.lit(0)) * 60
+    return F.when(sign == "-", -size).otherwise(size)
 
 
 def _iso(v: Column) -> Column:
-    """ISO text; a zone is applied (the result is in UTC), text without one
-    is taken as it stands."""
-    zoned = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(v.try_cast("timestamp")).cast("decimal(24,0)") / F.lit(1000000)).cast("decimal(18,6)"))
-    return F.when(v.rlike(ISO_DATE), F.when(v.rlike("[T ].*" + ZONE), zoned).otherwise(
-        F.regexp_replace(v, "Z$", "").try_cast("timestamp_ntz")))
+    """ISO text in UTC; text without a zone is taken as it stands."""
+    names = ("year", "month", "day", "h", "m", "s", "fraction", "zone")
+
+    def read(g: Column) -> Column:
+        one = lambda c: F.coalesce(_number(g[c]), F.lit(1))
+        east = F.when(g["zone"].rlike("^[+-]"), _east(
+            F.substring(g["zone"], 1, 1), F.substring(g["zone"], 2, 2), F.substring(g["zone"], 5, 2))).otherwise(F.lit(0))
+        return _moment(_number(g["year"]), one("month"), one("day"), _clock(g["h"], g["m"], g["s"], g["fraction"]), east)
+    return let(v, lambda x: F.when(x.rlike(_ISO), let(F.struct(*[
+        F.regexp_extract(x, _ISO, i).alias(n) for i, n in enumerate(names, 1)]), read)))
+
+
+def _free(v: Column, slash_order: str) -> Column:
+    """Dates in free form, as browsers read them: numbers, month names, one
+    time with an optional half of the day, a zone name or offset, comments in
+    parentheses. Words are ignored before the first number and spoil the date after
+    it. Three numbers are month, day, year - or year, month, day if the
+    first is too large for a day; with a month name, day and year in either
+    order. Missing day and month are 1, two-digit years lie in 1950-2049, and text
+    without a zone is taken as it stands."""
+    def timed(t: Column) -> Column:
+        g = lambda i: F.regexp_extract(t, _TIME, i)
+        half = F.lower(F.regexp_extract(t, _HALF_DAY, 1))
+        has = t.rlike(_TIME)
+        clock = _clock(g(1), g(2), g(3), g(4))
+        noon = let(clock, lambda c: F.when(half == "", c).when(c["h"].between(0, 12), F.struct(
+            (F.pmod(c["h"], 12) + F.when(half == "p", 12).otherwise(0)).alias("h"), c["m"].alias("m"), c["s"].alias("s"),
+            c["fraction"].alias("fraction"))))
+        name = F.lower(F.regexp_extract(t, _ZONE_NAME, 1))
+        # what is left beside the time; a mark stands where an offset may follow
+        rest = F.regexp_replace(F.when(has, F.regexp_replace(F.regexp_replace(t, _TIME, "\x01"), _HALF_DAY, " ")).otherwise(t),
+                                _ZONE_NAME, "\x01")
+        return F.struct(noon.alias("clock"), (~has & (half != "") | (F.regexp_count(t, F.lit(_TIME)) > 1)).alias("bad"),
+                        name.alias("zone"), rest.alias("rest"))
+
+    def zoned(t: Column) -> Column:
+        at = r"\x01[^\x01+\-\d]*" + _OFFSET
+        g = lambda i: F.regexp_extract(t["rest"], at, i)
+        named = F.lit(0)
+        for zone, hours in _ZONE_HOURS.items():
+            named = F.when(t["zone"] == zone, F.lit(hours * 3600)).otherwise(named)
+        # an offset replaces what the zone's name says
+        east = F.when(t["rest"].rlike(at), _east(g(1), g(2), g(3))).otherwise(named)
+        rest = F.translate(F.regexp_replace(t["rest"], at, " "), "\x01", " ")
+        month = F.lower(F.regexp_extract(rest, _MONTH, 1))
+        rest = F.regexp_replace(F.regexp_replace(rest, _MONTH, " "), r"(\d)-(?=\s*\d)", "$1 ")
+        return F.struct(t["clock"].alias("clock"), t["bad"].alias("bad"), east.alias("east"), rest.alias("rest"),
+                        F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]), month).cast("int").alias("month"))
+
+    def dated(t: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(t["rest"], F.lit(r"\d+"), 0), _number)
+        spoiled = t["bad"] | t["rest"].rlike(rf"\d[^\x01]*{_WORD}|{_WORD}\d|\d.*[+\-)]")
+        return let(numbers, lambda n: F.when(
+            ~spoiled & F.size(n).between(1, 3) & F.forall(n, lambda x: x.isNotNull()) & t["clock"].isNotNull(), _calendar(n, t)))
+
+    def _calendar(n: Column, t: Column) -> Column:
+        a, b, c = (F.coalesce(F.get(n, i), F.lit(1)) for i in range(3))
+        day_first = a.between(1, 31)
+        year = F.when(t["month"] > 0, F.when(day_first, b).otherwise(a)).otherwise(F.when(day_first, c).otherwise(a))
+        month = F.when(t["month"] > 0, t["month"]).otherwise(F.when(day_first, a).otherwise(b))
+        day = F.when(t["month"] > 0, F.when(day_first, a).otherwise(b)).otherwise(F.when(day_first, b).otherwise(c))
+        full = let(year, lambda y: F.when(y.between(0, 49), y + 2000).when(y.between(50, 99), y + 1900).otherwise(y))
+        return _moment(full, month, day, t["clock"], t["east"])
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, _COMMENT, " "), f"{JS_SPACE}+", " "),
+                                   r"(?i)(?<=\d)T(?=\d+:)", " "))
+    found = let(let(let(text, timed), zoned), dated)
+    readable = v.rlike(r"\d")
+    if slash_order == "dmy":
+        readable = readable & ~js_trim(v).rlike(_BARE_SLASHES)
+    return F.when(readable, found)
 
 
+@reused
 def parse_date(c, as_of, slash_order: str = "mdy_then_dmy") -> Column:
-    """ISO text -> bare m/d/yyyy (if ``slash_order`` allows) -> d/m/y
-    anywhere -> 'ha [cerca de] N unidade(s)' back from ``as_of`` -> 'ontem'
-    -> null. Null/empty input is null."""
+    """ISO text -> a date in free form, bare m/d/yyyy too if ``slash_order``
+    allows -> d/m/y anywhere -> 'ha [cerca de] N unidade(s)' back from
+    ``as_of`` -> 'ontem' -> null. Null/empty input is null."""
     v = col_(c)
     nv = normalize_search_text(v)
     return _parse(v, nv, F.regexp_extract(nv, RELATIVE_FULL, 1),
@@ -76,31 +178,18 @@ def parse_date(c, as_of, slash_order: str = "mdy_then_dmy") -> Column:
 
 def with_parsed_date(df, src: str, as_of, out: str = "published_at",
                      slash_order: str = "mdy_then_dmy"):
-    """``parse_date`` with the input bound once through a lambda variable.
+    """``df`` with ``parse_date`` of the column ``src``, evaluated once a row."""
+    return evaluated(df, out, _bound_date(src, as_of, slash_order))
+
 
-    Filters on the parsed date are pushed below the projection that made
-    it, and Catalyst then substitutes the source expression at every
-    reference; when the source is itself an expression (a derived column)
-    the generated code outgrows the JVM method limit. Binding the value in
-    ``transform(array(v), x -> ...)`` keeps one copy.
-    """
-    bound = F.transform(F.array(F.col(src)), lambda x: F.transform(
-        F.array(normalize_search_text(x)), lambda nv: _parse(
-            x, nv, F.regexp_extract(nv, RELATIVE_FULL, 1), F.regexp_extract(nv, RELATIVE_FULL, 2),
-            as_of, slash_order))[0])[0]
-    return df.withColumn(out, bound)
+@reused
+def _bound_date(src: str, as_of, slash_order: str) -> Column:
+    return let(F.col(src), lambda x: let(normalize_search_text(x), lambda nv: _parse(
+        x, nv, F.regexp_extract(nv, RELATIVE_FULL, 1), F.regexp_extract(nv, RELATIVE_FULL, 2), as_of, slash_order)))
 
 
 def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_order) -> Column:
     now = as_ts(as_of)
-    iso = _iso(v)
-    bare = js_trim(v)
-    mdy = F.when(bare.rlike(BARE_MONTH_FIRST), _ymd(
-        F.regexp_extract(bare, BARE_MONTH_FIRST, 3), F.regexp_extract(bare, BARE_MONTH_FIRST, 1),
-        F.regexp_extract(bare, BARE_MONTH_FIRST, 2)))
-    if slash_order == "dmy":
-        mdy = F.lit(None).cast("timestamp_ntz")
-    english = _english(bare)
     y = F.regexp_extract(v, DAY_FIRST_DATE, 3)
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).when(F.length(y) == 4, y)
     dmy = F.when(v.rlike(DAY_FIRST_DATE), _ymd(year, F.regexp_extract(v, DAY_FIRST_DATE, 2),
@@ -114,21 +203,10 @@ def _parse(v: Column, nv: Column, n_txt: Column, unit: Column, as_of, slash_orde
         offset.isNull() | (offset > MAX_OFFSET_SECONDS), F.lit(EARLIEST).cast("timestamp_ntz"))
         .otherwise(minus_seconds(now, offset)))
     yesterday = F.when(nv.contains(YESTERDAY_WORD), minus_seconds(now, F.lit(86400)))
-    parsed = F.coalesce(iso, mdy, english, dmy, relative, yesterday)
+    parsed = F.coalesce(_iso(js_trim(v)), _free(v, slash_order), dmy, relative, yesterday)
     return F.when(v.isNull() | (v == ""), F.lit(None).cast("timestamp_ntz")).otherwise(parsed)
 
 
-def _english(bare: Column) -> Column:
-    g = lambda i: F.regexp_extract(bare, ENGLISH_DATE, i)
-    word = F.when(g(2) != "", g(2)).otherwise(g(3))
-    day = F.when(g(1) != "", g(1)).otherwise(g(4))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]),
-                             F.lower(F.substring(word, 1, 3)))
-    part = lambda i: F.coalesce(_number(g(i)), F.lit(0))
-    return F.when(bare.rlike(ENGLISH_DATE) & (month > 0), F.try_make_timestamp_ntz(
-        _number(g(5)), month.cast("int"), _number(day), part(6), part(7), part(8).cast("decimal(16,6)")))
-
-
 def is_within_days(ts, as_of, days: int) -> Column:
     """Unknown date -> keep; else not older than ``days`` before ``as_of``."""
     t = col_(ts)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.functions.links import (identity_host_from, normalize_link, parts_from_struct,
-                                     url_parts, with_url_parts)
+from gazette.functions.links import link_identity
+from gazette.functions.reuse import evaluated
 from gazette.functions.text import col_, normalize_title, unique_non_empty
 
 
 def identity_host(link) -> Column:
     """Host of the normalised link (else of the raw link) minus ``www.``,
     or 'unknown' when neither parses."""
-    return identity_host_from(url_parts(link))
+    return link_identity(link)["host"]
 
 
 def title_keys(title, chamada=None) -> Column:
@@ -27,13 +27,10 @@ def title_keys(title, chamada=None) -> Column:
 def with_identity(df, title="title", link="link", chamada=None, prefix=""):
     """Add normalized_link, title_key(s), source_title_key(s) and id_host.
 
-    The link is parsed once into a struct column; both the link key and the
-    host read from it.
+    The link is parsed once, into one struct.
     """
-    out = with_url_parts(df, link, "_u")
-    parts = parts_from_struct("_u")
-    out = out.select("*", normalize_link(None, parts).alias(prefix + "normalized_link"),
-                     identity_host_from(parts).alias(prefix + "id_host"),
+    out = evaluated(df, "_u", link_identity(link))
+    out = out.select("*", F.col("_u.normalized_link").alias(prefix + "normalized_link"), F.col("_u.host").alias(prefix + "id_host"),
                      title_keys(title, chamada).alias(prefix + "title_keys")).drop("_u")
     out = out.withColumn(prefix + "source_title_keys", F.transform(
         F.col(prefix + "title_keys"),

@@ -40,6 +40,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the
+    body (and a filter pushed below it) refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def js_trim(c) -> Column:
     """Trim the characters JavaScript's ``String.prototype.trim`` removes."""
     return F.regexp_replace(col_(c), f"^{JS_SPACE}+|{JS_SPACE}+$", "")

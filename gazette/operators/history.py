@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
 from gazette.functions.dates import is_within_days, parse_iso
+from gazette.functions.reuse import evaluated
 from gazette.functions.identity import dedupe_keys, with_identity
 from gazette.functions.text import normalize_whitespace, truncate_text, unique_non_empty
 from gazette.operators.dedupe import greedy_dedupe
@@ -50,7 +51,7 @@ def repair_entries(raw: DataFrame, as_of, lookback_days: int = K.LOOKBACK_DAYS)
         normalize_whitespace("resumo").alias("_r"),
         F.coalesce("link", F.lit("")).alias("link"))
     e = e.withColumn("_idt", F.when(F.col("_t") != "", F.col("_t")).otherwise(F.col("_c")))
-    e = with_identity(e, title="_idt", link="link", chamada="_c", prefix="id_")
+    e = evaluated(with_identity(e, title="_idt", link="link", chamada="_c", prefix="id_"), "sent_at", parse_iso("sentAt"))
     empty = F.array().cast("array<string>")
     out = e.select(
         "persona_id", "entry_pos",
@@ -65,7 +66,7 @@ def repair_entries(raw: DataFrame, as_of, lookback_days: int = K.LOOKBACK_DAYS)
         F.coalesce("sourceTitleKey", "id_source_title_key").alias("source_title_key"),
         unique_non_empty(F.concat(F.coalesce("sourceTitleKeys", empty), "id_source_title_keys"))
         .alias("source_title_keys"),
-        "source", parse_iso("sentAt").alias("sent_at"),
+        "source", "sent_at",
         F.col("docTitle").alias("doc_title"), F.col("docLink").alias("doc_link"))
     return out.filter(is_within_days("sent_at", as_of, lookback_days))
 

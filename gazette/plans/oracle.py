@@ -106,6 +106,24 @@ def _sql() -> dict[str, str]:
     out["normalize_links"] = with_(V_ARTICLES) + (
         f"SELECT ord, link, normalized_link, {S.identity_host('link', 'normalized_link')} AS id_host "
         f"FROM (SELECT *, {S.normalize_link('link')} AS normalized_link FROM v_articles)")
+    # expected rows of the spellings: what they spell, not read from them
+    out["link_spellings"] = with_(V_ARTICLES) + """
+SELECT ord, spelling,
+  CASE WHEN spelling < 5 THEN 'https://' || site || '/noticias/' || ord
+       WHEN spelling < 7 THEN 'https://' || site || '/not%C3%ADcias/' || ord || '?a=%C3%A7&b=a+b'
+       ELSE 'https://xn--bcher-kva.' || site || '/' || ord END AS normalized_link,
+  CASE WHEN spelling >= 7 THEN 'xn--bcher-kva.' || site WHEN starts_with(site, 'www.') THEN substr(site, 5) ELSE site END AS id_host
+FROM v_articles, (SELECT unnest(range(10))::INT AS spelling)"""
+    out["date_spellings"] = with_(V_ARTICLES) + f"""
+SELECT ord, spelling, {S.ts_text('''CASE
+  WHEN spelling = 0 THEN moment
+  WHEN spelling <= 3 THEN moment + INTERVAL 3 HOUR
+  WHEN spelling = 4 THEN date_trunc('minute', moment)
+  WHEN spelling = 6 THEN date_trunc('month', moment)::TIMESTAMP
+  WHEN spelling = 11 THEN date_trunc('minute', moment) + INTERVAL 5 HOUR
+  ELSE date_trunc('day', moment)::TIMESTAMP END''')} AS published_at
+FROM (SELECT ord, TIMESTAMP '2024-01-05 09:34:56' + to_days(CAST(ord % 3000 AS INT)) + to_hours(ord % 13) AS moment FROM v_articles),
+  (SELECT unnest(range(12))::INT AS spelling)"""
     out["title_keys"] = with_(V_ARTICLES) + (
         f"SELECT ord, {S.nws('title')} AS title_ws, {S.normalize_title('title')} AS title_key "
         f"FROM v_articles")

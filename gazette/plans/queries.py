@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions.dates import parse_date, ts_text
+from gazette.functions.dates import parse_date, ts_text, with_parsed_date
 from gazette.functions.identity import dedupe_keys, with_identity
 from gazette.functions.links import site_label
 from gazette.functions.text import normalize_title, normalize_whitespace
 from gazette.operators import quality
 from gazette.operators.dedupe import greedy_dedupe
-from gazette.sources.derived import AS_OF, articles_from_pages
+from gazette.sources.derived import AS_OF, articles_from_pages, date_spellings, link_spellings
 from gazette.session import cut_lineage
 from gazette.sources.tables import read_table, scan_pages
 
@@ -64,6 +64,18 @@ def q_normalize_links(spark, sf_dir):
     return a.select("ord", "link", "normalized_link", "id_host")
 
 
+@query("link_spellings")
+def q_link_spellings(spark, sf_dir):
+    a = with_identity(link_spellings(v_articles(spark, sf_dir)).withColumn("title", F.lit("")))
+    return a.select("ord", "spelling", "normalized_link", "id_host")
+
+
+@query("date_spellings")
+def q_date_spellings(spark, sf_dir):
+    a = with_parsed_date(date_spellings(v_articles(spark, sf_dir)), "date_str", AS_OF)
+    return a.select("ord", "spelling", ts_text("published_at").alias("published_at"))
+
+
 @query("title_keys")
 def q_title_keys(spark, sf_dir):
     a = v_articles(spark, sf_dir)

@@ -8,8 +8,6 @@ decode/encode query parameters (the test links use only safe characters).
 from __future__ import annotations
 
 from gazette.functions import constants as K
-from gazette.functions.dates import BARE_MONTH_FIRST, ENGLISH_DATE, ISO_DATE
-from gazette.functions.links import DEFAULT_PORTS, HOST_PATTERN, URL_PATTERN
 
 WS = K.RE2_SPACE
 WS_BODY = K.RE2_SPACE_CLASS_BODY
@@ -55,24 +53,25 @@ def valid_title(x: str) -> str:
 
 
 def _url(x: str):
+    """A link of the form scheme://[user@]host[:port]/path?query#fragment, cut
+    at its separators; the tables have no other links. The spelled-out forms are
+    in ``link_spellings``, whose expected rows are made without a parser."""
     t = js_trim(f"coalesce({x}, '')")
-    P = q(URL_PATTERN)
-    scheme = f"lower(regexp_extract({t}, {P}, 1))"
-    host = f"lower(regexp_extract({t}, {P}, 2))"
-    port_txt = f"regexp_extract({t}, {P}, 3)"
-    path = f"regexp_extract({t}, {P}, 4)"
-    query = f"regexp_extract({t}, {P}, 5)"
-    port_num = (f"(CASE WHEN {port_txt} <> '' AND length({port_txt}) <= 6 "
-                f"THEN try_cast({port_txt} AS BIGINT) END)")
-    port_bad = f"({port_txt} <> '' AND ({port_num} IS NULL OR {port_num} > 65535))"
-    default = "CASE " + " ".join(f"WHEN {scheme} = {q(k)} THEN {v}" for k, v in DEFAULT_PORTS.items()) + " END"
-    port_part = (f"(CASE WHEN {port_num} IS NULL OR {port_num} = ({default}) THEN '' "
-                 f"ELSE ':' || CAST({port_num} AS VARCHAR) END)")
-    schemes = ", ".join(q(k) for k in DEFAULT_PORTS)
-    ok = (f"(regexp_matches({t}, {P}) AND {scheme} IN ({schemes}) AND {host} <> '' "
-          f"AND regexp_matches({host}, {q(HOST_PATTERN)}) AND NOT {port_bad})")
-    return dict(t=t, ok=ok, scheme=scheme, host=host, port_part=port_part, path=path,
-                query=query)
+    bare = f"split_part({t}, '#', 1)"
+    scheme = f"lower(split_part({bare}, '://', 1))"
+    rest = f"substr({bare}, length({scheme}) + 4)"
+    place = f"split_part({rest}, '?', 1)"
+    query = f"substr({rest}, length({place}) + 2)"
+    authority = f"split_part({place}, '/', 1)"
+    path = f"substr({place}, length({authority}) + 1)"
+    server = f"list_last(string_split({authority}, '@'))"
+    host = f"lower(split_part({server}, ':', 1))"
+    port = f"split_part({server}, ':', 2)"
+    usual = f"CASE {scheme} WHEN 'http' THEN '80' WHEN 'ws' THEN '80' WHEN 'ftp' THEN '21' ELSE '443' END"
+    port_part = f"(CASE WHEN {port} IN ('', {usual}) THEN '' ELSE ':' || {port} END)"
+    ok = (f"(contains({bare}, '://') AND {scheme} IN ('http', 'https', 'ws', 'wss', 'ftp') AND {host} <> '' "
+          f"AND NOT regexp_matches({host}, '[ %<>^|]') AND coalesce(try_cast('0' || {port} AS BIGINT) <= 65535, false))")
+    return dict(t=t, ok=ok, scheme=scheme, host=host, port_part=port_part, path=path, query=query)
 
 
 def clean_query(query: str) -> str:
@@ -111,44 +110,21 @@ def ts_text(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
 
-REL = r"\b" + K.RELATIVE_DATE + r"\b"
-
-
 def parse_date(v: str, as_of: str) -> str:
-    iso = (f"CASE WHEN regexp_matches({v}, {q(ISO_DATE)}) THEN "
-           f"try_cast(regexp_replace({v}, 'Z$', '') AS TIMESTAMP) END")
-    b = js_trim(v)
-    BM = q(BARE_MONTH_FIRST)
-    mdy = (f"CASE WHEN regexp_matches({b}, {BM}) THEN try_strptime(regexp_extract({b}, {BM}, 3) "
-           f"|| '-' || lpad(regexp_extract({b}, {BM}, 1), 2, '0') || '-' || "
-           f"lpad(regexp_extract({b}, {BM}, 2), 2, '0'), '%Y-%m-%d') END")
-    E = q(ENGLISH_DATE)
-    g = lambda i: f"regexp_extract({b}, {E}, {i})"
-    word = f"(CASE WHEN {g(2)} <> '' THEN {g(2)} ELSE {g(3)} END)"
-    day = f"(CASE WHEN {g(1)} <> '' THEN {g(1)} ELSE {g(4)} END)"
-    months = ", ".join(q(m) for m in K.MONTH_ABBREVIATIONS)
-    month = f"list_position([{months}], lower(substr({word}, 1, 3)))"
-    part = lambda i: f"lpad(CASE WHEN {g(i)} <> '' THEN {g(i)} ELSE '0' END, 2, '0')"
-    english = (f"CASE WHEN regexp_matches({b}, {E}) AND coalesce({month}, 0) > 0 THEN try_strptime("
-               f"{g(5)} || '-' || lpad(CAST({month} AS VARCHAR), 2, '0') || '-' || lpad({day}, 2, '0') "
-               f"|| ' ' || {part(6)} || ':' || {part(7)} || ':' || {part(8)}, '%Y-%m-%d %H:%M:%S') END")
-    D = q(K.DAY_FIRST_DATE)
-    y = f"regexp_extract({v}, {D}, 3)"
-    year = f"(CASE WHEN length({y}) = 2 THEN '20' || {y} WHEN length({y}) = 4 THEN {y} END)"
-    dmy = (f"CASE WHEN regexp_matches({v}, {D}) THEN try_strptime({year} || '-' || "
-           f"lpad(regexp_extract({v}, {D}, 2), 2, '0') || '-' || "
-           f"lpad(regexp_extract({v}, {D}, 1), 2, '0'), '%Y-%m-%d') END")
+    """The shapes that the tables' date texts have, by DuckDB's own formats.
+    The others are in ``date_spellings``, whose expected rows are made without
+    reading a text."""
+    iso = f"try_strptime({v}, ['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d'])"
+    mdy = f"CASE WHEN length({v}) <= 10 THEN try_strptime({v}, '%m/%d/%Y') END"
+    found = f"list_filter(string_split_regex({v}, '[^0-9/]+'), lambda p: len(string_split(p, '/')) = 3)[1]"
+    dmy = f"coalesce(try_strptime({found}, '%d/%m/%Y'), try_strptime({found}, '%d/%m/%y'))"
     nv = normalize_search(v)
-    R = q(REL)
-    amount = f"try_cast(regexp_extract({nv}, {R}, 1) AS BIGINT)"
-    unit = f"regexp_extract({nv}, {R}, 2)"
-    unit_s = (f"(CASE WHEN starts_with({unit}, 'minuto') THEN 60 WHEN starts_with({unit}, 'hora') "
-              f"THEN 3600 WHEN starts_with({unit}, 'dia') THEN 86400 "
-              f"WHEN starts_with({unit}, 'semana') THEN 604800 END)")
-    rel = f"CASE WHEN regexp_matches({nv}, {R}) THEN {as_of} - to_seconds({amount} * {unit_s}) END"
+    after = f"string_split(regexp_replace({nv}, '^ha cerca de |^ha ', ''), ' ')"
+    seconds = (f"(CASE rtrim({after}[2], 's') WHEN 'minuto' THEN 60 WHEN 'hora' THEN 3600 "
+               f"WHEN 'dia' THEN 86400 WHEN 'semana' THEN 604800 END)")
+    rel = f"CASE WHEN starts_with({nv}, 'ha ') THEN {as_of} - to_seconds(try_cast({after}[1] AS BIGINT) * {seconds}) END"
     yday = f"CASE WHEN contains({nv}, 'ontem') THEN {as_of} - INTERVAL 1 DAY END"
-    return (f"(CASE WHEN {v} IS NULL OR {v} = '' THEN NULL ELSE "
-            f"coalesce({iso}, {mdy}, {english}, {dmy}, {rel}, {yday}) END)")
+    return f"(CASE WHEN {v} <> '' THEN coalesce({iso}, {mdy}, {dmy}, {rel}, {yday}) END)"
 
 
 def within_days(ts: str, as_of: str, days: int) -> str:

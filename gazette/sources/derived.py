@@ -49,6 +49,41 @@ def articles_from_pages(pages: DataFrame) -> DataFrame:
         synthetic_date_text(F.col("page_id")).alias("date_str"))
 
 
+def link_spellings(articles: DataFrame) -> DataFrame:
+    """(ord, spelling, link): pages of each article's site, each spelled in
+    several ways. 0-4, 5-6 and 7-9 are one address each."""
+    host, n = F.col("site"), F.col("ord").cast("string")
+    forms = [
+        F.concat(F.lit("https://"), host, F.lit("/noticias/"), n),
+        F.concat(F.lit(" HTTPS://"), F.upper(host), F.lit(":443/noticias/"), n, F.lit("/ ")),
+        F.concat(F.lit("https:"), host, F.lit("/noticias/x/%2E%2e/"), n, F.lit("?utm_source=a&ref=b")),
+        F.concat(F.lit("https:\\\\"), host, F.lit("\\noticias\\.\\"), n, F.lit("#a?b")),
+        F.concat(F.lit("https://user:p@ss@"), host, F.lit("/../a/..//../noticias/"), n, F.lit("/?")),
+        F.concat(F.lit("https://"), host, F.lit("/not\u00edcias/"), n, F.lit("?b=a+b&a=\u00e7")),
+        F.concat(F.lit("https://"), host, F.lit("/not%C3%ADcias/"), n, F.lit("?a=%c3%a7&utm_medium=c&b=a%20b")),
+        F.concat(F.lit("https://b\u00fccher."), host, F.lit("/"), n),
+        F.concat(F.lit("https://xn--bcher-kva."), host, F.lit("/"), n),
+        F.concat(F.lit("https://BU\u0308CHER."), host, F.lit("/"), n, F.lit("/.")),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("spelling"), f.alias("link")) for i, f in enumerate(forms)])
+    return articles.select("ord", F.explode(rows).alias("r")).select("ord", "r.*")
+
+
+def date_spellings(articles: DataFrame) -> DataFrame:
+    """(ord, spelling, date_str): a moment of each article's own, written in
+    several ways."""
+    at = F.lit("2024-01-05 09:34:56").cast("timestamp_ntz") + F.make_dt_interval(F.col("ord").cast("int") % 3000, F.col("ord").cast("int") % 13)
+    text = lambda pattern: F.date_format(at, pattern)
+    forms = [
+        text("yyyy-MM-dd'T'HH:mm:ss'Z'"), text("yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'"), text("EEE, dd MMM yyyy HH:mm:ss '-0300'"),
+        text("EEE MMM dd yyyy HH:mm:ss 'GMT-0300 (BRT)'"), text("d MMM yyyy h:mm a"), text("yyyy/MM/dd"), text("yyyy-MM"),
+        text("MMMM d, yyyy"), text("dd/MM/yyyy '\u00e0s' HH:mm"), text("MM/dd/yyyy"), text("d-MMM-yy"),
+        F.concat(F.lit("Publicado: "), text("d MMMM yyyy HH:mm 'EST'")),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("spelling"), f.alias("date_str")) for i, f in enumerate(forms)])
+    return articles.select("ord", F.explode(rows).alias("r")).select("ord", "r.*")
+
+
 # --- personas ---------------------------------------------------------------
 # One client profile per conversation: the first turn is the description and
 # the conversation's most frequent long words are its topics.
