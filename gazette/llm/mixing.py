@@ -15,11 +15,13 @@ DataFrame functions only. The plan of a mix:
 The document-level work is one shuffle by source and one by (source, shard);
 a source that holds a third of all rows is spread over its shards, and the
 tables of sources and shards are aggregates. Only the water level (one row a
-round) reaches the driver.
+round) reaches the driver. A very long text is one row whose
+words are counted where it is read.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, after all others; a null doc_id is an
-ordinary row. Repeated rows share a seed and stand next to each other, and
+ordinary row. Rows under one doc_id (or under null) are numbered by a
+hash of the text and seeded each on its own, so that they spread over shards, and
 each is counted. An empty table gives an empty result. Extra input columns
 are not read.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.joins import join_measured
+from gazette.llm.tables import kept_table
 from gazette.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -89,17 +92,46 @@ def _candidates(df: DataFrame, ideal: Column, total: Column, parties: Column, mo
             .withColumn("_quotient", ideal / (2 * F.col("_k") + 1)))
 
 
+def _copies(d: DataFrame) -> DataFrame:
+    """``d`` with ``_copy``: 0 for rows alone under their doc_id; the rows of
+    one doc_id are numbered from 0, in order of hash, size and row."""
+    several = cut_lineage(d.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")))
+    if several.isEmpty():
+        return d.withColumn("_copy", F.lit(0).cast("long"))
+    shared = join_measured(d, several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    placed = cut_lineage(ranked(shared.select("doc_id", "hash", "size", "row"), "_place", *map(F.col, ("doc_id", "hash", "size", "row"))))
+    base = placed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_place").alias("_base"))
+    numbers = join_measured(placed, base, F.col("doc_id").eqNullSafe(F.col("_id")), "inner").select(
+        F.col("row").alias("_row"), (F.col("_place") - F.col("_base")).alias("_number"))
+    d = join_measured(d, numbers, F.col("row") == F.col("_row"), "left")
+    return cut_lineage(d.withColumn("_copy", F.coalesce("_number", F.lit(0).cast("long"))).drop("_row", "_number"))
+
+
 def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0,
-        block_words: int = 64, shard_words: int = 2_000_000, seed: int = 17) -> DataFrame:
+        block_words: int = 64, shard_words: int = 2_000_000, shard_rows: int = 1_000_000, seed: int = 17,
+        text: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its
     source's, double), shard, quota_words (its shard's) and taken."""
-    seeded = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
-    d = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), size.alias("size"))
-    d = cut_lineage(d.withColumn("_seeded", seeded))
+    row = F.monotonically_increasing_id()
+    mixed = _mix(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), size.cast("long").alias("size"),
+                             F.xxhash64(docs[text] if text in docs.columns else size).alias("hash"), row.alias("row")),
+                 weights, share, cap, block_words, shard_words, shard_rows, seed)
+    return mixed.drop("row")
+
+
+def _mix(d: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 64,
+         shard_words: int = 2_000_000, shard_rows: int = 1_000_000, seed: int = 17) -> DataFrame:
+    """``mix`` of (doc_id, source, size, hash, row), with ``row``, a number of
+    its own for each row."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                    F.when(F.col("_copy") > 0, F.concat(F.lit(":"), F.col("_copy").cast("string"))).otherwise(F.lit("")))
+    seeded = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
+    # row numbers are written before they are used
+    d = cut_lineage(_copies(cut_lineage(d)).withColumn("_seeded", seeded).drop("hash"))
 
     last = F.col("source").asc_nulls_last()
-    s = ranked(d.groupBy("source").agg(F.sum("size").alias("source_size")), "_rank", last)
+    s = ranked(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "_rank", last)
     cycle = F.array(*[F.lit(w) for w in weights])
     s = cut_lineage(s.withColumn("weight", F.get(cycle, F.pmod(F.col("_rank") - 1, F.lit(len(weights))).cast("int"))))
     level = water_level(s, share, cap)
@@ -113,8 +145,9 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     sure = c.groupBy("source").agg(F.max("_sure").alias("n")).agg(F.sum("n")).first()[0] or 0
     c = ranked(c, "_place", F.col("_quotient").desc_nulls_last(), last, F.col("_k"))
     won = F.sum(F.when(F.col("_k").isNotNull() & (F.col("_place") <= total - sure), 1).otherwise(0))
-    s = cut_lineage(c.groupBy("source", "source_size", "target").agg((F.max("_sure") + won).alias("_seats"))
-                    .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
+    s = cut_lineage(c.groupBy("source", "source_size", "target", "_rows").agg((F.max("_sure") + won).alias("_seats"))
+                    .withColumn("_shards", F.greatest(
+                        F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_rows") / shard_rows))))
 
     d = d.alias("d").join(s.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", "source_size", "target", "_seats", "_shards", F.pmod("_seeded", "_shards").alias("shard"))
@@ -123,17 +156,18 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     words = F.greatest(F.col("source_size"), F.lit(1))
     v = _candidates(cells, F.col("_seats") * F.col("_cell") / words, F.col("_seats").cast("double"),
                     F.col("_shards"), F.ceil(F.col("_cell") * cap / block_words))
-    sure = F.sum(F.when(F.col("_k").isNull() | (F.col("_k") == F.col("_sure")), F.col("_sure")).otherwise(0)).over(
-        Window.partitionBy("source"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(
-        F.col("_quotient").desc_nulls_last(), F.col("shard"), F.col("_k")))
-    v = v.withColumn("_all_sure", sure).withColumn("_place", place)
+    sure = F.sum(F.when(F.col("_k").isNull() | (F.col("_k") == F.col("_sure")), F.col("_sure")).otherwise(0))
+    v = cut_lineage(ranked(v, "_rank", last, F.col("_quotient").desc_nulls_last(), F.col("shard"), F.col("_k")))
+    base = v.groupBy(F.col("source").alias("_of")).agg(sure.alias("_all_sure"), (F.min("_rank") - 1).alias("_base"))
+    v = join_measured(v, base, F.col("source").eqNullSafe(F.col("_of")), "inner",
+                      F.coalesce(F.octet_length(F.col("_of").cast("string")), F.lit(0))).withColumn(
+        "_place", F.col("_rank") - F.col("_base"))
     won = F.sum(F.when(F.col("_k").isNotNull() & (F.col("_place") <= F.col("_seats") - F.col("_all_sure")), 1).otherwise(0))
     v = v.groupBy("source", "shard", "_cell").agg((F.max("_sure") + won).alias("_quota")).select(
         F.col("source").alias("_s"), F.col("shard").alias("_h"), "_cell",
         F.least(F.col("_quota") * block_words, F.floor(F.col("_cell") * cap)).cast("bigint").alias("quota_words"))
 
-    tape = Window.partitionBy("source", "shard").orderBy("_seeded", "doc_id", "size").rowsBetween(
+    tape = Window.partitionBy("source", "shard").orderBy("_seeded", "doc_id", "size", "row").rowsBetween(
         Window.unboundedPreceding, -1)
     d = d.withColumn("_start", F.coalesce(F.sum("size").over(tape), F.lit(0)))
     d = d.join(v, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
@@ -141,7 +175,7 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     rest = F.col("quota_words") - F.col("_cell") * rounds - F.col("_start")
     taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return d.select("doc_id", "source", "size", "source_size", "target", "shard", "quota_words",
-                    taken.cast("bigint").alias("taken"))
+                    taken.cast("bigint").alias("taken"), "row")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -156,17 +190,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
                     **params) -> DataFrame:
     """The mix as rows of ``docs``: a row for each time a document is taken
     whole, and one with its first words for the rest; what is not taken goes.
-    Rows alike in doc_id, source and size share what they take."""
-    size = text_size(docs[text])
-    mixed = mix(docs, size, doc_id, source, **params)
-    taken = mixed.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n")).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"),
-        F.floor(F.col("_sum") / F.col("_n")).alias("_taken")).where("_taken > 0")
+    Each row takes what ``mix`` gives it."""
     own = docs.columns
-    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("_row"), docs[doc_id].alias("_id"),
-                    docs[source].alias("_source"), docs[text].alias("_text"), size.alias("_size"))
-    d = join_measured(d, taken, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s"))
-                      & (F.col("_size") == F.col("_z")), "inner")
+    # rows are told apart by a number of their own, written before it is used
+    rows = kept_table(docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("_row"), docs[doc_id].alias("_id"),
+                                  docs[source].alias("_source"), docs[text].alias("_text"), text_size(docs[text]).cast("long").alias("_size"),
+                                  F.monotonically_increasing_id().alias("_n")))
+    mixed = _mix(rows.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"),
+                             F.xxhash64("_text").alias("hash"), F.col("_n").alias("row")), **params)
+    taken = mixed.where("taken > 0").select(F.col("row").alias("_taken_row"), F.col("taken").alias("_taken"))
+    d = join_measured(rows, taken, F.col("_n") == F.col("_taken_row"), "inner")
     parts = F.expr("transform(sequence(1, ceil(_taken / _size)), i -> least(_size, _taken - (i - 1) * _size))")
     d = d.withColumn("_words", F.explode(parts))
     cut = F.col("_words") < F.col("_size")

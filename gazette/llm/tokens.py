@@ -2,7 +2,7 @@
 
 The tokenizer's own pattern never joins characters across ASCII white space,
 so a text's token count is the sum over its words of the word's count. Words
-(ASCII letters in lower case, as the tokenizer's normaliser makes them; words
+(pure ASCII ones in lower case, as the tokenizer's normaliser makes them; words
 with a special string stay as they are) are the pre-tokens here:
 
 1. the scan turns a block of documents into its distinct words with per-document
@@ -38,11 +38,16 @@ HOT_SHARE = 1e-3
 
 
 def _lowered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """ASCII letters in lower case, except in words that hold "<|"."""
+    """ASCII letters in lower case, except in words that hold "<|" or a
+    character beyond ASCII: the tokenizer composes before it lowers, and some
+    capitals compose with a mark only in lower case."""
     out = buf + np.where((buf >= 0x41) & (buf <= 0x5A), np.uint8(32), np.uint8(0))
     special = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))
-    for word in np.unique(np.searchsorted(start, special, "right") - 1):
-        out[start[word]:end[word]] = buf[start[word]:end[word]]
+    asis = np.zeros(len(start), bool)
+    asis[np.searchsorted(start, np.concatenate([special, np.flatnonzero(buf >= 0x80)]), "right") - 1] = True
+    size = (end - start)[asis]
+    at = np.repeat(start[asis], size) + run_offsets(size)
+    out[at] = buf[at]
     return out
 
 

@@ -82,6 +82,31 @@ def test_documents_of_a_mix(spark):
         assert re.search(r"[^\x20\x09-\x0D]$", r.text) or r.text == whole
 
 
+def test_rows_without_an_id_keep_their_words_and_spread(spark):
+    rows = [(d, "a", "w " * 50, "x", "y") for d in range(40)] + [(None, "b", "one two three", "x", "y")] * 4000 + [(5, "c", "p q", "x", "y")] * 300
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    params = {"block_words": 4, "shard_words": 600}
+    got = mixing.mix(df, mixing.text_size(df["text"]), **params).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.source == "b"}) == 20
+    kept = mixing.mixed_documents(df, **params).collect()
+    for s in "abc":
+        taken = sum(r.taken for r in got if r.source == s)
+        assert taken > 0 and taken == sum(len(r.text.split()) for r in kept if r.source == s)
+
+
+def test_a_source_of_empty_texts_is_spread_by_rows(spark):
+    df = spark.createDataFrame([(d, "e", None, "x", "y") for d in range(50)] + [(99, "f", "a b", "x", "y")], SCHEMA)
+    got = mixing.mix(df, mixing.text_size(df["text"]), shard_rows=10).collect()
+    assert len(got) == 51 and len({r.shard for r in got if r.source == "e"}) > 1
+
+
+def test_a_long_text_among_short_ones(spark):
+    rows = [(1, "a", "word " * 400_000, "x", "y"), (2, "a", "b", "x", "y"), (3, "b", "c d", "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in mixing.mix(df, mixing.text_size(df["text"])).collect()}
+    assert got[1]["size"] == 400_000 and all(r.taken <= 2 * r["size"] for r in got.values())
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df, mixing.text_size(df["text"])).collect() == []

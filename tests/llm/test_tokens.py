@@ -33,5 +33,10 @@ def test_against_whole_texts(spark):
     assert found(spark, rows, buckets=1) == brute(rows)
 
 
+def test_capitals_with_combining_marks(spark):
+    rows = [(c, f"x {chr(c)}{chr(m)} abc {chr(c)}{chr(m)}ak\n{chr(m)}{chr(c)}") for c in range(0x41, 0x5B) for m in range(0x300, 0x370)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
