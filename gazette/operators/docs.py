@@ -39,6 +39,14 @@ def _containing(parts: DataFrame, texts: DataFrame) -> DataFrame:
     return parts.join(grams, ["size", "gram"]).filter(F.col("text").contains(F.col("part"))).select("part", "text")
 
 
+def _newest(listed: DataFrame, page: int) -> DataFrame:
+    """Of each ``text`` (a word or a name) the ``page`` newest documents: a
+    posting list in order of time, cut where no token can need more, since a
+    token's newest documents are among the newest ones of its words."""
+    w = Window.partitionBy("text").orderBy(F.col("modified_time").desc_nulls_last(), F.col("id"))
+    return listed.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= page).drop("_place")
+
+
 def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE_PAGE,
                    kind: str | None = None, folder: str | None = None) -> DataFrame:
     """Per persona, documents whose name contains the persona's search
@@ -49,10 +57,11 @@ def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE
 
     A persona's candidates depend only on its token. A token without white
     space lies inside one word of a name, so distinct tokens meet distinct
-    words, then the documents by word; a phrase meets whole names. Each
-    token's ``page`` newest documents are cut (a partial windowed group
-    limit) before the personas join, so a token found in every name costs
-    ``page`` rows a persona, never personas x documents."""
+    words, then the documents by word; a phrase meets whole names. The
+    documents of a word are cut to its ``page`` newest before the tokens meet
+    them (a partial windowed group limit), and the merged lists of a token again, so
+    what is shuffled for the search is at most ``page`` rows for each pair of a
+    token and a word that holds it."""
     if kind is not None:
         docs = docs.filter(F.col("mime_type") == kind)
     if folder is not None:
@@ -65,8 +74,8 @@ def candidate_docs(docs: DataFrame, personas: DataFrame, page: int = K.CATALOGUE
     spaced = F.col("part").rlike(r"\s")
     words = named.select("id", "name", "modified_time", "web_view_link",
                          F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text"))
-    by_word = _containing(tokens.filter(~spaced), words).join(words, "text")
-    by_name = _containing(tokens.filter(spaced), named).join(named, "text")
+    by_word = _containing(tokens.filter(~spaced), words).join(_newest(words, page), "text")
+    by_name = _containing(tokens.filter(spaced), named).join(_newest(named, page), "text")
     met = by_word.unionByName(by_name).drop("text").dropDuplicates(["part", "id"])
     by_part = Window.partitionBy("part").orderBy(F.col("modified_time").desc_nulls_last(), F.col("id"))
     newest = met.withColumn("cand_rank", F.row_number().over(by_part)).filter(F.col("cand_rank") <= page)

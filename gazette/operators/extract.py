@@ -156,6 +156,12 @@ def articles_from_listings(pages: DataFrame, anchor_hosts: tuple[str, ...] = tup
         place.alias("ord"), "page_id", "site", "title", "link", "date_str")
 
 
+def listing_order(pages: DataFrame) -> DataFrame:
+    """(site, site_ord): the position of each listing site, by its first page;
+    from the page table, so that no html is walked for it."""
+    return pages.groupBy(F.col("url").alias("site")).agg(F.shiftleft(F.min("page_id"), POS_BITS).alias("site_ord"))
+
+
 def article_text(html, min_chars: int = K.ARTICLE_TEXT_MIN_CHARS, fallback_chars: int | None = K.BODY_FALLBACK_CHARS):
     """S4 as a column (an Arrow-batched function)."""
     import pandas as pd
@@ -166,19 +172,49 @@ def article_text(html, min_chars: int = K.ARTICLE_TEXT_MIN_CHARS, fallback_chars
     return F.pandas_udf(text, "string")(html)
 
 
-#: Bits of the filter over selected ids: at most 65,536 rows of 16 bytes.
-FILTER_BITS = 22
-
-
-def maybe_selected(pages: DataFrame, selected: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The pages whose ``key`` hashes to a bit that some selected key set. The
-    bits are an aggregate of at most 2^(bits-6) words, so it may always be
-    sent to the scan, however many keys are selected."""
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = cut_lineage(selected.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(one).alias("_bits")))
-    return (pages.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("_word"))
-            .where(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits"))
+#: A filter over selected keys: bits a key, bits set by one key (all in one
+#: word, so that a key is one lookup), and the keys of one filter at most (8 MB of
+#: words that are sent to the scan).
+KEY_BITS, KEY_HASHES, FILTER_KEYS = 16, 5, 1 << 21
+
+
+def _filtered(pages: DataFrame, selected: DataFrame, key: str, n: int) -> DataFrame:
+    """``pages`` through a blocked Bloom filter of the ``n`` selected keys."""
+    words = 1 << max(0, (n * KEY_BITS - 1).bit_length() - 6)
+    word = F.pmod(F.xxhash64(key), F.lit(words))
+    again = F.xxhash64(key, F.lit(1))
+    mask = F.lit(0).cast("bigint")
+    for i in range(KEY_HASHES):
+        at = F.shiftright(again, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at))
+    table = cut_lineage(selected.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")))
+    return (pages.join(F.broadcast(table), word == F.col("_word"))
+            .where(F.col("_bits").bitwiseAND(mask) == mask).drop("_word", "_bits"))
+
+
+def maybe_selected(pages: DataFrame, selected: DataFrame, key: str, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """The pages whose ``key`` may be selected: all selected ones and less than
+    2 % of the others, at any number of keys.
+
+    A filter is sized by the counted keys (distinct in ``selected``) and sent
+    to the scan. More than ``filter_keys`` are cut by key range: each range has its
+    own filter and its own scan, to which the range is pushed down, so
+    that pages stored in key order are still read once."""
+    n = selected.count()
+    parts = max(1, -(-n // filter_keys))
+    if parts == 1:
+        return _filtered(pages, selected, key, n)
+    ranged = cut_lineage(selected.select(key).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    starts = [r[0] for r in ranged.groupBy("_part").agg(F.min(key).alias("first")).orderBy("first").select("first").collect()]
+    out = None
+    for i, first in enumerate(starts):
+        inside = F.col(key) >= F.lit(first)
+        if i + 1 < len(starts):
+            inside = inside & (F.col(key) < F.lit(starts[i + 1]))
+        mine = ranged.where(inside).select(key)
+        part = _filtered(pages.where(inside), mine, key, mine.count())
+        out = part if out is None else out.union(part)
+    return out
 
 
 def texts_for_selected(pages: DataFrame, selected_ords: DataFrame) -> DataFrame:

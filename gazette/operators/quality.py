@@ -50,16 +50,17 @@ def site_order(articles: DataFrame) -> DataFrame:
 
 
 def collect_articles(articles: DataFrame, as_of, k: int = K.MAX_PER_SITE,
-                     days_back: int = K.DAYS_BACK) -> DataFrame:
+                     days_back: int = K.DAYS_BACK, sites: DataFrame | None = None) -> DataFrame:
     """X1 + W7: per-site lists concatenated in site order.
 
     ``pos`` orders rows by (site position, rank in site) as one BIGINT,
     ``site_ord * (k + 1) + site_rank``; no global window or single-task sort
     is needed. The site position is a partial aggregate (skew-safe) joined to
-    the at most k rows per site that survive the top-k.
+    the at most k rows per site that survive the top-k. ``sites`` (site,
+    site_ord) gives the order where reading the articles twice would cost more.
     """
     top = top_per_site(recent_articles(articles, as_of, days_back), k)
-    return (top.join(site_order(articles), "site")
+    return (top.join(site_order(articles) if sites is None else sites, "site")
             .withColumn("pos", F.col("site_ord") * (k + 1) + F.col("site_rank")))
 
 

@@ -22,7 +22,7 @@ from gazette.operators import history as hist
 from gazette.operators import quality
 from gazette.operators import render as rd
 from gazette.operators.dedupe import greedy_dedupe
-from gazette.operators.extract import articles_from_listings, texts_for_links
+from gazette.operators.extract import articles_from_listings, listing_order, texts_for_links
 from gazette.operators.personas import validate_personas
 from gazette.operators.select import lexical_select
 from gazette.session import cut_lineage
@@ -40,7 +40,7 @@ class RunOutput:
 def unique_articles(listings: DataFrame, as_of, max_per_site: int = K.MAX_PER_SITE,
                     days_back: int = K.DAYS_BACK) -> DataFrame:
     """S2/S3 -> P1/F9/P2 -> W1/W7 -> D1: the run's articles, each once."""
-    arts = quality.collect_articles(articles_from_listings(listings), as_of, max_per_site, days_back)
+    arts = quality.collect_articles(articles_from_listings(listings), as_of, max_per_site, days_back, listing_order(listings))
     arts = with_identity(arts).withColumn("keys", dedupe_keys("normalized_link", "source_title_keys"))
     return cut_lineage(greedy_dedupe(arts, "pos", "keys").filter("kept").select(
         "pos", "ord", "site", "title", "link", "date_str", "published_at"))

@@ -413,6 +413,45 @@ LEFT JOIN (SELECT persona_id, list(line ORDER BY line_no) AS hl FROM v_hctx GROU
     sup = with_(*run, V_HIST_RAW, V_HIST, V_SUPPRESS, recursive=True)
     out["suppress_repeats"] = sup + (
         "SELECT persona_id, slot, rank, ord FROM v_status WHERE status = 'kept'")
+    # The runs one after the other, each against all keys sent before it
+    out["stream_state"] = with_(
+        V_ARTICLES, V_ANNOTATED, V_TOP, V_COLLECT, V_KEYS, V_TOPICS, V_PERSONAS,
+        V_LEX.replace("SELECT * FROM v_dedup WHERE kept", "SELECT * FROM v_keys"), V_HIST_RAW, V_HIST, f"""v_run_ranked AS (
+  SELECT persona_id, ord, ord % 4 AS run, {AS} + to_days(CAST(ord % 4 * 5 AS INT)) AS run_at,
+         row_number() OVER (PARTITION BY persona_id, ord % 4 ORDER BY score DESC, published_at DESC NULLS LAST, ord) AS rank
+  FROM v_cand),
+v_run AS (
+  SELECT r.persona_id, r.run_at, r.rank, r.ord,
+         list_filter(['L' || u.normalized_link, 'T' || u.id_host || '::' || u.title_key],
+                     lambda k: k <> 'L' AND NOT (u.title_key = '' AND starts_with(k, 'T'))) AS keys,
+         row_number() OVER (PARTITION BY r.persona_id ORDER BY r.run_at, r.rank) AS step
+  FROM v_run_ranked r JOIN v_unique u USING (ord) WHERE r.rank <= {max(K.MAX_PER_PERSONA, K.MAX_PER_PERSONA * K.PRESELECT_MULTIPLIER)}),
+v_old AS (
+  SELECT persona_id, 'L' || normalized_link AS key, sent_at FROM v_hist WHERE coalesce(normalized_link, '') <> ''
+  UNION ALL
+  SELECT persona_id, 'T' || key, sent_at FROM (
+    SELECT persona_id, sent_at, unnest(list_concat(source_title_keys, [source_title_key])) AS key FROM v_hist)
+  WHERE coalesce(key, '') <> ''),
+v_known AS (
+  SELECT DISTINCT r.persona_id, r.step FROM (SELECT persona_id, step, run_at, unnest(keys) AS key FROM v_run) r JOIN v_old o
+  ON o.persona_id = r.persona_id AND o.key = r.key AND (o.sent_at IS NULL OR o.sent_at >= r.run_at - INTERVAL 14 DAY)),
+v_state AS (
+  SELECT DISTINCT persona_id, 0::BIGINT AS step, NULL::TIMESTAMP AS run_at, 0::BIGINT AS kept, '' AS status,
+         []::STRUCT(k VARCHAR, at TIMESTAMP)[] AS sent FROM v_run
+  UNION ALL
+  SELECT persona_id, step, run_at, before + (status = 'kept')::BIGINT, status,
+         CASE WHEN status = 'kept' THEN list_concat(sent, list_transform(keys, lambda x: {{'k': x, 'at': run_at}})) ELSE sent END
+  FROM (
+    SELECT q.persona_id, q.step, q.run_at, q.keys, s.sent, CASE WHEN q.run_at = s.run_at THEN s.kept ELSE 0 END AS before,
+      CASE WHEN CASE WHEN q.run_at = s.run_at THEN s.kept ELSE 0 END >= {K.MAX_PER_PERSONA} THEN 'unexamined'
+           WHEN n.step IS NOT NULL OR list_has_any(q.keys, list_transform(list_filter(s.sent,
+             lambda x: x['at'] < q.run_at AND x['at'] >= q.run_at - INTERVAL 14 DAY), lambda x: x.k)) THEN 'history'
+           WHEN list_has_any(q.keys, list_transform(list_filter(s.sent, lambda x: x['at'] = q.run_at), lambda x: x.k)) THEN 'duplicate'
+           ELSE 'kept' END AS status
+    FROM v_state s JOIN v_run q ON q.persona_id = s.persona_id AND q.step = s.step + 1
+    LEFT JOIN v_known n ON n.persona_id = q.persona_id AND n.step = q.step))""", recursive=True) + f"""
+SELECT r.persona_id, {S.ts_text('r.run_at')} AS run_at, r.rank, r.ord, s.status, CASE WHEN s.status = 'kept' THEN s.kept END AS slot
+FROM v_run r JOIN v_state s ON s.persona_id = r.persona_id AND s.step = r.step"""
     out["selection_counts"] = sup + """
 SELECT persona_id, CAST(count_if(status = 'kept') AS BIGINT) AS kept,
        CAST(count_if(status IN ('history', 'duplicate')) AS BIGINT) AS removed

@@ -6,7 +6,7 @@ text) so they compare cell by cell with the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions.dates import parse_date, ts_text, with_parsed_date
@@ -420,7 +420,8 @@ def v_listings(spark, sf_dir) -> DataFrame:
 @query("collect_listings")
 def q_collect_listings(spark, sf_dir):
     """The run's collect step over all candidates of the listing pages."""
-    c = quality.collect_articles(ex.articles_from_listings(v_listings(spark, sf_dir)), AS_OF)
+    listings = v_listings(spark, sf_dir)
+    c = quality.collect_articles(ex.articles_from_listings(listings), AS_OF, sites=ex.listing_order(listings))
     return c.select("ord", "page_id", "site", F.col("site_rank").cast("bigint").alias("site_rank"), "title", "link", "date_str")
 
 
@@ -499,7 +500,7 @@ def q_run_counters(spark, sf_dir):
 
 
 # --- sinks, streaming and import totals -------------------------------------------
-from gazette.streaming import incremental as inc  # noqa: E402
+from gazette.streaming import incremental as inc, state  # noqa: E402
 
 
 @query("history_roundtrip")
@@ -521,6 +522,33 @@ def q_stream_suppress(spark, sf_dir):
                         ts_text("sent_at").alias("sent_at"))
 
 
+STATE_RUNS, STATE_RUN_DAYS = 4, 5
+
+
+def run_selections(spark, sf_dir) -> DataFrame:
+    """The selections of STATE_RUNS runs, STATE_RUN_DAYS apart: run r has the
+    candidates with ``ord % STATE_RUNS = r``, ranked and cut for each persona."""
+    a = with_identity(collected(spark, sf_dir).select("ord", "title", "link", "published_at"))
+    every = lexical_select(a, v_personas(spark, sf_dir), limit=1 << 30).withColumn("run", F.col("ord") % STATE_RUNS)
+    w = Window.partitionBy("persona_id", "run").orderBy("rank")
+    every = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= preselection_limit())
+    at = F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval((F.col("run") * STATE_RUN_DAYS).cast("int"))
+    return every.join(a, "ord").select("persona_id", at.alias("run_at"), F.col("rank").cast("bigint").alias("rank"), "ord",
+                                       state.row_keys("normalized_link", "source_title_keys").alias("keys"), "run")
+
+
+@query("stream_state")
+def q_stream_state(spark, sf_dir):
+    """The runs as a stream, one micro-batch a run, against the state store."""
+    work = inc.scratch_dir(spark, "stream-state")
+    runs = cut_lineage(run_selections(spark, sf_dir))
+    history = cut_lineage(v_history(spark, sf_dir))
+    for r in range(STATE_RUNS):
+        state.write_selection(runs.where(F.col("run") == r), f"{work}/selections")
+        found = state.run_stateful(spark, f"{work}/selections", work, history, files_per_batch=None)
+    return found.select("persona_id", ts_text("run_at").alias("run_at"), "rank", "ord", "status", F.col("slot").cast("bigint").alias("slot"))
+
+
 @query("import_totals")
 def q_import_totals(spark, sf_dir):
     docs = v_docs(spark, sf_dir)

@@ -52,6 +52,27 @@ def test_html_of_unselected_pages_is_not_shuffled(spark):
     assert "BroadcastHashJoin" in below and below.index("BroadcastHashJoin") < below.index("FileScan")
 
 
+def test_collecting_walks_each_page_once(spark):
+    assert plan(Q.REGISTRY["collect_listings"](spark, SF)).count("MapInPandas") == 1
+
+
+def test_filter_lets_few_other_pages_through(spark):
+    from gazette.operators.extract import maybe_selected
+    pages = spark.range(200_000).withColumnRenamed("id", "page_id")
+    selected = pages.where("page_id % 40 = 7")
+    for limit in (1 << 21, 2_000):  # one filter, and three by key range
+        got = maybe_selected(pages, selected, "page_id", limit)
+        n, hits = got.selectExpr("count(*)", "count_if(page_id % 40 = 7)").first()
+        assert hits == 5_000 and n - hits < 0.02 * 195_000
+    names = spark.range(3000).selectExpr("concat('https://x.com/', id) as url")
+    assert maybe_selected(names, names.limit(500), "url", 100).join(names.limit(500), "url").count() == 500
+
+
+def test_search_lists_are_cut_before_the_tokens_meet_them(spark):
+    p = plan(Q.REGISTRY["candidate_docs"](spark, SF))
+    assert p.count("WindowGroupLimit") >= 4  # posting lists of words and names, then the merged ones
+
+
 def test_no_cartesian_products(spark):
     for key in ("lexical_select", "filter_requests", "candidate_docs", "run_counters"):
         p = plan(Q.REGISTRY[key](spark, SF))
