@@ -437,16 +437,16 @@ v_known AS (
   ON o.persona_id = r.persona_id AND o.key = r.key AND (o.sent_at IS NULL OR o.sent_at >= r.run_at - INTERVAL 14 DAY)),
 v_state AS (
   SELECT DISTINCT persona_id, 0::BIGINT AS step, NULL::TIMESTAMP AS run_at, 0::BIGINT AS kept, '' AS status,
-         []::STRUCT(k VARCHAR, at TIMESTAMP)[] AS sent FROM v_run
+         []::STRUCT(k VARCHAR, sent_on TIMESTAMP)[] AS sent FROM v_run
   UNION ALL
   SELECT persona_id, step, run_at, before + (status = 'kept')::BIGINT, status,
-         CASE WHEN status = 'kept' THEN list_concat(sent, list_transform(keys, lambda x: {{'k': x, 'at': run_at}})) ELSE sent END
+         CASE WHEN status = 'kept' THEN list_concat(sent, list_transform(keys, lambda x: {{'k': x, 'sent_on': run_at}})) ELSE sent END
   FROM (
     SELECT q.persona_id, q.step, q.run_at, q.keys, s.sent, CASE WHEN q.run_at = s.run_at THEN s.kept ELSE 0 END AS before,
       CASE WHEN CASE WHEN q.run_at = s.run_at THEN s.kept ELSE 0 END >= {K.MAX_PER_PERSONA} THEN 'unexamined'
            WHEN n.step IS NOT NULL OR list_has_any(q.keys, list_transform(list_filter(s.sent,
-             lambda x: x['at'] < q.run_at AND x['at'] >= q.run_at - INTERVAL 14 DAY), lambda x: x.k)) THEN 'history'
-           WHEN list_has_any(q.keys, list_transform(list_filter(s.sent, lambda x: x['at'] = q.run_at), lambda x: x.k)) THEN 'duplicate'
+             lambda x: x.sent_on < q.run_at AND x.sent_on >= q.run_at - INTERVAL 14 DAY), lambda x: x.k)) THEN 'history'
+           WHEN list_has_any(q.keys, list_transform(list_filter(s.sent, lambda x: x.sent_on = q.run_at), lambda x: x.k)) THEN 'duplicate'
            ELSE 'kept' END AS status
     FROM v_state s JOIN v_run q ON q.persona_id = s.persona_id AND q.step = s.step + 1
     LEFT JOIN v_known n ON n.persona_id = q.persona_id AND n.step = q.step))""", recursive=True) + f"""

@@ -34,8 +34,11 @@ from gazette.operators.history import entry_match_keys
 
 SELECTION_DDL = "persona_id STRING, run_at TIMESTAMP_NTZ, rank BIGINT, ord BIGINT, keys ARRAY<STRING>"
 STATUS_DDL = "persona_id STRING, run_at TIMESTAMP_NTZ, rank BIGINT, ord BIGINT, status STRING, slot INT"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The store that has maps with a time to live; and no batches without data, which
+#: the clock would keep asking for.
+_SETTINGS = {"spark.sql.streaming.stateStore.providerClass":
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 #: Time of entries that never expire, in microseconds.
 FOREVER = 1 << 62
 _EPOCH = dt.datetime(1970, 1, 1)
@@ -120,8 +123,9 @@ def run_stateful(spark: SparkSession, source: str, work_dir: str, history: DataF
                  max_per_persona: int = K.MAX_PER_PERSONA, lookback_days: int = K.LOOKBACK_DAYS) -> DataFrame:
     """Drive the stream over what ``source`` holds beyond the last call, in
     batches of so many files (None: one batch), and return all statuses so far."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: spark.conf.get(name) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         stream = spark.readStream.schema(SELECTION_DDL)
         if files_per_batch:
@@ -134,5 +138,6 @@ def run_stateful(spark: SparkSession, source: str, work_dir: str, history: DataF
                  .option("checkpointLocation", f"{work_dir}/stream-checkpoint").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(STATUS_DDL).parquet(f"{work_dir}/statuses")
