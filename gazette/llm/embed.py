@@ -18,10 +18,12 @@ multiplicity. Cells are cut into tiles of at most ``tile`` filed vectors by
 4 x ``tile`` queries, so a crowded cell is many tasks; a tile returns counts
 and a star of links, never its pairs.
 
-Defined results: a vector that is null, zero, of another length than most, or
-holds a null or non-finite component links with nothing; so does one with a
-null label. Rows are vectors: repeated rows are linked to each other. A row
-with a null vec_id counts as a vector, but can't name a component (null if
+Defined results: a vector that is null, zero or empty, or holds a null or
+non-finite component links with nothing; so does one with a null label.
+Vectors of several lengths link within each length, each with codebooks of its
+own (some jobs a length). Rows are vectors: repeated rows are linked to each
+other, and one vec_id may stand for several vectors. A very long vector is
+one row. A row with a null vec_id counts as a vector, but can't name a component (null if
 there is no other name) and is not kept. An empty table gives an empty
 result. Extra input columns are not read.
 """
@@ -39,13 +41,8 @@ from pyspark.sql import functions as F
 from gazette.llm.components import components
 from gazette.llm.joins import join_measured
 from gazette.llm.simhash import least_labels
-from gazette.llm.text import run_offsets
 from gazette.session import cut_lineage
 
-#: Entries without any vec_id get names from here on.
-UNNAMED = 1 << 62
-
-
 @dataclass
 class Grid:
     """Codebooks (two arrays of centroids) and the squared reach."""
@@ -69,18 +66,31 @@ class Grid:
         return (entry[0] == 0).argmax(1) * len(self.books[1]) + (entry[1] == 0).argmax(1)
 
     def visits(self, entry: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, cell) of all cells within reach."""
-        a, b = (np.nonzero(e <= self.reach) for e in entry)
-        n_b = np.bincount(b[0], minlength=len(entry[0]))
-        first = np.cumsum(n_b) - n_b
-        row = np.repeat(a[0], n_b[a[0]])
-        i = np.repeat(a[1], n_b[a[0]])
-        j = b[1][first[row] + run_offsets(n_b[a[0]])]
-        near = entry[0][row, i] + entry[1][row, j] <= self.reach
-        return row[near], i[near] * len(self.books[1]) + j[near]
+        """(vector, cell) by multi-sequence traversal: each vector takes the cells
+        of the grid in order of their cost, from two sorted lists, until the next one
+        lies beyond the reach. All vectors take a step at a time: for each place of
+        the first list stands the next place of the second one that was not taken
+        with it, and the least sum is taken."""
+        first, second = (np.argsort(e, axis=1, kind="stable") for e in entry)
+        a, b = np.take_along_axis(entry[0], first, 1), np.take_along_axis(entry[1], second, 1)
+        b = np.concatenate([b, np.full((len(b), 1), np.inf)], axis=1)
+        a = a[:, :max(1, int((a <= self.reach).sum(1).max(initial=1)))]  # no other place is ever taken
+        following, live, rows, cells = np.zeros(a.shape, np.int64), np.arange(len(a)), [], []
+        while len(live):
+            cost = a[live] + np.take_along_axis(b[live], following[live], 1)
+            i = cost.argmin(1)
+            ok = cost[np.arange(len(live)), i] <= self.reach
+            live, i = live[ok], i[ok]
+            j = following[live, i]
+            rows.append(live)
+            cells.append(first[live, i] * len(self.books[1]) + second[live, j])
+            following[live, i] = j + 1
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.empty(0, np.int64),) * 2
 
 
 def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    if not x.shape[1]:  # vectors of one component have no second half
+        return x[:1]
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = ((c ** 2).sum(1) - 2 * x @ c.T).argmin(1)
@@ -112,22 +122,18 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def entries(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame, int]:
+def entries(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
     """All rows (vec_id, label, v, ok) and the distinct usable vectors
-    (label, v, name, times), and their length."""
+    (label, v, name, least_id, times); a name is a hash of label and vector."""
     v = F.transform(vectors[embedding], lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[label].alias("label"), v.alias("v"),
                           F.coalesce(vectors[label].isNotNull() & finite & some, F.lit(False)).alias("ok"))
     rows = cut_lineage(rows)
-    sizes = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes["d"] if sizes else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
-    hashed = F.lit(UNNAMED) + F.xxhash64("label", "v").bitwiseAND(F.lit(UNNAMED - 1))
     distinct = rows.where("ok").groupBy("label", "v").agg(
-        F.min("vec_id").alias("name"), F.count("*").alias("times")).withColumn("name", F.coalesce("name", hashed))
-    return rows, cut_lineage(distinct), dim
+        F.min("vec_id").alias("least_id"), F.count("*").alias("times")).withColumn("name", F.xxhash64("label", "v"))
+    return rows, cut_lineage(distinct)
 
 
 def links(distinct: DataFrame, dim: int, threshold: float = 0.98, recall: float = 0.9999, per_cell: int = 256,
@@ -200,16 +206,24 @@ def links(distinct: DataFrame, dim: int, threshold: float = 0.98, recall: float
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                            label: str = "label", threshold: float = 0.98, **params) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per vector."""
-    rows, distinct, dim = entries(vectors, vec_id, embedding, label)
-    counts, pairs = links(distinct, dim, threshold, **params)
-    linked = components(pairs)
+    rows, distinct = entries(vectors, vec_id, embedding, label)
+    # vectors of each length meet by codebooks of their own
+    lengths = [r[0] for r in distinct.select(F.size("v")).distinct().collect()]
+    found = [links(distinct.where(F.size("v") == dim), dim, threshold, **params) for dim in sorted(lengths)]
+    if not found:
+        found = [links(distinct, 0, threshold, **params)]
+    counts, pairs = found[0]
+    for more_counts, more_pairs in found[1:]:
+        counts, pairs = counts.union(more_counts), pairs.union(more_pairs)
     named = distinct.join(counts.withColumnRenamed("name", "_a"), F.col("name") == F.col("_a"), "left")
-    named = named.join(linked, F.col("name") == F.col("node"), "left").select(
+    named = cut_lineage(named.join(components(pairs), F.col("name") == F.col("node"), "left").select(
         F.col("label").alias("_label"), F.col("v").alias("_v"),
-        (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-        F.coalesce("component", "name").alias("_component"))
+        (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least_id",
+        F.coalesce("component", "name").alias("_root")))
+    smallest = cut_lineage(named.groupBy(F.col("_root").alias("_of")).agg(F.min("least_id").alias("_component")))
+    named = named.join(smallest, F.col("_root") == F.col("_of")).select("_label", "_v", "n_links", "_component", F.lit(True).alias("_linked"))
     out = rows.join(cut_lineage(named), (F.col("ok")) & (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left")
-    component = F.when(F.col("_component") >= UNNAMED, F.lit(None)).otherwise(F.coalesce("_component", "vec_id"))
+    component = F.when(F.col("_linked"), F.col("_component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id")).withColumn(
                           "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -11,12 +11,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int, home string, name stri
 
 
 def brute(rows):
-    usable = [r[2] is not None and r[1] is not None and len(r[1]) == 8 and all(x is not None and math.isfinite(x) for x in r[1])
+    usable = [r[2] is not None and r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])
               and any(r[1]) for r in rows]
     unit = [np.array(r[1], np.float32).astype(float) if ok else None for r, ok in zip(rows, usable)]
     unit = [u / np.linalg.norm(u) if u is not None else None for u in unit]
     near = [[j for j in range(len(rows)) if j != i and usable[i] and usable[j] and rows[i][2] == rows[j][2]
-             and unit[i] @ unit[j] >= 0.98] for i in range(len(rows))]
+             and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98] for i in range(len(rows))]
     out = []
     for i, r in enumerate(rows):
         seen, todo = {i}, [i]
@@ -40,7 +40,9 @@ def documents():
             rows.append((len(rows), (c + 0.08 * rng.standard_normal(8)).tolist(), int(rng.integers(0, 2))))
     rows += [(1000, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2]), (None, rows[3][1], rows[3][2]), (None, [9.0] * 8, 5),
              (1001, None, 1), (1002, [0.0] * 8, 1), (1003, [float("nan")] + [1.0] * 7, 1), (1004, [None] + [1.0] * 7, 1),
-             (1005, [float("inf")] + [1.0] * 7, 1), (1006, rows[3][1], None), (1007, [1.0] * 3, 1), (1008, [], 1)]
+             (1005, [float("inf")] + [1.0] * 7, 1), (1006, rows[3][1], None), (1007, [1.0] * 3, 1), (1008, [], 1),
+             (1009, [1.0] * 3, 1), (1010, [2.0] * 3, 1), (1011, [1.0] * 3, 0), (1012, [1.0, 1.0, -1.0], 1), (1013, [3.0], 1), (1014, [-3.0], 1),
+             (2000, rows[5][1], rows[5][2]), (2000, rows[9][1], rows[9][2]), (2000, [0.5] * 8, 1 - rows[5][2])]
     return rows
 
 
@@ -55,6 +57,19 @@ def test_against_all_pairs(spark, params):
     assert found(spark, rows, **params) == brute(rows)
 
 
+def test_cells_are_visited_in_order_of_cost():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 6))
+    grid = embed.fit(x / np.linalg.norm(x, axis=1)[:, None], 7, 0.9, 0.99)
+    entry = grid.entry(x / np.linalg.norm(x, axis=1)[:, None])
+    row, cell = grid.visits(entry)
+    cost = entry[0][row, cell // 7] + entry[1][row, cell % 7]
+    within = entry[0][:, :, None] + entry[1][:, None, :] <= grid.reach
+    assert sorted(zip(row, cell)) == sorted((a, b * 7 + c) for a, b, c in zip(*np.nonzero(within)))
+    for r in range(300):
+        assert (np.diff(cost[row == r]) >= 0).all() and cell[row == r][0] == grid.home(entry)[r]
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
