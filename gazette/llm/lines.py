@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line's tokens are its word shingles (``shingle`` words; a shorter line is
-one token). A line is removed when an earlier line, by (doc_id, line
+A line's tokens are its distinct words (or its word shingles, where ``shingle``
+is more than one word; a shorter line is then one token). A line is removed when an earlier line, by (doc_id, line
 number), has a Jaccard similarity of ``threshold`` or more; lines are judged
 on the input, not on what is left.
 
@@ -32,7 +32,8 @@ after all others; different texts under one doc_id (or under null) follow
 each other by a hash of the text. Rows with the same doc_id and text are one
 document: they lose the same lines, not each other's. A document may lose
 all its lines; it stays with an empty text. Token and line hashes have 64
-bits. Other columns are kept.
+bits. A very long text is a slice of its own: its task's memory follows it. Other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ from pyspark.sql import functions as F
 from gazette.llm.buckets import dealt, entry, hashed_counts, heads, hot_entries, in_order, sizes, through_buckets
 from gazette.llm.joins import join_measured
 from gazette.llm.quality import bind
-from gazette.llm.text import (BASES, U64, group_starts, mix64, prefix_hash, run_offsets, slices, span_hash,
-                              word_hashes, word_spans)
+from gazette.llm.text import (BASES, U64, chunked_hashes, group_starts, mix64, prefix_hash, run_offsets, slices, span_hash,
+                              word_spans)
 from gazette.llm.tables import kept_table
 from gazette.session import cut_lineage
 
@@ -56,6 +57,18 @@ from gazette.session import cut_lineage
 LAST = (1 << 63) - 1
 
 
+def _by_rarity(owner: np.ndarray, magnitude: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The order of (owner, magnitude, token): sorted as one number that holds the
+    token's upper bits, and as three keys where that leaves ties of different tokens."""
+    if len(owner) and owner[-1] < 1 << 20:
+        packed = owner.astype(U64) << U64(44) | magnitude.astype(U64) << U64(38) | token >> U64(26)
+        order = np.argsort(packed)
+        tie = packed[order[1:]] == packed[order[:-1]]
+        if not (tie & (token[order[1:]] != token[order[:-1]])).any():
+            return order
+    return np.lexsort((token, magnitude, owner))
+
+
 class Tokens:
     """The token sets of the lines of one slice, each in order of rarity.
 
@@ -72,15 +85,17 @@ class Tokens:
         first = np.flatnonzero(head)
         count = np.diff(np.append(first, len(start)))
         self.row, self.line = row[first], number[first].astype(np.int32)
-        h = prefix_hash(word_hashes(buf, start, end), BASES[1])
-        n = np.maximum(count - shingle + 1, 1)
-        at = np.repeat(first, n) + run_offsets(n)
-        token = span_hash(h, at, at + np.repeat(np.minimum(count, shingle), n), BASES[1])
+        token, n = chunked_hashes(buf, start, end), count
+        if shingle > 1:
+            h = prefix_hash(token, BASES[1])
+            n = np.maximum(count - shingle + 1, 1)
+            at = np.repeat(first, n) + run_offsets(n)
+            token = span_hash(h, at, at + np.repeat(np.minimum(count, shingle), n), BASES[1])
         owner = np.repeat(np.arange(len(first)), n)
         self.every = token
         if rarity is None:
             return
-        order = np.lexsort((token, rarity[entry(token)], owner))
+        order = _by_rarity(owner, rarity[entry(token)], token)
         token, owner = token[order], owner[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
@@ -166,7 +181,7 @@ def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray
     return through_buckets(docs, cut, whole, _OUT)
 
 
-def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
+def removed_lines(docs: DataFrame, shingle: int = 1, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
     """(doc, tag, line) of every line to remove; ``docs`` has the columns doc
     (long, LAST for null), tag (see ``identified``) and text."""
     rarity = hashed_counts(docs, lambda buf, offs: Tokens(buf, offs, shingle).every)

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 
 from gazette.llm import lines
@@ -10,17 +12,17 @@ from gazette.llm import lines
 SCHEMA = "doc_id long, text string, n_lines string, place string"
 
 
-def tokens(line, k=5):
+def tokens(line, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", line)
     return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def brute(rows, threshold=0.8):
+def brute(rows, threshold=0.8, shingle=1):
     places = []
     for r, (doc, text) in enumerate(rows):
         tag = xxhash.xxh64_intdigest((text or "").encode(), seed=42) & (1 << 31) - 1
         for n, line in enumerate([] if text is None else text.split("\n")):
-            places.append(((lines.LAST if doc is None else doc, tag, n), r, tokens(line)))
+            places.append(((lines.LAST if doc is None else doc, tag, n), r, tokens(line, shingle)))
     gone = set()
     for at, r, t in places:
         for other, _, u in places:
@@ -63,9 +65,26 @@ def documents():
     return rows
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("shingle", [1, 5])
+def test_against_all_pairs(spark, shingle):
     rows = documents()
-    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, shingle=shingle) == brute(rows, shingle=shingle)
+    assert shingle > 1 or found(spark, rows) == brute(rows)
+
+
+def test_one_changed_word_in_twenty(spark):
+    line = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(line)), (2, "kept\n" + " ".join(line[:7] + ["odd"] + line[8:])), (3, " ".join(line[10:] + line[:10]))]
+    assert [r[1] for r in found(spark, rows)] == [rows[0][1], "kept", ""]
+    many = [(d, " ".join(line[:7] + [f"x{d}"] + line[8:])) for d in range(50)] + [(99, "word " * 300_000)]
+    assert sum(r[3] for r in found(spark, many)) == 49
+
+
+def test_tokens_that_share_upper_bits():
+    token = np.array([5, 3, 5, 1 << 40, 5], np.uint64)
+    owner, magnitude = np.zeros(5, np.int64), np.ones(5, np.uint8)
+    assert (token[lines._by_rarity(owner, magnitude, token)] == [3, 5, 5, 5, 1 << 40]).all()
+
 
 
 def test_one_first_line_a_list_is_enough(spark):
