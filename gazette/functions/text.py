@@ -86,11 +86,32 @@ def normalize_search_text(c) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(x, f"{JS_SPACE}+", " ")), F.lit(""))
 
 
+#: Characters that count twice in UTF-16.
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
+
+
+def utf16_length(c) -> Column:
+    """Length in UTF-16 units, the unit of document offsets and limits."""
+    return F.char_length(col_(c)) + F.regexp_count(col_(c), F.lit(_WIDE))
+
+
+def _first_units(text: Column, units: int) -> Column:
+    """The first UTF-16 units of a text; half a character shows as U+FFFD."""
+    def step(s: Column, ch: Column) -> Column:
+        wide = F.when(ch.rlike(_WIDE), 2).otherwise(1)
+        return F.when(s["u"] >= units, s).when(s["u"] + wide <= units, F.struct(
+            F.concat(s["t"], ch).alias("t"), (s["u"] + wide).alias("u"))).otherwise(
+            F.struct(F.concat(s["t"], F.lit("\ufffd")).alias("t"), F.lit(units).alias("u")))
+    chars = F.transform(F.sequence(F.lit(1), F.lit(units)), lambda i: F.substring(text, i, 1))
+    folded = F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(0).alias("u")), step, lambda s: s["t"])
+    return F.when(text.rlike(_WIDE), folded).otherwise(F.substring(text, 1, units))
+
+
 def truncate_text(c, max_length: int) -> Column:
-    """F8: squash; if longer than max, keep max-3 chars (trimmed) and add '...'."""
-    n = normalize_whitespace(c)
-    cut = F.concat(F.trim(F.substring(n, 1, max(0, max_length - 3))), F.lit("..."))
-    return F.when(F.char_length(n) > max_length, cut).otherwise(n)
+    """F8: squash; if longer than max, keep max-3 UTF-16 units (trimmed) and add '...'."""
+    units = max(0, max_length - 3)
+    return let(normalize_whitespace(c), lambda n: F.when(utf16_length(n) > max_length, F.concat(
+        F.trim(_first_units(n, units)) if units else F.lit(""), F.lit("..."))).otherwise(n))
 
 
 def unique_non_empty(arr) -> Column:

@@ -25,6 +25,11 @@ def _link(url: str, href: str) -> str:
         return href.strip()
 
 
+def _units(text: str) -> int:
+    """Length in UTF-16 units, as a browser counts."""
+    return len(text) + sum(c > "\uffff" for c in text)
+
+
 def _date_text(page, i: int | None) -> str | None:
     if i is None:
         return None
@@ -45,7 +50,7 @@ def page_cards(url: str, html: str, min_title_chars: int = K.MIN_CARD_TITLE_LENG
             anchor = i if page.tag[i] == "a" else page.first_below(i, anchors)
             heading = page.first_below(i, headings)
             title = (page.text(heading) if heading is not None else page.inner_text(i).split("\n")[0]).strip()
-            if anchor is None or "href" not in page.attrs[anchor] or len(title) < min_title_chars:
+            if anchor is None or "href" not in page.attrs[anchor] or _units(title) < min_title_chars:
                 continue
             link = _link(url, page.attrs[anchor]["href"])
             if link and link not in seen:
@@ -83,7 +88,7 @@ def page_anchors(url: str, html: str, prefix: str | None = None, blocked_prefixe
             continue
         image = page.first_below(i, images)
         title = _clean(page.text(i)) or (_clean(page.attrs[image].get("alt", "")) if image is not None else "")
-        if len(title) < min_title_chars:
+        if _units(title) < min_title_chars:
             continue
         seen.add(link)
         box = page.closest(page.parent[i], K.DATE_CONTAINERS)
@@ -99,7 +104,7 @@ def page_text(html: str, min_chars: int = K.ARTICLE_TEXT_MIN_CHARS, fallback_cha
     for rule in K.TEXT_SELECTORS:
         for i in page.all(rule)[:1]:
             text = page.inner_text(i)
-            if len(text) > min_chars:
+            if _units(text) > min_chars:
                 return " ".join(text.split())
     body = page.all(("body", None, None))
     text = " ".join((page.inner_text(body[0]) if body else page.rendered()).split())

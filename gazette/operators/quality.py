@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
 from gazette.functions.dates import is_within_days, with_parsed_date
-from gazette.functions.text import col_
+from gazette.functions.text import col_, utf16_length
 
 
 def is_valid_title(title) -> Column:
@@ -16,7 +16,7 @@ def is_valid_title(title) -> Column:
     noisy = F.lit(False)
     for pattern in K.NOISE_PATTERNS:
         noisy = noisy | t.rlike(pattern)
-    return F.coalesce(t.isNotNull() & (F.char_length(t) >= K.MIN_TITLE_LENGTH) & ~noisy,
+    return F.coalesce(t.isNotNull() & (utf16_length(t) >= K.MIN_TITLE_LENGTH) & ~noisy,
                       F.lit(False))
 
 

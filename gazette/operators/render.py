@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import constants as K
 from gazette.functions.dates import as_ts, digest_date, digest_title
-from gazette.functions.text import squash
+from gazette.functions.text import squash, utf16_length
 
 SENTENCE = r"[^.!?]+[.!?]*"
 
@@ -72,21 +72,22 @@ def render_digest(items: DataFrame, personas: DataFrame, run_ts) -> DataFrame:
 def digest_spans(items: DataFrame, run_ts) -> DataFrame:
     """K3: (persona_id, span_no, start, end, style). Heading-1 over the header,
     heading-2 over each item's first line, link style over the URL; the
-    cursor is a running length from 1 (W5). Offsets count code points."""
+    cursor is a running length from 1 (W5). Offsets count UTF-16
+    units, as the document service does."""
     ts = as_ts(run_ts)
-    header_len = F.char_length(F.concat(F.lit(K.DIGEST_HEADER_PREFIX), digest_date(ts), F.lit("\n\n")))
+    header_len = utf16_length(F.concat(F.lit(K.DIGEST_HEADER_PREFIX), digest_date(ts), F.lit("\n\n")))
     p = _parts(items).withColumn(
-        "item_len", F.char_length("chamada_text") + F.char_length("resumo_text") + F.char_length("link_text"))
+        "item_len", utf16_length("chamada_text") + utf16_length("resumo_text") + utf16_length("link_text"))
     w = Window.partitionBy("persona_id").orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("cursor", F.lit(1) + header_len + F.coalesce(F.sum("item_len").over(w), F.lit(0)))
     heading2 = p.select("persona_id", (F.col("item_no") * 2).alias("span_no"),
                         F.col("cursor").alias("start"),
-                        (F.col("cursor") + F.char_length("chamada_text") - 1).alias("end"),
+                        (F.col("cursor") + utf16_length("chamada_text") - 1).alias("end"),
                         F.lit("HEADING_2").alias("style"))
-    link_start = F.col("cursor") + F.char_length("chamada_text") + F.char_length("resumo_text")
+    link_start = F.col("cursor") + utf16_length("chamada_text") + utf16_length("resumo_text")
     link = p.select("persona_id", (F.col("item_no") * 2 + 1).alias("span_no"),
                     (link_start + 6).alias("start"),
-                    (link_start + F.char_length("link_text") - 2).alias("end"),
+                    (link_start + utf16_length("link_text") - 2).alias("end"),
                     F.lit(K.LINK_STYLE).alias("style"))
     head = items.select("persona_id").distinct().select(
         "persona_id", F.lit(1).cast("bigint").alias("span_no"), F.lit(1).alias("start"),
