@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line's tokens are its distinct words (or its word shingles, where ``shingle``
-is more than one word; a shorter line is then one token). A line is removed when an earlier line, by (doc_id, line
+A line's tokens are its word shingles (``shingle`` words; a shorter line is
+one token); with ``shingle=1`` they are its distinct words, which finds more near
+lines but meets far more candidates. A line is removed when an earlier line, by (doc_id, line
 number), has a Jaccard similarity of ``threshold`` or more; lines are judged
 on the input, not on what is left.
 
@@ -181,7 +182,7 @@ def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray
     return through_buckets(docs, cut, whole, _OUT)
 
 
-def removed_lines(docs: DataFrame, shingle: int = 1, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
+def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
     """(doc, tag, line) of every line to remove; ``docs`` has the columns doc
     (long, LAST for null), tag (see ``identified``) and text."""
     rarity = hashed_counts(docs, lambda buf, offs: Tokens(buf, offs, shingle).every)

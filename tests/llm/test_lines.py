@@ -17,7 +17,7 @@ def tokens(line, k):
     return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def brute(rows, threshold=0.8, shingle=1):
+def brute(rows, threshold=0.8, shingle=5):
     places = []
     for r, (doc, text) in enumerate(rows):
         tag = xxhash.xxh64_intdigest((text or "").encode(), seed=42) & (1 << 31) - 1
@@ -69,15 +69,15 @@ def documents():
 def test_against_all_pairs(spark, shingle):
     rows = documents()
     assert found(spark, rows, shingle=shingle) == brute(rows, shingle=shingle)
-    assert shingle > 1 or found(spark, rows) == brute(rows)
+    assert shingle == 1 or found(spark, rows) == brute(rows)
 
 
 def test_one_changed_word_in_twenty(spark):
     line = [f"w{i}" for i in range(20)]
     rows = [(1, " ".join(line)), (2, "kept\n" + " ".join(line[:7] + ["odd"] + line[8:])), (3, " ".join(line[10:] + line[:10]))]
-    assert [r[1] for r in found(spark, rows)] == [rows[0][1], "kept", ""]
+    assert [r[1] for r in found(spark, rows, shingle=1)] == [rows[0][1], "kept", ""]
     many = [(d, " ".join(line[:7] + [f"x{d}"] + line[8:])) for d in range(50)] + [(99, "word " * 300_000)]
-    assert sum(r[3] for r in found(spark, many)) == 49
+    assert sum(r[3] for r in found(spark, many, shingle=1)) == 49
 
 
 def test_tokens_that_share_upper_bits():
