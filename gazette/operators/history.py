@@ -26,9 +26,6 @@ HISTORY_COLS = ["persona_id", "entry_pos", "title", "chamada", "resumo", "link",
                 "source_title_keys", "source", "sent_at", "doc_title", "doc_link"]
 
 
-HISTORY_BUCKETS = 64
-
-
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     """The JSON history file -> raw entries (persona_id, entry_pos, ...).
     Malformed JSON fails the read (FAILFAST), as the reference refuses it."""
@@ -74,11 +71,13 @@ def repair_entries(raw: DataFrame, as_of, lookback_days: int = K.LOOKBACK_DAYS)
 def entry_match_keys(history: DataFrame) -> DataFrame:
     """(persona_id, kind, key): link keys and host::title keys of each entry,
     kept in separate namespaces (F7: title keys = list + single key)."""
-    link = history.select("persona_id", "entry_pos", F.lit("L").alias("kind"),
-                          F.col("normalized_link").alias("key"))
-    titles = history.select("persona_id", "entry_pos", F.lit("T").alias("kind"), F.explode(
-        unique_non_empty(F.concat("source_title_keys", F.array("source_title_key")))).alias("key"))
-    both = link.unionByName(titles)
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    titles = F.coalesce(unique_non_empty(F.concat("source_title_keys", F.array("source_title_key"))),
+                        F.array().cast("array<string>"))
+    # one generator and no union: the rows stay clustered as the history is
+    every = F.concat(F.array(key("L", F.col("normalized_link"))), F.transform(titles, lambda k: key("T", k)))
+    both = history.select("persona_id", "entry_pos", F.explode(every).alias("_k")).select(
+        "persona_id", "entry_pos", "_k.kind", "_k.key")
     return both.filter(F.col("key").isNotNull() & (F.col("key") != ""))
 
 
@@ -195,18 +194,9 @@ def _fold_upserts():
     return fold
 
 
-def upserts(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_link=None) -> DataFrame:
-    """The entries that sent articles become, each at the place of the
-    entry it replaces or after the persona's last one.
-
-    sent: (persona_id, seq, title, chamada, resumo, link, site) in send order.
-    Only history entries sharing a key with some sent row take part in the
-    ordered fold (a cogrouped pandas fold per persona).
-    """
-    s = with_identity(sent, title=F.coalesce("title", F.lit("")), link="link",
-                      chamada=F.coalesce("chamada", F.lit("")))
-    # read by the keys, the fold and the new rows: materialised once
-    s = cut_lineage(s.filter((F.col("normalized_link") != "") | (F.size("source_title_keys") > 0)))
+def places(history: DataFrame, s: DataFrame) -> DataFrame:
+    """(persona_id, entry_pos, seq): the place each sent row ``s`` (with its
+    identity) takes. A history clustered by persona stays where it is."""
     s_keys = (s.select("persona_id", "seq", F.lit("L").alias("kind"),
                        F.col("normalized_link").alias("key"))
               .unionByName(s.select("persona_id", "seq", F.lit("T").alias("kind"),
@@ -224,8 +214,23 @@ def upserts(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_li
     sent_in = (s.join(max_pos, "persona_id", "left")
                .select("persona_id", "seq", "normalized_link",
                        F.col("source_title_keys").alias("keys"), "max_pos"))
-    placed = (hist_in.groupBy("persona_id").cogroup(sent_in.groupBy("persona_id"))
+    return (hist_in.groupBy("persona_id").cogroup(sent_in.groupBy("persona_id"))
               .applyInPandas(_fold_upserts(), "persona_id string, entry_pos long, seq long"))
+
+
+def upserts(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, doc_link=None) -> DataFrame:
+    """The entries that sent articles become, each at the place of the
+    entry it replaces or after the persona's last one.
+
+    sent: (persona_id, seq, title, chamada, resumo, link, site) in send order.
+    Only history entries sharing a key with some sent row take part in the
+    ordered fold (a cogrouped pandas fold per persona).
+    """
+    s = with_identity(sent, title=F.coalesce("title", F.lit("")), link="link",
+                      chamada=F.coalesce("chamada", F.lit("")))
+    # read by the keys, the fold and the new rows: materialised once
+    s = cut_lineage(s.filter((F.col("normalized_link") != "") | (F.size("source_title_keys") > 0)))
+    placed = places(history, s)
     new_rows = placed.join(s, ["persona_id", "seq"]).select(
         "persona_id", "entry_pos",
         normalize_whitespace(F.coalesce("title", "chamada", F.lit(""))).alias("title"),
@@ -257,18 +262,15 @@ def record_sent(history: DataFrame, sent: DataFrame, sent_at, doc_title=None, do
 
 
 def save_history(history: DataFrame, base_dir: str) -> str:
-    """K1: write the history snapshot as a new Parquet version (never over a
-    path that is being read) and return its path. Personas are clustered in
-    ``HISTORY_BUCKETS`` folders by hash, not one folder each, so the number of
-    files doesn't grow with the personas."""
-    import uuid
-    path = f"{base_dir.rstrip('/')}/history/v={uuid.uuid4().hex}"
-    bucket = F.pmod(F.xxhash64("persona_id"), F.lit(HISTORY_BUCKETS)).cast("int")
-    (history.select(*HISTORY_COLS, bucket.alias("bucket")).repartition("bucket")
-     .sortWithinPartitions("bucket", "persona_id", "entry_pos")
-     .write.mode("errorifexists").partitionBy("bucket").parquet(path))
-    return path
-
-
-def load_saved_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*HISTORY_COLS)
+    """K1: commit the history as a new version of the store under ``base_dir``;
+    returns the store's folder."""
+    from gazette.sources.history_store import HistoryStore
+    store = HistoryStore(history.sparkSession, f"{base_dir.rstrip('/')}/history")
+    store.save(history)
+    return store.base
+
+
+def load_saved_history(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest (or a named) version of the store at ``path``."""
+    from gazette.sources.history_store import HistoryStore
+    return HistoryStore(spark, path).read(version)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.functions.dates import parse_date, ts_text, with_parsed_date
+from gazette.functions.constants import LOOKBACK_DAYS
+from gazette.functions.dates import is_within_days, parse_date, ts_text, with_parsed_date
 from gazette.functions.identity import dedupe_keys, with_identity
 from gazette.functions.links import site_label
 from gazette.functions.text import normalize_title, normalize_whitespace
@@ -17,6 +18,7 @@ from gazette.operators import quality
 from gazette.operators.dedupe import greedy_dedupe
 from gazette.sources.derived import AS_OF, articles_from_pages, date_spellings, link_spellings
 from gazette.session import cut_lineage
+from gazette.sources.history_store import HistoryStore
 from gazette.sources.tables import read_table, scan_pages
 
 REGISTRY: dict = {}
@@ -251,14 +253,17 @@ def sent_rows(spark, sf_dir, articles=None) -> DataFrame:
 @query("record_sent")
 def q_record_sent(spark, sf_dir):
     """U1 after a run: each persona's digest items are recorded with the
-    summary's headline, text and (possibly model-returned) link."""
+    summary's headline, text and (possibly model-returned) link, in a store
+    that holds the history; the entries inside the lookback of its new version."""
     a = unique_articles(spark, sf_dir)
     kept = cut_lineage(kept_selection(spark, sf_dir, a))
     it = rd.digest_items(kept, a, summaries(spark, sf_dir, a, kept))
     sent = it.join(a.select("ord", "title", "site"), "ord").select(
         "persona_id", F.col("item_no").alias("seq"), "title", "chamada", "resumo", "link", "site")
-    out = hist.record_sent(v_history(spark, sf_dir), sent, sent_at=AS_OF, doc_title=None,
-                           doc_link=None, as_of=AS_OF)
+    store = HistoryStore(spark, inc.scratch_dir(spark, "history-record"))
+    store.save(v_history(spark, sf_dir))
+    store.record(sent, sent_at=AS_OF, as_of=AS_OF)
+    out = store.read().where(is_within_days("sent_at", AS_OF, LOOKBACK_DAYS))
     return out.select("persona_id", "entry_pos", "title", "chamada", "link", "normalized_link",
                       "title_key", ts_text("sent_at").alias("sent_at"))
 
