@@ -13,26 +13,26 @@ from gazette.functions.identity import dedupe_keys, with_identity
 from gazette.functions.text import normalize_whitespace, truncate_text, unique_non_empty
 from gazette.operators.dedupe import greedy_dedupe
 from gazette.session import cut_lineage
+from gazette.sources.json_elements import RANGE_BYTES, read_elements
 
 # Stored-file layout: {"version": 1, "personas": {"<id>": [entry, ...]}}.
 ENTRY_DDL = ("title STRING, titulo STRING, chamada STRING, summaryTitle STRING, resumo STRING, "
              "link STRING, normalizedLink STRING, titleKey STRING, titleKeys ARRAY<STRING>, "
              "sourceTitleKey STRING, sourceTitleKeys ARRAY<STRING>, source STRING, "
              "sentAt STRING, docTitle STRING, docLink STRING")
-FILE_DDL = f"version INT, personas MAP<STRING, ARRAY<STRUCT<{ENTRY_DDL}>>>"
 
 HISTORY_COLS = ["persona_id", "entry_pos", "title", "chamada", "resumo", "link",
                 "normalized_link", "title_key", "title_keys", "source_title_key",
                 "source_title_keys", "source", "sent_at", "doc_title", "doc_link"]
 
 
-def read_history_json(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON history file -> raw entries (persona_id, entry_pos, ...).
-    Malformed JSON fails the read (FAILFAST), as the reference refuses it."""
-    doc = spark.read.schema(FILE_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    per = doc.select(F.explode("personas").alias("persona_id", "entries"))
-    return per.select("persona_id", F.posexplode("entries").alias("entry_pos", "e")).select(
-        "persona_id", F.col("entry_pos").cast("bigint").alias("entry_pos"), "e.*")
+def read_history_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The JSON history file -> raw entries (persona_id, entry_pos, ...), read
+    by ranges of bytes. Malformed JSON fails the read, as the reference refuses it."""
+    raw = read_elements(spark, path, "personas", range_bytes)
+    return raw.select(F.col("key").alias("persona_id"), F.col("pos").alias("entry_pos"),
+                      F.from_json("element", ENTRY_DDL, {"mode": "FAILFAST"}).alias("e")).select(
+        "persona_id", "entry_pos", "e.*")
 
 
 def repair_entries(raw: DataFrame, as_of, lookback_days: int = K.LOOKBACK_DAYS) -> DataFrame:

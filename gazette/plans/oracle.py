@@ -1031,9 +1031,10 @@ WHERE c.persona_id NOT IN (SELECT DISTINCT persona_id FROM v_hist)
 
 
 def _file_sql(out: dict[str, str]) -> None:
-    out["personas_file"] = with_(V_TOPICS, V_PERSONAS) + """
-SELECT id, nome, descricao, array_to_string(prioridades, ' | ') AS prioridades, array_to_string(evitar, ' | ') AS evitar
-FROM v_personas WHERE id IN ('p0', 'p2', 'p3', 'p10')"""
+    out["personas_file"] = with_(V_TOPICS, V_PERSONAS, V_ARTICLES, V_HIST_RAW) + """
+SELECT id, nome, descricao, array_to_string(prioridades, ' | ') AS prioridades, array_to_string(evitar, ' | ') AS evitar,
+       id IN (SELECT persona_id FROM v_hist_raw) AS requested
+FROM v_personas"""
     # places are counted anew in the file
     out["history_file"] = with_(V_ARTICLES, V_HIST_RAW.replace("ord AS entry_pos", (
         "row_number() OVER (PARTITION BY ord // 10 ORDER BY ord) - 1 AS entry_pos")), V_HIST) + f"""

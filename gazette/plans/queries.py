@@ -586,12 +586,16 @@ from gazette.sources import files as fl  # noqa: E402
 
 @query("personas_file")
 def q_personas_file(spark, sf_dir):
-    """S5 + P9: the persona list written as JSON, read back, and the requested
-    personas chosen from it."""
+    """S5 + P9: the persona list written as JSON and read back; requested are
+    the personas with a history."""
     path = inc.scratch_dir(spark, "personas-json")
     fl.write_personas_json(v_personas(spark, sf_dir), path)
-    p = fl.select_personas(fl.read_personas_json(spark, path), ["p0", "p2", "p3", "p10"])
-    return p.select("id", "nome", "descricao", _join("prioridades").alias("prioridades"), _join("evitar").alias("evitar"))
+    p = fl.read_personas_json(spark, path)
+    ids = history_from_articles(v_articles(spark, sf_dir)).select(F.col("persona_id").alias("id")).distinct()
+    asked = fl.select_personas(p, ids).select("id", F.lit(True).alias("asked"))
+    return p.join(asked, "id", "left").select(
+        "id", "nome", "descricao", _join("prioridades").alias("prioridades"), _join("evitar").alias("evitar"),
+        F.coalesce("asked", F.lit(False)).alias("requested"))
 
 
 @query("history_file")

@@ -1,25 +1,34 @@
-"""File sources and sinks: persona list (S5) and digest documents (K4)."""
+"""File sources and sinks: persona list (S5), history file (S6) and digest documents (K4)."""
 
 from __future__ import annotations
 
+import itertools
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.sources.json_elements import RANGE_BYTES, read_elements
+
+FAIL = {"mode": "FAILFAST"}
 PERSONA_DDL = ("id STRING, nome STRING, descricao STRING, prioridades ARRAY<STRING>, "
                "evitar ARRAY<STRING>")
 
 
-def read_personas_json(spark: SparkSession, path: str) -> DataFrame:
-    """The persona list file (a JSON array) with a declared schema; the
-    position in the file becomes ``persona_idx`` (the order checks run in)."""
-    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(PERSONA_DDL).json(path)
-    # A top-level array is read one element per row; keep file order.
-    return raw.withColumn("persona_idx", F.monotonically_increasing_id()).select(
-        "persona_idx", "id", "nome", "descricao", "prioridades", "evitar")
+def read_personas_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The persona list (a JSON array, or a folder of them) with a declared
+    schema, read by ranges of bytes; the position in the file becomes
+    ``persona_idx`` (the order checks run in). Malformed JSON fails the read."""
+    raw = read_elements(spark, path, range_bytes=range_bytes)
+    return raw.select(F.col("pos").alias("persona_idx"), F.from_json("element", PERSONA_DDL, FAIL).alias("p")).select(
+        "persona_idx", "p.id", "p.nome", "p.descricao", "p.prioridades", "p.evitar")
 
 
-def select_personas(personas: DataFrame, persona_ids: list[str] | None = None) -> DataFrame:
-    """The requested personas, or all when none are named."""
+def select_personas(personas: DataFrame, persona_ids: list[str] | DataFrame | None = None) -> DataFrame:
+    """The requested personas, or all when none are named. Many requests
+    are a table with a column ``id``."""
+    if isinstance(persona_ids, DataFrame):
+        return personas.join(persona_ids.select("id"), "id", "left_semi").select(*personas.columns)
     if not persona_ids:
         return personas
     return personas.filter(F.col("id").isin(*persona_ids))
@@ -32,32 +41,58 @@ def write_digests(digests: DataFrame, path: str, run_date: str) -> None:
      .write.mode("errorifexists").partitionBy("run_date").json(path))
 
 
-#: Files a JSON export is spread over, by persona hash.
-EXPORT_FILES = 16
-
-
-def _one_document_each(rows: DataFrame, path: str) -> None:
-    """``rows`` (bucket, value): one JSON document per file."""
-    rows.write.mode("errorifexists").partitionBy("bucket").text(path)
-
-
-def write_personas_json(personas: DataFrame, path: str, files: int = EXPORT_FILES) -> None:
-    """The persona list as files that ``read_personas_json`` reads: a JSON
-    array each, spread by id so that no task holds the whole list."""
-    one = F.struct("id", "nome", "descricao", "prioridades", "evitar")
-    rows = personas.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("bucket")).agg(
-        F.to_json(F.sort_array(F.collect_list(one))).alias("value"))
-    _one_document_each(rows, path)
-
-
-def write_history_json(entries: DataFrame, path: str, files: int = EXPORT_FILES) -> None:
+def _written_as_documents(rows: DataFrame, path: str, lines) -> None:
+    """``rows`` (key, element), a JSON document a partition: ``lines`` turns the
+    stream of (key, element) into the document's lines; nothing is gathered."""
+    def documents(batches):
+        import pandas as pd
+        items = ((k, e) for batch in batches for k, e in zip(batch["key"], batch["element"]))
+        first = next(items, None)
+        if first is None:
+            return
+        out = []
+        for line in lines(itertools.chain([first], items)):
+            out.append(line)
+            if len(out) == 1000:
+                yield pd.DataFrame({"value": out})
+                out = []
+        yield pd.DataFrame({"value": out})
+    rows.select("key", "element").mapInPandas(documents, "value string").write.mode("errorifexists").text(path)
+
+
+def _array_lines(items):
+    mark = "["
+    for _, element in items:
+        yield f"{mark} {element}"
+        mark = ","
+    yield "]"
+
+
+def _history_lines(items):
+    yield '{"version": 1, "personas": {'
+    before = None
+    for key, element in items:
+        if key != before:
+            yield f"{'' if before is None else '], '}{json.dumps(key)}: [ {element}"
+        else:
+            yield f", {element}"
+        before = key
+    yield "]}}"
+
+
+def write_personas_json(personas: DataFrame, path: str) -> None:
+    """The persona list as files that ``read_personas_json`` reads, a JSON array
+    a partition, in the order of ids."""
+    one = F.to_json(F.struct("id", "nome", "descricao", "prioridades", "evitar"))
+    rows = personas.select(F.col("id").alias("key"), one.alias("element"))
+    _written_as_documents(rows.repartitionByRange("key").sortWithinPartitions("key"), path, _array_lines)
+
+
+def write_history_json(entries: DataFrame, path: str) -> None:
     """Raw history entries (persona_id, entry_pos, and the stored fields) as
-    files in the stored layout {"version", "personas": {id: [entry, ...]}}."""
+    files in the stored layout {"version", "personas": {id: [entry, ...]}}, a
+    document a partition; entries without a persona have no place in it."""
     fields = [c for c in entries.columns if c not in ("persona_id", "entry_pos")]
-    lists = entries.groupBy("persona_id").agg(F.sort_array(F.collect_list(
-        F.struct("entry_pos", F.struct(*fields).alias("entry")))).alias("_l"))
-    lists = lists.select("persona_id", F.transform("_l", lambda e: e["entry"]).alias("entries"))
-    rows = lists.groupBy(F.pmod(F.xxhash64("persona_id"), F.lit(files)).alias("bucket")).agg(
-        F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(
-            F.collect_list(F.struct("persona_id", "entries"))).alias("personas"))).alias("value"))
-    _one_document_each(rows, path)
+    rows = entries.where("persona_id IS NOT NULL").select(
+        F.col("persona_id").alias("key"), "entry_pos", F.to_json(F.struct(*fields)).alias("element"))
+    _written_as_documents(rows.repartition("key").sortWithinPartitions("key", "entry_pos"), path, _history_lines)
