@@ -24,6 +24,7 @@ from gazette.operators import render as rd
 from gazette.operators.dedupe import greedy_dedupe
 from gazette.operators.extract import articles_from_listings, listing_order, texts_for_links
 from gazette.operators.personas import validate_personas
+from gazette.operators.report import RunCounters
 from gazette.operators.select import lexical_select
 from gazette.session import cut_lineage
 from gazette.sources.files import write_digests
@@ -35,6 +36,7 @@ class RunOutput:
     history_path: str
     digests: DataFrame
     history: DataFrame
+    counters: dict[str, int]
 
 
 def unique_articles(listings: DataFrame, as_of, max_per_site: int = K.MAX_PER_SITE,
@@ -64,17 +66,20 @@ def run_digest(listings: DataFrame, personas: DataFrame, history: DataFrame, as_
     personas = validate_personas(personas)
     unique = unique_articles(listings, as_of, max_per_site, days_back)
     kept = kept_selection(unique, personas, history, max_per_persona)
-    chosen = unique.join(kept.select("ord").distinct(), "ord", "left_semi")
+    run = RunCounters()
+    chosen = cut_lineage(run.of("selected_unique", unique.join(kept.select("ord"), "ord", "left_semi")))
     texts = texts_for_links(listings if article_pages is None else article_pages, chosen.select("link"))
     texts = chosen.join(texts, "link", "left").select(
         "ord", "title", "link", F.coalesce("text", F.lit(K.ARTICLE_TEXT_FAILED)).alias("text"))
-    items = cut_lineage(rd.digest_items(kept, unique, rd.lead_summary(texts)))
+    summaries = cut_lineage(run.of("summaries", rd.lead_summary(texts)))
+    items = cut_lineage(rd.digest_items(kept, unique, summaries))
     digests = rd.render_digest(items, personas, as_of)
     digests_path = f"{out_dir.rstrip('/')}/digests"
-    write_digests(digests, digests_path, as_of[:10])
+    write_digests(digests, digests_path, as_of[:10], lambda rows: run.of("docs_created", rows))
     sent = items.join(unique.select("ord", "title", "site"), "ord").select(
         "persona_id", F.col("item_no").alias("seq"), "title", "chamada", "resumo", "link", "site")
     new_history = hist.record_sent(history, sent, sent_at=as_of, as_of=as_of)
     history_path = hist.save_history(new_history, out_dir)
+    counters = {"titles_collected": unique.count()} | run.values()  # the first is a checkpoint already
     return RunOutput(digests_path, history_path, digests,
-                     hist.load_saved_history(listings.sparkSession, history_path))
+                     hist.load_saved_history(listings.sparkSession, history_path), counters)

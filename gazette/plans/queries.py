@@ -494,14 +494,17 @@ def q_warning_digest(spark, sf_dir):
 
 @query("run_counters")
 def q_run_counters(spark, sf_dir):
-    a = unique_articles(spark, sf_dir)
+    """A whole run up to the digest sink; its stages count themselves."""
+    run = rp.RunCounters()
+    a = cut_lineage(run.of("titles_collected", unique_articles(spark, sf_dir)))
     kept = cut_lineage(kept_selection(spark, sf_dir, a))
-    selected = kept.select(F.countDistinct("ord").cast("bigint")).scalar()
-    return spark.range(1).select(
-        a.select(F.count("*").cast("bigint")).scalar().alias("titles_collected"),
-        selected.alias("selected_unique"),
-        kept.select(F.countDistinct("persona_id").cast("bigint")).scalar().alias("docs_created"),
-        summaries(spark, sf_dir, a, kept).select(F.count("*").cast("bigint")).scalar().alias("summaries"))
+    chosen = cut_lineage(run.of("selected_unique", a.join(kept.select("ord"), "ord", "left_semi")))
+    sums = cut_lineage(run.of("summaries", summaries(spark, sf_dir, a, chosen)))
+    digests = rd.render_digest(rd.digest_items(kept, a, sums), v_personas(spark, sf_dir), AS_OF)
+    fl.write_digests(digests, inc.scratch_dir(spark, "counted-run"), AS_OF[:10], lambda rows: run.of("docs_created", rows))
+    counts = run.values()
+    return spark.range(1).select(*[F.lit(counts[c]).cast("bigint").alias(c) for c in (
+        "titles_collected", "selected_unique", "docs_created", "summaries")])
 
 
 # --- sinks, streaming and import totals -------------------------------------------

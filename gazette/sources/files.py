@@ -34,11 +34,13 @@ def select_personas(personas: DataFrame, persona_ids: list[str] | DataFrame | No
     return personas.filter(F.col("id").isin(*persona_ids))
 
 
-def write_digests(digests: DataFrame, path: str, run_date: str) -> None:
+def write_digests(digests: DataFrame, path: str, run_date: str, observed=None) -> None:
     """K4: one document (row) per persona with at least one item, written
-    under ``run_date=...``; a folder per persona would be millions of files."""
-    (digests.filter(F.col("n_items") > 0).withColumn("run_date", F.lit(run_date))
-     .write.mode("errorifexists").partitionBy("run_date").json(path))
+    under ``run_date=...``; a folder per persona would be millions of files.
+    ``observed`` wraps the rows that are written."""
+    rows = digests.filter(F.col("n_items") > 0)
+    (rows if observed is None else observed(rows)).withColumn("run_date", F.lit(run_date)).write.mode(
+        "errorifexists").partitionBy("run_date").json(path)
 
 
 def _written_as_documents(rows: DataFrame, path: str, lines) -> None:

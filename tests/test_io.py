@@ -77,3 +77,18 @@ def test_composed_run_writes_digests_and_history(spark):
     written = spark.read.json(out.digests_path)
     assert written.count() == out.digests.count() > 0
     assert out.history.count() >= Q.v_history(spark, sf).count()
+    # the run's counters were taken while its stages ran
+    assert out.counters["docs_created"] == written.count()
+    assert out.counters["summaries"] == out.counters["selected_unique"] > 0
+    assert out.counters["titles_collected"] >= out.counters["selected_unique"]
+
+
+def test_counters_see_rows_once_and_empty_stages(spark):
+    from gazette.operators.report import RunCounters
+    from gazette.session import cut_lineage
+    run = RunCounters()
+    rows = spark.range(1000).repartition(7)
+    cut_lineage(run.of("some", rows.groupBy((rows.id % 10).alias("k")).count()))
+    cut_lineage(run.of("none", rows.filter("id < 0")))
+    run.of("written", rows).write.parquet(os.path.join(_tmp(spark), "rows"))
+    assert run.values() == {"some": 10, "none": 0, "written": 1000}
