@@ -166,3 +166,6 @@ PRESELECT_FALLBACK = '{"selecao":{}}'
 FILTER_FALLBACK = '{"selecionados":[]}'
 SUMMARY_FALLBACK = "{}"
 # --- end of fixed values ----------------------------------------------------
+
+# Characters of the shared article list in one prompt (a limit of this library's own).
+PROMPT_PAGE_CHARS = 20000

@@ -808,6 +808,12 @@ UNION ALL SELECT id, 3, 0, {S.q(K.FILTER_FOOT)}, '' FROM v_pctx0 WHERE EXISTS (S
     t, m = K.FILTER_PARAMS
     out["filter_requests"] = out["filter_requests"].replace("\n,\nv_usable", ",\nv_usable").replace(
         "SELECT id AS request_id", f"SELECT *, CAST({t} AS DOUBLE) AS temperature, {m} AS max_tokens FROM (\nSELECT id AS request_id") + ")"
+    out["filter_prompts"] = f"""WITH v_req AS ({out["filter_requests"]}),
+v_at AS (SELECT seq, text, sum(length(text) + 1) OVER (ORDER BY seq) - length(text) - 1 AS start FROM v_req WHERE request_id = '*'),
+v_page AS (SELECT CAST(start // {K.PROMPT_PAGE_CHARS} AS INTEGER) AS page_no, string_agg(text, chr(10) ORDER BY seq) AS list FROM v_at GROUP BY 1),
+v_prompt AS (SELECT h.request_id, page_no, h.text || list || f.text AS prompt, h.temperature, h.max_tokens
+  FROM v_req h JOIN v_req f ON h.request_id = f.request_id AND h.section_no = 1 AND f.section_no = 3 CROSS JOIN v_page)
+SELECT request_id, page_no, length(prompt) AS n_chars, md5(prompt) AS prompt_md5, temperature, max_tokens FROM v_prompt"""
     dig = run + [V_SUPPRESS, V_DIGEST]
     t, m = K.SUMMARY_PARAMS
     out["summary_requests"] = with_(*dig, recursive=True) + f"""

@@ -451,6 +451,15 @@ def q_filter_requests(spark, sf_dir):
     return rq.filter_requests(tool_rows(spark, sf_dir), ctx)
 
 
+@query("filter_prompts")
+def q_filter_prompts(spark, sf_dir):
+    """A5: the filter prompts as a sender posts them, by their digests."""
+    ctx = pers.persona_context(v_personas(spark, sf_dir))
+    prompts = rq.assemble_prompts(rq.filter_requests(cut_lineage(tool_rows(spark, sf_dir)), ctx))
+    return prompts.select("request_id", "page_no", F.char_length("prompt").cast("bigint").alias("n_chars"),
+                          F.md5("prompt").alias("prompt_md5"), "temperature", "max_tokens")
+
+
 @query("summary_requests")
 def q_summary_requests(spark, sf_dir):
     a = unique_articles(spark, sf_dir)
