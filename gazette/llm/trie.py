@@ -77,7 +77,9 @@ def running(df: DataFrame, key: str, xors: tuple[str, ...] = (), sums: tuple[str
 
     ``df`` must have stable partitions (a checkpoint, or narrow steps after
     one) whose rows, one partition after the other, are in order of ``key``,
-    a long that is never null."""
+    a long that is never null. What is carried in is found by the number of the
+    partition, so the result is materialised here: inside a union or after a
+    coalesce the same partitions run under other numbers."""
     columns = [*xors, *sums]
     adds = [np.add, *[np.bitwise_xor] * len(xors), *[np.add] * len(sums)]
     names = ["nth", *[f"{c}_upto" for c in columns]]
@@ -125,7 +127,7 @@ def running(df: DataFrame, key: str, xors: tuple[str, ...] = (), sums: tuple[str
             at, carry = int(keys[-1]), [int(v[-1]) for v in made]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in made]], [*batch.schema.names, *names])
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` long" for n in names)])
-    return df.mapInArrow(upto, fields)
+    return cut_lineage(df.mapInArrow(upto, fields))
 
 
 def _ranged(df: DataFrame, *order: str) -> DataFrame:
@@ -178,8 +180,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
         F.when(at, F.xxhash64("v", "u", "depth")).otherwise(0).cast("long").alias("y")))
     t = running(cut_lineage(_ranged(t, "conv", "depth")), "conv", ("x", "y"), ("bytes",))
     parent = lambda upto, own: F.when(at, F.col(upto).bitwiseXOR(F.col(own)))
-    return cut_lineage(t.select("conv", "depth", "len", "bytes", F.col("x_upto").alias("a"), F.col("y_upto").alias("b"),
-                                parent("x_upto", "x").alias("pa"), parent("y_upto", "y").alias("pb"), F.col("bytes_upto").alias("upto")))
+    return t.select("conv", "depth", "len", "bytes", F.col("x_upto").alias("a"), F.col("y_upto").alias("b"),
+                    parent("x_upto", "x").alias("pa"), parent("y_upto", "y").alias("pb"), F.col("bytes_upto").alias("upto"))
 
 
 def _cells(batch: pa.RecordBatch, cells: int) -> list[np.ndarray]:
@@ -237,7 +239,7 @@ def screened(prefix: DataFrame, cells: int | None = None) -> DataFrame:
             least = np.min([row[at] for row, at in zip(table, _cells(batch, cells), strict=True)], axis=0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((least == 1).astype(np.int64))], [*batch.schema.names, "proven"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prefix.schema)
-    return cut_lineage(running(prefix.mapInArrow(screen, f"{fields}, proven long"), "conv", sums=("proven",)))
+    return running(prefix.mapInArrow(screen, f"{fields}, proven long"), "conv", sums=("proven",))
 
 
 def _ends_hash(shared: DataFrame) -> DataFrame:

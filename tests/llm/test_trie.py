@@ -86,6 +86,27 @@ def test_numbers_are_carried_over_partitions(spark):
         assert r.nth == r.v - first + 1 and r.v_upto == sum(range(first, r.v + 1))
 
 
+def test_numbers_stay_where_partitions_run_under_other_numbers(spark):
+    from gazette.session import cut_lineage
+    df = cut_lineage(spark.range(1000).select((F.col("id") / 90).cast("long").alias("k"), F.col("id").alias("v")).repartitionByRange(8, "v")
+                     .sortWithinPartitions("v"))
+    got = trie.running(df, "k", (), ("v",))
+    alone = sorted(map(tuple, got.collect()))
+    first = spark.range(3).select(*[F.lit(0).cast("long").alias(c) for c in got.columns])
+    assert sorted(map(tuple, first.union(got).where("nth > 0").collect())) == alone
+    assert sorted(map(tuple, got.coalesce(3).collect())) == alone
+
+
+def test_conversations_cut_by_partitions(spark):
+    rows = [(c, t, "u", f"{c % 5} {t}") for c in range(40) for t in range(30 + c % 4)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_screening_emits_singletons_where_they_are(spark):
     rows = [(c, t, "u", f"{c}:{t}" if t else "hello") for c in range(0, 100, 5) for t in range(9)]
     df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
