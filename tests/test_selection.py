@@ -92,3 +92,31 @@ def test_long_chain_of_shared_keys(spark):
     df = spark.createDataFrame(rows, "pos long, keys array<string>")
     kept = sorted(r.pos for r in greedy_dedupe(df, "pos", "keys").where("kept").collect())
     assert kept == list(range(0, 30, 2))
+
+
+def test_each_run_has_its_own_cut_and_ranks(spark):
+    import random
+    rng = random.Random(4)
+    words = ["grain", "ship", "steel", "sport", "rain", "north", "bank"]
+    articles = [(i, " ".join(rng.choices(words, k=3)), None if i % 7 == 0 else day(rng.randrange(40))) for i in range(300)]
+    people = [(i, f"p{i}", "A", "d", rng.sample(words, 3) + ["north bank"] * (i % 2), rng.sample(words, i % 2)) for i in range(12)]
+    got = lexical_select(spark.createDataFrame(articles, ARTICLE), spark.createDataFrame(people, PERSONA), 5, run=F.col("ord") % 3).collect()
+    want = []
+    for _, person, _, _, likes, avoids in people:
+        for run in range(3):
+            found = []
+            for i, title, at in articles:
+                has = set(title.split())
+                score = sum(bool(has & set(topic.split())) for topic in set(likes))
+                if i % 3 == run and score and not has & set(avoids):
+                    found.append((-score, at is None, -at.timestamp() if at else 0, i))
+            want += [(person, run, n, f[3], -f[0]) for n, f in enumerate(sorted(found)[:5], 1)]
+    assert sorted((r.persona_id, r.run, r["rank"], r.ord, r.score) for r in got) == sorted(want)
+
+
+def test_pairs_are_cut_before_they_are_shuffled(spark):
+    articles = spark.createDataFrame([(i, f"grain {i}", day(i)) for i in range(2000)], ARTICLE)
+    people = spark.createDataFrame([(i, f"p{i}", "A", "d", ["grain", f"topic{i}"], []) for i in range(50)], PERSONA)
+    got = lexical_select(articles, people, 2)
+    assert sorted(r.ord for r in got.where("persona_id = 'p7'").collect()) == [1998, 1999]
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
