@@ -80,7 +80,10 @@ def heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Where a new value of ``keys`` begins in ``order``."""
     out = np.ones(len(order), bool)
     if len(order):
-        out[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        out[1:] = False
+        for k in keys:
+            k = k[order]
+            out[1:] |= k[1:] != k[:-1]
     return out
 
 
@@ -109,7 +112,7 @@ def through_buckets(docs: DataFrame, cut: Cut, whole: Whole, schema: str, block_
                 ["kind", "bucket", "width", "body"])
 
     def finish(at: tuple[int, int], parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        yield from whole(at[0], [np.concatenate(c).astype(U64) for c in zip(*parts, strict=True)])
+        yield from whole(at[0], [np.concatenate(c).astype(U64, copy=False) for c in zip(*parts, strict=True)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -119,7 +122,7 @@ def through_buckets(docs: DataFrame, cut: Cut, whole: Whole, schema: str, block_
                     if held:
                         yield from finish(at, held)
                     held, at = [], (kind, bucket)
-                held.append([a.astype(U64) if a.dtype != np.uint8 else a for a in unpack(body, width)])
+                held.append([a.astype(U64, copy=False) if a.dtype != np.uint8 else a for a in unpack(body, width)])
         if held:
             yield from finish(at, held)
     parts = small_batches(docs).mapInArrow(scan, "kind int, bucket int, width int, body binary")

@@ -18,8 +18,8 @@ on the input, not on what is left.
 3. For the posting lists that are left, the length and positional filters
    are join conditions. Each line first meets the ``firsts`` earliest lines of
    its lists, one candidate each, which settles groups of near copies without
-   pairing their members; only lines not yet removed then meet all earlier
-   lines of their lists.
+   pairing their members; only lines not yet removed then meet the other
+   earlier lines of their lists.
 4. Candidates that share too few prefix tokens to reach the overlap drop out;
    the rest is verified on whole token sets, which travel for these only.
 
@@ -49,8 +49,7 @@ from pyspark.sql import functions as F
 from gazette.llm.buckets import dealt, entry, hashed_counts, heads, hot_entries, in_order, sizes, through_buckets
 from gazette.llm.joins import join_measured
 from gazette.llm.quality import bind
-from gazette.llm.text import (BASES, U64, chunked_hashes, group_starts, mix64, prefix_hash, run_offsets, slices, span_hash,
-                              word_spans)
+from gazette.llm.text import BASES, U64, group_starts, mix64, run_offsets, slices, stepped_hashes, word_spans
 from gazette.llm.tables import kept_table
 from gazette.session import cut_lineage
 
@@ -64,12 +63,35 @@ def _by_rarity(owner: np.ndarray, magnitude: np.ndarray, token: np.ndarray) -> n
     if len(owner) and owner[-1] < 1 << 20:
         packed = owner.astype(U64) << U64(44) | magnitude.astype(U64) << U64(38) | token >> U64(26)
         order = np.argsort(packed)
-        tie = packed[order[1:]] == packed[order[:-1]]
-        if not (tie & (token[order[1:]] != token[order[:-1]])).any():
+        packed = packed[order]
+        tie = np.flatnonzero(packed[1:] == packed[:-1])
+        if not (token[order[tie + 1]] != token[order[tie]]).any():
             return order
     return np.lexsort((token, magnitude, owner))
 
 
+def _shingles(word: np.ndarray, first: np.ndarray, count: np.ndarray, shingle: int) -> np.ndarray:
+    """One hash for each ``shingle`` words in a row of a line, in order; of a
+    shorter line, one of all its words. ``first`` and ``count``: the lines."""
+    # a factor for each place, and what stands for the number of words
+    factor = [U64(pow(BASES[1], j, 1 << 64)) for j in range(shingle)]
+    length = np.arange(shingle + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)
+    total = word + length[shingle]
+    for j in range(1, min(shingle, len(word))):
+        total[:-j] += word[j:] * factor[j]
+    short = np.flatnonzero(count < shingle)
+    at, n = first[short], count[short]
+    part = word[at] + length[n]
+    inner = np.ones(len(word), bool)
+    for j in range(1, min(shingle, int(count.max(initial=0)))):
+        more = np.flatnonzero(n > j)
+        part[more] += word[at[more] + j] * factor[j]
+        long = count > j
+        inner[first[long] + count[long] - j] = False
+    total[at] = part
+    return mix64(total[inner])
+
+
 class Tokens:
     """The token sets of the lines of one slice, each in order of rarity.
 
@@ -77,27 +99,22 @@ class Tokens:
     ``token``) and ``key`` (hash of the set)."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, shingle: int, rarity: np.ndarray | None = None) -> None:
-        start, end, words = word_spans(buf, offs)
-        row = np.repeat(np.arange(len(words)), words)
+        start, end, _ = word_spans(buf, offs)
         breaks = np.flatnonzero(buf == 0x0A)
-        number = np.searchsorted(breaks, start) - np.searchsorted(breaks, offs[row])
-        head = np.ones(len(start), bool)
-        head[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-        first = np.flatnonzero(head)
+        # the first words after a document's start or a line break
+        first = np.unique(np.searchsorted(start, np.concatenate([offs[:-1], breaks + 1])))
+        first = first[first < len(start)]
         count = np.diff(np.append(first, len(start)))
-        self.row, self.line = row[first], number[first].astype(np.int32)
-        token, n = chunked_hashes(buf, start, end), count
+        self.row = np.searchsorted(offs, start[first], "right") - 1
+        self.line = (np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, offs[self.row])).astype(np.int32)
+        token, n = stepped_hashes(buf, start, end), count
         if shingle > 1:
-            h = prefix_hash(token, BASES[1])
-            n = np.maximum(count - shingle + 1, 1)
-            at = np.repeat(first, n) + run_offsets(n)
-            token = span_hash(h, at, at + np.repeat(np.minimum(count, shingle), n), BASES[1])
-        owner = np.repeat(np.arange(len(first)), n)
+            token, n = _shingles(token, first, count, shingle), np.maximum(count - shingle + 1, 1)
         self.every = token
         if rarity is None:
             return
-        order = _by_rarity(owner, rarity[entry(token)], token)
-        token, owner = token[order], owner[order]
+        owner = np.repeat(np.arange(len(first)), n)
+        token = token[_by_rarity(owner, rarity[entry(token)], token)]  # owners are in order already
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         self.token, owner = token[new], owner[new]
@@ -107,20 +124,30 @@ class Tokens:
         self.key = mix64(total + self.size.astype(U64))
 
 
+def _lines_of(buf: np.ndarray, offs: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of some lines, each as a document of its own."""
+    breaks = np.append(np.flatnonzero(buf == 0x0A), len(buf))
+    at = np.searchsorted(breaks, offs[row]) + line
+    start = np.where(line == 0, offs[row], breaks[at - 1] + 1)
+    size = np.minimum(breaks[at], offs[row + 1]) - start
+    cut = [buf[a:a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return np.concatenate(cut) if cut else buf[:0], group_starts(size)
+
+
 def _least_overlap(a, b, threshold: float):
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9))
 
 
 #: What a bucket returns: a line to remove, or a posting.
 REMOVED, POSTING = 0, 1
-_OUT = "kind int, token long, key long, doc long, tag long, line int, size int, pos int"
-_NAMES = ["kind", "token", "key", "doc", "tag", "line", "size", "pos"]
+_OUT = "kind int, token long, key long, doc long, tag long, line int, size int, pos int, n int"
+_NAMES = ["kind", "token", "key", "doc", "tag", "line", "size", "pos", "n"]
 
 
 def _out(kind: int, doc: np.ndarray, tag: np.ndarray, line: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
     columns = {"kind": np.full(n, kind, np.int32), "doc": doc, "tag": tag, "line": line.astype(np.int32)} | more
-    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[c].view(np.int64) if columns[c].dtype == U64 else columns[c], t) if c in columns else pa.nulls(n, t)
          for c, t in zip(_NAMES, kinds, strict=True)], _NAMES)
@@ -134,7 +161,8 @@ def _by_token(h: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[tuple[
 def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray) -> DataFrame:
     """The rows of all buckets (see _OUT): lines that repeat an earlier
     line's token set, and the prefix tokens that several sets share, each
-    with the first line of its set."""
+    with the first line of its set and ``n``, its number in the token's list
+    (0: a spread token, whose list is not in one bucket)."""
     magnitude, hot = np.ceil(np.log2(rarity + 1)).astype(np.uint8), hot_entries(rarity)
 
     def cut(rows, buf, offs, buckets):
@@ -177,8 +205,11 @@ def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray
             order = in_order(token, key, doc.view(np.int64), tag.view(np.int64), line)
             kept = order[heads(order, token, key)]  # one a token and set: its first line
             kept = kept[(sizes(heads(kept, token)) > 1) | hot[entry(token[kept])]]
+            kept = kept[in_order(*(c[kept] for c in (token, doc.view(np.int64), tag.view(np.int64), line, key.view(np.int64))))]
+            n = run_offsets(np.diff(np.append(np.flatnonzero(heads(kept, token)), len(kept)))) + 1
+            n[hot[entry(token[kept])]] = 0  # other buckets hold parts of these lists
             yield _out(POSTING, doc[kept], tag[kept], line[kept], token=token[kept], key=key[kept],
-                       size=size[kept].astype(np.int32), pos=pos[kept].astype(np.int32))
+                       size=size[kept].astype(np.int32), pos=pos[kept].astype(np.int32), n=n.astype(np.int32))
     return through_buckets(docs, cut, whole, _OUT)
 
 
@@ -190,18 +221,14 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in slices(batches, "text"):
-            t = Tokens(buf, offs, shingle, magnitude)
             wanted = rows.column(1)
-            base = wanted.offsets.to_numpy()
-            asked = np.repeat(np.arange(rows.num_rows), np.diff(base)) << 32 | wanted.flatten().to_numpy().astype(np.int64)
-            mine = np.flatnonzero(np.isin(t.row << 32 | t.line.astype(np.int64), asked))
-            size = t.size[mine]
-            token = t.token[np.repeat(t.first[mine], size) + run_offsets(size)].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(group_starts(size).astype(np.int32)), pa.array(token))
-            yield pa.RecordBatch.from_arrays([pa.array(t.key[mine].view(np.int64)), lists], ["key", "tokens"])
+            row = np.repeat(np.arange(rows.num_rows), np.diff(wanted.offsets.to_numpy()))
+            t = Tokens(*_lines_of(buf, offs, row, wanted.flatten().to_numpy()), shingle, magnitude)
+            lists = pa.ListArray.from_arrays(pa.array(group_starts(t.size).astype(np.int32)), pa.array(t.token.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(t.key.view(np.int64)), lists], ["key", "tokens"])
 
     found = kept_table(postings(docs, shingle, threshold, rarity))
-    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "tag", "line").alias("place"), "size", "pos")
+    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "tag", "line").alias("place"), "size", "pos", "n")
     # of every set: its shared prefix tokens, size and first line
     prefix = kept_table(posted.groupBy("key").agg(
         F.collect_list("token").alias("tokens"), F.first("size").alias("size"), F.first("place").alias("place")))
@@ -240,13 +267,14 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
             F.col("_o") >= _least_overlap(F.size("xs"), F.size("ys"), threshold)).select("x", "x_place").distinct())
 
     early = Window.partitionBy("token").orderBy("place", "key")
-    heads_of = posted.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= firsts)
-    gone = verified(met(posted, heads_of))
-    # lists no longer than ``firsts`` have been met whole
-    long = heads_of.where(F.col("_n") == firsts).select(F.col("token").alias("_t"))
-    rest = posted.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
-    rest = rest.join(long, F.col("token") == F.col("_t"), "left_semi")
-    gone = gone.union(verified(met(rest, posted)))
+    spread = posted.where(F.col("n") == 0)
+    heads_of = posted.where(F.col("n").between(1, firsts)).union(
+        spread.withColumn("n", F.row_number().over(early)).where(F.col("n") <= firsts))
+    gone = verified(met(posted.where(F.col("n") != 1), heads_of))
+    # all later lines of a list have met its first ones by now
+    rest = posted.where((F.col("n") == 0) | (F.col("n") > firsts + 1))
+    rest = rest.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
+    gone = gone.union(verified(met(rest, posted.where((F.col("n") == 0) | (F.col("n") > firsts)))))
     return found.where(F.col("kind") == REMOVED).select("doc", "tag", "line").union(gone.select("x_place.*"))
 
 

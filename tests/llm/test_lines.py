@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gazette.llm import lines
+from gazette.llm import buckets, lines, text
 
 SCHEMA = "doc_id long, text string, n_lines string, place string"
 
@@ -102,3 +102,51 @@ def test_texts_under_one_id_lose_their_own_lines(spark):
     for doc in (None, 5):
         rows = [(1, "some line that is here twice"), (doc, a), (doc, b)]
         assert found(spark, rows) == sorted([(1, rows[0][1], 1, 0), (doc, a.split("\n")[1], 2, 1), (doc, b, 2, 0)], key=repr)
+
+
+def sliced(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data])
+
+
+def test_lists_are_numbered_where_they_are_gathered(spark):
+    common = " ".join(f"w{i}" for i in range(20))
+    rows = [(d, 0, f"{common} odd{d}") for d in range(9, 0, -1)]
+    docs = spark.createDataFrame(rows, "doc long, tag long, text string")
+    lists = {}
+    for r in lines.postings(docs, 5, 0.8, np.zeros(buckets.TABLE, np.int64)).where(f"kind = {lines.POSTING}").collect():
+        lists.setdefault(r.token, []).append((r.doc, r.n))
+    assert max(map(len, lists.values())) > 2
+    assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in lists.values())
+
+
+@pytest.mark.parametrize("shingle", [1, 5])
+def test_spread_lists_are_numbered_by_the_window(spark, shingle, monkeypatch):
+    monkeypatch.setattr(lines, "hot_entries", lambda counts: np.ones(len(counts), bool))
+    rows = documents()
+    assert found(spark, rows, shingle=shingle) == brute(rows, shingle=shingle)
+
+
+@pytest.mark.parametrize("shingle", [1, 5, 80])
+def test_only_the_lines_asked_for_are_cut_into_words(shingle):
+    long = "ä" * 32 + " " + "x" * 64 + " " + "x" * 65 + " " + "y" * 200
+    buf, offs = sliced(["", f"a b c\n\n {long} d e f\nlast one here", "\n", "a b c", f"x\n{long} d e f\n", " "])
+    none = np.zeros(buckets.TABLE, np.uint8)
+    whole = lines.Tokens(buf, offs, shingle, none)
+    assert list(zip(whole.row.tolist(), whole.line.tolist(), strict=True)) == [(1, 0), (1, 2), (1, 3), (3, 0), (4, 0), (4, 1)]
+    asked = np.array([1, 2, 5])
+    part_buf, part_offs = lines._lines_of(buf, offs, whole.row[asked], whole.line[asked])
+    assert [part_buf[a:b].tobytes().decode() for a, b in zip(part_offs[:-1], part_offs[1:], strict=True)] == [
+        f" {long} d e f", "last one here", f"{long} d e f"]
+    part = lines.Tokens(part_buf, part_offs, shingle, none)
+    assert (part.key == whole.key[asked]).all() and (part.size == whole.size[asked]).all()
+    assert whole.key[0] == whole.key[3] and whole.key[1] == whole.key[5] and len(set(whole.key.tolist())) == 4
+
+
+def test_equal_words_and_only_those_have_equal_hashes():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ab\0") for _ in range(n)) for n in [*range(1, 140)] * 4]
+    buf, offs = sliced([" ".join(words)])
+    start, end, _ = text.word_spans(buf, offs)
+    h = text.stepped_hashes(buf, start, end).tolist()
+    assert len(h) == len(words) and len(set(zip(words, h, strict=True))) == len(set(words)) == len(set(h))
