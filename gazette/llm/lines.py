@@ -16,10 +16,16 @@ on the input, not on what is left.
    buckets, and shuffles them as compressed columns. A bucket drops the
    tokens of one set only and all but the first line of a set.
 3. For the posting lists that are left, the length and positional filters
-   are join conditions. Each line first meets the ``firsts`` earliest lines of
+   are join conditions. Two lines are judged at their first shared token: what
+   they can share is no more than what either has from there on, and of two
+   similar lines the smaller one has enough left for a line of its own size
+   (it is strong there). So only strong postings meet all others of their
+   list, and near copies that miss the threshold are not paired.
+   Each line first meets the ``firsts`` earliest lines of
    its lists, one candidate each, which settles groups of near copies without
    pairing their members; only lines not yet removed then meet the other
-   earlier lines of their lists.
+   earlier lines of their lists: eight times as many in each further step
+   while the lists would still give many pairs, and at last all.
 4. Candidates that share too few prefix tokens to reach the overlap drop out;
    the rest is verified on whole token sets, which travel for these only.
 
@@ -55,6 +61,10 @@ from gazette.session import cut_lineage
 
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
+#: Lists that would give more pairs than so many a posting are met step by step.
+PAIRS_A_POSTING = 16
+#: So many times more of the earliest lines are met by each step.
+WIDER = 8
 
 
 def _by_rarity(owner: np.ndarray, magnitude: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -138,6 +148,22 @@ def _least_overlap(a, b, threshold: float):
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9))
 
 
+def candidates(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """(x, y), once each: the keys of the lines of ``later`` and of those before them in
+    ``earlier`` that share a list and pass the length and positional filters there.
+    Similar lines pass at their first shared token; at others they need not."""
+    # weak postings do not meet each other: of two that pass, the smaller one is strong
+    classes = F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    a, b = later.withColumn("meets", F.explode(classes)).alias("a"), earlier.alias("b")
+    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    bound = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.meets") == F.col("b.strong"))
+                   & (F.col("b.place") < F.col("a.place")) & (F.col("a.key") != F.col("b.key"))
+                   & (small >= F.ceil(large * F.lit(threshold) - F.lit(1e-9)))
+                   & (bound >= _least_overlap(F.col("a.size"), F.col("b.size"), threshold)))
+    return pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+
+
 #: What a bucket returns: a line to remove, or a posting.
 REMOVED, POSTING = 0, 1
 _OUT = "kind int, token long, key long, doc long, tag long, line int, size int, pos int, n int"
@@ -213,6 +239,14 @@ def postings(docs: DataFrame, shingle: int, threshold: float, rarity: np.ndarray
     return through_buckets(docs, cut, whole, _OUT)
 
 
+def posted_lines(found: DataFrame, threshold: float) -> DataFrame:
+    """The postings among the rows of ``postings``; strong: with enough tokens from here on
+    for an equally large line."""
+    return found.where(F.col("kind") == POSTING).select(
+        "token", "key", F.struct("doc", "tag", "line").alias("place"), "size", "pos", "n",
+        (F.col("size") - F.col("pos") >= _least_overlap(F.col("size"), F.col("size"), threshold)).alias("strong"))
+
+
 def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, firsts: int = 2) -> DataFrame:
     """(doc, tag, line) of every line to remove; ``docs`` has the columns doc
     (long, LAST for null), tag (see ``identified``) and text."""
@@ -228,21 +262,14 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
             yield pa.RecordBatch.from_arrays([pa.array(t.key.view(np.int64)), lists], ["key", "tokens"])
 
     found = kept_table(postings(docs, shingle, threshold, rarity))
-    posted = found.where(F.col("kind") == POSTING).select("token", "key", F.struct("doc", "tag", "line").alias("place"), "size", "pos", "n")
+    posted = posted_lines(found, threshold)
     # of every set: its shared prefix tokens, size and first line
     prefix = kept_table(posted.groupBy("key").agg(
         F.collect_list("token").alias("tokens"), F.first("size").alias("size"), F.first("place").alias("place")))
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
         """(x, y, x_place, y_place) of the candidates that pass the filters."""
-        a, b = later.alias("a"), earlier.alias("b")
-        small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-        bound = F.least("a.pos", "b.pos") + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-        pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place"))
-                       & (F.col("a.key") != F.col("b.key"))
-                       & (small >= F.ceil(large * F.lit(threshold) - F.lit(1e-9)))
-                       & (bound >= _least_overlap(F.col("a.size"), F.col("b.size"), threshold)))
-        pairs = pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+        pairs = candidates(later, earlier, threshold)
         for side in "xy":
             pairs = pairs.join(prefix.select(*[F.col(c).alias(f"{side}_{c}") for c in prefix.columns]),
                                F.col(side) == F.col(f"{side}_key"))
@@ -268,13 +295,37 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
 
     early = Window.partitionBy("token").orderBy("place", "key")
     spread = posted.where(F.col("n") == 0)
-    heads_of = posted.where(F.col("n").between(1, firsts)).union(
-        spread.withColumn("n", F.row_number().over(early)).where(F.col("n") <= firsts))
-    gone = verified(met(posted.where(F.col("n") != 1), heads_of))
-    # all later lines of a list have met its first ones by now
-    rest = posted.where((F.col("n") == 0) | (F.col("n") > firsts + 1))
-    rest = rest.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
-    gone = gone.union(verified(met(rest, posted.where((F.col("n") == 0) | (F.col("n") > firsts)))))
+
+    def numbered(after: int, last: int) -> DataFrame:
+        """The postings after number ``after`` of their lists up to number ``last``."""
+        own = spread.withColumn("n", F.row_number().over(early)).where((F.col("n") <= last) & (F.col("n") > after))
+        return posted.where(F.col("n").between(after + 1, last)).unionByName(own)
+
+    def many(others: DataFrame, gone: DataFrame) -> tuple[int, int]:
+        """The pairs that the lists of ``others`` give lines not yet removed, and the length of the longest list."""
+        left = F.when(F.col("_x").isNull(), 1).otherwise(0)
+        lists = others.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left").groupBy("token").agg(
+            F.greatest(F.max("n"), F.count_if(F.col("n") == 0)).alias("length"), F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.sum(left).alias("left"),
+            F.sum(F.when(F.col("strong"), left)).alias("left_strong"))
+        strong = F.coalesce("left_strong", F.lit(0))
+        row = lists.agg(F.sum((strong * F.col("n") + (F.col("left") - strong) * F.col("strong")).cast("double")), F.max("length")).first()
+        return row[0] or 0, row[1] or 0
+
+    gone = verified(met(posted.where(F.col("n") != 1), numbered(0, firsts)))
+    limit = PAIRS_A_POSTING * posted.count()
+    while True:
+        # all later lines of a list have met its first ones by now
+        others = posted.where((F.col("n") == 0) | (F.col("n") > firsts))
+        pairs, longest = many(others, gone)
+        if longest <= firsts + 1:
+            break
+        rest = posted.where((F.col("n") == 0) | (F.col("n") > firsts + 1))
+        rest = rest.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
+        some = pairs > limit
+        gone = gone.union(verified(met(rest, numbered(firsts, firsts * WIDER) if some else others)))
+        if not some:
+            break
+        firsts *= WIDER
     return found.where(F.col("kind") == REMOVED).select("doc", "tag", "line").union(gone.select("x_place.*"))
 
 

@@ -92,6 +92,44 @@ def test_one_first_line_a_list_is_enough(spark):
     assert found(spark, rows, firsts=1, threshold=0.6) == brute(rows, 0.6)
 
 
+def near_copies(count, n_words, changes, seed=2):
+    """Lines that differ from one that is not there by ``changes`` words of their own."""
+    rng = random.Random(seed)
+    out = []
+    for d in range(count):
+        line = [f"w{i}" for i in range(n_words)]
+        for at in changes(rng):
+            line[at] = f"x{d}_{at}"
+        out.append((d, " ".join(line)))
+    return out
+
+
+def test_near_copies_below_the_threshold_are_not_paired(spark):
+    rows = near_copies(200, 60, lambda rng: (rng.randrange(5, 25), rng.randrange(32, 55)))
+    docs = spark.createDataFrame([(d, 0, t) for d, t in rows], "doc long, tag long, text string")
+    rarity = buckets.hashed_counts(docs, lambda buf, offs: lines.Tokens(buf, offs, 5).every)
+    posted = lines.posted_lines(lines.postings(docs, 5, 0.8, rarity), 0.8).cache()
+    assert posted.count() >= 2 * len(rows)
+    assert lines.candidates(posted, posted, 0.8).count() <= len(rows)
+
+
+def test_near_copies_without_their_original_are_met_step_by_step(spark, monkeypatch):
+    met, candidates = [], lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda *a: met.append(candidates(*a)) or met[-1])
+    rows = near_copies(300, 80, lambda rng: (rng.randrange(5, 75),))
+    got = found(spark, rows)
+    assert got == brute(rows) and sum(r[3] for r in got) > 200
+    assert len(met) > 2 and sum(pairs.count() for pairs in met) < len(rows) ** 2 / 4
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_steps_meet_all_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "hot_entries", lambda counts: np.full(len(counts), hot))
+    monkeypatch.setattr(lines, "PAIRS_A_POSTING", 0)
+    rows = documents()
+    assert found(spark, rows, firsts=1) == brute(rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
