@@ -295,35 +295,33 @@ def removed_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, fir
 
     early = Window.partitionBy("token").orderBy("place", "key")
     spread = posted.where(F.col("n") == 0)
+    heads_of = posted.where(F.col("n").between(1, firsts)).union(
+        spread.withColumn("n", F.row_number().over(early)).where(F.col("n") <= firsts))
+    gone = verified(met(posted.where(F.col("n") != 1), heads_of))
+
+    # spread lists are not put in order: their lines get places by hash, as many as the longest has
+    longest = spread.groupBy("token").count().agg(F.max("count")).first()[0] or 1
+    at = F.when(F.col("n") == 0, firsts + 1 + F.pmod(F.xxhash64("key"), F.lit(longest))).otherwise(F.col("n"))
+    posted = posted.withColumn("spread", F.col("n") == 0).withColumn("n", at)
+    limit = PAIRS_A_POSTING * posted.count()
 
-    def numbered(after: int, last: int) -> DataFrame:
-        """The postings after number ``after`` of their lists up to number ``last``."""
-        own = spread.withColumn("n", F.row_number().over(early)).where((F.col("n") <= last) & (F.col("n") > after))
-        return posted.where(F.col("n").between(after + 1, last)).unionByName(own)
-
-    def many(others: DataFrame, gone: DataFrame) -> tuple[int, int]:
-        """The pairs that the lists of ``others`` give lines not yet removed, and the length of the longest list."""
+    def many(others: DataFrame, gone: DataFrame) -> int:
+        """The pairs that the lists of ``others`` give lines not yet removed."""
         left = F.when(F.col("_x").isNull(), 1).otherwise(0)
         lists = others.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left").groupBy("token").agg(
-            F.greatest(F.max("n"), F.count_if(F.col("n") == 0)).alias("length"), F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.sum(left).alias("left"),
-            F.sum(F.when(F.col("strong"), left)).alias("left_strong"))
-        strong = F.coalesce("left_strong", F.lit(0))
-        row = lists.agg(F.sum((strong * F.col("n") + (F.col("left") - strong) * F.col("strong")).cast("double")), F.max("length")).first()
-        return row[0] or 0, row[1] or 0
+            F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.sum(left).alias("left"),
+            F.sum(F.when(F.col("strong"), left).otherwise(0)).alias("left_strong"))
+        pairs = F.col("left_strong") * F.col("n") + (F.col("left") - F.col("left_strong")) * F.col("strong")
+        return lists.agg(F.sum(pairs.cast("double"))).first()[0] or 0
 
-    gone = verified(met(posted.where(F.col("n") != 1), numbered(0, firsts)))
-    limit = PAIRS_A_POSTING * posted.count()
     while True:
         # all later lines of a list have met its first ones by now
-        others = posted.where((F.col("n") == 0) | (F.col("n") > firsts))
-        pairs, longest = many(others, gone)
-        if longest <= firsts + 1:
-            break
-        rest = posted.where((F.col("n") == 0) | (F.col("n") > firsts + 1))
+        others = posted.where(F.col("n") > firsts)
+        rest = posted.where(F.col("spread") | (F.col("n") > firsts + 1))
         rest = rest.join(gone.select(F.col("x").alias("_x")), F.col("key") == F.col("_x"), "left_anti")
-        some = pairs > limit
-        gone = gone.union(verified(met(rest, numbered(firsts, firsts * WIDER) if some else others)))
-        if not some:
+        last = many(others, gone) <= limit
+        gone = gone.union(verified(met(rest, others if last else others.where(F.col("n") <= firsts * WIDER))))
+        if last:
             break
         firsts *= WIDER
     return found.where(F.col("kind") == REMOVED).select("doc", "tag", "line").union(gone.select("x_place.*"))
