@@ -51,7 +51,8 @@ def unique_articles(listings: DataFrame, as_of, max_per_site: int = K.MAX_PER_SI
 def kept_selection(unique: DataFrame, personas: DataFrame, history: DataFrame,
                    max_per_persona: int = K.MAX_PER_PERSONA) -> DataFrame:
     """M7 -> J1/D2/W3: the slots of each persona's digest."""
-    selection = lexical_select(unique, personas, max(max_per_persona, max_per_persona * K.PRESELECT_MULTIPLIER))
+    selection = lexical_select(unique, personas, max(max_per_persona, max_per_persona * K.PRESELECT_MULTIPLIER),
+                               n_articles=unique.count())  # a checkpoint already
     return cut_lineage(hist.suppress_repeats(selection, unique, history, max_per_persona)
                        .filter(F.col("status") == "kept"))
 
